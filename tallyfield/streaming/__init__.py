@@ -1,0 +1 @@
+"""Intentionally empty: every source the library covers is a bounded table."""
