@@ -73,6 +73,9 @@ def rank_table(
     not take part.
     """
     strata, by = list(strata), list(by)
+    clash = {"n", "ties", "below", "midrank", "maxrank", "total"} & {*strata, *by, value}
+    if clash:
+        raise ValueError(f"rename input columns {sorted(clash)}: the rank table uses these names")
     rows = df.where(F.col(value).isNotNull())
     splits = value_splits(rows, value, buckets)
     counts = rows.groupBy(*strata, *by, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))

@@ -1,6 +1,6 @@
 """Named queries over the given tables, grouped by subject."""
 
-from . import tidy
+from . import summaries, tidy
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "tidy"]
+__all__ = ["ORACLES", "QUERIES", "summaries", "tidy"]
