@@ -1,6 +1,6 @@
 """Named queries over the given tables, grouped by subject."""
 
-from . import summaries, tidy
+from . import stratified, summaries, tidy
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "summaries", "tidy"]
+__all__ = ["ORACLES", "QUERIES", "stratified", "summaries", "tidy"]
