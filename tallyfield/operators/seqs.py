@@ -3,6 +3,7 @@ distances, clusters and chimera flags. Work is done on distinct sequences with t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -97,8 +98,11 @@ def feature_table(counts: DataFrame, clusters: DataFrame, key: str) -> DataFrame
 # ---------------------------------------------------------------- reads
 
 
-def best_overlap(pdf_iter: Iterator[pd.DataFrame], min_overlap: int) -> Iterator[pd.DataFrame]:
-    """Gap-free overlap of each pair with the smallest mismatch share; the longer one on ties."""
+def best_overlap(pdf_iter: Iterator[pd.DataFrame], min_overlap: int, max_share: float) -> Iterator[pd.DataFrame]:
+    """Gap-free overlap of each pair with the smallest mismatch share; the longer one on ties.
+
+    Overlap 0 means that no offset stays within ``max_share`` mismatches.
+    """
     for pdf in pdf_iter:
         found = []
         for a, b in zip(pdf["fwd"], pdf["rev_rc"]):
@@ -106,7 +110,7 @@ def best_overlap(pdf_iter: Iterator[pd.DataFrame], min_overlap: int) -> Iterator
             y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
             top = min(len(x), len(y))
             best = (0, 0)
-            share = 2.0
+            share = np.nextafter(max_share, 2.0)
             for o in range(top, min_overlap - 1, -1):
                 bad = int(np.count_nonzero(x[len(x) - o :] != y[:o]))
                 if bad / o < share:
@@ -117,19 +121,22 @@ def best_overlap(pdf_iter: Iterator[pd.DataFrame], min_overlap: int) -> Iterator
         yield pdf.assign(overlap=[f[0] for f in found], mismatches=[f[1] for f in found])
 
 
-def merge_pairs(forward: DataFrame, reverse: DataFrame, min_overlap: int = 10) -> DataFrame:
+def merge_pairs(
+    forward: DataFrame, reverse: DataFrame, min_overlap: int = 10, max_share: float = 0.25
+) -> DataFrame:
     """Contigs from forward and reverse reads ``(seq_id, seq, qual)`` of one fragment.
 
     The reverse read is reverse-complemented, laid over the end of the forward read at the offset
     with the smallest mismatch share, and each overlapping base is taken from the read with the
-    higher quality (forward on ties). Pairs without an overlap of ``min_overlap`` are left out.
+    higher quality (forward on ties). Pairs without an overlap of ``min_overlap`` bases and at most
+    ``max_share`` mismatches are left out.
     """
     f = forward.select("seq_id", F.col("seq").alias("fwd"), F.col("qual").alias("fq"))
     r = reverse.select("seq_id", S.reverse_complement(F.col("seq")).alias("rev_rc"), F.reverse("qual").alias("rq"))
     joined = f.join(r, "seq_id")
     id_type = joined.schema["seq_id"].dataType.simpleString()
     laid = joined.mapInPandas(
-        lambda it: best_overlap(it, min_overlap),
+        lambda it: best_overlap(it, min_overlap, max_share),
         f"seq_id {id_type}, fwd string, fq string, rev_rc string, rq string, overlap int, mismatches int",
     ).where(F.col("overlap") >= min_overlap)
     o, lf = F.col("overlap"), F.length("fwd")
@@ -196,42 +203,56 @@ def reference_error_histogram(queries: DataFrame, refs: DataFrame, k: int = 8) -
     return hit.groupBy(mismatches(F.col("seq"), F.col("ref")).alias("errors")).agg(F.sum("n").alias("sequences"))
 
 
-def train_kmer_classes(train: DataFrame, k: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Word model from ``(seq_id, taxon, seq)``: log gains per (word, taxon), word priors, class sizes."""
+def train_kmer_classes(train: DataFrame, k: int = 8) -> tuple[DataFrame, DataFrame, float]:
+    """Word model from ``(seq_id, taxon, seq)``.
+
+    Returns ``model(w, lp, gains)`` with the log prior of a word and one ``(taxon, gain)`` entry per class
+    that has seen it (bounded by the number of classes), the class sizes, and the log prior of
+    an unseen word.
+    """
     words = train.select("taxon", F.explode(kmers(F.col("seq"), k)).alias("w"))
     sizes = train.groupBy("taxon").agg(F.count("*").alias("nk"))
     total = train.count()
     seen = words.groupBy("w", "taxon").agg(F.count("*").alias("nwk"))
-    prior = seen.groupBy("w").agg(F.sum("nwk").alias("nw")).select(
-        "w", ((F.col("nw") + 0.5) / (total + 1)).alias("pw")
+    per = seen.groupBy("w").agg(
+        ((F.sum("nwk") + 0.5) / (total + 1)).alias("pw"), F.collect_list(F.struct("taxon", "nwk")).alias("c")
+    )
+    gains = F.transform(
+        "c", lambda x: F.struct(x["taxon"].alias("taxon"), F.log((x["nwk"] + F.col("pw")) / F.col("pw")).alias("gain"))
     )
-    gain = seen.join(prior, "w").select("w", "taxon", F.log((F.col("nwk") + F.col("pw")) / F.col("pw")).alias("gain"))
-    sizes = sizes.withColumn("unseen", F.log(F.lit(0.5 / (total + 1))))
-    return gain, prior, sizes
+    return per.select("w", F.log("pw").alias("lp"), gains.alias("gains")), sizes, math.log(0.5 / (total + 1))
 
 
-def _score(words: DataFrame, keys: list[str], model: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+def _score(words: DataFrame, keys: list[str], model: tuple[DataFrame, DataFrame, float]) -> DataFrame:
     """Best class of each key by sum(log((n_wk + prior_w) / (N_k + 1))).
 
-    The sum splits into a class-free part, a part for words the class has seen, and the class
-    size, so only seen (word, class) pairs are joined. A class sharing no word can win only if it is
-    the smallest one, hence the extra candidate.
+    The sum splits into a class-free part (carried as the entry without a class), a part for the words
+    a class has seen, and the class size, so only seen (word, class) pairs are summed. A class
+    sharing no word can win only if it is the smallest one, hence that extra candidate.
     """
-    gain, prior, sizes = model
-    unseen = sizes.select("unseen").first()[0]
-    flat = words.join(prior, "w", "left").groupBy(*keys).agg(
-        F.sum(F.coalesce(F.log("pw"), F.lit(unseen))).alias("flat"), F.count("*").alias("nq")
-    )
-    gains = words.join(gain, "w").groupBy(*keys, "taxon").agg(F.sum("gain").alias("g"))
-    smallest = sizes.agg(F.min_by("taxon", F.struct("nk", "taxon"))).first()[0]
-    cand = gains.unionByName(
-        flat.select(*keys, F.lit(smallest).alias("taxon"), F.lit(0.0).alias("g"))
-    ).groupBy(*keys, "taxon").agg(F.sum("g").alias("g"))
-    scored = cand.join(sizes.select("taxon", "nk"), "taxon").join(flat, keys).select(
-        *keys, "taxon", (F.col("flat") + F.col("g") - F.col("nq") * F.log(F.col("nk") + 1)).alias("score")
-    )
-    best = scored.groupBy(*keys).agg(F.min_by(F.struct("taxon", "score"), F.struct(-F.col("score"), "taxon")).alias("b"))
-    return best.select(*keys, "b.taxon", "b.score")
+    table, sizes, unseen = model
+    kind = sizes.schema["taxon"].dataType
+    flat = F.struct(F.lit(None).cast(kind).alias("taxon"), F.coalesce("lp", F.lit(unseen)).alias("gain"))
+    none = F.array().cast(f"array<struct<taxon:{kind.simpleString()},gain:double>>")
+    entries = words.join(table, "w", "left").select(
+        *keys, F.inline(F.concat(F.array(flat), F.coalesce("gains", none)))
+    )
+    per = entries.groupBy(*keys, "taxon").agg(F.sum("gain").alias("g"), F.count("*").alias("m"))
+    low = sizes.agg(F.min_by(F.struct("taxon", "nk"), F.struct("nk", "taxon")).alias("b")).first()["b"]
+    joined = per.join(sizes, "taxon", "left").groupBy(*keys).agg(
+        F.max(F.when(F.col("taxon").isNull(), F.col("g"))).alias("flat"),
+        F.max(F.when(F.col("taxon").isNull(), F.col("m"))).alias("nq"),
+        F.collect_list(F.when(F.col("taxon").isNotNull(), F.struct("taxon", "g", "nk"))).alias("c"),
+    )
+    extra = F.struct(F.lit(low["taxon"]).alias("taxon"), F.lit(0.0).alias("g"), F.lit(low["nk"]).alias("nk"))
+    scored = F.transform(
+        F.concat("c", F.array(extra)),
+        lambda x: F.struct(
+            (-(F.col("flat") + x["g"] - F.col("nq") * F.log(x["nk"] + 1))).alias("loss"), x["taxon"].alias("taxon")
+        ),
+    )
+    best = joined.select(*keys, F.array_min(scored).alias("b"))
+    return best.select(*keys, "b.taxon", (-F.col("b.loss")).alias("score"))
 
 
 def nb_classify(queries: DataFrame, train: DataFrame, k: int = 8) -> DataFrame:

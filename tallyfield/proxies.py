@@ -9,11 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import spread_scan
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents for per-character work, on as many tasks as there are cores."""
+    return spread_scan(table(spark, folder, "documents"), "doc_id")
+
+
 def samples(spark: SparkSession, folder: str) -> DataFrame:
     """One row per sample with the crossed design and its packed name."""
     return (
@@ -79,9 +86,31 @@ def analytes(spark: SparkSession, folder: str) -> DataFrame:
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """Sequence reads: every line of every document, with the document's source as sample."""
     return (
-        table(spark, folder, "documents")
+        texts(spark, folder)
         .select(
             "doc_id", F.col("source").alias("sample"), F.posexplode(F.split("text", "\n")).alias("pos", "seq")
         )
         .where(F.length("seq") > 0)
     )
+
+
+def unique_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct lines with a numeric id (of the first copy) and their number of copies."""
+    return (
+        lines(spark, folder)
+        .groupBy("seq")
+        .agg(F.min(F.col("doc_id") * 100_000 + F.col("pos")).alias("seq_id"), F.count("*").alias("n"))
+        .select("seq_id", "seq", "n")
+    )
+
+
+def reference_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Reference sequences: the distinct lines of the benchmark texts."""
+    return (
+        table(spark, folder, "benchmark")
+        .select("item_id", F.posexplode(F.split("text", "\n")).alias("pos", "seq"))
+        .where(F.length("seq") > 0)
+        .groupBy("seq")
+        .agg(F.min(F.col("item_id") * 1000 + F.col("pos")).alias("ref_id"))
+        .select("ref_id", "seq")
+    )

@@ -50,6 +50,17 @@ def bucket_count(spark: SparkSession) -> int:
     return max(8, min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
 
 
+def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute a scan that has fewer splits than cores before heavy per-row work.
+
+    A file of one row group is read by one task. Large inputs have many splits and pass unchanged, so
+    no text is shuffled there. Only for plain scans: asking for the partition count plans, but
+    does not run, them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast only when ``rows * row_bytes`` stays under the size bound."""
     from pyspark.sql import functions as F
