@@ -280,10 +280,13 @@ def p_rank_sum_exact(w: Column, n: Column, m: Column) -> Column:
 
 def p_spearman(rho: Column, n: Column, ties: Column) -> Column:
     def f(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series(
-            [spearman_p(r, int(k), bool(t)) if r == r else np.nan for r, k, t in zip(_arr(a), _arr(b), c)],
-            dtype=float,
-        )
+        r, k, tied = _arr(a), _arr(b), c.to_numpy(bool) | (_arr(b) > 1290)
+        with np.errstate(all="ignore"):
+            out = t_two_sided(r * np.sqrt((k - 2) / np.maximum(0.0, 1 - r * r)), k - 2)
+        out = np.where(np.isnan(r) | (k < 3), np.nan, out)
+        for i in np.flatnonzero(~tied & ~np.isnan(r)):
+            out[i] = spearman_p(r[i], int(k[i]), False)
+        return pd.Series(out)
 
     return _null_nan(_udf(f)(rho.cast("double"), n.cast("double"), ties))
 

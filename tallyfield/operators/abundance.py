@@ -412,53 +412,55 @@ def bias_corrected_glm(
 
 
 def _mixture_bias(est: DataFrame, tol: float, max_iter: int) -> dict[str, float]:
-    """Per term, the null centre of null + negative + positive normal parts; grouped sums per step."""
+    """Per term, the null centre of null + negative + positive normal parts; grouped sums per step.
+
+    The parameters of a step are a joined table of one row per term, so the compiled plan is reused.
+    """
+    spark = est.sparkSession
     start = quantiles(est.select("term", "beta"), ["term"], "beta",
                       {"lo": 0.125, "q1": 0.25, "q3": 0.75, "hi": 0.875}).collect()
+    names = ("d", "l1", "l2", "k1", "k2", "p0", "p1", "p2")
     par = {}
     for r in start:
         c = (r["q1"] + r["q3"]) / 2
         spread = max(((r["q3"] - r["q1"]) / 1.349) ** 2, 1e-8)
-        par[r["term"]] = {"d": c, "l1": min(r["lo"] - c, -1e-3), "l2": max(r["hi"] - c, 1e-3), "k1": spread,
-                          "k2": spread, "p0": 0.75, "p1": 0.125, "p2": 0.125}
-
-    def lit(name: str) -> Column:
-        return reduce(lambda w, kv: w.when(F.col("term") == kv[0], F.lit(float(kv[1][name]))), par.items(),
-                      F.when(F.lit(False), F.lit(0.0)))
-
+        par[r["term"]] = (c, min(r["lo"] - c, -1e-3), max(r["hi"] - c, 1e-3), spread, spread, 0.75, 0.125, 0.125)
+    schema = "term string, " + ", ".join(f"{c} double" for c in names)
+    x, nu = F.col("beta"), F.col("nu")
+    v1, v2 = nu + F.col("k1"), nu + F.col("k2")
+    dens = lambda m, v: F.exp(-(x - m) * (x - m) / (2 * v)) / F.sqrt(v)
+    f = [
+        F.col("p0") * dens(F.col("d"), nu), F.col("p1") * dens(F.col("d") + F.col("l1"), v1),
+        F.col("p2") * dens(F.col("d") + F.col("l2"), v2),
+    ]
+    w0, w1, w2 = F.col("r0") / nu, F.col("r1") / v1, F.col("r2") / v2
+    e1, e2 = x - F.col("d") - F.col("l1"), x - F.col("d") - F.col("l2")
     for _ in range(max_iter):
-        x, nu = F.col("beta"), F.col("nu")
-        d, l1, l2 = lit("d"), lit("l1"), lit("l2")
-        v1, v2 = nu + lit("k1"), nu + lit("k2")
-        dens = lambda m, v: F.exp(-(x - m) * (x - m) / (2 * v)) / F.sqrt(v)
-        raw = est.withColumns({
-            "v1": v1, "v2": v2, "f0": lit("p0") * dens(d, nu), "f1": lit("p1") * dens(d + l1, v1),
-            "f2": lit("p2") * dens(d + l2, v2), "d": d, "l1": l1, "l2": l2,
-        })
-        tot = F.col("f0") + F.col("f1") + F.col("f2") + F.lit(1e-300)
-        r = raw.withColumns({f"r{i}": F.col(f"f{i}") / tot for i in range(3)})
-        w0, w1, w2 = F.col("r0") / nu, F.col("r1") / F.col("v1"), F.col("r2") / F.col("v2")
-        e1, e2 = x - F.col("d") - F.col("l1"), x - F.col("d") - F.col("l2")
+        table = spark.createDataFrame([(t, *[float(v) for v in row]) for t, row in par.items()], schema)
+        joined = est.join(F.broadcast(table), "term")  # one row per model term
+        parts = joined.withColumns({f"f{i}": c for i, c in enumerate(f)})
+        total = F.col("f0") + F.col("f1") + F.col("f2") + F.lit(1e-300)
+        r = parts.withColumns({f"r{i}": F.col(f"f{i}") / total for i in range(3)})
         agg = r.groupBy("term").agg(
-            F.sum(w0 * x + w1 * (x - F.col("l1")) + w2 * (x - F.col("l2"))).alias("num"), F.sum(w0 + w1 + w2).alias("den"),
+            F.sum(w0 * x + w1 * (x - F.col("l1")) + w2 * (x - F.col("l2"))).alias("num"),
+            F.sum(w0 + w1 + w2).alias("den"),
             F.sum(w1 * (x - F.col("d"))).alias("n1"), F.sum(w1).alias("d1"),
             F.sum(w2 * (x - F.col("d"))).alias("n2"), F.sum(w2).alias("d2"),
             F.sum(F.col("r1") * (e1 * e1 - nu)).alias("q1"), F.sum(F.col("r2") * (e2 * e2 - nu)).alias("q2"),
-            *[F.avg(f"r{i}").alias(f"p{i}") for i in range(3)], F.sum("r1").alias("s1"), F.sum("r2").alias("s2"),
+            *[F.avg(f"r{i}").alias(f"a{i}") for i in range(3)], F.sum("r1").alias("s1"), F.sum("r2").alias("s2"),
         ).collect()  # one row per model term
         move = 0.0
         for a in agg:
-            t = par[a["term"]]
-            new = {
-                "d": a["num"] / a["den"], "l1": min(0.0, a["n1"] / max(a["d1"], 1e-12)),
-                "l2": max(0.0, a["n2"] / max(a["d2"], 1e-12)), "k1": max(0.0, a["q1"] / max(a["s1"], 1e-12)),
-                "k2": max(0.0, a["q2"] / max(a["s2"], 1e-12)), "p0": a["p0"], "p1": a["p1"], "p2": a["p2"],
-            }
-            move = max(move, abs(new["d"] - t["d"]))
+            new = (
+                a["num"] / a["den"], min(0.0, a["n1"] / max(a["d1"], 1e-12)),
+                max(0.0, a["n2"] / max(a["d2"], 1e-12)), max(0.0, a["q1"] / max(a["s1"], 1e-12)),
+                max(0.0, a["q2"] / max(a["s2"], 1e-12)), a["a0"], a["a1"], a["a2"],
+            )
+            move = max(move, abs(new[0] - par[a["term"]][0]))
             par[a["term"]] = new
         if move < tol:
             break
-    return {k: v["d"] for k, v in par.items()}
+    return {k: v[0] for k, v in par.items()}
 
 
 def structural_zeros(counts: DataFrame, samples: DataFrame, group: str, neg_lb: bool = True) -> DataFrame:

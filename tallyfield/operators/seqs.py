@@ -336,9 +336,9 @@ def near_pairs(seqs: DataFrame, allowed: Callable[[Column], Column]) -> DataFram
 
 
 def threshold_pairs(seqs: DataFrame, cutoff: float = 0.03) -> DataFrame:
-    """Distance list below the cutoff: mismatches over length."""
+    """Distance list below the cutoff: mismatches over length. Written once, as its users read it often."""
     pairs = near_pairs(seqs, lambda n: F.floor(n * F.lit(cutoff) + 1e-9))
-    return pairs.select("a", "b", (F.col("diffs") / F.col("len")).alias("dist"))
+    return checkpointed(pairs.select("a", "b", (F.col("diffs") / F.col("len")).alias("dist")))
 
 
 def precluster(unique: DataFrame, diffs: int = 2, max_rounds: int = 40) -> DataFrame:
@@ -380,28 +380,26 @@ def connected_components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 6
 
     Large-star links every larger neighbour to the smallest neighbour, small-star links smaller ones;
     both are a minimum per node joined back to the edges, so no neighbourhood is gathered. Edges are
-    checkpointed each round and the loop ends when every edge points at a root.
+    checkpointed each round and the loop ends when a round leaves the edge set unchanged.
     """
     edges = checkpointed(
         pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     )
+    state = None
     for _ in range(max_rounds):
         # large star
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: u to its smaller neighbours
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            small.select("u", F.col("m").alias("v"))
+        nbr = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        low = nbr.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = nbr.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: u and its smaller neighbours to the smallest of them
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select(
+            F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
         )
-        nxt = checkpointed(small.where("u <> v").distinct())
-        inner = nxt.select(F.col("u").alias("v")).distinct()
-        multi = nxt.groupBy("u").agg(F.count("*").alias("k")).where("k > 1")
-        edges = nxt
-        if not nxt.join(inner, "v", "left_semi").take(1) and not multi.take(1):
+        edges = checkpointed(small.where("u <> v").distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now == state:
             break
+        state = now
     else:
         raise RuntimeError("components did not settle")
     return nodes.select("seq_id").join(edges.select(F.col("u").alias("seq_id"), F.col("v").alias("cluster")), "seq_id", "left").select(

@@ -1,6 +1,6 @@
 """Named queries over the given tables, grouped by subject."""
 
-from . import ecology, sequences, stratified, summaries, tidy
+from . import differential, ecology, sequences, stratified, summaries, tidy
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "ecology", "sequences", "stratified", "summaries", "tidy"]
+__all__ = ["ORACLES", "QUERIES", "differential", "ecology", "sequences", "stratified", "summaries", "tidy"]

@@ -210,8 +210,10 @@ def threshold_clusters(spark: SparkSession, d: str) -> DataFrame:
 )
 def cluster_mcc(spark: SparkSession, d: str) -> DataFrame:
     unique = unique_lines(spark, d)
-    clusters = seqs.connected_components(unique, seqs.threshold_pairs(unique, 0.1))
-    return seqs.cluster_mcc(seqs.threshold_pairs(unique, 0.2), clusters).withColumn("mcc", F.round("mcc", 6))
+    pairs = seqs.threshold_pairs(unique, 0.2)
+    # the list at the wider cutoff holds the narrower one
+    tight = pairs.where(F.col("dist") <= 0.1)
+    return seqs.cluster_mcc(pairs, seqs.connected_components(unique, tight)).withColumn("mcc", F.round("mcc", 6))
 
 
 @query(
