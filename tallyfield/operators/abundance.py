@@ -315,15 +315,12 @@ def feature_effect_size(instances: DataFrame, samples: DataFrame, group: str, se
 def normal_sums(counts: DataFrame, design: DataFrame) -> DataFrame:
     """Per feature, over its non-zero cells: X'X, X'y and y'y of the log counts."""
     terms = [c for c in design.columns if c != "sample"]
-    y = F.log(F.col("reads"))
-    return counts.where("reads > 0").join(design, "sample").groupBy("feature").agg(
-        F.count("*").alias("n"),
-        *[
-            F.sum(F.col(a) * F.col(b)).alias(f"xx{i}_{j}")
-            for i, a in enumerate(terms) for j, b in enumerate(terms) if i <= j
-        ],
-        *[F.sum(F.col(t) * y).alias(f"xy{i}") for i, t in enumerate(terms)],
-        F.sum(y * y).alias("yy"),
+    p = len(terms)
+    sums = [f"sum(`{terms[i]}` * `{terms[j]}`) AS xx{i}_{j}" for i in range(p) for j in range(i, p)]
+    sums += [f"sum(`{t}` * ln(reads)) AS xy{i}" for i, t in enumerate(terms)]
+    joined = counts.where("reads > 0").join(design, "sample")
+    return joined.groupBy("feature").agg(
+        F.expr("count(*) AS n"), *[F.expr(e) for e in sums], F.expr("sum(ln(reads) * ln(reads)) AS yy")
     )
 
 
@@ -367,32 +364,25 @@ def bias_corrected_glm(
     solved = checkpointed(solved.where((F.col("rank") == p) & (F.col("n") > p)).select("feature", "n", "inv"))
     cells = cells.join(solved.select("feature"), "feature", "left_semi")
     theta = checkpointed(design.select("sample", F.lit(0.0).alias("theta")))
-    beta = None
-
-    def coef(j: int) -> Column:
-        return reduce(lambda a, b: a + b, [F.element_at("inv", j * p + k + 1) * F.col(f"xy{k}") for k in range(p)])
-
-    def fitted() -> Column:
-        return reduce(lambda a, b: a + b, [F.col(t) * F.col(f"b{j}") for j, t in enumerate(terms)])
+    # SQL text: the loop below would otherwise build hundreds of Column objects per step
+    coef = [" + ".join(f"inv[{j * p + k}] * xy{k}" for k in range(p)) + f" AS b{j}" for j in range(p)]
+    fitted = " + ".join(f"`{t}` * b{j}" for j, t in enumerate(terms))
+    names = [f"b{j}" for j in range(p)]
+    xy_sums = [F.expr(f"sum(`{t}` * (y - theta))").alias(f"xy{k}") for k, t in enumerate(terms)]
 
     for _ in range(max_iter):
-        adj = F.col("y") - F.col("theta")
-        xy = cells.join(broadcast_if_small(theta, n, 24), "sample").groupBy("feature").agg(
-            *[F.sum(F.col(t) * adj).alias(f"xy{k}") for k, t in enumerate(terms)]
-        )
-        now = checkpointed(solved.join(xy, "feature").select(
-            "feature", "n", "inv", *[coef(j).alias(f"b{j}") for j in range(p)]))
-        resid = cells.join(now.select("feature", *[f"b{j}" for j in range(p)]), "feature")
-        step = checkpointed(resid.groupBy("sample").agg(F.avg(F.col("y") - fitted()).alias("theta")))
-        change = step.join(theta.withColumnRenamed("theta", "old"), "sample").agg(
-            F.max(F.abs(F.col("theta") - F.col("old")))).first()[0]
-        theta, beta = step, now
+        xy = cells.join(broadcast_if_small(theta, n, 24), "sample").groupBy("feature").agg(*xy_sums)
+        beta = checkpointed(solved.join(xy, "feature").selectExpr("feature", "n", "inv", *coef))
+        resid = cells.join(beta.select("feature", *names), "feature")
+        step = checkpointed(resid.groupBy("sample").agg(F.expr(f"avg(y - ({fitted}))").alias("theta")))
+        change = step.join(theta.withColumnRenamed("theta", "old"), "sample").selectExpr(
+            "max(abs(theta - old))").first()[0]
+        theta = step
         if change is None or change < tol:
             break
 
-    full = cells.join(broadcast_if_small(theta, n, 24), "sample").join(
-        beta.select("feature", *[f"b{j}" for j in range(p)]), "feature")
-    rss = full.groupBy("feature").agg(F.sum(F.pow(F.col("y") - F.col("theta") - fitted(), 2)).alias("rss"))
+    full = cells.join(broadcast_if_small(theta, n, 24), "sample").join(beta.select("feature", *names), "feature")
+    rss = full.groupBy("feature").agg(F.expr(f"sum(pow(y - theta - ({fitted}), 2))").alias("rss"))
     rows = F.array(*[
         F.struct(F.lit(t).alias("term"), F.col(f"b{j}").alias("beta"),
                  (F.element_at("inv", j * p + j + 1) * F.col("rss") / (F.col("n") - p)).alias("nu"))
@@ -414,9 +404,9 @@ def bias_corrected_glm(
 def _mixture_bias(est: DataFrame, tol: float, max_iter: int) -> dict[str, float]:
     """Per term, the null centre of null + negative + positive normal parts; grouped sums per step.
 
-    The parameters of a step are a joined table of one row per term, so the compiled plan is reused.
+    The parameters of a step are one array literal, indexed by the row's term, which generated code
+    refers to instead of spelling it out: every step reuses the compiled plan.
     """
-    spark = est.sparkSession
     start = quantiles(est.select("term", "beta"), ["term"], "beta",
                       {"lo": 0.125, "q1": 0.25, "q3": 0.75, "hi": 0.875}).collect()
     names = ("d", "l1", "l2", "k1", "k2", "p0", "p1", "p2")
@@ -425,30 +415,29 @@ def _mixture_bias(est: DataFrame, tol: float, max_iter: int) -> dict[str, float]
         c = (r["q1"] + r["q3"]) / 2
         spread = max(((r["q3"] - r["q1"]) / 1.349) ** 2, 1e-8)
         par[r["term"]] = (c, min(r["lo"] - c, -1e-3), max(r["hi"] - c, 1e-3), spread, spread, 0.75, 0.125, 0.125)
-    schema = "term string, " + ", ".join(f"{c} double" for c in names)
-    x, nu = F.col("beta"), F.col("nu")
-    v1, v2 = nu + F.col("k1"), nu + F.col("k2")
-    dens = lambda m, v: F.exp(-(x - m) * (x - m) / (2 * v)) / F.sqrt(v)
-    f = [
-        F.col("p0") * dens(F.col("d"), nu), F.col("p1") * dens(F.col("d") + F.col("l1"), v1),
-        F.col("p2") * dens(F.col("d") + F.col("l2"), v2),
+    order = sorted(par)
+    number = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(order))
+    est = est.selectExpr("term", "beta", "nu", f"CASE term {number} END * {len(names)} AS at")
+    unpack = ["term", "beta", "nu", *[f"par[at + {i}] AS {c}" for i, c in enumerate(names)]]
+    # densities of the three parts, then the weighted sums of the maximisation step, as SQL text
+    parts = [
+        "*", "nu + k1 AS v1", "nu + k2 AS v2", "p0 * exp(-pow(beta - d, 2) / (2 * nu)) / sqrt(nu) AS f0",
+        "p1 * exp(-pow(beta - d - l1, 2) / (2 * (nu + k1))) / sqrt(nu + k1) AS f1",
+        "p2 * exp(-pow(beta - d - l2, 2) / (2 * (nu + k2))) / sqrt(nu + k2) AS f2",
     ]
-    w0, w1, w2 = F.col("r0") / nu, F.col("r1") / v1, F.col("r2") / v2
-    e1, e2 = x - F.col("d") - F.col("l1"), x - F.col("d") - F.col("l2")
+    shares = ["*", *[f"f{i} / (f0 + f1 + f2 + 1e-300) AS r{i}" for i in range(3)]]
+    sums = [F.expr(e) for e in (
+        "sum(r0 / nu * beta + r1 / v1 * (beta - l1) + r2 / v2 * (beta - l2)) AS num",
+        "sum(r0 / nu + r1 / v1 + r2 / v2) AS den",
+        "sum(r1 / v1 * (beta - d)) AS n1", "sum(r1 / v1) AS d1", "sum(r2 / v2 * (beta - d)) AS n2",
+        "sum(r2 / v2) AS d2", "sum(r1 * (pow(beta - d - l1, 2) - nu)) AS q1",
+        "sum(r2 * (pow(beta - d - l2, 2) - nu)) AS q2", "avg(r0) AS a0", "avg(r1) AS a1", "avg(r2) AS a2",
+        "sum(r1) AS s1", "sum(r2) AS s2",
+    )]
     for _ in range(max_iter):
-        table = spark.createDataFrame([(t, *[float(v) for v in row]) for t, row in par.items()], schema)
-        joined = est.join(F.broadcast(table), "term")  # one row per model term
-        parts = joined.withColumns({f"f{i}": c for i, c in enumerate(f)})
-        total = F.col("f0") + F.col("f1") + F.col("f2") + F.lit(1e-300)
-        r = parts.withColumns({f"r{i}": F.col(f"f{i}") / total for i in range(3)})
-        agg = r.groupBy("term").agg(
-            F.sum(w0 * x + w1 * (x - F.col("l1")) + w2 * (x - F.col("l2"))).alias("num"),
-            F.sum(w0 + w1 + w2).alias("den"),
-            F.sum(w1 * (x - F.col("d"))).alias("n1"), F.sum(w1).alias("d1"),
-            F.sum(w2 * (x - F.col("d"))).alias("n2"), F.sum(w2).alias("d2"),
-            F.sum(F.col("r1") * (e1 * e1 - nu)).alias("q1"), F.sum(F.col("r2") * (e2 * e2 - nu)).alias("q2"),
-            *[F.avg(f"r{i}").alias(f"a{i}") for i in range(3)], F.sum("r1").alias("s1"), F.sum("r2").alias("s2"),
-        ).collect()  # one row per model term
+        flat = F.lit([float(v) for t in order for v in par[t]])
+        joined = est.select("*", flat.alias("par")).selectExpr(*unpack)
+        agg = joined.selectExpr(*parts).selectExpr(*shares).groupBy("term").agg(*sums).collect()  # one row per term
         move = 0.0
         for a in agg:
             new = (

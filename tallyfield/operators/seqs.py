@@ -206,52 +206,47 @@ def reference_error_histogram(queries: DataFrame, refs: DataFrame, k: int = 8) -
 def train_kmer_classes(train: DataFrame, k: int = 8) -> tuple[DataFrame, DataFrame, float]:
     """Word model from ``(seq_id, taxon, seq)``.
 
-    Returns ``model(w, lp, gains)`` with the log prior of a word and one ``(taxon, gain)`` entry per class
-    that has seen it (bounded by the number of classes), the class sizes, and the log prior of
-    an unseen word.
+    Returns ``model(w, taxon, gain, lp, lead)``, one row per (word, class that has seen it) with the word's
+    log prior and a flag on one of its rows, the class sizes, and the log prior of an unseen word.
+    The window per word holds at most one row per class.
     """
     words = train.select("taxon", F.explode(kmers(F.col("seq"), k)).alias("w"))
     sizes = train.groupBy("taxon").agg(F.count("*").alias("nk"))
     total = train.count()
     seen = words.groupBy("w", "taxon").agg(F.count("*").alias("nwk"))
-    per = seen.groupBy("w").agg(
-        ((F.sum("nwk") + 0.5) / (total + 1)).alias("pw"), F.collect_list(F.struct("taxon", "nwk")).alias("c")
-    )
-    gains = F.transform(
-        "c", lambda x: F.struct(x["taxon"].alias("taxon"), F.log((x["nwk"] + F.col("pw")) / F.col("pw")).alias("gain"))
+    of_word = Window.partitionBy("w")
+    priors = seen.withColumns(
+        {
+            "pw": (F.sum("nwk").over(of_word) + 0.5) / (total + 1),
+            "lead": F.col("taxon") == F.min("taxon").over(of_word),
+        }
     )
-    return per.select("w", F.log("pw").alias("lp"), gains.alias("gains")), sizes, math.log(0.5 / (total + 1))
+    model = priors.selectExpr("w", "taxon", "ln((nwk + pw) / pw) AS gain", "ln(pw) AS lp", "lead")
+    return model, sizes, math.log(0.5 / (total + 1))
 
 
 def _score(words: DataFrame, keys: list[str], model: tuple[DataFrame, DataFrame, float]) -> DataFrame:
     """Best class of each key by sum(log((n_wk + prior_w) / (N_k + 1))).
 
-    The sum splits into a class-free part (carried as the entry without a class), a part for the words
-    a class has seen, and the class size, so only seen (word, class) pairs are summed. A class
-    sharing no word can win only if it is the smallest one, hence that extra candidate.
+    The sum splits into a class-free part (taken from a word's flagged row), a part for the words a
+    class has seen, and the class size, so only seen (word, class) pairs are summed. A class sharing
+    no word can win only if it is the smallest one, hence that extra candidate.
     """
     table, sizes, unseen = model
-    kind = sizes.schema["taxon"].dataType
-    flat = F.struct(F.lit(None).cast(kind).alias("taxon"), F.coalesce("lp", F.lit(unseen)).alias("gain"))
-    none = F.array().cast(f"array<struct<taxon:{kind.simpleString()},gain:double>>")
-    entries = words.join(table, "w", "left").select(
-        *keys, F.inline(F.concat(F.array(flat), F.coalesce("gains", none)))
+    per = words.join(table, "w", "left").groupBy(*keys, "taxon").agg(
+        F.expr("sum(gain) AS g"),
+        F.expr(f"sum(CASE WHEN taxon IS NULL THEN {unseen!r}D WHEN lead THEN lp ELSE 0D END) AS flat"),
+        F.expr("count_if(taxon IS NULL OR lead) AS nq"),
     )
-    per = entries.groupBy(*keys, "taxon").agg(F.sum("gain").alias("g"), F.count("*").alias("m"))
     low = sizes.agg(F.min_by(F.struct("taxon", "nk"), F.struct("nk", "taxon")).alias("b")).first()["b"]
+    # one entry per class of the key
     joined = per.join(sizes, "taxon", "left").groupBy(*keys).agg(
-        F.max(F.when(F.col("taxon").isNull(), F.col("g"))).alias("flat"),
-        F.max(F.when(F.col("taxon").isNull(), F.col("m"))).alias("nq"),
-        F.collect_list(F.when(F.col("taxon").isNotNull(), F.struct("taxon", "g", "nk"))).alias("c"),
+        F.expr("sum(flat) AS flat"), F.expr("sum(nq) AS nq"),
+        F.expr("collect_list(CASE WHEN taxon IS NOT NULL THEN struct(taxon, g, nk) END) AS c"),
     )
     extra = F.struct(F.lit(low["taxon"]).alias("taxon"), F.lit(0.0).alias("g"), F.lit(low["nk"]).alias("nk"))
-    scored = F.transform(
-        F.concat("c", F.array(extra)),
-        lambda x: F.struct(
-            (-(F.col("flat") + x["g"] - F.col("nq") * F.log(x["nk"] + 1))).alias("loss"), x["taxon"].alias("taxon")
-        ),
-    )
-    best = joined.select(*keys, F.array_min(scored).alias("b"))
+    loss = "transform(c, x -> struct(-(flat + x.g - nq * ln(x.nk + 1)) AS loss, x.taxon AS taxon))"
+    best = joined.withColumn("c", F.concat("c", F.array(extra))).selectExpr(*keys, f"array_min({loss}) AS b")
     return best.select(*keys, "b.taxon", (-F.col("b.loss")).alias("score"))
 
 
@@ -303,7 +298,14 @@ def near_pairs(seqs: DataFrame, allowed: Callable[[Column], Column]) -> DataFram
     rarest segments of two such sequences must meet in at least one; only those are joined, so
     segments common to many sequences are not used for blocking. Candidates are verified.
     """
-    base = seqs.select("seq_id", "seq", F.length("seq").alias("len")).withColumn("d", allowed(F.col("len")).cast("int"))
+    base = seqs.select("seq_id", "seq", F.length("seq").alias("len"))
+    # a length that occurs once has no partner
+    shared = base.groupBy("len").agg(F.count("*").alias("_k")).where("_k > 1").select("len")
+    width = max(1, int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    base = checkpointed(
+        base.join(F.broadcast(shared), "len", "left_semi")  # at most one row per length
+        .withColumn("d", allowed(F.col("len")).cast("int")).repartition(width, "seq_id")
+    )
     m = F.least(F.col("len"), 2 * (F.col("d") + 1))
     cut = lambda i: F.floor(i * F.col("len") / F.col("m")).cast("int")
     # sequences no longer than d match all others of their length: one segment, the empty one

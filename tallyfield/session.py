@@ -12,6 +12,29 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def build_session(app: str = "tallyfield", master: str | None = None, **conf: str) -> SparkSession:
+    """A session with the settings the library is tuned for; ``conf`` keys use ``__`` for dots.
+
+    Call-site capture of every Column call is switched off: it is a static setting, and plans here
+    are built from many expressions.
+    """
+    settings = {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
+    }
+    settings.update({k.replace("__", "."): v for k, v in conf.items()})
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+    for k, v in settings.items():
+        builder = builder.config(k, v)
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder the cluster shares between driver and executors (``spark.checkpoint.dir``).
 
