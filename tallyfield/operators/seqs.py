@@ -262,7 +262,7 @@ def nb_bootstrap(
 ) -> DataFrame:
     """Class with bootstrap confidence per rank; ranks under ``cutoff`` become ``unclassified``.
 
-    Each iteration scores a hash-chosen eighth of the query's words. ``lineages(taxon, ranks)`` holds
+    Each iteration scores a hash-chosen eighth of the query's words; one that draws no word casts no vote. ``lineages(taxon, ranks)`` holds
     the rank names from the root down.
     """
     model = train_kmer_classes(train, k)
@@ -279,7 +279,7 @@ def nb_bootstrap(
         .join(boot.select("seq_id", "drawn"), "seq_id")
         .groupBy("seq_id", "taxon", "depth", "name")
         .agg((100 * F.count_if(prefix(F.col("ranks"), F.col("depth")) == prefix(F.col("drawn"), F.col("depth")))
-              / F.lit(iters)).alias("conf"))
+              / F.count("*")).alias("conf"))
     )
     return votes.select(
         "seq_id", "taxon", (F.col("depth") + 1).alias("rank"),

@@ -8,7 +8,7 @@ probability is evaluated.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from ..session import checkpointed
 from .adjust import adjust_bh
 from .ranks import join_null_safe, quantiles, rank_table, with_rank
 
@@ -27,10 +28,15 @@ def _tie_term() -> Column:
     return F.sum(F.col("n") * (F.col("ties").cast("double") * F.col("ties") - 1))
 
 
-def level_rank_sums(df: DataFrame, strata: Sequence[str], value: str, level: str) -> DataFrame:
-    """Per (stratum, level): size ``n``, rank sum and the level's share of the tie term."""
+def level_rank_sums(
+    df: DataFrame, strata: Sequence[str], value: str, level: str, weight: str | None = None
+) -> DataFrame:
+    """Per (stratum, level): size ``n``, rank sum and the level's share of the tie term.
+
+    ``weight`` names the row count when ``df`` already holds collapsed rows.
+    """
     return (
-        rank_table(df, strata, value, by=[level])
+        rank_table(df, strata, value, by=[level], weight=weight)
         .groupBy(*strata, level)
         .agg(
             F.sum("n").alias("n"),
@@ -42,16 +48,16 @@ def level_rank_sums(df: DataFrame, strata: Sequence[str], value: str, level: str
 
 def _kruskal_from_sums(sums: DataFrame, strata: Sequence[str]) -> DataFrame:
     total = sums.groupBy(*strata).agg(
-        F.sum("n").cast("double").alias("N"),
-        F.count("*").alias("k"),
-        F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("s"),
-        F.sum("tie").alias("tie"),
+        F.sum("n").cast("double").alias("_N"),
+        F.count("*").alias("_k"),
+        F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("_s"),
+        F.sum("tie").alias("_tie"),
     )
-    big = F.col("N")
-    raw = 12.0 / (big * (big + 1)) * F.col("s") - 3 * (big + 1)
-    h = raw / F.nullif(1 - F.col("tie") / (big * big * big - big), F.lit(0.0))
+    big = F.col("_N")
+    raw = 12.0 / (big * (big + 1)) * F.col("_s") - 3 * (big + 1)
+    h = raw / F.nullif(1 - F.col("_tie") / (big * big * big - big), F.lit(0.0))
     return total.select(
-        *strata, F.col("N").cast("long").alias("n"), h.alias("statistic"), (F.col("k") - 1).alias("df")
+        *strata, big.cast("long").alias("n"), h.alias("statistic"), (F.col("_k") - 1).alias("df")
     ).withColumn("p_value", tails.p_chi2(F.col("statistic"), F.col("df")))
 
 
@@ -80,11 +86,12 @@ def level_pairs(levels: DataFrame, strata: Sequence[str], level: str, columns: S
 def dunn_test(df: DataFrame, strata: Sequence[str], value: str, level: str) -> DataFrame:
     """Dunn's pairwise z on the ranks of the whole stratum, Benjamini-Hochberg adjusted."""
     strata = list(strata)
-    sums = level_rank_sums(df, strata, value, level)
-    total = sums.groupBy(*strata).agg(F.sum("n").cast("double").alias("N"), F.sum("tie").alias("T"))
+    # one row per stratum and level, read for both sides of the pairs and for the totals
+    sums = checkpointed(level_rank_sums(df, strata, value, level))
+    total = sums.groupBy(*strata).agg(F.sum("n").cast("double").alias("_N"), F.sum("tie").alias("_T"))
     pairs = join_null_safe(level_pairs(sums, strata, level, ["n", "rank_sum"]), total, strata)
-    big = F.col("N")
-    var = (big * (big + 1) / 12 - F.col("T") / (12 * (big - 1))) * (1 / F.col("n_a") + 1 / F.col("n_b"))
+    big = F.col("_N")
+    var = (big * (big + 1) / 12 - F.col("_T") / (12 * (big - 1))) * (1 / F.col("n_a") + 1 / F.col("n_b"))
     z = (F.col("rank_sum_a") / F.col("n_a") - F.col("rank_sum_b") / F.col("n_b")) / F.sqrt(var)
     out = pairs.select(
         *strata, F.concat_ws(" - ", "level_a", "level_b").alias("comparison"), z.alias("statistic")
@@ -147,13 +154,17 @@ def pairwise_wilcoxon(
 ) -> DataFrame:
     """Rank-sum test of every level pair, re-ranked inside the pair, BH within the stratum.
 
-    With ``gate`` only strata whose Kruskal-Wallis p is below it are tested. The rows reach the
-    pair ranking as (level, value) counts, copied once per other level of the design.
+    With ``gate`` only strata whose Kruskal-Wallis p is below it are tested. The data are read once and
+    collapsed to (level, value) counts, which both the gate and the pair ranking use; for the
+    pairs they are copied once per other level of the design.
     """
     strata = list(strata)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*strata, level, value).agg(F.count("*").alias("_n"))
+    counts = checkpointed(
+        df.where(F.col(value).isNotNull()).groupBy(*strata, level, value).agg(F.count("*").alias("_n"))
+    )
     if gate is not None:
-        passed = kruskal_wallis(df, strata, value, level).where(F.col("p_value") < gate).select(*strata)
+        sums = level_rank_sums(counts, strata, value, level, weight="_n")
+        passed = _kruskal_from_sums(sums, strata).where(F.col("p_value") < gate).select(*strata)
         counts = join_null_safe(counts, passed, strata)
     levels = counts.groupBy(*strata).agg(F.collect_set(level).alias("_levels"))  # design levels only
     key = lambda c: F.struct(F.lower(c), c)
