@@ -100,9 +100,10 @@ def beta_cdf(a, b, x):
 
 
 def t_two_sided(t, df):
-    t, df = np.asarray(t, float), np.asarray(df, float)
+    t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
+    v = np.where(df > 0, df, 1.0)
     with np.errstate(all="ignore"):
-        out = beta_cdf(df / 2.0, np.full(df.shape, 0.5), df / (df + t * t))
+        out = beta_cdf(v / 2.0, np.full(v.shape, 0.5), v / (v + t * t))
     return np.where(np.isfinite(t) & (df > 0), out, np.where(np.isinf(t), 0.0, np.nan))
 
 

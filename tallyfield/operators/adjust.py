@@ -8,25 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .ranks import join_null_safe
+from .ranks import join_null_safe, value_splits, with_value_range
 
 _RANGE = "_prange"
 
 
-def _p_range(p: Column) -> Column:
-    # Increasing in p and needs no pass over the data: 1024 equal steps above 2^-10, sixteenth
-    # octaves below, so null-like and strongly significant strata both spread out.
-    small = F.floor(F.log2(F.greatest(p, F.lit(1e-300))) * 16)
-    return F.when(p >= F.lit(2.0**-10), F.floor(p * 1024) + 1).otherwise(F.least(small, F.lit(0))).cast("int")
-
-
 def _p_counts(df: DataFrame, strata: list[str], p: str) -> DataFrame:
     """Distinct p-values with their cumulative count ``upto`` and the stratum's ``m``."""
-    counts = (
-        df.where(F.col(p).isNotNull() & ~F.isnan(p))
-        .groupBy(*strata, p)
-        .agg(F.count("*").alias("_n"))
-        .withColumn(_RANGE, _p_range(F.col(p)))
+    rows = df.where(F.col(p).isNotNull() & ~F.isnan(p))
+    counts = with_value_range(
+        rows.groupBy(*strata, p).agg(F.count("*").alias("_n")), p, value_splits(rows, p), _RANGE
     )
     per = counts.groupBy(*strata, _RANGE).agg(F.sum("_n").alias("_in"))
     w = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))

@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bucket_count
+from ..session import broadcast_if_small, bucket_count, checkpointed
 
 _RANGE = "_range"
 
@@ -30,6 +30,16 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def attach(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a per-group result (one row per ``keys``) back to rows.
+
+    The result is written once and counted: under the size bound it is broadcast, so rows of a hot group
+    are not moved; beyond it a shuffle join runs, whose skewed side adaptive execution splits.
+    """
+    small = checkpointed(groups)
+    return join_null_safe(df, broadcast_if_small(small, small.count(), 32 * len(small.columns)), keys, how)
+
+
 def value_splits(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
     """Cut points that balance the rows of ``value`` (one sketch aggregate over one column)."""
     buckets = buckets or bucket_count(df.sparkSession)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import number_text, signif
-from .ranks import join_null_safe
+from .ranks import attach
 
 
 def mean_by_unit(df: DataFrame, unit: Sequence[str], value: str) -> DataFrame:
@@ -73,4 +73,4 @@ def centre_in_group(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     """Value minus its group mean, rows kept. The mean is a combined aggregate joined back, so a
     group holding a third of the rows is not gathered in one window task."""
     g = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.count("*").alias("n"))
-    return join_null_safe(df, g, keys).withColumn("centred", F.col(value) - F.col("_m")).drop("_m")
+    return attach(df, g, keys).withColumn("centred", F.col(value) - F.col("_m")).drop("_m")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import checkpointed
+from ..session import broadcast_if_small, checkpointed
 from .ranks import quantiles
 
 # ---------------------------------------------------------------- measures and screening
@@ -182,10 +182,13 @@ def kmers(seq: Column, k: int) -> Column:
 def template_search(queries: DataFrame, refs: DataFrame, k: int = 8) -> DataFrame:
     """Reference sharing the most distinct k-mers with each query; smallest ``ref_id`` on ties.
 
-    Counts per (query, reference) combine inside the map task that holds the query's k-mers.
+    The reference words are written once and counted. Under the size bound they are broadcast, so that
+    the counts per (query, reference) combine inside the task holding the query and its words are
+    never shuffled; a larger reference set is joined by word.
     """
     q = queries.select("seq_id", F.explode(kmers(F.col("seq"), k)).alias("w"))
-    r = refs.select("ref_id", F.explode(kmers(F.col("seq"), k)).alias("w"))
+    r = checkpointed(refs.select("ref_id", F.explode(kmers(F.col("seq"), k)).alias("w")))
+    r = broadcast_if_small(r, r.count(), 64)
     shared = q.join(r, "w").groupBy("seq_id", "ref_id").agg(F.count("*").alias("shared"))
     best = shared.groupBy("seq_id").agg(F.min_by(F.struct("ref_id", "shared"), F.struct(-F.col("shared"), "ref_id")).alias("b"))
     return best.select("seq_id", "b.ref_id", "b.shared")
@@ -300,10 +303,10 @@ def near_pairs(seqs: DataFrame, allowed: Callable[[Column], Column]) -> DataFram
     """
     base = seqs.select("seq_id", "seq", F.length("seq").alias("len"))
     # a length that occurs once has no partner
-    shared = base.groupBy("len").agg(F.count("*").alias("_k")).where("_k > 1").select("len")
+    shared = checkpointed(base.groupBy("len").agg(F.count("*").alias("_k")).where("_k > 1").select("len"))
     width = max(1, int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     base = checkpointed(
-        base.join(F.broadcast(shared), "len", "left_semi")  # at most one row per length
+        base.join(broadcast_if_small(shared, shared.count(), 32), "len", "left_semi")
         .withColumn("d", allowed(F.col("len")).cast("int")).repartition(width, "seq_id")
     )
     m = F.least(F.col("len"), 2 * (F.col("d") + 1))
@@ -502,30 +505,35 @@ def consensus_taxonomy(members: DataFrame, cutoff: int = 51) -> DataFrame:
 # ---------------------------------------------------------------- chimeras
 
 
+def _position_keys(n: int, salt: int) -> np.ndarray:
+    """Odd 64-bit multipliers for positions 1..n (splitmix of the position)."""
+    z = (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))) | np.uint64(1)
+
+
 def _position_hashes(pdf_iter: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Two 64-bit hashes of every proper prefix and suffix, cumulated along the sequence."""
-    def keys(n: int, salt: int) -> np.ndarray:
-        z = (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return (z ^ (z >> np.uint64(31))) | np.uint64(1)
-
     with np.errstate(over="ignore"):
         for pdf in pdf_iter:
-            for sample, seq_id, n, seq in zip(pdf["sample"], pdf["seq_id"], pdf["n"], pdf["seq"]):
-                c = np.frombuffer(seq.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-                size = len(c)
-                if size < 2:
-                    continue
-                parts = []
-                for side, chars in ((0, c), (1, c[::-1])):
-                    h = [np.cumsum(chars * keys(size, s), dtype=np.uint64)[:-1].view(np.int64) for s in (17, 911)]
-                    parts.append(pd.DataFrame({"side": np.int32(side), "k": np.arange(1, size, dtype=np.int32),
-                                               "h1": h[0], "h2": h[1]}))
-                out = pd.concat(parts)
-                yield out.assign(sample=sample, seq_id=seq_id, n=n, len=np.int32(size))[
-                    ["sample", "seq_id", "n", "len", "side", "k", "h1", "h2"]
+            codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1) for t in pdf["seq"]]
+            sizes = np.array([len(c) for c in codes])
+            mult = [_position_keys(int(sizes.max(initial=1)), salt) for salt in (17, 911)]
+            for side in (0, 1):
+                runs = codes if side == 0 else [c[::-1] for c in codes]
+                steps = np.maximum(sizes - 1, 0)
+                hashed = [
+                    np.concatenate([np.cumsum(c * m[: len(c)], dtype=np.uint64)[:-1] for c in runs]).view(np.int64)
+                    for m in mult
                 ]
+                rep = lambda col: np.repeat(pdf[col].to_numpy(), steps)  # noqa: B023, E731
+                yield pd.DataFrame({
+                    "sample": rep("sample"), "seq_id": rep("seq_id"), "n": rep("n"),
+                    "len": np.repeat(sizes, steps).astype(np.int32), "side": np.int32(side),
+                    "k": np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in steps]),
+                    "h1": hashed[0], "h2": hashed[1],
+                })
 
 
 def bimera_flag(counts: DataFrame, seqs: DataFrame, fold: float = 2.0, dereplicate: bool = True) -> DataFrame:

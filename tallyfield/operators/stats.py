@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import tails
 from ..session import checkpointed
 from .adjust import adjust_bh
-from .ranks import join_null_safe, quantiles, rank_table, with_rank
+from .ranks import attach, join_null_safe, quantiles, rank_table, with_rank
 
 EXACT_BELOW = 50  # rank-sum is exact under this size per group when nothing ties
 
@@ -431,7 +431,7 @@ def boxplot_summary(df: DataFrame, strata: Sequence[str], value: str) -> DataFra
     q = quantiles(df, strata, value, {"lower": 0.25, "middle": 0.5, "upper": 0.75})
     iqr = 1.5 * (F.col("upper") - F.col("lower"))
     inside = F.col(value).between(F.col("lower") - iqr, F.col("upper") + iqr)
-    rows = join_null_safe(df.where(F.col(value).isNotNull()).select(*strata, value), q, strata)
+    rows = attach(df.where(F.col(value).isNotNull()).select(*strata, value), q, strata)
     return rows.groupBy(*strata).agg(
         F.first("n").alias("n"), F.first("lower").alias("lower"), F.first("middle").alias("middle"),
         F.first("upper").alias("upper"), F.min(F.when(inside, F.col(value))).alias("ymin"),
@@ -466,6 +466,6 @@ def baseline_fold_change(
 ) -> DataFrame:
     """Each value over the mean of the baseline level of its stratum (an aggregate joined back)."""
     base = df.where(F.col(level) == baseline).groupBy(*strata).agg(F.avg(value).alias("_base"))
-    return join_null_safe(df, base, strata, "left").withColumn(
+    return attach(df, base, strata).withColumn(
         name, F.col(value) / F.nullif(F.col("_base"), F.lit(0.0))
     ).drop("_base")

@@ -266,7 +266,7 @@ _ASSOC = f"""dim AS (SELECT a.sample, age AS stratum, analyte, value,
     co AS (SELECT stratum, analyte, feature, count(*) AS n, corr(rx, ry) AS rho,
              var_pop(rx) * var_pop(ry) AS v FROM rk GROUP BY 1, 2, 3),
     sp AS (SELECT stratum, analyte, feature, n, CASE WHEN v > 0 THEN rho END AS rho,
-             CASE WHEN v > 0 THEN {t_two_sided('rho * sqrt((n - 2) / greatest(1e-12, 1 - rho * rho))', '(n - 2)')} END AS p
+             CASE WHEN v > 0 AND n > 2 THEN {t_two_sided('rho * sqrt((n - 2) / greatest(1e-12, 1 - rho * rho))', 'greatest(n - 2, 1)')} END AS p
            FROM co)"""
 
 

@@ -76,7 +76,7 @@ def holm(p):
     return out
 
 
-@settings(max_examples=4, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.lists(st.one_of(st.floats(0, 1), st.sampled_from([0.01, 0.5, 1.0, 1e-12])), min_size=1, max_size=40))
 def test_adjustment(spark, ps):
     df = spark.createDataFrame([(i, "s", p) for i, p in enumerate(ps)] + [(-1, "s", None)], "i int, s string, p double")
