@@ -64,15 +64,25 @@ def clr_centers(counts: DataFrame, samples: DataFrame, n_features: int, offset:
     )
 
 
-def clr_transform(counts: DataFrame, samples: DataFrame, offset: float = 0.5) -> DataFrame:
-    """Centred log-ratio of the stored cells; absent cells all equal their sample's ``absent``."""
-    n = counts.select("feature").distinct().count()
-    centers = clr_centers(counts, samples, n, offset)
-    return counts.join(centers, "sample").select(
+def _clr_parts(counts: DataFrame, samples: DataFrame, offset: float) -> tuple[DataFrame, DataFrame, int]:
+    """Counts written once, the per-sample centres (one row per sample) and the number of samples."""
+    src = checkpointed(counts)
+    n_features = src.select("feature").distinct().count()
+    centers = checkpointed(clr_centers(src, samples, n_features, offset))
+    return src, centers, centers.count()
+
+
+def _clr_cells(src: DataFrame, centers: DataFrame, n: int, offset: float) -> DataFrame:
+    return src.join(broadcast_if_small(centers, n, 48), "sample").select(
         "sample", "feature", "reads", (F.log(F.col("reads") + offset) - F.col("center")).alias("clr"), "absent"
     )
 
 
+def clr_transform(counts: DataFrame, samples: DataFrame, offset: float = 0.5) -> DataFrame:
+    """Centred log-ratio of the stored cells; absent cells all equal their sample's ``absent``."""
+    return _clr_cells(*_clr_parts(counts, samples, offset), offset)
+
+
 def complete_cells(counts: DataFrame, samples: DataFrame) -> DataFrame:
     """Stored cells plus explicit zeros. Only after the prevalence filter, which bounds the growth.
 
@@ -154,9 +164,9 @@ def feature_glm(cells: DataFrame, absent: DataFrame, design: DataFrame, by: Sequ
 
 def clr_glm(counts: DataFrame, samples: DataFrame, design: DataFrame, offset: float = 0.5) -> DataFrame:
     """Per-feature model of the CLR values with Holm adjustment per term."""
-    clr = clr_transform(counts, samples, offset)
-    n = counts.select("feature").distinct().count()
-    absent = clr_centers(counts, samples, n, offset).select("sample", F.col("absent").alias("y0"))
+    src, centers, n = _clr_parts(counts, samples, offset)
+    clr = _clr_cells(src, centers, n, offset)
+    absent = centers.select("sample", F.col("absent").alias("y0"))
     res = feature_glm(clr.select("sample", "feature", F.col("clr").alias("y")), absent, design)
     return adjust_holm(res, ["term"], "p_value")
 
@@ -186,15 +196,14 @@ def group_contrasts(counts: DataFrame, samples: DataFrame, group: str, offset: f
 
     Cell means follow from sums over stored cells plus the absent part per group.
     """
-    n_features = counts.select("feature").distinct().count()
-    centers = clr_centers(counts, samples, n_features, offset)
+    src, centers, n_samples = _clr_parts(counts, samples, offset)
     side = checkpointed(samples.select("sample", F.col(group).alias("g")).join(centers, "sample"))
     zero = side.groupBy("g").agg(
         F.count("*").alias("n"), F.sum("absent").alias("z"), F.sum(F.col("absent") * F.col("absent")).alias("zz")
     )
     levels = zero.collect()  # one row per level of the design
     y = F.log(F.col("reads") + offset) - F.col("center")
-    joined = counts.join(broadcast_if_small(side, side.count(), 48), "sample").withColumn("y", y)
+    joined = src.join(broadcast_if_small(side, n_samples, 64), "sample").withColumn("y", y)
     dev, dev2 = F.col("y") - F.col("absent"), F.col("y") * F.col("y") - F.col("absent") * F.col("absent")
     sums = joined.groupBy("feature").agg(
         *[F.coalesce(F.sum(F.when(F.col("g") == r["g"], dev)), F.lit(0.0)).alias(f"s{i}") for i, r in enumerate(levels)],
@@ -244,7 +253,7 @@ def dirichlet_clr_instances(
 
     A cell's generator is keyed by (seed, sample, feature), so a retried task draws the same values.
     """
-    cells = complete_cells(counts, samples).withColumn("key", F.xxhash64(F.lit(seed), "sample", "feature"))
+    cells = complete_cells(checkpointed(counts), samples).withColumn("key", F.xxhash64(F.lit(seed), "sample", "feature"))
     ft = counts.schema["feature"].dataType.simpleString()
     st = counts.schema["sample"].dataType.simpleString()
     drawn = checkpointed(
@@ -312,16 +321,18 @@ def feature_effect_size(instances: DataFrame, samples: DataFrame, group: str, se
 # ---------------------------------------------------------------- bias-corrected model
 
 
+def _normal_sums(cells: DataFrame, terms: Sequence[str]) -> DataFrame:
+    p = len(terms)
+    sums = [f"sum(`{terms[i]}` * `{terms[j]}`) AS xx{i}_{j}" for i in range(p) for j in range(i, p)]
+    sums += [f"sum(`{t}` * y) AS xy{i}" for i, t in enumerate(terms)]
+    return cells.groupBy("feature").agg(F.expr("count(*) AS n"), *[F.expr(e) for e in sums], F.expr("sum(y * y) AS yy"))
+
+
 def normal_sums(counts: DataFrame, design: DataFrame) -> DataFrame:
     """Per feature, over its non-zero cells: X'X, X'y and y'y of the log counts."""
     terms = [c for c in design.columns if c != "sample"]
-    p = len(terms)
-    sums = [f"sum(`{terms[i]}` * `{terms[j]}`) AS xx{i}_{j}" for i in range(p) for j in range(i, p)]
-    sums += [f"sum(`{t}` * ln(reads)) AS xy{i}" for i, t in enumerate(terms)]
-    joined = counts.where("reads > 0").join(design, "sample")
-    return joined.groupBy("feature").agg(
-        F.expr("count(*) AS n"), *[F.expr(e) for e in sums], F.expr("sum(ln(reads) * ln(reads)) AS yy")
-    )
+    cells = counts.where("reads > 0").join(design, "sample").withColumn("y", F.log("reads"))
+    return _normal_sums(cells, terms)
 
 
 def _solve(p: int):
@@ -358,7 +369,7 @@ def bias_corrected_glm(
     cells = checkpointed(
         counts.where("reads > 0").join(side, "sample").select("sample", "feature", F.log("reads").alias("y"), *terms)
     )
-    solved = normal_sums(counts, design).mapInPandas(
+    solved = _normal_sums(cells, terms).mapInPandas(
         _solve(p), f"feature {ft}, n long, inv array<double>, rank long"
     )
     solved = checkpointed(solved.where((F.col("rank") == p) & (F.col("n") > p)).select("feature", "n", "inv"))

@@ -91,8 +91,9 @@ def rank_table(
     counts = rows.groupBy(*strata, *by, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     counts = with_value_range(counts, value, splits)
     part = Window.partitionBy(*strata, _RANGE)
+    # both frames share one sort
     upto = F.sum("n").over(part.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ties = F.sum("n").over(Window.partitionBy(*strata, _RANGE, value))
+    ties = F.sum("n").over(part.orderBy(value).rangeBetween(Window.currentRow, Window.currentRow))
     local = counts.withColumns({"_upto": upto, "ties": ties})
     placed = join_null_safe(local, _range_offsets(counts, strata, "n"), [*strata, _RANGE])
     maxrank = F.col("_upto") + F.col("_before")

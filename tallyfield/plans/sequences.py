@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import seqs
 from ..proxies import counts, lines, reference_lines, table, taxonomy, texts, unique_lines
+from ..session import checkpointed
 from .registry import CTE, query, with_tables
 
 # measures of the whole document texts, by character position on the checking side
@@ -191,7 +192,7 @@ _COMPONENTS = """nb AS (SELECT a AS u, b AS v FROM pairs UNION SELECT b, a FROM
     with_tables("uniq", recursive=True) + f", {_pairs_cte(0.2)}, {_COMPONENTS} SELECT seq_id, cluster FROM comp",
 )
 def threshold_clusters(spark: SparkSession, d: str) -> DataFrame:
-    unique = unique_lines(spark, d)
+    unique = checkpointed(unique_lines(spark, d))
     return seqs.connected_components(unique, seqs.threshold_pairs(unique, 0.2))
 
 
@@ -209,7 +210,7 @@ def threshold_clusters(spark: SparkSession, d: str) -> DataFrame:
            / sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM f""",
 )
 def cluster_mcc(spark: SparkSession, d: str) -> DataFrame:
-    unique = unique_lines(spark, d)
+    unique = checkpointed(unique_lines(spark, d))
     pairs = seqs.threshold_pairs(unique, 0.2)
     # the list at the wider cutoff holds the narrower one
     tight = pairs.where(F.col("dist") <= 0.1)
@@ -230,7 +231,7 @@ def cluster_mcc(spark: SparkSession, d: str) -> DataFrame:
            (PARTITION BY cluster ORDER BY far, n DESC, seq_id) AS rn FROM sc) WHERE rn = 1""",
 )
 def cluster_medoid(spark: SparkSession, d: str) -> DataFrame:
-    unique = unique_lines(spark, d)
+    unique = checkpointed(unique_lines(spark, d))
     pairs = seqs.threshold_pairs(unique, 0.2)
     clusters = seqs.connected_components(unique, pairs)
     return seqs.cluster_medoid(pairs, clusters, unique.select("seq_id", "n")).withColumn("far", F.round("far", 6))
@@ -251,7 +252,7 @@ def cluster_medoid(spark: SparkSession, d: str) -> DataFrame:
          SELECT w.seq_id, pos AS rep FROM walk w WHERE pos NOT IN (SELECT seq_id FROM up)""",
 )
 def precluster(spark: SparkSession, d: str) -> DataFrame:
-    return seqs.precluster(unique_lines(spark, d), diffs=2)
+    return seqs.precluster(checkpointed(unique_lines(spark, d)), diffs=2)
 
 
 _BIMERA = """ls AS (SELECT sample, length(seq) AS len, seq, count(*) AS n, min(doc_id * 100000 + pos) AS seq_id
@@ -271,7 +272,7 @@ def bimera_flag(spark: SparkSession, d: str) -> DataFrame:
     per = lines(spark, d).groupBy("sample", "seq").agg(
         F.min(F.col("doc_id") * 100_000 + F.col("pos")).alias("seq_id"), F.count("*").alias("n")
     )
-    # ids are per (sample, line), as the per-sample dereplication hands them over
+    per = checkpointed(per)  # ids are per (sample, line), as the per-sample dereplication hands them over
     return seqs.bimera_flag(per.select("seq_id", "sample", "n"), per.select("seq_id", "seq"))
 
 
