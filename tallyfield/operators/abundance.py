@@ -446,8 +446,8 @@ def _mixture_bias(est: DataFrame, tol: float, max_iter: int) -> dict[str, float]
         "sum(r1) AS s1", "sum(r2) AS s2",
     )]
     for _ in range(max_iter):
-        flat = F.lit([float(v) for t in order for v in par[t]])
-        joined = est.select("*", flat.alias("par")).selectExpr(*unpack)
+        flat = ", ".join(f"{float(v)!r}D" for t in order for v in par[t])
+        joined = est.selectExpr("*", f"array({flat}) AS par").selectExpr(*unpack)
         agg = joined.selectExpr(*parts).selectExpr(*shares).groupBy("term").agg(*sums).collect()  # one row per term
         move = 0.0
         for a in agg:

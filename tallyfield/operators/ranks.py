@@ -43,8 +43,9 @@ def attach(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "le
 def value_splits(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
     """Cut points that balance the rows of ``value`` (one sketch aggregate over one column)."""
     buckets = buckets or bucket_count(df.sparkSession)
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.select(F.percentile_approx(F.col(value).cast("double"), probs, 8 * buckets).alias("s")).first()
+    # one SQL text instead of a Column per probability
+    probs = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    row = df.selectExpr(f"percentile_approx(CAST(`{value}` AS DOUBLE), array({probs}), {8 * buckets}) AS s").first()
     inner = sorted({float(s) for s in (row["s"] or []) if s is not None and s == s and abs(s) != float("inf")})
     return [-float("inf"), *inner, float("inf")]
 
