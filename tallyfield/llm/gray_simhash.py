@@ -4,6 +4,10 @@ Neighbours in Gray order share most bits. The order is cut into runs; a node kee
 fingerprints agree (mask and pattern), without those its parent has. A search goes down adding the differences on
 these bits and leaves a whole group out as soon as the sum is over the limit. The upper nodes route a fingerprint
 to the runs it may link to; the lower ones are searched inside a run's task.
+
+Fingerprints are indexed once for each of ``bits + 1`` parts of their bits, rotated to the front. Two that differ in
+``bits`` places agree on one whole part, so a search of that order allows no difference in its first part. It
+reaches one run or two at any size, where a single order would need more with every doubling.
 """
 
 from __future__ import annotations
@@ -85,8 +89,11 @@ class GrayIndex:
             own.append((pattern, mask & ~above))
         self.levels = own[::-1]
 
-    def search(self, queries: np.ndarray, bits: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """``(query, item)`` with at most ``bits`` differences on the item's mask, items from ``first`` on only."""
+    def search(self, queries: np.ndarray, bits: int, lead: np.uint64, first: np.ndarray | None = None):
+        """``(query, item)`` with at most ``bits`` differences on the item's mask and none on ``lead``.
+
+        With ``first``, only items from that number on.
+        """
         q = np.arange(len(queries))
         node = np.zeros(len(queries), np.int64)
         total = np.zeros(len(queries), np.uint8)
@@ -99,25 +106,45 @@ class GrayIndex:
                     span = FAN ** (len(self.levels) - 1 - depth)
                     near &= (node + 1) * span > first[q]
                 node, q, total = node[near], q[near], total[near]
-            total = total + np.bitwise_count((queries[q] ^ pattern[node]) & mask[node])
-            near = total <= bits
+            differ = (queries[q] ^ pattern[node]) & mask[node]
+            total = total + np.bitwise_count(differ)
+            near = (total <= bits) & (differ & lead == 0)
             node, q, total = node[near], q[near], total[near]
         return q, node
 
 
+def _parts(bits: int) -> list[tuple[int, np.uint64]]:
+    """For each part of the 64 bits: the rotation that brings it to the front, and its mask there."""
+    cuts = [64 * k // (bits + 1) for k in range(bits + 2)]
+    return [(a, np.uint64(((1 << (b - a)) - 1) << (64 - (b - a)))) for a, b in zip(cuts, cuts[1:])]
+
+
+def _turned(fp: Column, left: int) -> Column:
+    return fp if left == 0 else F.shiftleft(fp, left).bitwiseOR(F.shiftrightunsigned(fp, 64 - left))
+
+
+def _back(fps: np.ndarray, left: int) -> np.ndarray:
+    return fps if left == 0 else (fps >> np.uint64(left)) | (fps << np.uint64(64 - left))
+
+
 def _route(upper, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = GrayIndex(*upper.value)
+        indexes = [(GrayIndex(*u) if len(u[0]) else None, lead) for u, (_, lead) in zip(upper.value, _parts(bits))]
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                fps = part.column("fp").to_numpy().view(np.uint64)
-                own = part.column("run").to_numpy().astype(np.int64)
-                q, run_ = index.search(fps, bits, own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(run_.astype(np.int32)), pa.array(own[q] != run_), pa.array(fps[q].view(np.int64))],
-                    names=["run", "guest", "fp"],
-                )
+            turns = b.column("turn").to_numpy()
+            for turn in np.unique(turns).tolist():
+                index, lead = indexes[turn]
+                mine = np.flatnonzero(turns == turn)
+                for at in range(0, len(mine), 2048):
+                    some = mine[at : at + 2048]
+                    fps = b.column("fp").to_numpy()[some].view(np.uint64)
+                    own = b.column("run").to_numpy()[some].astype(np.int64)
+                    q, run_ = index.search(fps, bits, lead, own)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(q), turn, np.int32)), pa.array(run_.astype(np.int32)), pa.array(own[q] != run_),
+                         pa.array(fps[q].view(np.int64))],
+                        names=["turn", "run", "guest", "fp"],
+                    )
 
     return run
 
@@ -133,16 +160,17 @@ def _roots(root: np.ndarray, some: np.ndarray) -> np.ndarray:
 
 def _search_runs(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = _parts(bits)
         current, members, index, root = None, [], None, None
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int]] = []
 
         def look(fps: np.ndarray) -> None:
             for at in range(0, len(fps), 512):
                 some = fps[at : at + 512]
-                q, item = index.search(some, bits)
+                q, item = index.search(some, bits, parts[current[0]][1])
                 for k, hits in zip(np.unique(q).tolist(), np.split(item, np.flatnonzero(np.diff(q)) + 1)):
                     tops = np.unique(_roots(root, hits))
-                    out.extend((int(some[k]), int(members[t])) for t in tops if members[t] != some[k])
+                    out.extend((current[0], int(some[k]), int(members[t])) for t in tops if members[t] != some[k])
                     root[tops] = tops[0]
 
         def build() -> None:
@@ -154,21 +182,24 @@ def _search_runs(bits: int):
             look(members)
 
         def flush() -> pa.RecordBatch:
-            pairs = np.array(out, np.uint64).reshape(-1, 2)
+            found = np.array(out, np.uint64).reshape(-1, 3)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in (0, 1)], names=["a", "b"])
+            for turn, (left, _) in enumerate(parts):
+                mine = found[:, 0] == turn
+                found[mine, 1:] = _back(found[mine, 1:], left)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in (1, 2)], names=["a", "b"])
 
         for b in batches:
-            runs, guest = b.column("run").to_numpy(), b.column("guest").to_numpy(zero_copy_only=False)
+            turns, runs, guest = (b.column(c).to_numpy(zero_copy_only=False) for c in ("turn", "run", "guest"))
             fps = b.column("fp").to_numpy().view(np.uint64)
-            change = np.flatnonzero((np.diff(runs) != 0) | (np.diff(guest.astype(np.int8)) != 0)) + 1
+            change = np.flatnonzero((np.diff(turns) != 0) | (np.diff(runs) != 0) | (np.diff(guest.astype(np.int8)) != 0)) + 1
             for s, e in zip([0, *change], [*change, len(runs)]):
                 if s == e:
                     continue
-                if runs[s] != current:
+                if (int(turns[s]), int(runs[s])) != current:
                     if current is not None and index is None:
                         build()
-                    current, members, index = runs[s], [], None
+                    current, members, index = (int(turns[s]), int(runs[s])), [], None
                 if not guest[s]:
                     members.append(fps[s:e])
                 else:
@@ -193,32 +224,41 @@ def _gray(fps: np.ndarray) -> np.ndarray:
 def link_fingerprints(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """``(a, b)``: enough pairs of distinct ``fp`` within ``bits`` differences to connect every component.
 
-    Runs are ranges of the Gray order with equal numbers of fingerprints. Only their masks and patterns, at most
-    ``MAX_RUNS`` pairs of longs, come to the driver and are broadcast. A fingerprint is sent to the later runs
-    that the upper nodes leave, about ``1 + r + r (r - 1) / 2`` halved for ``2**r`` runs; a run keeps a union of
-    its members, so a dense cluster gives links, not pairs.
+    Runs are ranges of a Gray order with equal numbers of fingerprints. Only their masks and patterns, at most
+    ``MAX_RUNS`` pairs of longs, come to the driver and are broadcast. Each order sends a fingerprint to its own run
+    and the later ones with the same first part, mostly none; a run keeps a union of its members, so a dense
+    cluster gives links, not pairs.
     """
     spark = distinct.sparkSession
+    parts = _parts(bits)
     n = distinct.count()
-    runs = min(MAX_RUNS, max(1, -(-n // RUN)))
+    runs = min(MAX_RUNS, len(parts) * max(1, -(-n // RUN)))
+    turned = distinct.select(
+        F.inline(F.array(*[F.struct(F.lit(t).alias("turn"), _turned(F.col("fp"), left).alias("fp")) for t, (left, _) in enumerate(parts)]))
+    )
     placed = checkpointed(
-        distinct.select("fp", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(runs, "rank")
-        .select("fp", F.spark_partition_id().alias("part"))
+        turned.withColumn("rank", gray_rank(F.col("fp"))).repartitionByRange(runs, "turn", "rank")
+        .select("turn", "fp", F.spark_partition_id().alias("part"))
     )
     nodes = sorted(
-        placed.groupBy("part").agg(F.bit_and("fp").alias("every"), F.bit_or("fp").alias("some")).collect()
+        placed.groupBy("turn", "part").agg(F.bit_and("fp").alias("every"), F.bit_or("fp").alias("some")).collect()
     )  # one row per run
     if not nodes:
         return spark.createDataFrame([], "a long, b long")
-    every = np.array([r["every"] for r in nodes], np.int64).view(np.uint64)
-    some = np.array([r["some"] for r in nodes], np.int64).view(np.uint64)
-    mask = ~(every ^ some)
-    upper = spark.sparkContext.broadcast((every & mask, mask))
-    number = spark.createDataFrame([(r["part"], k) for k, r in enumerate(nodes)], "part int, run int")
-    routed = placed.join(F.broadcast(number), "part").select("fp", "run").mapInArrow(
-        _route(upper, bits), "run int, guest boolean, fp long"
+    upper, numbers = [], []
+    for turn in range(len(parts)):
+        own = [r for r in nodes if r["turn"] == turn]
+        every = np.array([r["every"] for r in own], np.int64).view(np.uint64)
+        some = np.array([r["some"] for r in own], np.int64).view(np.uint64)
+        mask = ~(every ^ some)
+        upper.append((every & mask, mask))
+        numbers += [(turn, r["part"], k) for k, r in enumerate(own)]
+    upper = spark.sparkContext.broadcast(upper)
+    number = spark.createDataFrame(numbers, "turn int, part int, run int")
+    routed = placed.join(F.broadcast(number), ["turn", "part"]).select("turn", "fp", "run").mapInArrow(
+        _route(upper, bits), "turn int, run int, guest boolean, fp long"
     )
-    return routed.repartition(len(nodes), "run").sortWithinPartitions("run", "guest").mapInArrow(
+    return routed.repartition(len(nodes), "turn", "run").sortWithinPartitions("turn", "run", "guest").mapInArrow(
         _search_runs(bits), "a long, b long"
     )
 
