@@ -6,6 +6,7 @@ sequences collapse to one before banding, so thousands of copies are one row fro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.seqs import connected_components
-from .common import checkpointed, join_hot, strings
+from .common import broadcast_if_small, checkpointed, join_hot, strings
 
 SHINGLE = 5
 MIN_WORDS = 20
@@ -31,11 +32,14 @@ class Bands:
     rows: int
 
 
-def tune_bands(threshold: float = THRESHOLD, recall: float = 0.999, hashes: int = 64) -> Bands:
-    """The most selective banding of at most ``hashes`` hashes that still finds a pair at ``threshold`` with ``recall``."""
+def tune_bands(threshold: float = THRESHOLD, recall: float = 0.999, hashes: int = 36) -> Bands:
+    """The most selective banding of at most ``hashes`` hashes that finds a pair at ``threshold`` with ``recall``.
+
+    With more rows a band is more selective but more bands are needed; the fewest that reach the recall are taken.
+    """
     for rows in range(hashes, 0, -1):
-        bands = hashes // rows
-        if 1 - (1 - threshold**rows) ** bands >= recall:
+        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+        if bands * rows <= hashes:
             return Bands(bands, rows)
     raise ValueError("no banding reaches that recall")
 
@@ -111,8 +115,13 @@ def paragraph_table(docs: DataFrame, id_col: str, text_col: str, min_words: int,
 
 
 def shingle_table(docs: DataFrame, id_col: str, text_col: str, places: DataFrame, min_words: int) -> DataFrame:
-    """``(para, shingles)`` of the paragraphs whose first place ``(doc_id, para)`` is in ``places``."""
+    """``(para, shingles)`` of the paragraphs whose first place ``(doc_id, para)`` is in ``places``.
+
+    Texts are shuffled only where the places are too many to be broadcast.
+    """
+    places = checkpointed(places)
     wanted = places.groupBy("doc_id").agg(F.collect_list("para").alias("paras"))  # paragraphs of one document
+    wanted = broadcast_if_small(wanted, places.count(), 48)
     both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +226,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     rows = checkpointed(unique)
     banded = rows.select("para", F.explode("keys").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    hits = checkpointed(banded.join(shared, "band"))
+    shared = checkpointed(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"))
+    hits = checkpointed(banded.join(broadcast_if_small(shared, shared.count(), 32), "band"))
     near = hits.select("para").distinct()
     first = rows.select("para", F.col("place.doc_id").alias("doc_id")).join(near, "para")
     table = shingle_table(docs, id_col, text_col, first, min_words)
