@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ FAN_IN = 16
 NODE_BINS = 500_000
 END_ID = 1
 #: Entries of a worker's word caches.
-CACHE = 250_000
+CACHE = 200_000
 
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PRE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-z0-9à-öø-ÿß]+")
@@ -52,33 +53,49 @@ class WordIds:
         self.parts: dict[str, bytes] = {}
 
     def _encode(self, tokenizer, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for at in range(0, len(texts), 4096):
+            found = tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in found]
+        return out
 
     def chunk_ids(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         texts = [c.decode("utf-8", "replace") for c in chunks]
-        cut = [_PRE.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
+        cut = [
+            [t] if t.isalpha() and t.isascii() and t.islower()
+            else _PRE.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None
+            for t in texts
+        ]
         odd = [t for t, c in zip(texts, cut) if c is None]
-        fresh = list({p for c in cut if c for p in c}.difference(self.parts))
-        parts = dict(zip(fresh, self._encode(self.merge, fresh)))
-        if len(self.parts) + len(parts) <= CACHE:
-            self.parts.update(parts)
         known = self.parts
+        fresh = list({p for c in cut if c for p in c}.difference(known))
+        known.update(zip(fresh, self._encode(self.merge, fresh)))
         whole = iter(self._encode(self.whole, odd))
-        return {
-            chunk: next(whole) if c is None else b"".join([parts[p] if p in parts else known[p] for p in c])
+        out = {
+            chunk: next(whole) if c is None else known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c])
             for chunk, c in zip(chunks, cut)
         }
+        if len(known) > CACHE:
+            for p in fresh:
+                del known[p]
+        return out
 
     def texts_ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        fresh = self.chunk_ids(list({w for s in split for w in s}.difference(self.chunks)))
-        if len(self.chunks) + len(fresh) <= CACHE:
-            self.chunks.update(fresh)
-            fresh = {}
+        split = []
+        for t in texts:
+            data = t.encode("utf-8", "replace")
+            split.append((data if b"<|" in data else data.lower()).split())  # bytes: A-Z only
         known = self.chunks
-        if not fresh:
-            return [b"".join(map(known.__getitem__, s)) for s in split]
-        return [b"".join([fresh[w] if w in fresh else known[w] for w in s]) for s in split]
+        seen: set[bytes] = set()
+        for s in split:
+            seen.update(s)
+        fresh = self.chunk_ids(list(seen.difference(known)))
+        known.update(fresh)
+        out = [b"".join(map(known.__getitem__, s)) for s in split]
+        if len(known) > CACHE:
+            for w in fresh:
+                del known[w]
+        return out
 
 
 _WORKER: dict[int, WordIds] = {}
@@ -128,8 +145,8 @@ def local_bins(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         docs_, pieces, starts, lengths, sums = [], [], [], [], []
         last = END_ID.to_bytes(4, "little")
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
                 for doc, own in zip(part.column("doc_id").to_pylist(), ids.texts_ids(strings(part.column("text")))):
                     own += last
                     for k, first in enumerate(range(0, len(own), 4 * CAPACITY)):

@@ -96,7 +96,7 @@ def test_tree_of_many_rounds(frame, path, tokenizer, monkeypatch):
     monkeypatch.setattr(R, "FAN_IN", 3)
     used, _ = check(R.pack(df, path).collect(), dict(enumerate(texts)), tokenizer)
     whole = len(R.best_fit(np.array([len(tokenizer.encode(t).ids) + 1 for t in texts]))[2])
-    assert used <= 1.1 * whole
+    assert used <= 1.15 * whole  # few long pieces a partition, and bins move whole
     monkeypatch.setattr(R, "NODE_BINS", 40)  # the tree ends with several nodes
     check(R.pack(df, path).collect(), dict(enumerate(texts)), tokenizer)
 
