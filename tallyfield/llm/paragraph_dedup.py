@@ -32,7 +32,7 @@ class Bands:
     rows: int
 
 
-def tune_bands(threshold: float = THRESHOLD, recall: float = 0.999, hashes: int = 36) -> Bands:
+def tune_bands(threshold: float = THRESHOLD, recall: float = 0.9999, hashes: int = 40) -> Bands:
     """The most selective banding of at most ``hashes`` hashes that finds a pair at ``threshold`` with ``recall``.
 
     With more rows a band is more selective but more bands are needed; the fewest that reach the recall are taken.
@@ -208,7 +208,7 @@ def _compare(threshold: float):
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                 threshold: float = THRESHOLD, recall: float = 0.999) -> DataFrame:
+                 threshold: float = THRESHOLD, recall: float = 0.9999) -> DataFrame:
     """Every paragraph that occurs again, equal or similar, with its component and whether it is removed.
 
     ``(doc_id, paragraph, n_words, component_id, kept_doc_id, kept_paragraph, removed)``: ``paragraph`` is the

@@ -89,6 +89,7 @@ def test_null_ids_repeated_rows_and_empty_table(frame):
 
 def test_bands():
     b = P.tune_bands(0.8, 0.999, 64)
+    assert P.tune_bands() == P.Bands(13, 3)
     assert b.count * b.rows <= 64 and 1 - (1 - 0.8**b.rows) ** b.count >= 0.999
 
 
