@@ -27,19 +27,20 @@ FAN_IN = 16
 #: hardly pack better, and no bin is left out.
 NODE_BINS = 500_000
 END_ID = 1
-#: Entries of a worker's word caches.
-CACHE = 200_000
+#: Entries of a worker's word cache, and documents tokenized at a time.
+CACHE = 150_000
+SLICE = 500
 
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PRE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-z0-9à-öø-ÿß]+")
+_PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+_PRE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\t-\r a-z0-9à-öø-ÿß]+")
 
 
 class WordIds:
     """Token ids of whole texts as little-endian 32-bit bytes, with the ids of frequent words remembered.
 
-    The tokenizer lower-cases, drops white space and never joins across it, so a text is encoded by its
-    white-space-separated chunks. Chunks of plain letters and ASCII are cut as its pre-tokenizer does and only
-    merged by it; all others are encoded by it whole.
+    The tokenizer lower-cases, drops white space and never joins across it. Text of ASCII and plain Latin letters is
+    cut as its pre-tokenizer does and only merged by it; other text is cut at white space, and chunks with other
+    characters are encoded by it whole.
     """
 
     def __init__(self, file: str):
@@ -49,8 +50,7 @@ class WordIds:
         self.whole = Tokenizer.from_str(file)
         self.merge = Tokenizer(self.whole.model)
         self.merge.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.chunks: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _encode(self, tokenizer, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -59,39 +59,31 @@ class WordIds:
             out += [array("I", e.ids).tobytes() for e in found]
         return out
 
-    def chunk_ids(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        cut = [
-            [t] if t.isalpha() and t.isascii() and t.islower()
-            else _PRE.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None
-            for t in texts
-        ]
-        odd = [t for t, c in zip(texts, cut) if c is None]
-        known = self.parts
-        fresh = list({p for c in cut if c for p in c}.difference(known))
-        known.update(zip(fresh, self._encode(self.merge, fresh)))
-        whole = iter(self._encode(self.whole, odd))
-        out = {
-            chunk: next(whole) if c is None else known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c])
-            for chunk, c in zip(chunks, cut)
-        }
-        if len(known) > CACHE:
-            for p in fresh:
-                del known[p]
-        return out
-
     def texts_ids(self, texts: list[str]) -> list[bytes]:
-        split = []
+        parts: list[list[str]] = []
+        odd: dict[str, bytes] = {}  # chunks that go whole, under a name no word can have
         for t in texts:
-            data = t.encode("utf-8", "replace")
-            split.append((data if b"<|" in data else data.lower()).split())  # bytes: A-Z only
-        known = self.chunks
-        seen: set[bytes] = set()
-        for s in split:
-            seen.update(s)
-        fresh = self.chunk_ids(list(seen.difference(known)))
-        known.update(fresh)
-        out = [b"".join(map(known.__getitem__, s)) for s in split]
+            if _PLAIN.fullmatch(t) and "<|" not in t:
+                parts.append(_PRE.findall(t.lower()))
+                continue
+            own: list[str] = []
+            for chunk in re.split("[\t-\r ]+", t):
+                if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+                    own += _PRE.findall(chunk.lower())
+                else:
+                    own.append(" " + chunk)
+                    odd[" " + chunk] = b""
+            parts.append(own)
+        known = self.known
+        seen: set[str] = set()
+        for own in parts:
+            seen.update(own)
+        fresh = list(seen.difference(known, odd))
+        known.update(zip(fresh, self._encode(self.merge, fresh)))
+        known.update(zip(odd, self._encode(self.whole, [c[1:] for c in odd])))
+        out = [b"".join(map(known.__getitem__, own)) for own in parts]
+        for c in odd:
+            del known[c]
         if len(known) > CACHE:
             for w in fresh:
                 del known[w]
@@ -145,8 +137,8 @@ def local_bins(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         docs_, pieces, starts, lengths, sums = [], [], [], [], []
         last = END_ID.to_bytes(4, "little")
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
                 for doc, own in zip(part.column("doc_id").to_pylist(), ids.texts_ids(strings(part.column("text")))):
                     own += last
                     for k, first in enumerate(range(0, len(own), 4 * CAPACITY)):
@@ -156,6 +148,7 @@ def local_bins(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                         starts.append(first // 4)
                         lengths.append(len(piece) // 4)
                         sums.append(zlib.crc32(piece))
+            pa.default_memory_pool().release_unused()
         if not docs_:
             return
         bins, offsets, used = best_fit(np.array(lengths, np.int64))
