@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,17 +27,27 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def rows_by_key(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object, pa.Table]]:
-    """Runs of equal ``key`` in sorted batches, as ``(value, slice)``; a long run comes in several slices."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = batch.column(key).to_pylist()
-        start = 0
-        for i in range(1, len(values) + 1):
-            if i == len(values) or values[i] != values[start]:
-                yield values[start], pa.Table.from_batches([batch.slice(start, i - start)])
-                start = i
+#: Rows of a batch that are turned into Python values at a time.
+ROWS = 500
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = ROWS):
+    """Jobs inside get Arrow batches of at most so many rows, which bounds both sides' buffers for long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
@@ -81,4 +92,6 @@ def global_rank(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
     return ranked.drop("__part", "__first", "__row", "__tie"), n
 
 
-__all__ = ["HOT_SHARE", "broadcast_if_small", "checkpointed", "global_rank", "join_hot", "rows_by_key", "strings", "utf8"]
+__all__ = [
+    "HOT_SHARE", "broadcast_if_small", "checkpointed", "global_rank", "join_hot", "slices", "small_batches", "strings", "utf8",
+]

@@ -18,7 +18,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import slices, utf8
 
 WINDOW = 10
 #: UTF-8 bytes of documents in a shard, and of benchmark texts in a block that is broadcast at once.
@@ -203,7 +203,7 @@ def contamination(docs: DataFrame, blocks: list[Broadcast], id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b.value for b in blocks]
-        for b in batches:
+        for b in slices(batches):
             texts = utf8(b.column("text"))
             rows = [r for i, j in _shards(texts) for r in scan_shard(texts[i:j], own)]
             lists = [",".join(sorted(r[2])) for r in rows]
@@ -233,7 +233,7 @@ def drop_contaminated(docs: DataFrame, blocks: list[Broadcast], text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b.value for b in blocks]
-        for b in batches:
+        for b in slices(batches):
             texts = utf8(b.column(text_col))
             clean = [r[1] == 0 for i, j in _shards(texts) for r in scan_shard(texts[i:j], own)]
             yield b.filter(pa.array(clean, pa.bool_()))

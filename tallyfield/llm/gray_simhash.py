@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.seqs import connected_components
-from .common import checkpointed, join_hot, utf8
+from .common import checkpointed, join_hot, slices, small_batches, utf8
 
 MAX_BITS = 2
 SHINGLE = 3
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, fp)`` of every row, ``fp`` as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(t) for t in utf8(b.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
@@ -271,7 +271,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component of the others with their links, null if there is none. Repeated rows repeat their result. Equal
     fingerprints are one row from the first step on, so a group of copies does not grow any task.
     """
-    prints = checkpointed(fingerprints(docs, id_col, text_col))
+    with small_batches(docs.sparkSession):
+        prints = checkpointed(fingerprints(docs, id_col, text_col))
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     pairs = checkpointed(link_fingerprints(distinct.select("fp"), bits).distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("seq_id")).distinct()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.seqs import connected_components
-from .common import broadcast_if_small, checkpointed, join_hot, strings
+from .common import broadcast_if_small, checkpointed, join_hot, slices, small_batches, strings
 
 SHINGLE = 5
 MIN_WORDS = 20
@@ -93,7 +93,7 @@ def paragraph_table(docs: DataFrame, id_col: str, text_col: str, min_words: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds(bands.count * bands.rows)
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), strings(b.column(1))):
                 for pos, words in _paragraphs(text, min_words):
@@ -217,9 +217,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id are left out, as they can't be named. Repeated rows repeat the same place and are kept or removed with it.
     """
     bands = tune_bands(threshold, recall)
-    places = checkpointed(
-        paragraph_table(docs.where(F.col(id_col).isNotNull()), id_col, text_col, min_words, bands)
-    )
+    with small_batches(docs.sparkSession):
+        places = checkpointed(
+            paragraph_table(docs.where(F.col(id_col).isNotNull()), id_col, text_col, min_words, bands)
+        )
     # one row per word sequence, with its first place and number of occurrences
     unique = places.groupBy("para").agg(
         F.min(F.struct("doc_id", "pos")).alias("place"), F.count("*").alias("n"), F.first("keys").alias("keys")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, strings
+from .common import checkpointed, slices, small_batches, strings
 
 CAPACITY = 4096
 SLACK = 4
@@ -27,9 +27,8 @@ FAN_IN = 16
 #: hardly pack better, and no bin is left out.
 NODE_BINS = 500_000
 END_ID = 1
-#: Entries of a worker's word cache, and documents tokenized at a time.
+#: Entries of a worker's word cache.
 CACHE = 150_000
-SLICE = 500
 
 _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
 _PRE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\t-\r a-z0-9à-öø-ÿß]+")
@@ -136,19 +135,16 @@ def local_bins(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         ids = _WORKER[key]
         docs_, pieces, starts, lengths, sums = [], [], [], [], []
         last = END_ID.to_bytes(4, "little")
-        for b in batches:
-            for at in range(0, b.num_rows, SLICE):
-                part = b.slice(at, SLICE)
-                for doc, own in zip(part.column("doc_id").to_pylist(), ids.texts_ids(strings(part.column("text")))):
-                    own += last
-                    for k, first in enumerate(range(0, len(own), 4 * CAPACITY)):
-                        piece = own[first : first + 4 * CAPACITY]
-                        docs_.append(doc)
-                        pieces.append(k)
-                        starts.append(first // 4)
-                        lengths.append(len(piece) // 4)
-                        sums.append(zlib.crc32(piece))
-            pa.default_memory_pool().release_unused()
+        for b in slices(batches):
+            for doc, own in zip(b.column("doc_id").to_pylist(), ids.texts_ids(strings(b.column("text")))):
+                own += last
+                for k, first in enumerate(range(0, len(own), 4 * CAPACITY)):
+                    piece = own[first : first + 4 * CAPACITY]
+                    docs_.append(doc)
+                    pieces.append(k)
+                    starts.append(first // 4)
+                    lengths.append(len(piece) // 4)
+                    sums.append(zlib.crc32(piece))
         if not docs_:
             return
         bins, offsets, used = best_fit(np.array(lengths, np.int64))
@@ -187,7 +183,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     Null text is an empty document of the end id alone; repeated rows are packed each. Sequences hold at most
     ``CAPACITY`` tokens; offsets are gapless from 0. Only longer documents are cut.
     """
-    pieces = checkpointed(local_bins(docs, tokenizer_path, id_col, text_col))
+    with small_batches(docs.sparkSession):
+        pieces = checkpointed(local_bins(docs, tokenizer_path, id_col, text_col))
     free = CAPACITY - SLACK
     open_bins = checkpointed(pieces.where(F.col("used") < free).select("node", "bin", "used").distinct())
     place = open_bins.select("bin", F.col("bin").alias("to"), F.lit(0).cast("long").alias("shift"))
