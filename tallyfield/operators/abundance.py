@@ -288,33 +288,38 @@ def glm_over_instances(instances: DataFrame, design: DataFrame) -> DataFrame:
     )
 
 
-def feature_effect_size(instances: DataFrame, samples: DataFrame, group: str, seed: int = 1) -> DataFrame:
-    """Between and within group differences, effect and overlap per feature.
+def feature_effect_size(instances: DataFrame, design: DataFrame, seed: int = 1) -> DataFrame:
+    """Between and within group differences, effect and overlap per feature and 0/1 term of the design.
 
+    The groups of a term are the samples coded 1 and 0, so a difference has the sign of the model's estimate.
     A feature's group holds one row per sample, which bounds what a task receives.
     """
-    a, b = level_list(samples, group)[:2]
-    rows = instances.join(samples.select("sample", F.col(group).alias("g")), "sample")
+    terms = [c for c in design.columns if c != "sample"]
+    coded = design.agg(*[(F.min(F.col(f"`{t}`").isin(0, 1)) & (F.min(f"`{t}`") < F.max(f"`{t}`"))).alias(t) for t in terms]).first()
+    terms = [t for t in terms if coded[t]]
+    rows = instances.join(design.select("sample", *[F.col(f"`{t}`").cast("int").alias(f"g{i}") for i, t in enumerate(terms)]), "sample")
     ft = instances.schema["feature"].dataType.simpleString()
 
     def effect(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample")
-        rng = np.random.default_rng(seed)
-        va, vb = (np.concatenate(pdf.loc[pdf["g"] == lv, "clr"].to_list() or [np.array([np.nan])]) for lv in (a, b))
-        size = max(len(va), len(vb))
-        pick = lambda v: rng.choice(v, size)
-        between = pick(vb) - pick(va)
-        within = np.maximum(np.abs(pick(va) - pick(va)), np.abs(pick(vb) - pick(vb)))
-        with np.errstate(all="ignore"):
-            ratio = between / within
-        return pd.DataFrame({
-            "feature": [pdf["feature"].iloc[0]], "diff_btw": [np.median(between)], "diff_win": [np.median(within)],
-            "effect": [np.nanmedian(ratio)],
-            "overlap": [min((between < 0).mean(), (between > 0).mean())],
-        })
+        out = []
+        for i, term in enumerate(terms):
+            rng = np.random.default_rng(seed)
+            va, vb = (np.concatenate(pdf.loc[pdf[f"g{i}"] == lv, "clr"].to_list() or [np.array([np.nan])]) for lv in (0, 1))
+            size = max(len(va), len(vb))
+            pick = lambda v: rng.choice(v, size)  # noqa: B023, E731
+            between = pick(vb) - pick(va)
+            within = np.maximum(np.abs(pick(va) - pick(va)), np.abs(pick(vb) - pick(vb)))
+            with np.errstate(all="ignore"):
+                ratio = between / within
+            out.append((
+                pdf["feature"].iloc[0], term, np.median(between), np.median(within), np.nanmedian(ratio),
+                min((between < 0).mean(), (between > 0).mean()),
+            ))
+        return pd.DataFrame(out, columns=["feature", "term", "diff_btw", "diff_win", "effect", "overlap"])
 
     return rows.groupBy("feature").applyInPandas(
-        effect, f"feature {ft}, diff_btw double, diff_win double, effect double, overlap double"
+        effect, f"feature {ft}, term string, diff_btw double, diff_win double, effect double, overlap double"
     )
 
 

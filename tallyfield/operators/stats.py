@@ -28,6 +28,14 @@ def _tie_term() -> Column:
     return F.sum(F.col("n") * (F.col("ties").cast("double") * F.col("ties") - 1))
 
 
+def usable(df: DataFrame, value: str, *levels: str) -> DataFrame:
+    """Rows a test can use: a value that is a number, and no missing factor level."""
+    ok = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    for c in levels:
+        ok = ok & F.col(c).isNotNull()
+    return df.where(ok)
+
+
 def level_rank_sums(
     df: DataFrame, strata: Sequence[str], value: str, level: str, weight: str | None = None
 ) -> DataFrame:
@@ -36,7 +44,7 @@ def level_rank_sums(
     ``weight`` names the row count when ``df`` already holds collapsed rows.
     """
     return (
-        rank_table(df, strata, value, by=[level], weight=weight)
+        rank_table(usable(df, value, level), strata, value, by=[level], weight=weight)
         .groupBy(*strata, level)
         .agg(
             F.sum("n").alias("n"),
@@ -222,7 +230,7 @@ def welch_t(
 
 def _cells(df: DataFrame, strata: Sequence[str], value: str, a: str, b: str) -> DataFrame:
     return (
-        df.where(F.col(value).isNotNull())
+        usable(df, value, a, b)
         .groupBy(*strata, a, b)
         .agg(
             F.count("*").alias("n"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import parse_taxonomy, str_sub
+from .ranks import join_null_safe
 
 # Molecular weights (g/mol) used for ppm -> mM (fixed values). Butyrate is given as 178.23 in the
 # published calculation although its isomer isobutyric acid is 88.11.
@@ -128,14 +129,15 @@ def lookup(results: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.join(right, [c for c in left.columns if c in right.columns], "left")
+    """Left join on all shared columns; a missing key matches a missing key, as in the statistical language."""
+    return join_null_safe(left, right, [c for c in left.columns if c in right.columns], "left")
 
 
 def left_join_keep(left: DataFrame, right: DataFrame, keys: Sequence[str], suffixes: tuple[str, str]) -> DataFrame:
-    """Left join that keeps both sides' keys, every column suffixed."""
+    """Left join that keeps both sides' keys, every column suffixed; a missing key matches a missing key."""
     a = left.toDF(*[c + suffixes[0] for c in left.columns])
     b = right.toDF(*[c + suffixes[1] for c in right.columns])
-    cond = reduce(lambda x, y: x & y, [F.col(k + suffixes[0]) == F.col(k + suffixes[1]) for k in keys])
+    cond = reduce(lambda x, y: x & y, [F.col(k + suffixes[0]).eqNullSafe(F.col(k + suffixes[1])) for k in keys])
     return a.join(b, cond, "left")
 
 

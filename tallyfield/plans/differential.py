@@ -125,7 +125,7 @@ def glm_over_instances(spark: SparkSession, d: str) -> DataFrame:
 def feature_effect_size(spark: SparkSession, d: str) -> DataFrame:
     s = samples(spark, d)
     inst = A.dirichlet_clr_instances(genus_counts(spark, d), s, instances=128, seed=1216)
-    return A.feature_effect_size(inst, s, "challenge")
+    return A.feature_effect_size(inst, A.trial_design(s))
 
 
 @query("bias_corrected_glm")

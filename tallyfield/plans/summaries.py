@@ -389,13 +389,12 @@ def group_mutate(spark: SparkSession, d: str) -> DataFrame:
     "top_effects",
     """SELECT p_partkey, p_retailprice - 1000 AS lfc,
          CASE WHEN p_retailprice > 1000 THEN 'Positive LFC' ELSE 'Negative LFC' END AS direct
-       FROM part WHERE p_size <= 5 ORDER BY lfc DESC, p_partkey LIMIT 20""",
+       FROM part WHERE p_size <= 5 ORDER BY lfc DESC, p_partkey""",
 )
 def top_effects(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import tidy
 
     res = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") - 1000).alias("lfc"), "p_size")
-    # a top-20 report
-    return tidy.effects_listing(res, "lfc", F.col("p_size") <= 5, ["p_partkey"], limit=20).select(
+    return tidy.effects_listing(res, "lfc", F.col("p_size") <= 5, ["p_partkey"]).select(
         "p_partkey", "lfc", "direct"
     )

@@ -96,15 +96,14 @@ def scan_manifest(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "scan_fasta",
     with_tables("lines")
-    + """ SELECT doc_id || '_' || pos AS seq_id, replace(seq, '>', '~') AS seq,
+    + """ SELECT doc_id || '_' || pos AS seq_id, seq,
                  CAST(length(seq) AS INT) AS length FROM lines""",
 )
 def scan_fasta(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "fasta")
-    wrapped = F.regexp_replace(F.translate("seq", ">", "~"), "(?s)(.{60})", "$1\n")
-    src.write_fasta(
-        lines(spark, d).select(F.concat_ws("_", "doc_id", "pos").alias("seq_id"), wrapped.alias("seq")), path
-    )
+    wrapped = F.regexp_replace("seq", "(?s)(.{60})", "$1\n")
+    header = F.format_string("%s_%s A>G variant", "doc_id", "pos")
+    src.write_fasta(lines(spark, d).select(header.alias("seq_id"), wrapped.alias("seq")), path)
     return src.read_fasta(spark, path)
 
 
@@ -112,12 +111,16 @@ def scan_fasta(spark: SparkSession, d: str) -> DataFrame:
     "scan_fastq",
     with_tables("lines")
     + """ SELECT 'r' || doc_id || '_' || pos AS seq_id, seq,
-          CASE WHEN pos % 3 = 0 THEN '@' ELSE 'F' END || repeat('I', length(seq) - 1) AS qual FROM lines""",
+          CASE pos % 3 WHEN 0 THEN repeat('@', length(seq)) WHEN 1 THEN '@' || repeat('+', length(seq) - 1)
+            ELSE repeat('I', length(seq)) END AS qual FROM lines""",
 )
 def scan_fastq(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "fastq")
     name = F.format_string("@r%s_%s", "doc_id", "pos")
-    qual = F.concat(F.when(F.col("pos") % 3 == 0, "@").otherwise("F"), F.expr("repeat('I', length(seq) - 1)"))
+    qual = F.expr(
+        "CASE pos % 3 WHEN 0 THEN repeat('@', length(seq)) WHEN 1 THEN '@' || repeat('+', length(seq) - 1) "
+        "ELSE repeat('I', length(seq)) END"
+    )
     lines(spark, d).select(F.concat_ws("\n", name, "seq", F.lit("+"), qual).alias("value")).write.text(path)
     return src.read_fastq(spark, path)
 

@@ -55,9 +55,12 @@ def read_ranged_sheet(
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """FASTA records: one row per record, wrapped sequence lines joined."""
-    text = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
-    parts = F.split("value", "\n")
+    """FASTA records: one row per record, wrapped sequence lines joined, either line ending.
+
+    Input is cut at ``\\n>``, so a ``>`` inside a header is text; the file's first record still has its own.
+    """
+    text = spark.read.option("lineSep", "\n>").text(path).where(F.length(F.trim("value")) > 0)
+    parts = F.split(F.regexp_replace("value", r"\A>|\r", ""), "\n")
     seq = F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "")
     return text.select(
         F.regexp_extract(F.element_at(parts, 1), r"^(\S+)", 1).alias("seq_id"), seq.alias("seq")
@@ -69,20 +72,20 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Input is cut at ``\\n@``. A quality line that itself starts with ``@`` is cut off its record;
     only these rare halves are joined again, by their consecutive row numbers in the file block (or
-    across the border to the next block).
+    across the border to the next block). The first record of a file keeps its own ``@``; it is taken off
+    the name alone, as a quality may go on with ``@``.
     """
     raw = (
         spark.read.option("lineSep", "\n@").text(path)
-        .where(F.length(F.trim("value")) > 0)
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             (F.col("_metadata.file_block_start") + F.col("_metadata.file_block_length")).alias("next_block"),
             F.monotonically_increasing_id().alias("row"),
-            F.split(F.regexp_replace("value", r"^@|\n+\z", ""), "\n").alias("p"),
+            F.split(F.regexp_replace("value", r"\r|[\r\n]+\z", ""), "\n").alias("p"),
         )
     )
-    name = F.regexp_extract(F.element_at("p", 1), r"^(\S+)", 1)
+    name = F.regexp_extract(F.element_at("p", 1), r"^@?(\S+)", 1)
     whole = raw.where(F.size("p") >= 4).select(
         name.alias("seq_id"), F.element_at("p", 2).alias("seq"), F.element_at("p", 4).alias("qual")
     )

@@ -78,9 +78,11 @@ def test_effect_size_finds_a_shift(spark, trial):
     s, c, samples, cells = trial
     boost = [(a, f, n * (50 if f == 3 and samples[a][2] == "sal" else 1)) for a, f, n in cells]
     boosted = spark.createDataFrame(boost, "sample long, feature long, reads long")
-    rows = {r["feature"]: r for r in A.feature_effect_size(A.dirichlet_clr_instances(boosted, s, 32, 1), s, "challenge").collect()}
-    # levels are ordered sal, unc, so the difference unc - sal is negative for the boosted feature
-    assert min(rows, key=lambda f: rows[f]["diff_btw"]) == 3
+    found = A.feature_effect_size(A.dirichlet_clr_instances(boosted, s, 32, 1), A.trial_design(s)).collect()
+    assert {r["term"] for r in found} == {"challengeSE", "dietgos"}
+    rows = {r["feature"]: r for r in found if r["term"] == "challengeSE"}
+    # the difference has the sign of the model's estimate: challenged minus mock
+    assert max(rows, key=lambda f: rows[f]["diff_btw"]) == 3 and rows[3]["diff_btw"] > 0
     assert all(0 <= r["overlap"] <= 0.5 for r in rows.values())
 
 
