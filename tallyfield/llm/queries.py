@@ -96,7 +96,7 @@ ORACLES: dict[str, str] = {
                 SELECT source, l FROM x JOIN t USING (source) GROUP BY source, l, total
                 HAVING count(*) >= 5 AND CAST(count(*) AS DOUBLE) / CAST(total AS DOUBLE) > CAST(0.1 AS DOUBLE))
               GROUP BY source),
-        k AS (SELECT doc_id, text, ls, list_filter(ls, z -> NOT coalesce(list_contains(gone, trim(z)), false)) AS kept
+        k AS (SELECT doc_id, text, ls, [z FOR z IN ls IF NOT coalesce(list_contains(gone, trim(z)), false)] AS kept
               FROM p LEFT JOIN b USING (source))
         SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text,
                CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS n_dropped
