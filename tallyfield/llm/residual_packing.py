@@ -6,6 +6,7 @@ others become items of the next round, in which ``FAN_IN`` neighbouring nodes of
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -28,65 +29,53 @@ FAN_IN = 16
 NODE_BINS = 500_000
 END_ID = 1
 #: Entries of a worker's word cache.
-CACHE = 150_000
+CACHE = 400_000
 
 _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
-_PRE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\t-\r a-z0-9à-öø-ÿß]+")
+_PRE = re.compile("[a-zà-öø-ÿß]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r a-z0-9à-öø-ÿß]+")
 
 
-class WordIds:
-    """Token ids of whole texts as little-endian 32-bit bytes, with the ids of frequent words remembered.
+class WordIds(dict):
+    """Token ids of words as little-endian 32-bit bytes; up to ``CACHE`` words are remembered, others encoded anew.
 
     The tokenizer lower-cases, drops white space and never joins across it. Text of ASCII and plain Latin letters is
     cut as its pre-tokenizer does and only merged by it; other text is cut at white space, and chunks with other
-    characters are encoded by it whole.
+    characters are encoded by it whole, under a name that starts with a space, as no word does.
     """
 
     def __init__(self, file: str):
+        super().__init__()
+        # one thread a task, as Spark deals out the cores; threads would keep memory of their own, too
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_str(file)
         self.merge = Tokenizer(self.whole.model)
         self.merge.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, tokenizer, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 4096):
-            found = tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
-            out += [array("I", e.ids).tobytes() for e in found]
-        return out
-
-    def texts_ids(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str]] = []
-        odd: dict[str, bytes] = {}  # chunks that go whole, under a name no word can have
-        for t in texts:
-            if _PLAIN.fullmatch(t) and "<|" not in t:
-                parts.append(_PRE.findall(t.lower()))
-                continue
-            own: list[str] = []
-            for chunk in re.split("[\t-\r ]+", t):
-                if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-                    own += _PRE.findall(chunk.lower())
-                else:
-                    own.append(" " + chunk)
-                    odd[" " + chunk] = b""
-            parts.append(own)
-        known = self.known
-        seen: set[str] = set()
-        for own in parts:
-            seen.update(own)
-        fresh = list(seen.difference(known, odd))
-        known.update(zip(fresh, self._encode(self.merge, fresh)))
-        known.update(zip(odd, self._encode(self.whole, [c[1:] for c in odd])))
-        out = [b"".join(map(known.__getitem__, own)) for own in parts]
-        for c in odd:
-            del known[c]
-        if len(known) > CACHE:
-            for w in fresh:
-                del known[w]
-        return out
+
+    def __missing__(self, word: str) -> bytes:
+        if word[:1] == " ":
+            return self._encode(self.whole, word[1:])
+        ids = self._encode(self.merge, word)
+        if len(self) < CACHE:
+            self[word] = ids
+        return ids
+
+    @staticmethod
+    def _encode(tokenizer, text: str) -> bytes:
+        return array("I", tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def text_ids(self, text: str) -> bytes:
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.__getitem__, _PRE.findall(text.lower())))
+        words: list[str] = []
+        for chunk in re.split("[\t-\r ]+", text):
+            if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+                words += _PRE.findall(chunk.lower())
+            else:
+                words.append(" " + chunk)
+        return b"".join(map(self.__getitem__, words))
 
 
 _WORKER: dict[int, WordIds] = {}
@@ -136,8 +125,8 @@ def local_bins(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         docs_, pieces, starts, lengths, sums = [], [], [], [], []
         last = END_ID.to_bytes(4, "little")
         for b in slices(batches):
-            for doc, own in zip(b.column("doc_id").to_pylist(), ids.texts_ids(strings(b.column("text")))):
-                own += last
+            for doc, text in zip(b.column("doc_id").to_pylist(), strings(b.column("text"))):
+                own = ids.text_ids(text) + last
                 for k, first in enumerate(range(0, len(own), 4 * CAPACITY)):
                     piece = own[first : first + 4 * CAPACITY]
                     docs_.append(doc)
