@@ -199,11 +199,66 @@ def mismatches(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y)), lambda t: t))
 
 
-def reference_error_histogram(queries: DataFrame, refs: DataFrame, k: int = 8) -> DataFrame:
-    """``(errors, sequences)``: mismatches of each sequence to its template, weighted by its count."""
-    best = template_search(queries.select("seq_id", "seq"), refs, k)
-    hit = best.join(queries, "seq_id").join(refs.select("ref_id", F.col("seq").alias("ref")), "ref_id")
-    return hit.groupBy(mismatches(F.col("seq"), F.col("ref")).alias("errors")).agg(F.sum("n").alias("sequences"))
+#: Bytes of the reference table that a task compares its reads with; more references go in several blocks.
+_REFERENCE_BLOCK = 16 * 1024 * 1024
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def fewest_mismatches(queries: DataFrame, refs: DataFrame, block_bytes: int = _REFERENCE_BLOCK) -> DataFrame:
+    """``(seq_id, n, errors)``: each sequence's smallest number of mismatches to any reference.
+
+    Sequences are laid over a reference from the first character on and a longer tail counts as differing, as in
+    ``mismatches``. Every sequence gets a row; ``errors`` is NULL only if there is no reference. The references are
+    the stated query set: they reach the tasks in blocks of bounded size, and the minimum is taken over the blocks.
+    """
+    spark = queries.sparkSession
+    src = queries.where(F.col("seq").isNotNull()).select("seq_id", "n", "seq")
+    known = checkpointed(refs.where(F.col("seq").isNotNull()).select("seq"))
+    size = known.agg(F.count("*").alias("k"), F.max(F.length("seq")).alias("width")).first()  # two numbers
+    if not size["k"]:
+        return src.select("seq_id", "n", F.lit(None).cast("int").alias("errors"))
+    blocks = max(1, math.ceil(4 * size["k"] * max(1, size["width"]) / block_bytes))
+    types = {c: src.schema[c].dataType.simpleString() for c in ("seq_id", "n")}
+
+    def compare(block) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = [_codes(t) for t in block.value]
+            sizes = np.array([len(r) for r in rows])
+            width = int(sizes.max())
+            laid = np.full((len(rows), width), np.iinfo(np.uint32).max, np.uint32)  # no character has that code
+            for i, r in enumerate(rows):
+                laid[i, : len(r)] = r
+
+            def fewest(text: str) -> int:
+                x = _codes(text)
+                same = np.count_nonzero(laid[:, : len(x)] == x[:width], axis=1)
+                return int((np.maximum(sizes, len(x)) - same).min())
+
+            for pdf in pdfs:
+                errors = np.array([fewest(t) for t in pdf["seq"]], np.int32)
+                yield pdf[["seq_id", "n"]].assign(errors=errors)
+
+        return run
+
+    out = None
+    for b in range(blocks):
+        part = [r["seq"] for r in known.where(F.pmod(F.xxhash64("seq"), F.lit(blocks)) == b).collect()]  # one block
+        if part:
+            found = src.mapInPandas(
+                compare(spark.sparkContext.broadcast(part)), f"seq_id {types['seq_id']}, n {types['n']}, errors int"
+            )
+            out = found if out is None else out.unionByName(found)
+    if blocks == 1:
+        return out
+    return out.groupBy("seq_id").agg(F.first("n").alias("n"), F.min("errors").alias("errors"))
+
+
+def reference_error_histogram(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """``(errors, sequences)``: fewest mismatches of each sequence over all references, weighted by its count."""
+    return fewest_mismatches(queries, refs).groupBy("errors").agg(F.sum("n").alias("sequences"))
 
 
 def train_kmer_classes(train: DataFrame, k: int = 8) -> tuple[DataFrame, DataFrame, float]:

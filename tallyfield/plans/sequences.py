@@ -116,18 +116,16 @@ def template_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "reference_error_histogram",
-    f"""WITH {CTE['uniq']}, {CTE['refs']}, {_kmer_cte('q', 'uniq', 'seq_id', 'seq')},
-        {_kmer_cte('r', 'refs', 'ref_id', 'seq')}, {_BEST},
-        p AS (SELECT u.seq_id, u.n, u.seq AS a, f.seq AS b FROM best JOIN uniq u USING (seq_id) JOIN refs f USING (ref_id)),
-        x AS (SELECT seq_id, unnest(range(0, greatest(length(a), length(b)))) AS i,
-                unnest(list_resize(string_split(a, ''), greatest(length(a), length(b)))) AS ca,
-                unnest(list_resize(string_split(b, ''), greatest(length(a), length(b)))) AS cb FROM p),
-        e AS (SELECT seq_id, count(*) FILTER (ca IS DISTINCT FROM cb) AS errors FROM x GROUP BY 1)
-        SELECT CAST(errors AS INT) AS errors, CAST(sum(n) AS BIGINT) AS sequences FROM e JOIN uniq USING (seq_id)
-        GROUP BY 1""",
+    with_tables("uniq", "refs")
+    + """, a AS (SELECT seq_id, unnest(range(0, len(string_split(seq, '')))) AS i, unnest(string_split(seq, '')) AS c FROM uniq),
+         b AS (SELECT ref_id, unnest(range(0, len(string_split(seq, '')))) AS i, unnest(string_split(seq, '')) AS c FROM refs),
+         m AS (SELECT seq_id, ref_id, count(*) AS same FROM a JOIN b USING (i, c) GROUP BY 1, 2),
+         e AS (SELECT u.seq_id, any_value(u.n) AS n, min(greatest(length(u.seq), length(f.seq)) - coalesce(same, 0)) AS errors
+               FROM uniq u CROSS JOIN refs f LEFT JOIN m ON m.seq_id = u.seq_id AND m.ref_id = f.ref_id GROUP BY 1)
+         SELECT CAST(errors AS INT) AS errors, CAST(sum(n) AS BIGINT) AS sequences FROM e GROUP BY 1""",
 )
 def reference_error_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return seqs.reference_error_histogram(unique_lines(spark, d), reference_lines(spark, d), k=8)
+    return seqs.reference_error_histogram(unique_lines(spark, d), reference_lines(spark, d))
 
 
 @query(

@@ -135,8 +135,24 @@ def test_template_and_errors(spark):
     q = spark.createDataFrame([(7, "ACGTACGTTA", 3), (8, "GGGGCCCCAA", 2), (9, "TTTTTTTTTT", 1)], "seq_id long, seq string, n long")
     best = {r["seq_id"]: r["ref_id"] for r in Q.template_search(q, refs, k=4).collect()}
     assert best == {7: 1, 8: 2}
-    hist = {r["errors"]: r["sequences"] for r in Q.reference_error_histogram(q, refs, k=4).collect()}
-    assert hist == {1: 3, 0: 2}
+
+
+def test_fewest_mismatches_over_all_references(spark):
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("ACGTé") for _ in range(n))
+    refs = [make(rng.randrange(1, 30)) for _ in range(25)]
+    texts = ["", refs[0], refs[1] + "ACGT", "T" * 60] + [make(rng.randrange(1, 40)) for _ in range(60)]
+    want = {
+        i: min(sum(x != y for x, y in zip(t, r)) + abs(len(t) - len(r)) for r in refs) for i, t in enumerate(texts)
+    }
+    r = spark.createDataFrame([*enumerate(refs), (99, None)], "ref_id long, seq string")
+    q = frame(spark, texts, {i: i % 4 + 1 for i in want})
+    for block in (1 << 24, 600):  # one block, and many
+        got = Q.fewest_mismatches(q, r, block).collect()
+        assert len(got) == len(texts) and {x["seq_id"]: x["errors"] for x in got} == want
+    hist = {x["errors"]: x["sequences"] for x in Q.reference_error_histogram(q, r).collect()}
+    assert sum(hist.values()) == sum(i % 4 + 1 for i in want)
+    assert {x["errors"] for x in Q.fewest_mismatches(q, r.limit(0)).collect()} == {None}
 
 
 def test_classifier_bootstrap_is_confident_on_clear_input(spark):
