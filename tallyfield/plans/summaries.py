@@ -187,18 +187,22 @@ def baseline_fold_change(spark: SparkSession, d: str) -> DataFrame:
     return fc.select("l_orderkey", "l_linenumber", "l_suppkey", F.round("fold_change", 6).alias("fold_change"))
 
 
-_FEATURES = ("length", "ambig", "first_base", "last_base")
+_FEATURES = ("length", "ambig", "homopolymer", "first_base", "last_base")
 
 
 @query(
     "sequence_summary",
     with_tables("lines")
-    + """, u AS (SELECT seq, count(*) AS freq FROM lines GROUP BY 1),
-         f AS (SELECT freq, length(seq) AS length, len(regexp_extract_all(seq, '[^A-Za-z]')) AS ambig,
+    + """, u AS (SELECT row_number() OVER () AS r, seq, count(*) AS freq FROM lines GROUP BY seq),
+         ch AS (SELECT r, unnest(range(0, len(string_split(seq, '')))) AS i, unnest(string_split(seq, '')) AS c FROM u),
+         runs AS (SELECT r, c, i - row_number() OVER (PARTITION BY r, c ORDER BY i) AS g FROM ch),
+         hp AS (SELECT r, max(k) AS homopolymer FROM (SELECT r, count(*) AS k FROM runs GROUP BY r, c, g) GROUP BY 1),
+         f AS (SELECT freq, homopolymer, length(seq) AS length, len(regexp_extract_all(seq, '[^A-Za-z]')) AS ambig,
                  CASE WHEN regexp_matches(seq, '[^ .]') THEN length(regexp_extract(seq, '^[ .]*')) + 1 ELSE 0 END
                    AS first_base,
-                 length(regexp_replace(seq, '[ .]+$', '')) AS last_base FROM u),
+                 length(regexp_replace(seq, '[ .]+$', '')) AS last_base FROM u JOIN hp USING (r)),
          l AS (SELECT 'length' AS feature, length AS v, freq FROM f UNION ALL SELECT 'ambig', ambig, freq FROM f
+               UNION ALL SELECT 'homopolymer', homopolymer, freq FROM f
                UNION ALL SELECT 'first_base', first_base, freq FROM f
                UNION ALL SELECT 'last_base', last_base, freq FROM f),
          x AS (SELECT feature, CAST(v AS DOUBLE) AS v FROM l, range(0, freq) r)
