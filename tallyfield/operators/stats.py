@@ -353,7 +353,7 @@ def correlation_calls(df: DataFrame, estimate: str = "estimate", q: str = "q") -
     )
 
 
-SHAPIRO_MAX = 5000
+_TIE_RUN = 4096  # positions of one value that are handled together
 # polynomial corrections of the two largest weights (fixed values)
 _SW1 = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
 _SW2 = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
@@ -371,18 +371,23 @@ def _poly(cs, x: Column) -> Column:
 
 
 def shapiro_wilk(df: DataFrame, strata: Sequence[str], value: str) -> DataFrame:
-    """Shapiro-Wilk W and p for strata of 3 to 5000 rows; other strata are reported with NULL W.
+    """Shapiro-Wilk W and p for strata of 3 rows and more; smaller ones are reported with NULL W.
 
-    Strata over the valid size are removed before the ordering window, which is what bounds it.
+    The ordered rows are never in one place: the positions of a value come from the rank table, and a value
+    held by many rows is cut into runs of positions before they are expanded. The p-value uses the published
+    approximation, which was fitted on up to 5,000 rows; beyond, it is extrapolated.
     """
     strata = list(strata)
-    rows = df.where(F.col(value).isNotNull()).select(*strata, F.col(value).cast("double").alias("x"))
+    rows = usable(df, value).select(*strata, F.col(value).cast("double").alias("x"))
     size = rows.groupBy(*strata).agg(
         F.count("*").alias("n"), F.avg("x").alias("mean"), (F.var_samp("x") * (F.count("*") - 1)).alias("ss")
     )
-    valid = size.where(F.col("n").between(3, SHAPIRO_MAX))
-    placed = join_null_safe(rows, valid, strata).withColumn(
-        "i", F.row_number().over(Window.partitionBy(*strata).orderBy("x"))
+    valid = size.where("n >= 3")
+    spans = rank_table(rows, strata, "x").select(*strata, "x", F.col("below").alias("_lo"), F.col("maxrank").alias("_hi"))
+    runs = spans.withColumn("_at", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi"), F.lit(_TIE_RUN).cast("long"))))
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = attach(runs.repartition(width, "_at", "x"), valid, strata, "inner").withColumn(
+        "i", F.explode(F.sequence(F.col("_at"), F.least(F.col("_hi"), F.col("_at") + _TIE_RUN - 1)))
     )
     n = F.col("n").cast("double")
     scored = placed.withColumn("_p", (F.col("i") - 0.375) / (n + 0.25)).withColumn("m", tails.probit(F.col("_p")))

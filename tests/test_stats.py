@@ -140,6 +140,30 @@ def test_shapiro_published_example(spark):
     assert rows["b"]["statistic"] is None
 
 
+def test_shapiro_of_any_size_with_ties(spark):
+    from statistics import NormalDist
+
+    def w(xs):
+        xs, n = np.sort(np.array(xs)), len(xs)
+        m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+        u, mm = n**-0.5, m @ m
+        an = np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, m[-1] / mm**0.5], u)
+        am = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[-2] / mm**0.5], u)
+        a = m / np.sqrt((mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * an**2 - 2 * am**2))
+        a[[-1, -2, 0, 1]] = an, am, -an, -am
+        return (a @ xs) ** 2 / ((xs - xs.mean()) ** 2).sum()
+
+    rng = random.Random(5)
+    groups = {"tied": [0.0] * 9000 + [rng.gauss(3, 1) for _ in range(3000)], "odd": [rng.gauss(0, 1) for _ in range(6001)]}
+    rows = [(g, v) for g, xs in groups.items() for v in xs] + [("odd", float("nan")), ("odd", None), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "s string, v double")
+    got = {r["s"]: r for r in stats.shapiro_wilk(df, ["s"], "v").collect()}
+    for g, xs in groups.items():
+        assert got[g]["n"] == len(xs) and got[g]["statistic"] == pytest.approx(w(xs), rel=1e-7)
+    assert got["odd"]["p_value"] > 0.001 and got["tied"]["p_value"] < 1e-6
+    assert got["two"]["n"] == 2 and got["two"]["statistic"] is None
+
+
 def test_kruskal_and_dunn_brute_force(spark):
     rows = [("a", g, v) for _, g, v in skewed(9, 90)]
     df = spark.createDataFrame(rows, "s string, g string, v double")
