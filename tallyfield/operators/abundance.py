@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import tails
 from ..session import broadcast_if_small, checkpointed
-from .adjust import adjust_holm
+from .adjust import adjust_bh, adjust_holm
 from .ranks import join_null_safe, quantiles, window_ranks
+from .stats import usable
 
 TERMS = ("intercept", "challengeSE", "dietgos", "age")
 
@@ -519,35 +520,41 @@ def concordance(first: DataFrame, second: DataFrame, effect: str = "estimate") -
 def feature_analyte_correlation(cells: DataFrame, samples: DataFrame, analytes: DataFrame, stratum: str) -> DataFrame:
     """Spearman of every feature with every analyte inside a stratum of the design, zeros included.
 
-    ``cells(sample, feature, x)`` with x > 0, ``analytes(sample, analyte, value)``. All absent cells tie at
-    zero, so their ranks and cross products are added arithmetically; nothing is widened. The rank
-    windows hold at most one row per sample.
+    ``cells(sample, feature, x)`` of any sign, ``analytes(sample, analyte, value)``. Absent cells are zero, like
+    stored zeros: they tie between the negative and the positive cells, so their ranks and cross products
+    are added arithmetically and nothing is widened. Values whose absent cells are no constant
+    (bias-corrected ones) come with every cell stored. A NaN is a missing value of an
+    analyte and an absent cell. The rank windows hold at most one row per sample. ``q`` is the Benjamini-Hochberg
+    adjusted p-value within (stratum, analyte).
     """
     dim = samples.select("sample", F.col(stratum).alias("stratum"))
-    vals = analytes.where(F.col("value").isNotNull()).join(dim, "sample")
+    vals = usable(analytes, "value").join(dim, "sample")
     rk, _ = window_ranks(["stratum", "analyte"], "value")
     vals = checkpointed(vals.select("sample", "stratum", "analyte", "value", rk.alias("ry")))
     dims = vals.groupBy("stratum", "analyte").agg(
         F.count("*").alias("n"), F.sum(F.col("ry") * F.col("ry")).alias("yy"), F.sum("ry").alias("y_all")
     )
-    seen = cells.where("x > 0").join(vals.select("sample", "stratum", "analyte", "ry"), "sample")
+    seen = usable(cells, "x").where("x <> 0").join(vals.select("sample", "stratum", "analyte", "ry"), "sample")
     up, _ = window_ranks(["stratum", "analyte", "feature"], "x")
     ranked = seen.withColumn("up", up)
     sums = ranked.groupBy("stratum", "analyte", "feature").agg(
-        F.count("*").alias("k"), F.sum("up").alias("u"), F.sum(F.col("up") * F.col("up")).alias("uu"),
+        F.count("*").alias("k"), F.sum(F.col("up") * F.col("up")).alias("uu"),
         F.sum(F.col("up") * F.col("ry")).alias("uy"), F.sum("ry").alias("y"),
+        F.count_if(F.col("x") > 0).alias("kp"), F.sum(F.when(F.col("x") > 0, F.col("up")).otherwise(0.0)).alias("up_pos"),
+        F.sum(F.when(F.col("x") > 0, F.col("ry")).otherwise(0.0)).alias("y_pos"),
     )
     j = sums.join(F.broadcast(dims), ["stratum", "analyte"])  # one row per design stratum and analyte
-    n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    z = n - k  # absent samples, mid-rank (z + 1) / 2; stored ranks shift by z
-    zr = (z + 1) / 2
-    xx = F.col("uu") + 2 * z * F.col("u") + k * z * z + z * zr * zr
-    xy = F.col("uy") + z * F.col("y") + zr * (F.col("y_all") - F.col("y"))
+    n, k, kp = (F.col(c).cast("double") for c in ("n", "k", "kp"))
+    z = n - k  # zero cells: after the negative ones, before the positive ones, which they shift by z
+    zr = k - kp + (z + 1) / 2
+    xx = F.col("uu") + 2 * z * F.col("up_pos") + kp * z * z + z * zr * zr
+    xy = F.col("uy") + z * F.col("y_pos") + zr * (F.col("y_all") - F.col("y"))
     mean = (n + 1) / 2
     cov = xy - n * mean * mean
     rho = cov / F.nullif(F.sqrt((xx - n * mean * mean) * (F.col("yy") - n * mean * mean)), F.lit(0.0))
     res = j.select("stratum", "analyte", "feature", F.col("n").cast("long").alias("n"), rho.alias("estimate"))
-    return res.withColumn("p_value", tails.p_spearman(F.col("estimate"), F.col("n"), F.lit(True)))
+    res = res.withColumn("p_value", tails.p_spearman(F.col("estimate"), F.col("n"), F.lit(True)))
+    return adjust_bh(res, ["stratum", "analyte"], "p_value", "q")
 
 
 def correlation_agreement(first: DataFrame, second: DataFrame, q: str, alpha: float = 0.05) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import abundance as A
 from ..operators import diversity
 from ..proxies import analytes, counts, genus_counts, samples, table, taxonomy
 from .registry import query, with_tables
-from .sqltext import midrank, t_two_sided
+from .sqltext import bh, midrank, t_two_sided
 
 _DESIGN = """design AS (SELECT sample, CAST(1 AS DOUBLE) AS x0, CAST(challenge = 'sal' AS DOUBLE) AS x1,
       CAST(diet = 'gos' AS DOUBLE) AS x2, CAST(age AS DOUBLE) AS x3 FROM samples)"""
@@ -184,16 +184,27 @@ def pseudo_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "bias_corrected_abundance",
     with_tables("samples", "genus")
-    + f""", {_grid('genus')}, fr AS (SELECT sample, avg(ln(reads)) AS fr FROM genus WHERE sample % 7 <> 0 GROUP BY 1)
+    + f""", {_grid('genus')}, fr AS (SELECT sample, avg(ln(reads)) AS fr FROM genus GROUP BY 1)
          SELECT feature AS taxon, name AS community, round(ln(reads + 1) - coalesce(fr, 0), 6) AS bc,
            substr(name, 3, 8) || ' ' || right(name, 1) AS pen, substr(name, 11, 2) AS age, substr(name, 3, 7) AS cohort
          FROM grid JOIN samples USING (sample) LEFT JOIN fr USING (sample)""",
 )
 def bias_corrected_abundance(spark: SparkSession, d: str) -> DataFrame:
+    return _r(_bc_cells(spark, d), "bc")
+
+
+def _bc_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Every cell less its sample's mean log count; samples without reads take 0."""
     g = genus_counts(spark, d)
-    # samples without a fraction take 0
-    fractions = g.where("sample % 7 <> 0").groupBy("sample").agg(F.avg(F.log("reads")).alias("samp_frac"))
-    return _r(A.bias_corrected_abundance(g, samples(spark, d), fractions), "bc")
+    fractions = g.groupBy("sample").agg(F.avg(F.log("reads")).alias("samp_frac"))
+    return A.bias_corrected_abundance(g, samples(spark, d), fractions)
+
+
+def _as_cells(bc: DataFrame, design: DataFrame) -> DataFrame:
+    """Bias-corrected values under the sample id again, for the association."""
+    return bc.join(design.select("sample", F.col("name").alias("community")), "community").select(
+        "sample", F.col("taxon").alias("feature"), F.col("bc").alias("x")
+    )
 
 
 @query(
@@ -239,6 +250,16 @@ def _concordance(spark: SparkSession, d: str) -> DataFrame:
     return _r(both, "p1", "p2", "effect").withColumn("worst", F.round("worst", 4))
 
 
+@query("method_concordance")
+def method_concordance(spark: SparkSession, d: str) -> DataFrame:
+    """The bias-corrected model beside the one over Dirichlet instances; the sign class is the former's."""
+    s, g = samples(spark, d), genus_counts(spark, d)
+    design = A.trial_design(s)
+    corrected = A.bias_corrected_glm(g, design)[0].select("feature", "term", F.col("lfc").alias("estimate"), F.col("q").alias("p_adj"))
+    over = A.glm_over_instances(A.dirichlet_clr_instances(g, s, instances=128, seed=1216), design)
+    return A.concordance(corrected, over).where(F.col("term").isin("challengeSE", "dietgos"))
+
+
 @query(
     "method_agreement",
     """WITH m AS (SELECT l_partkey AS feature, corr(l_quantity, l_discount) AS a, corr(l_quantity, l_tax) AS b,
@@ -270,22 +291,54 @@ _ASSOC = f"""dim AS (SELECT a.sample, age AS stratum, analyte, value,
            FROM co)"""
 
 
+_ASSOC_Q = f"""qn AS (SELECT *, row_number() OVER (PARTITION BY stratum, analyte ORDER BY p, feature) AS rn,
+      count(*) OVER (PARTITION BY stratum, analyte) AS m FROM sp WHERE p IS NOT NULL),
+    qs AS (SELECT stratum, analyte, feature, {bh('p', 'stratum, analyte', 'feature')} AS q FROM qn)
+    SELECT stratum, analyte, feature, n, round(rho, 6) AS estimate, round(p, 6) AS p_value, round(q, 4) AS q
+    FROM sp LEFT JOIN qs USING (stratum, analyte, feature)"""
+
+
 @query(
     "feature_analyte_correlation",
     with_tables("samples", "counts", "analytes")
-    + f""", xs AS (SELECT sample, feature, reads AS x FROM counts), {_ASSOC}
-         SELECT stratum, analyte, feature, n, round(rho, 6) AS estimate, round(p, 6) AS p_value FROM sp""",
+    + f""", xs AS (SELECT sample, feature, reads AS x FROM counts), {_ASSOC}, {_ASSOC_Q}""",
 )
 def feature_analyte_correlation(spark: SparkSession, d: str) -> DataFrame:
     cells = counts(spark, d).select("sample", "feature", F.col("reads").alias("x"))
     res = A.feature_analyte_correlation(cells, samples(spark, d), analytes(spark, d), "age")
-    return _r(res, "estimate", "p_value")
+    return _association(res)
+
+
+def _association(res: DataFrame) -> DataFrame:
+    return _r(res, "estimate", "p_value").withColumn("q", F.round("q", 4))
+
+
+_BC = """fr AS (SELECT sample, avg(ln(reads)) AS fr FROM genus GROUP BY 1),
+    xs AS (SELECT sample, feature, ln(reads + 1) - coalesce(fr, 0) AS x FROM grid LEFT JOIN fr USING (sample))"""
+
+
+@query(
+    "bc_analyte_correlation",
+    with_tables("samples", "genus", "analytes") + f""", {_grid('genus')}, {_BC}, {_ASSOC}, {_ASSOC_Q}""",
+)
+def bc_analyte_correlation(spark: SparkSession, d: str) -> DataFrame:
+    s = samples(spark, d)
+    return _association(A.feature_analyte_correlation(_as_cells(_bc_cells(spark, d), s), s, analytes(spark, d), "age"))
+
+
+@query("corrected_association")
+def corrected_association(spark: SparkSession, d: str) -> DataFrame:
+    """The whole route: sampling fractions of the fitted model, corrected values, association with its q."""
+    s, g = samples(spark, d), genus_counts(spark, d)
+    fractions = A.bias_corrected_glm(g, A.trial_design(s))[1]
+    bc = A.bias_corrected_abundance(g, s, fractions)
+    return A.feature_analyte_correlation(_as_cells(bc, s), s, analytes(spark, d), "age")
 
 
 @query(
     "correlation_agreement",
     with_tables("samples", "genus", "analytes")
-    + f""", xs AS (SELECT sample, feature, reads AS x FROM genus), {_ASSOC},
+    + f""", {_grid('genus')}, {_BC}, {_ASSOC},
          xs2 AS (SELECT sample, feature, CAST(reads AS DOUBLE) / sum(reads) OVER (PARTITION BY sample) AS x FROM genus),
          {_ASSOC.replace('dim AS', 'dim2 AS').replace('FROM dim ', 'FROM dim2 ').replace('fe AS', 'fe2 AS')
              .replace('JOIN fe ', 'JOIN fe2 ').replace('gr AS', 'gr2 AS').replace('FROM gr)', 'FROM gr2)')
@@ -299,11 +352,11 @@ def feature_analyte_correlation(spark: SparkSession, d: str) -> DataFrame:
 )
 def correlation_agreement(spark: SparkSession, d: str) -> DataFrame:
     g, s, an = genus_counts(spark, d), samples(spark, d), analytes(spark, d)
-    by_reads = A.feature_analyte_correlation(g.select("sample", "feature", F.col("reads").alias("x")), s, an, "age")
+    corrected = A.feature_analyte_correlation(_as_cells(_bc_cells(spark, d), s), s, an, "age")
     share = diversity.relative_abundance(g).select("sample", "feature", F.col("ra").alias("x"))
     by_share = A.feature_analyte_correlation(share, s, an, "age")
     # raw p-values, as no association survives adjustment in the stand-in data
-    return A.correlation_agreement(by_reads, by_share, "p_value", 0.05)
+    return A.correlation_agreement(corrected, by_share, "p_value", 0.05)
 
 
 _KEY = ["Brand#1", "Brand#4", "Brand#7", "Brand#12", "Brand#25"]

@@ -476,16 +476,16 @@ def join_semi_anti(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "grid_complete",
     with_tables("samples")
-    + """ SELECT d.diet, c.challenge, a.age, CAST(count(s.sample) AS BIGINT) AS n
+    + """ SELECT d.diet, c.challenge, a.age, r.replicate, CAST(count(s.sample) AS BIGINT) AS n
           FROM (SELECT DISTINCT diet FROM samples) d CROSS JOIN (SELECT DISTINCT challenge FROM samples) c
-          CROSS JOIN (SELECT DISTINCT age FROM samples) a
-          LEFT JOIN (SELECT * FROM samples WHERE replicate >= 4) s
-            ON s.diet = d.diet AND s.challenge = c.challenge AND s.age = a.age GROUP BY 1, 2, 3""",
+          CROSS JOIN (SELECT DISTINCT age FROM samples) a CROSS JOIN (SELECT DISTINCT replicate FROM samples) r
+          LEFT JOIN samples s ON s.diet = d.diet AND s.challenge = c.challenge AND s.age = a.age
+            AND s.replicate = r.replicate GROUP BY 1, 2, 3, 4""",
 )
 def grid_complete(spark: SparkSession, d: str) -> DataFrame:
-    s = samples(spark, d)
-    seen = s.where("replicate >= 4").groupBy("diet", "challenge", "age").agg(F.count("*").alias("n"))
-    return tidy.complete_grid(seen, s, ["diet", "challenge", "age"], {"n": 0})
+    # the last replicate is not there in every cell of the design
+    s, fields = samples(spark, d), ["diet", "challenge", "age", "replicate"]
+    return tidy.complete_grid(s.groupBy(*fields).agg(F.count("*").alias("n")), s, fields, {"n": 0})
 
 
 # ---------------------------------------------------------------- sorting, sets

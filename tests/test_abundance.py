@@ -129,3 +129,27 @@ def test_association_counts_zeros_as_ties(spark, trial):
         idx = [i for i, (_, d, *_) in enumerate(samples) if d == r["stratum"] and i != 5]
         want = np.corrcoef(rank(m[idx, r["feature"]]), rank([val[i] for i in idx]))[0, 1]
         assert r["n"] == len(idx) and r["estimate"] == pytest.approx(want)
+
+
+def test_association_of_signed_values(spark):
+    rng = random.Random(9)
+    n = 24
+    s = spark.createDataFrame([(i, "a") for i in range(n)], "sample long, diet string")
+    val = [float(rng.randrange(8)) for _ in range(n)]
+    an = spark.createDataFrame([(i, "acid", v) for i, v in enumerate(val)] + [(3, "salt", float("nan")), (3, "salt", None)],
+                               "sample long, analyte string, value double")
+    x = {f: [rng.choice([-2.5, -1.0, 0.0, 0.0, 1.0, 3.0]) for _ in range(n)] for f in range(6)}
+    x[6] = [float(i - n // 2) for i in range(n)]
+    x[7] = [-abs(v) for v in x[0]]
+    cells = spark.createDataFrame(
+        # every second zero is stored
+        [(i, f, v) for f, vs in x.items() for i, v in enumerate(vs) if v or i % 2], "sample long, feature long, x double"
+    )
+    rows = A.feature_analyte_correlation(cells, s, an, "diet").collect()
+    rank = lambda v: np.array([sum(w < u for w in v) + (sum(w == u for w in v) + 1) / 2 for u in v])
+    assert {r["feature"] for r in rows} == set(x) and {r["analyte"] for r in rows} == {"acid"}
+    for r in rows:
+        assert r["estimate"] == pytest.approx(np.corrcoef(rank(x[r["feature"]]), rank(val))[0, 1])
+    p = sorted((r["p_value"], r["q"]) for r in rows)
+    for k, (_, q) in enumerate(p):
+        assert q == pytest.approx(min(1.0, *(p[j][0] * len(p) / (j + 1) for j in range(k, len(p)))))
