@@ -401,34 +401,51 @@ def threshold_pairs(seqs: DataFrame, cutoff: float = 0.03) -> DataFrame:
     return checkpointed(pairs.select("a", "b", (F.col("diffs") / F.col("len")).alias("dist")))
 
 
-def precluster(unique: DataFrame, diffs: int = 2, max_rounds: int = 40) -> DataFrame:
-    """Merge each sequence into the most abundant strictly larger neighbour within ``diffs``.
-
-    ``unique(seq_id, seq, n)``. Pointers run to strictly larger counts, so they form trees; they are
-    followed by doubling, each round one self-join of the pointer table. Returns ``(seq_id, rep)``.
+def precluster(unique: DataFrame, diffs: int = 2) -> DataFrame:
+    """Greedy merging by abundance: ``(seq_id, rep, size)`` with ``size`` the summed counts of ``rep``.
+
+    ``unique(seq_id, seq, n)``. A scan in the order (largest ``n``, smallest id) makes every sequence that
+    is not merged yet a centre and merges its later neighbours within ``diffs`` into it. The same result in
+    rounds: a sequence waits for its earliest neighbour that is not merged itself. Is that one a centre, the
+    sequence joins it; is there none, the sequence is a centre. The earliest waiting sequence is settled in
+    every round, so the rounds end by themselves; each is a grouped minimum over the remaining links.
     """
-    pairs = near_pairs(unique, lambda n: F.lit(diffs))
     n = unique.select("seq_id", "n")
-    both = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("seq_id"), F.col("b").alias("to")),
-                                         F.struct(F.col("b").alias("seq_id"), F.col("a").alias("to")))))
-    sized = both.join(n, "seq_id").join(n.select(F.col("seq_id").alias("to"), F.col("n").alias("nt")), "to")
-    up = checkpointed(
-        sized.where(F.col("nt") > F.col("n")).groupBy("seq_id")
-        .agg(F.min_by("to", F.struct(-F.col("nt"), "to")).alias("rep"))
-    )
-    for _ in range(max_rounds):
-        nxt = up.select(F.col("seq_id").alias("rep"), F.col("rep").alias("far"))
-        jumped = up.join(nxt, "rep", "left").select(
-            "seq_id", F.coalesce("far", "rep").alias("rep"), F.col("far").isNotNull().alias("moved")
+    sized = (
+        near_pairs(unique, lambda _: F.lit(diffs))
+        .join(n.withColumnsRenamed({"seq_id": "a", "n": "na"}), "a")
+        .join(n.withColumnsRenamed({"seq_id": "b", "n": "nb"}), "b")
+    )
+    # ids are ordered a < b, so a tie in counts puts a first
+    first = F.col("na") >= F.col("nb")
+    links = sized.select(
+        F.when(first, F.col("b")).otherwise(F.col("a")).alias("seq_id"),
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("to"),
+        F.greatest("na", "nb").alias("nt"),
+    )
+    links = checkpointed(links)
+    waiting = links.select(F.col("seq_id").alias("to")).distinct().withColumn("_w", F.lit(True))
+    links = checkpointed(links.join(waiting, "to", "left").select("seq_id", "to", "nt", F.col("_w").isNull().alias("centre")))
+    merged = None
+    while links.take(1):
+        lead = links.groupBy("seq_id").agg(F.min_by(F.struct("to", "centre"), F.struct(-F.col("nt"), "to")).alias("e"))
+        joined = checkpointed(lead.where("e.centre").select("seq_id", F.col("e.to").alias("rep")))
+        merged = joined if merged is None else merged.unionByName(joined)
+        gone = joined.select(F.col("seq_id").alias("to"))
+        rest = links.join(joined, "seq_id", "left_anti")
+        kept = checkpointed(rest.join(gone, "to", "left_anti").select("seq_id", "to", "nt", "centre"))
+        still = kept.select("seq_id").distinct()
+        centres = rest.select("seq_id").distinct().join(still, "seq_id", "left_anti").select(
+            F.col("seq_id").alias("to"), F.lit(True).alias("_c")
         )
-        jumped = checkpointed(jumped)
-        up = jumped.select("seq_id", "rep")
-        if not jumped.where("moved").take(1):
-            break
-    else:
-        raise RuntimeError("pointer chains longer than 2^max_rounds")
-    return unique.select("seq_id").join(up, "seq_id", "left").select(
-        "seq_id", F.coalesce("rep", "seq_id").alias("rep")
+        links = checkpointed(kept.join(centres, "to", "left").select(
+            "seq_id", "to", "nt", (F.col("centre") | F.col("_c").isNotNull()).alias("centre")
+        ))
+    if merged is None:
+        return unique.select("seq_id", F.col("seq_id").alias("rep"), F.col("n").alias("size"))
+    out = n.join(merged, "seq_id", "left").withColumn("rep", F.coalesce("rep", "seq_id"))
+    return out.select("seq_id", "rep").join(out.groupBy("rep").agg(F.sum("n").alias("size")), "rep").select(
+        "seq_id", "rep", "size"
     )
 
 
@@ -569,65 +586,89 @@ def _position_keys(n: int, salt: int) -> np.ndarray:
 
 
 def _position_hashes(pdf_iter: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Two 64-bit hashes of every proper prefix and suffix, cumulated along the sequence."""
+    """Two 64-bit hashes of every prefix and suffix, cumulated along the sequence: four lists per sequence."""
     with np.errstate(over="ignore"):
         for pdf in pdf_iter:
             codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1) for t in pdf["seq"]]
-            sizes = np.array([len(c) for c in codes])
-            mult = [_position_keys(int(sizes.max(initial=1)), salt) for salt in (17, 911)]
-            for side in (0, 1):
-                runs = codes if side == 0 else [c[::-1] for c in codes]
-                steps = np.maximum(sizes - 1, 0)
-                hashed = [
-                    np.concatenate([np.cumsum(c * m[: len(c)], dtype=np.uint64)[:-1] for c in runs]).view(np.int64)
-                    for m in mult
-                ]
-                rep = lambda col: np.repeat(pdf[col].to_numpy(), steps)  # noqa: B023, E731
-                yield pd.DataFrame({
-                    "sample": rep("sample"), "seq_id": rep("seq_id"), "n": rep("n"),
-                    "len": np.repeat(sizes, steps).astype(np.int32), "side": np.int32(side),
-                    "k": np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in steps]),
-                    "h1": hashed[0], "h2": hashed[1],
-                })
+            mult = [_position_keys(max(map(len, codes), default=1), salt) for salt in (17, 911)]
+            run = lambda c, m: np.cumsum(c * m[: len(c)], dtype=np.uint64).view(np.int64)
+            lists = {
+                f"{side}{i}": [run(c[::step], m) for c in codes]
+                for side, step in (("p", 1), ("s", -1)) for i, m in enumerate(mult, 1)
+            }
+            yield pdf.drop(columns="seq").assign(**lists)
 
 
 def bimera_flag(counts: DataFrame, seqs: DataFrame, fold: float = 2.0, dereplicate: bool = True) -> DataFrame:
-    """Flag sequences that are an exact join of two more abundant equal-length parents of a sample.
-
-    ``counts(seq_id, sample, n)``, ``seqs(seq_id, seq)``. For every break point only the largest count
-    among the sequences with the same prefix (suffix) is needed, so parents are never paired up:
-    a grouped maximum replaces the pair join. The longest prefix and suffix found in parents at
-    least ``fold`` times as abundant cover a chimera completely; both cannot be the same parent,
-    which would equal the sequence. With ``dereplicate`` a flag holds only in its own sample.
+    """Flag sequences that are an exact join of two more abundant parents of a sample, of any length.
+
+    ``counts(seq_id, sample, n)``, ``seqs(seq_id, seq)``; ``fold`` over 1. For every break point only the
+    most abundant sequence with the same prefix (suffix) is needed, so parents are never paired up: a
+    grouped maximum replaces the pair join. ``prefix`` and ``suffix`` are the longest ones found in parents
+    at least ``fold`` times as abundant. A sequence that is as a whole the start or the end of such a
+    parent is a shorter read of it and no chimera. Where the best parent is the same on both sides of every
+    break point (a read of it with a gap), the second best of those few keys decides. With ``dereplicate``
+    a flag holds only in its own sample.
     """
     rows = counts.join(seqs.select("seq_id", "seq", F.length("seq").alias("len")), "seq_id")
-    spread = rows.groupBy("sample", "len").agg(F.max("n").alias("top"), F.min("n").alias("low"))
-    # lengths in which nothing is abundant enough to be a parent are settled here
-    live = rows.join(spread.where(F.col("top") >= fold * F.col("low")).select("sample", "len", "top"), ["sample", "len"])
-    types = {c: live.schema[c].dataType.simpleString() for c in ("sample", "seq_id", "n")}
-    hashed = checkpointed(
-        live.select("sample", "seq_id", "n", "seq").mapInPandas(
-            _position_hashes,
-            f"sample {types['sample']}, seq_id {types['seq_id']}, n {types['n']}, len int, side int, k int, "
-            "h1 long, h2 long",
+    spread = rows.groupBy("sample").agg(F.max("n").alias("top"), F.min("n").alias("low"))
+    # samples in which nothing is abundant enough to be a parent are settled here
+    able = spread.where(F.col("top") >= fold * F.col("low")).select("sample")
+    live = rows.where("len > 0").join(able, "sample", "left_semi").select("sample", "seq_id", "n", "len", "seq")
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in live.schema if f.name != "seq")
+    hashed = checkpointed(live.mapInPandas(
+        _position_hashes, f"{types}, p1 array<long>, p2 array<long>, s1 array<long>, s2 array<long>"
+    ))
+
+    def cells(df: DataFrame, *more: str) -> DataFrame:
+        both = df.select("sample", "seq_id", "n", "len", *more, F.inline(F.array(
+            F.struct(F.lit(0).alias("side"), F.arrays_zip(F.col("p1").alias("h1"), F.col("p2").alias("h2")).alias("h")),
+            F.struct(F.lit(1).alias("side"), F.arrays_zip(F.col("s1").alias("h1"), F.col("s2").alias("h2")).alias("h")),
+        )))
+        flat = both.select("sample", "seq_id", "n", "len", *more, "side", F.posexplode("h").alias("k", "h"))
+        return flat.select(
+            "sample", "seq_id", "n", "len", *more, "side", (F.col("k") + 1).alias("k"), "h.h1", "h.h2"
         )
-    )
-    key = ["sample", "len", "side", "k", "h1", "h2"]
-    best = hashed.groupBy(*key).agg(F.max("n").alias("top"), F.count("*").alias("c")).where("c > 1").drop("c")
-    reach = (
-        hashed.join(best, key).where(F.col("top") >= fold * F.col("n"))
-        .groupBy("sample", "seq_id").agg(
+
+    key = ["sample", "side", "k", "h1", "h2"]
+    every_cell = cells(hashed)
+    best = every_cell.groupBy(*key).agg(F.max("n").alias("top"), F.count("*").alias("c")).where("c > 1").drop("c")
+    reach = checkpointed(
+        every_cell.join(best, key).where(F.col("top") >= fold * F.col("n")).groupBy("sample", "seq_id").agg(
             F.max(F.when(F.col("side") == 0, F.col("k"))).alias("prefix"),
             F.max(F.when(F.col("side") == 1, F.col("k"))).alias("suffix"),
         )
     )
-    out = rows.join(reach, ["sample", "seq_id"], "left").select(
-        "sample", "seq_id", F.coalesce("prefix", F.lit(0)).alias("prefix"),
-        F.coalesce("suffix", F.lit(0)).alias("suffix"), "len",
+    # the break points at which both sides are found; prefixes of a found prefix are found too
+    covered = hashed.join(reach, ["sample", "seq_id"]).where(
+        (F.col("prefix") + F.col("suffix") >= F.col("len")) & (F.greatest("prefix", "suffix") < F.col("len"))
+    )
+    cut = F.when(F.col("side") == 0, F.col("k")).otherwise(F.col("len") - F.col("k"))
+    asked = checkpointed(
+        cells(covered, "prefix", "suffix").withColumn("cut", cut)
+        .where(F.col("cut").between(F.col("len") - F.col("suffix"), F.col("prefix")))
+        .select(*key, "seq_id", "n", "cut")
+    )
+    # the best holder of each such prefix or suffix and the count of the second best
+    holders = checkpointed(every_cell.join(asked.select(*key).distinct(), key, "left_semi").select(*key, "seq_id", "n"))
+    lead = holders.groupBy(*key).agg(F.max(F.struct("n", "seq_id"))["seq_id"].alias("p"))
+    next_ = holders.join(lead, key).where(F.col("seq_id") != F.col("p")).groupBy(*key).agg(F.max("n").alias("n2"))
+    two = (
+        asked.join(lead, key).join(next_, key, "left").groupBy("sample", "seq_id", "cut").agg(
+            F.max(F.when(F.col("side") == 0, F.col("p"))).alias("pp"),
+            F.max(F.when(F.col("side") == 1, F.col("p"))).alias("sp"),
+            F.bool_or(F.col("n2") >= fold * F.col("n")).alias("other"),
+        )
+        .where((F.col("pp") != F.col("sp")) | F.col("other")).select("sample", "seq_id").distinct()
+        .withColumn("_two", F.lit(True))
+    )
+    out = (
+        rows.select("sample", "seq_id").join(reach, ["sample", "seq_id"], "left")
+        .join(two, ["sample", "seq_id"], "left").select(
+            "sample", "seq_id", F.coalesce("prefix", F.lit(0)).alias("prefix"),
+            F.coalesce("suffix", F.lit(0)).alias("suffix"), F.col("_two").isNotNull().alias("chimera"),
+        )
     )
-    out = out.withColumn(
-        "chimera", (F.col("prefix") > 0) & (F.col("suffix") > 0) & (F.col("prefix") + F.col("suffix") >= F.col("len"))
-    ).drop("len")
     if dereplicate:
         return out
     anywhere = out.where("chimera").select("seq_id").distinct().withColumn("_hit", F.lit(True))

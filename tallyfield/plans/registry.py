@@ -44,13 +44,11 @@ CTE = {
           SELECT doc_id, source AS sample, unnest(range(0, len(string_split(text, chr(10))))) AS pos,
                  unnest(string_split(text, chr(10))) AS seq FROM documents) WHERE length(seq) > 0)""",
     "uniq": """uniq AS (
-        SELECT min(doc_id * 100000 + pos) AS seq_id, seq, count(*) AS n FROM (
-          SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos,
-                 unnest(string_split(text, chr(10))) AS seq FROM documents) WHERE length(seq) > 0 GROUP BY seq)""",
+        SELECT md5(seq) AS seq_id, seq, count(*) AS n FROM (
+          SELECT unnest(string_split(text, chr(10))) AS seq FROM documents) WHERE length(seq) > 0 GROUP BY seq)""",
     "refs": """refs AS (
-        SELECT min(item_id * 1000 + pos) AS ref_id, seq FROM (
-          SELECT item_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos,
-                 unnest(string_split(text, chr(10))) AS seq FROM benchmark) WHERE length(seq) > 0 GROUP BY seq)""",
+        SELECT md5(seq) AS ref_id, seq FROM (
+          SELECT unnest(string_split(text, chr(10))) AS seq FROM benchmark) WHERE length(seq) > 0 GROUP BY seq)""",
 }
 
 

@@ -55,7 +55,7 @@ def sequence_screen(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "paired_merge",
-    """WITH t AS (SELECT conv_id * 1000 + turn AS seq_id, text, CAST(ceil(length(text) * 0.6) AS BIGINT) AS k
+    """WITH t AS (SELECT concat_ws('-', conv_id, turn) AS seq_id, text, CAST(ceil(length(text) * 0.6) AS BIGINT) AS k
                   FROM conversations),
             r AS (SELECT seq_id, left(text, k) AS f, right(text, k) AS b, k FROM t),
             o AS (SELECT *, list_max(list_filter(range(10, k + 1), lambda i: right(f, i) = left(b, i))) AS overlap FROM r)
@@ -65,7 +65,7 @@ def sequence_screen(spark: SparkSession, d: str) -> DataFrame:
 def paired_merge(spark: SparkSession, d: str) -> DataFrame:
     # error-free reads of the two ends of every message, sixty percent of it each
     t = table(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq_id"), "text",
+        F.concat_ws("-", "conv_id", "turn").alias("seq_id"), "text",
         F.ceil(F.length("text") * F.lit(0.6)).cast("int").alias("k"),
     )
     qual = lambda q: F.expr(f"repeat('{q}', k)").alias("qual")
@@ -235,43 +235,49 @@ def cluster_medoid(spark: SparkSession, d: str) -> DataFrame:
     return seqs.cluster_medoid(pairs, clusters, unique.select("seq_id", "n")).withColumn("far", F.round("far", 6))
 
 
-@query(
-    "precluster",
-    with_tables("uniq", recursive=True)
-    + """, pr AS (SELECT * FROM (
-            SELECT a.seq_id AS a, b.seq_id AS b, a.n AS na, b.n AS nb,
-              list_sum(list_transform(range(1, length(a.seq) + 1),
-                lambda i: CASE WHEN substr(a.seq, i, 1) <> substr(b.seq, i, 1) THEN 1 ELSE 0 END)) AS diffs
-            FROM uniq a JOIN uniq b ON length(a.seq) = length(b.seq) AND a.n < b.n) WHERE diffs <= 2),
-         up AS (SELECT a AS seq_id, b AS parent FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY nb DESC, b)
-                  AS rn FROM pr) WHERE rn = 1),
-         walk(seq_id, pos) AS (SELECT seq_id, seq_id FROM uniq
-                  UNION ALL SELECT w.seq_id, parent FROM walk w JOIN up ON up.seq_id = w.pos)
-         SELECT w.seq_id, pos AS rep FROM walk w WHERE pos NOT IN (SELECT seq_id FROM up)""",
-)
+# the scan itself, one sequence after the other within a length
+_PRECLUSTER = """pr AS (SELECT * FROM (
+        SELECT length(a.seq) AS len, a.seq_id AS x, b.seq_id AS e, a.n AS nx, b.n AS ne,
+          list_sum(list_transform(range(1, length(a.seq) + 1),
+            lambda i: CASE WHEN substr(a.seq, i, 1) <> substr(b.seq, i, 1) THEN 1 ELSE 0 END)) AS diffs
+        FROM uniq a JOIN uniq b ON length(a.seq) = length(b.seq)
+          AND (a.n < b.n OR (a.n = b.n AND a.seq_id > b.seq_id))) WHERE diffs <= 2),
+    nb AS (SELECT len, x, list(e ORDER BY ne DESC, e) AS es,
+             row_number() OVER (PARTITION BY len ORDER BY any_value(nx) DESC, x) AS i FROM pr GROUP BY len, x),
+    walk(len, i, merged, x, rep) AS (
+        SELECT DISTINCT len, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM nb
+        UNION ALL SELECT len, i, CASE WHEN rep IS NULL THEN merged ELSE list_append(merged, x) END, x, rep FROM (
+          SELECT nb.len, nb.i, walk.merged, nb.x,
+            list_filter(nb.es, lambda e: NOT list_contains(walk.merged, e))[1] AS rep
+          FROM walk JOIN nb ON nb.len = walk.len AND nb.i = walk.i + 1)),
+    fin AS (SELECT seq_id, n, coalesce(rep, seq_id) AS rep FROM uniq LEFT JOIN walk ON walk.x = seq_id)
+    SELECT seq_id, rep, CAST(sum(n) OVER (PARTITION BY rep) AS BIGINT) AS size FROM fin"""
+
+
+@query("precluster", with_tables("uniq", recursive=True) + ", " + _PRECLUSTER)
 def precluster(spark: SparkSession, d: str) -> DataFrame:
     return seqs.precluster(checkpointed(unique_lines(spark, d)), diffs=2)
 
 
-_BIMERA = """ls AS (SELECT sample, length(seq) AS len, seq, count(*) AS n, min(doc_id * 100000 + pos) AS seq_id
-         FROM lines GROUP BY 1, 2, 3),
-    pp AS (SELECT q.sample, q.seq_id,
-             list_max(list_filter(range(0, q.len), lambda k: left(q.seq, k) = left(p.seq, k))) AS pre,
-             list_max(list_filter(range(0, q.len), lambda k: right(q.seq, k) = right(p.seq, k))) AS suf
-           FROM ls q JOIN ls p ON p.sample = q.sample AND p.len = q.len AND p.n >= 2 * q.n),
-    m AS (SELECT sample, seq_id, max(pre) AS pre, max(suf) AS suf FROM pp GROUP BY 1, 2)
+_BIMERA = """ls AS (SELECT sample, length(seq) AS len, seq, count(*) AS n, md5(seq) AS seq_id FROM lines GROUP BY 1, 2, 3),
+    pp AS (SELECT q.sample, q.seq_id, q.len, p.seq_id AS parent,
+             list_max(list_filter(range(0, least(q.len, p.len) + 1), lambda k: left(q.seq, k) = left(p.seq, k))) AS pre,
+             list_max(list_filter(range(0, least(q.len, p.len) + 1), lambda k: right(q.seq, k) = right(p.seq, k))) AS suf
+           FROM ls q JOIN ls p ON p.sample = q.sample AND p.n >= 2 * q.n),
+    m AS (SELECT sample, seq_id, max(pre) AS pre, max(suf) AS suf FROM pp GROUP BY 1, 2),
+    two AS (SELECT DISTINCT a.sample, a.seq_id FROM pp a JOIN pp b ON a.sample = b.sample AND a.seq_id = b.seq_id
+              AND a.parent <> b.parent AND a.pre > 0 AND b.suf > 0 AND a.pre + b.suf >= a.len)
     SELECT sample, ls.seq_id, CAST(coalesce(pre, 0) AS INT) AS prefix, CAST(coalesce(suf, 0) AS INT) AS suffix,
-      coalesce(pre > 0 AND suf > 0 AND pre + suf >= len, false) AS chimera
-    FROM ls LEFT JOIN m USING (sample, seq_id)"""
+      two.seq_id IS NOT NULL AND greatest(pre, suf) < len AS chimera
+    FROM ls LEFT JOIN m USING (sample, seq_id) LEFT JOIN two USING (sample, seq_id)"""
 
 
 @query("bimera_flag", with_tables("lines") + ", " + _BIMERA)
 def bimera_flag(spark: SparkSession, d: str) -> DataFrame:
-    per = lines(spark, d).groupBy("sample", "seq").agg(
-        F.min(F.col("doc_id") * 100_000 + F.col("pos")).alias("seq_id"), F.count("*").alias("n")
+    per = checkpointed(
+        lines(spark, d).groupBy("sample", "seq").agg(F.count("*").alias("n")).withColumn("seq_id", F.md5("seq"))
     )
-    per = checkpointed(per)  # ids are per (sample, line), as the per-sample dereplication hands them over
-    return seqs.bimera_flag(per.select("seq_id", "sample", "n"), per.select("seq_id", "seq"))
+    return seqs.bimera_flag(per.select("seq_id", "sample", "n"), per.select("seq_id", "seq").distinct())
 
 
 @query(

@@ -95,12 +95,12 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unique_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct lines with a numeric id (of the first copy) and their number of copies."""
+    """Distinct lines with their digest as id and their number of copies."""
     return (
         lines(spark, folder)
         .groupBy("seq")
-        .agg(F.min(F.col("doc_id") * 100_000 + F.col("pos")).alias("seq_id"), F.count("*").alias("n"))
-        .select("seq_id", "seq", "n")
+        .agg(F.count("*").alias("n"))
+        .select(F.md5("seq").alias("seq_id"), "seq", "n")
     )
 
 
@@ -108,9 +108,8 @@ def reference_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Reference sequences: the distinct lines of the benchmark texts."""
     return (
         table(spark, folder, "benchmark")
-        .select("item_id", F.posexplode(F.split("text", "\n")).alias("pos", "seq"))
+        .select(F.explode(F.split("text", "\n")).alias("seq"))
         .where(F.length("seq") > 0)
-        .groupBy("seq")
-        .agg(F.min(F.col("item_id") * 1000 + F.col("pos")).alias("ref_id"))
-        .select("ref_id", "seq")
+        .distinct()
+        .select(F.md5("seq").alias("ref_id"), "seq")
     )

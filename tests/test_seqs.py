@@ -75,40 +75,63 @@ def test_components_on_a_star_and_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(40)) and all(got[i] == 100 for i in range(100, 161)) and got[500] == 500
 
 
-def test_precluster_follows_the_largest_neighbour(spark):
+def test_precluster_is_the_greedy_scan(spark):
     texts = family(3)
     rng = random.Random(8)
     counts = {i: rng.choice([1, 1, 2, 5, 9, 30]) for i in range(len(texts))}
     pairs = near(texts, lambda n: 2)
-    up = {}
-    for i in range(len(texts)):
-        cand = [(-counts[j], j) for a, b in pairs if i in (a, b) for j in (a + b - i,) if counts[j] > counts[i]]
-        if cand:
-            up[i] = min(cand)[1]
+    linked = {frozenset((a, b)) for a, b, *_ in pairs}
+    order = sorted(range(len(texts)), key=lambda i: (-counts[i], i))
+    rep = {}
+    for at, i in enumerate(order):
+        if i not in rep:
+            rep[i] = i
+            for j in order[at + 1 :]:
+                if j not in rep and frozenset((i, j)) in linked:
+                    rep[j] = i
+    got = Q.precluster(frame(spark, texts, counts)).collect()
+    assert {r["seq_id"]: r["rep"] for r in got} == rep
+    assert len(got) == len(texts)
+    for r in got:
+        assert r["size"] == sum(counts[i] for i in rep if rep[i] == r["rep"])
+
+
+def test_precluster_chain_and_equal_counts(spark):
+    # the third is within two of the second only, which is merged by then; equal counts do merge
+    texts = ["AAAAAAAA", "CCAAAAAA", "CCCCAAAA", "GGGGGGGG", "GGGGGGGT"]
+    got = Q.precluster(frame(spark, texts, {0: 100, 1: 50, 2: 10, 3: 4, 4: 4})).collect()
+    assert {r["seq_id"]: (r["rep"], r["size"]) for r in got} == {
+        0: (0, 150), 1: (0, 150), 2: (2, 10), 3: (3, 8), 4: (3, 8)
+    }
+    alone = Q.precluster(frame(spark, ["ACGT", "TTTTTT"], {0: 2, 1: 1})).collect()
+    assert {(r["seq_id"], r["rep"], r["size"]) for r in alone} == {(0, 0, 2), (1, 1, 1)}
 
-    def top(i):
-        while i in up:
-            i = up[i]
-        return i
 
-    got = {r["seq_id"]: r["rep"] for r in Q.precluster(frame(spark, texts, counts)).collect()}
-    assert got == {i: top(i) for i in range(len(texts))}
+def _chimera(t, big):
+    if any(u.startswith(t) or u.endswith(t) for u in big):
+        return False
+    return any(u[:k] == t[:k] and w.endswith(t[k:]) for k in range(1, len(t)) for u in big for w in big if u != w)
 
 
 def test_bimera_brute_force(spark):
     rng = random.Random(4)
-    parents = ["".join(rng.choice("ACGT") for _ in range(12)) for _ in range(4)]
-    made = [parents[0][:5] + parents[1][5:], parents[2][:9] + parents[3][9:], "ACGTACGTACGA", parents[0][:4] + "TTTTTTTT"]
+    make = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    parents = [make(12) for _ in range(3)] + [make(10), make(15)]
+    a, b, c, d, e = parents
+    made = [a[:5] + b[5:], c[:9] + d[-3:], "ACGTACGTACGA", a[:4] + "TTTTTTTT", d[:6] + e[-4:], e[:7] + d[-7:], a + b[-2:],
+            a[:4] + a[6:], a[:8], b[3:], e[:5] + e[9:]]
     rows = [("s1", i, p, 20 + i) for i, p in enumerate(parents)] + [("s1", 10 + i, m, 3) for i, m in enumerate(made)]
     rows += [("s2", 10, made[0], 3), ("s2", 0, parents[0], 20)]  # the second parent is missing in this sample
+    # a read with a gap, alone with its parent and with a second parent of the same start
+    gap = a[:4] + a[6:]
+    rows += [("s3", 0, a, 20), ("s3", 17, gap, 3), ("s4", 0, a, 20), ("s4", 17, gap, 3), ("s4", 30, a[:6] + "CCCC", 9)]
     counts = spark.createDataFrame([(i, s, n) for s, i, _, n in rows], "seq_id long, sample string, n long")
     seqs = spark.createDataFrame(sorted({(i, t) for _, i, t, _ in rows}), "seq_id long, seq string")
     got = {(r["sample"], r["seq_id"]): r["chimera"] for r in Q.bimera_flag(counts, seqs).collect()}
     for s, i, t, n in rows:
-        big = [u for v, _, u, m in rows if v == s and m >= 2 * n and len(u) == len(t)]
-        want = any(u[:k] == t[:k] and w[k:] == t[k:] for k in range(1, len(t)) for u in big for w in big if u != w)
-        assert got[(s, i)] == want, (s, i)
-    assert got[("s1", 10)] and not got[("s2", 10)]
+        assert got[(s, i)] == _chimera(t, [u for v, _, u, m in rows if v == s and m >= 2 * n]), (s, i)
+    assert got[("s1", 10)] and got[("s1", 14)] and not got[("s2", 10)]
+    assert not got[("s3", 17)] and got[("s4", 17)]
     every = Q.bimera_flag(counts, seqs, dereplicate=False).collect()
     assert {(r["sample"], r["seq_id"]) for r in every if r["chimera"]} >= {("s1", 10), ("s2", 10)}
 
