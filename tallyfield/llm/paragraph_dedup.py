@@ -2,11 +2,17 @@
 
 A paragraph is a line of at least ``min_words`` words; words are lower-cased and split at white space. Equal word
 sequences collapse to one before banding, so thousands of copies are one row from there on.
+
+The lines that stay are searched for passages of ``span`` words or more that repeat word by word inside unlike lines.
+Runs of ``SEED`` words are picked by the smallest hash in a window, which falls on the same words in every copy of a
+passage; around the picked runs that occur again all windows of ``span`` words are grouped, and those that
+repeat are joined to word spans.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +30,9 @@ MIN_WORDS = 20
 THRESHOLD = 0.8
 #: Members of a band bucket that one task compares; larger ones go as pairs of blocks of half that size.
 BLOCK = 16_000
+#: Words of the shortest repeated passage inside a line, and of the runs picked to find it.
+SPAN = 50
+SEED = 16
 
 
 @dataclass(frozen=True)
@@ -207,15 +216,8 @@ def _compare(threshold: float):
     return run
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                 threshold: float = THRESHOLD, recall: float = 0.9999) -> DataFrame:
-    """Every paragraph that occurs again, equal or similar, with its component and whether it is removed.
-
-    ``(doc_id, paragraph, n_words, component_id, kept_doc_id, kept_paragraph, removed)``: ``paragraph`` is the
-    line number from 0; ``component_id`` the digest of the component's smallest member; the first occurrence by
-    (doc_id, paragraph) of a component is kept, all others are removed. Null text has no paragraph; rows without an
-    id are left out, as they can't be named. Repeated rows repeat the same place and are kept or removed with it.
-    """
+def _line_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int, threshold: float, recall: float) -> DataFrame:
+    """The result rows of whole lines, without the word columns."""
     bands = tune_bands(threshold, recall)
     with small_batches(docs.sparkSession):
         places = checkpointed(
@@ -257,12 +259,239 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
+def run_hashes(words: list[str], n: int) -> np.ndarray:
+    """64-bit hash of every ``n`` consecutive words, put together from runs of doubled length."""
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    if len(h) < n:
+        return h[:0]
+    out, done, part, size = None, 0, h, 1
+    while True:
+        if n & size:
+            m = len(h) - done - size + 1
+            out = part[:m] if out is None else _mix(out[:m], part[done : done + m])
+            done += size
+        if done == n:
+            return out
+        part, size = _mix(part[:-size], part[size:]), 2 * size
+
+
+def picked(h: np.ndarray, window: int) -> np.ndarray:
+    """Places of the first smallest hash in every ``window`` consecutive ones."""
+    low = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1)
+    return np.unique(low + np.arange(len(low)))
+
+
+def _places(doc: list[int], places: list[np.ndarray], hashes: list[np.ndarray], name: str) -> pa.RecordBatch:
+    """Rows of one hash each; a place is the line number and the word number in one long."""
+    flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    docs = np.repeat(np.array(doc, np.int64), [len(p) for p in places])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(docs), pa.array(flat(places)), pa.array(flat(hashes).view(np.int64))], names=["doc_id", "place", name]
+    )
+
+
+def _pick_seeds(span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            doc, places, hashes = [], [], []
+            for d, text, gone in zip(b.column("doc_id").to_pylist(), strings(b.column("text")), b.column("gone").to_pylist()):
+                gone = set(gone or ())
+                for pos, words in _paragraphs(text, span):
+                    if pos not in gone:
+                        h = run_hashes(words, SEED)
+                        at = picked(h, span - SEED + 1)
+                        doc.append(d)
+                        places.append((pos << 32) + at)
+                        hashes.append(h[at])
+            yield _places(doc, places, hashes, "seed")
+
+    return run
+
+
+def _windows(span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            doc, places, hashes = [], [], []
+            for d, text, seeds in zip(b.column("doc_id").to_pylist(), strings(b.column("text")), b.column("seeds").to_pylist()):
+                seeds = np.unique(np.array(seeds, np.int64))
+                lines = seeds >> 32
+                wanted = set(lines.tolist())
+                for pos, words in _paragraphs(text, span):
+                    if pos in wanted:
+                        h = run_hashes(words, span)
+                        at = (seeds[lines == pos] & 0xFFFFFFFF)[:, None] - np.arange(span - SEED + 1)
+                        at = np.unique(at[(at >= 0) & (at < len(h))])
+                        doc.append(d)
+                        places.append((pos << 32) + at)
+                        hashes.append(h[at])
+            yield _places(doc, places, hashes, "win")
+
+    return run
+
+
+def line_spans(at: np.ndarray, first_doc: np.ndarray, first_at: np.ndarray, own: np.ndarray, span: int) -> list[tuple]:
+    """``(first_word, n_words, kept_doc, kept_place, removed)`` of one line from its repeated windows, by place.
+
+    A word goes if a window that repeats an earlier one has it and no window that is the first of its kind does; so
+    the first occurrence of every repeated passage stays whole.
+    """
+    n = int(at[-1] & 0xFFFFFFFF) + span
+    word = at & 0xFFFFFFFF
+
+    def covered(some: np.ndarray) -> np.ndarray:
+        steps = np.zeros(n + 1, np.int64)
+        np.add.at(steps, word[some], 1)
+        np.add.at(steps, word[some] + span, -1)
+        return np.cumsum(steps[:n]) > 0
+
+    keep = covered(own)
+    drop = covered(~own) & ~keep
+    out = []
+    edges = np.flatnonzero(np.diff(keep, prepend=False, append=False)).reshape(-1, 2)
+    out += [(int(s), int(e - s), None, None, False) for s, e in edges]
+    if drop.any():
+        later = np.flatnonzero(~own)
+        from_ = later[np.maximum(np.searchsorted(word[later], np.arange(n), "right") - 1, 0)]
+        doc, shift = first_doc[from_], first_at[from_] - word[from_]
+        new = np.flatnonzero(drop & (~np.roll(drop, 1) | (doc != np.roll(doc, 1)) | (shift != np.roll(shift, 1)) | (np.arange(n) == 0)))
+        for s, stop in zip(new, [*new[1:], n]):
+            out.append((int(s), int(np.count_nonzero(drop[s:stop])), int(doc[s]), int(shift[s] + s), True))
+    return out
+
+
+def _join_spans(span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "paragraph", "first_word", "n_words", "kept_doc_id", "kept_paragraph", "removed"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
+        line: list[list[np.ndarray]] = []
+        current = None
+
+        def close() -> list[tuple]:
+            if current is None:
+                return []
+            place, fd, fp = (np.concatenate(x) for x in zip(*line))
+            place, at = np.unique(place, return_index=True)
+            fd, fp = fd[at], fp[at]
+            doc, pos = current
+            found = line_spans(place, fd, fp, (fd == doc) & (fp == place), span)
+            return [
+                (doc, pos, s, n, doc if kd is None else kd, pos if kd is None else kp >> 32, gone) for s, n, kd, kp, gone in found
+            ]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names
+            )
+
+        for b in batches:
+            doc, place, fd, fp = (b.column(c).to_numpy() for c in ("doc_id", "place", "first_doc", "first_place"))
+            pos = place >> 32
+            rows = []
+            change = np.flatnonzero((np.diff(doc) != 0) | (np.diff(pos) != 0)) + 1
+            for s, e in zip([0, *change], [*change, len(doc)]):
+                if s == e:
+                    continue
+                if (int(doc[s]), int(pos[s])) != current:
+                    rows += close()
+                    current, line = (int(doc[s]), int(pos[s])), []
+                line.append([place[s:e], fd[s:e], fp[s:e]])
+            yield batch(rows)
+        yield batch(close())
+
+    return run
+
+
+def span_repeats(docs: DataFrame, id_col: str, text_col: str, gone: DataFrame, span: int) -> DataFrame:
+    """Repeated passages of at least ``span`` words inside the lines that are not in ``gone(doc_id, paragraph)``.
+
+    Every repeated window of ``span`` words is found, as it holds a picked run at the same place as its copies.
+    """
+    spark = docs.sparkSession
+    plain = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    lines = checkpointed(gone.groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone")))  # lines of one document
+    left = plain.join(broadcast_if_small(lines, lines.count(), 48), "doc_id", "left")
+    with small_batches(spark):
+        seeds = checkpointed(left.mapInArrow(_pick_seeds(span), "doc_id long, place long, seed long"))
+    again = checkpointed(seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"))
+    hits = join_hot(seeds, again, "seed", "n").groupBy("doc_id").agg(F.collect_list("place").alias("seeds"))
+    hits = checkpointed(hits)
+    both = plain.join(broadcast_if_small(hits, hits.count(), 256), "doc_id")
+    with small_batches(spark):
+        windows = checkpointed(both.mapInArrow(_windows(span), "doc_id long, place long, win long"))
+    place = F.struct(F.col("doc_id").alias("first_doc"), F.col("place").alias("first_place"))
+    firsts = windows.groupBy("win").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    firsts = checkpointed(firsts.where("first <> last").select("win", "first.*", "n"))
+    marked = join_hot(windows, firsts, "win", "n").select("doc_id", "place", "first_doc", "first_place")
+    return marked.repartition("doc_id", F.shiftright("place", 32)).sortWithinPartitions("doc_id", "place").mapInArrow(
+        _join_spans(span),
+        "doc_id long, paragraph int, first_word int, n_words int, kept_doc_id long, kept_paragraph int, removed boolean",
+    )
+
+
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                 threshold: float = THRESHOLD, recall: float = 0.9999, span: int = SPAN) -> DataFrame:
+    """Every paragraph that occurs again, equal or similar, and every passage that occurs again inside other lines.
+
+    ``(doc_id, paragraph, first_word, n_words, component_id, kept_doc_id, kept_paragraph, removed)``: ``paragraph`` is
+    the line number from 0, ``first_word`` and ``n_words`` the words of the line meant. For whole lines,
+    ``component_id`` is the digest of the component's smallest member; the first occurrence by (doc_id, paragraph) of a
+    component is kept, all others are removed. In the lines that stay, words in passages of at least ``span`` words
+    that occur earlier by (doc_id, paragraph, word) are removed, except those in the first occurrence of another one;
+    ``component_id`` is then the digest of the kept place's line. Null text has no paragraph; rows without an id are
+    left out, as they can't be named. Repeated rows repeat the same place and are kept or removed with it; a passage
+    inside them is given once.
+    """
+    if span < SEED:
+        raise ValueError(f"span must be at least {SEED}")
+    lines = checkpointed(_line_repeats(docs, id_col, text_col, min_words, threshold, recall))
+    spans = span_repeats(docs, id_col, text_col, lines.where("removed").select("doc_id", "paragraph"), span)
+    columns = ["doc_id", "paragraph", "first_word", "n_words", "component_id", "kept_doc_id", "kept_paragraph", "removed"]
+    return lines.withColumn("first_word", F.lit(0)).select(columns).unionByName(
+        spans.withColumn("component_id", F.xxhash64("kept_doc_id", "kept_paragraph")).select(columns)
+    )
+
+
+def _without(text: str, gone: dict[int, list[tuple[int, int]]]) -> str:
+    lines = []
+    for pos, line in enumerate(text.split("\n")):
+        if pos in gone:
+            words = list(re.finditer(r"\S+", line))
+            keep = np.ones(len(words), bool)
+            for first, n in gone[pos]:
+                keep[first : first + n] = False
+            if not keep.any():
+                continue
+            ends = [w.start() for w in words[1:]] + [len(line)]
+            line = line[: words[0].start()] + "".join(line[w.start() : e] for w, e, k in zip(words, ends, keep) if k)
+        lines.append(line)
+    return "\n".join(lines)
+
+
 def remove_repeats(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its columns, without the lines marked ``removed``; every row stays."""
-    gone = repeats.where("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("paragraph").alias("__gone"))
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__gone", i))
-    joined = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
-    return joined.select(*[
-        F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c)
-        for c in docs.columns
-    ])
+    """``docs`` with its columns, without the words marked ``removed`` and the lines left empty; every row stays."""
+    span = F.struct("paragraph", "first_word", "n_words")
+    gone = repeats.where("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(span).alias("__gone"))
+    joined = docs.join(gone, F.col(id_col) == F.col("__id"), "left").select(*docs.columns, "__gone")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            at = b.schema.get_field_index(text_col)
+            texts = b.column(at).to_pylist()
+            for i, cuts in enumerate(b.column("__gone").to_pylist()):
+                if cuts and texts[i] is not None:
+                    by_line: dict[int, list[tuple[int, int]]] = {}
+                    for c in cuts:
+                        by_line.setdefault(c["paragraph"], []).append((c["first_word"], c["n_words"]))
+                    texts[i] = _without(texts[i], by_line)
+            done = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+            yield done.select(docs_columns)
+
+    docs_columns = docs.columns
+    return joined.mapInArrow(run, docs.schema)

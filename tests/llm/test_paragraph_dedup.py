@@ -111,3 +111,57 @@ def test_links_span_components():
             assert top(i) != top(j)
             root[top(i)] = top(j)
         assert all(top(i) == top(j) for i in range(60) for j in range(i) if close(i, j))
+
+
+def brute_spans(texts, span=P.SPAN):
+    """Words left of every line: those in no later copy of a window, or in the first of one."""
+    seen, lines = {}, {}
+    for doc, t in enumerate(texts):
+        for pos, line in enumerate(t.split("\n")):
+            w = lines[doc, pos] = line.lower().split()
+            for i in range(len(w) - span + 1):
+                seen.setdefault(tuple(w[i : i + span]), []).append((doc, pos, i))
+    keep, drop = set(), set()
+    for places in seen.values():
+        if len(places) > 1:
+            keep |= {(places[0][:2], places[0][2] + k) for k in range(span)}
+            drop |= {(p[:2], p[2] + k) for p in places[1:] for k in range(span)}
+    return {at: [x for i, x in enumerate(w) if (at, i) not in drop - keep] for at, w in lines.items()}
+
+
+def test_passages_inside_unlike_lines(frame):
+    rng = random.Random(8)
+    words = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    passages = [words(n) for n in (50, 52, 60, 90, 400, 49)]
+    texts = [" ".join(words(150)) for _ in range(4)]
+    for k in range(40):
+        p = passages[k % 6]
+        lines = [words(rng.randrange(0, 30)), words(rng.randrange(60, 400)) + p + words(rng.randrange(60, 400))]
+        if k % 3 == 0:
+            lines[1] += passages[3][20:] + words(40)
+        texts.append("\n".join(" ".join(x) for x in lines))
+    texts.append(" ".join(words(30) + ["um"] * 300 + words(30)))  # repeats itself
+    # near the ends of a line, and a line that is wholly part of a longer one
+    texts += [" ".join(passages[1] + words(200)), " ".join(words(200) + passages[1]), " ".join(passages[4][100:180])]
+    df = frame(texts)
+    want = brute_spans(texts)
+    repeats = P.find_repeats(df)
+    left = {r["doc_id"]: r["text"] for r in P.remove_repeats(df, repeats).collect()}
+    for doc, t in enumerate(texts):
+        n = len(t.split("\n"))
+        lines = [" ".join(want[doc, k]) for k in range(n) if want[doc, k] or not t.split("\n")[k]]
+        assert "\n".join(x.rstrip() for x in left[doc].split("\n")) == "\n".join(lines)
+    rows = [r for r in repeats.collect() if r["removed"]]
+    assert rows and all((r["kept_doc_id"], r["kept_paragraph"]) <= (r["doc_id"], r["paragraph"]) for r in rows)
+    assert not [r for r in rows if r["doc_id"] < 4]
+
+
+def test_run_hashes_and_picks():
+    w = [f"x{i % 37}" for i in range(200)]
+    for n in (1, 16, 37, 50):
+        h = P.run_hashes(w, n)
+        assert len(h) == 200 - n + 1
+        same = [[w[i : i + n] == w[j : j + n] for j in range(len(h))] for i in range(len(h))]
+        assert (np.equal.outer(h, h) == np.array(same)).all()
+    at = P.picked(P.run_hashes(w, 16), 35)
+    assert at[0] < 35 and np.diff(at).max() <= 35 and 185 - at[-1] <= 35
