@@ -179,9 +179,11 @@ def kmers(seq: Column, k: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
 
 
-def template_search(queries: DataFrame, refs: DataFrame, k: int = 8) -> DataFrame:
+def template_search(queries: DataFrame, refs: DataFrame, k: int = 8, all_queries: bool = False) -> DataFrame:
     """Reference sharing the most distinct k-mers with each query; smallest ``ref_id`` on ties.
 
+    A query that shares none has no row; with ``all_queries`` it has one without ``ref_id``, and ``shared`` 0.
+
     The reference words are written once and counted. Under the size bound they are broadcast, so that
     the counts per (query, reference) combine inside the task holding the query and its words are
     never shuffled; a larger reference set is joined by word.
@@ -191,7 +193,11 @@ def template_search(queries: DataFrame, refs: DataFrame, k: int = 8) -> DataFram
     r = broadcast_if_small(r, r.count(), 64)
     shared = q.join(r, "w").groupBy("seq_id", "ref_id").agg(F.count("*").alias("shared"))
     best = shared.groupBy("seq_id").agg(F.min_by(F.struct("ref_id", "shared"), F.struct(-F.col("shared"), "ref_id")).alias("b"))
-    return best.select("seq_id", "b.ref_id", "b.shared")
+    found = best.select("seq_id", "b.ref_id", "b.shared")
+    if not all_queries:
+        return found
+    every = queries.select("seq_id").distinct().join(found, "seq_id", "left")
+    return every.select("seq_id", "ref_id", F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
 def mismatches(a: Column, b: Column) -> Column:
@@ -308,10 +314,17 @@ def _score(words: DataFrame, keys: list[str], model: tuple[DataFrame, DataFrame,
     return best.select(*keys, "b.taxon", (-F.col("b.loss")).alias("score"))
 
 
-def nb_classify(queries: DataFrame, train: DataFrame, k: int = 8) -> DataFrame:
-    """Naive-Bayes class of each query and its log score."""
+def nb_classify(queries: DataFrame, train: DataFrame, k: int = 8, all_queries: bool = False) -> DataFrame:
+    """Naive-Bayes class of each query and its log score.
+
+    A query without a word has no row; with ``all_queries`` it has one without ``taxon``, its score the empty sum, 0.
+    """
     words = queries.select("seq_id", F.explode(kmers(F.col("seq"), k)).alias("w"))
-    return _score(words, ["seq_id"], train_kmer_classes(train, k))
+    scored = _score(words, ["seq_id"], train_kmer_classes(train, k))
+    if not all_queries:
+        return scored
+    every = queries.select("seq_id").distinct().join(scored, "seq_id", "left")
+    return every.select("seq_id", "taxon", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def nb_bootstrap(
@@ -321,7 +334,8 @@ def nb_bootstrap(
     """Class with bootstrap confidence per rank; ranks under ``cutoff`` become ``unclassified``.
 
     Each iteration scores a hash-chosen eighth of the query's words; one that draws no word casts no vote. ``lineages(taxon, ranks)`` holds
-    the rank names from the root down.
+    the rank names from the root down. A query without any vote is ``unclassified`` at confidence 0 on every rank, one
+    without a word on all ranks of the deepest lineage and without ``taxon``.
     """
     model = train_kmer_classes(train, k)
     words = checkpointed(queries.select("seq_id", F.explode(kmers(F.col("seq"), k)).alias("w")))
@@ -334,15 +348,22 @@ def nb_bootstrap(
     prefix = lambda a, i: F.slice(a, 1, i + 1)
     votes = (
         full.select("seq_id", "taxon", F.posexplode("ranks").alias("depth", "name"), "ranks")
-        .join(boot.select("seq_id", "drawn"), "seq_id")
+        .join(boot.select("seq_id", "drawn"), "seq_id", "left")
         .groupBy("seq_id", "taxon", "depth", "name")
         .agg((100 * F.count_if(prefix(F.col("ranks"), F.col("depth")) == prefix(F.col("drawn"), F.col("depth")))
               / F.count("*")).alias("conf"))
     )
-    return votes.select(
+    named = votes.select(
         "seq_id", "taxon", (F.col("depth") + 1).alias("rank"),
         F.when(F.col("conf") >= cutoff, F.col("name")).otherwise("unclassified").alias("name"), "conf",
     )
+    deepest = lineages.agg(F.max(F.size("ranks"))).first()[0] or 0
+    blank = queries.select("seq_id").distinct().join(words, "seq_id", "left_anti")
+    ranks = F.explode(F.sequence(F.lit(1), F.lit(deepest))) if deepest else F.explode(F.array().cast("array<int>"))
+    taxon = F.lit(None).cast(named.schema["taxon"].dataType)
+    return named.unionByName(
+        blank.select("seq_id", taxon.alias("taxon"), ranks.alias("rank"), F.lit("unclassified").alias("name"), F.lit(0.0).alias("conf"))
+    )
 
 
 # ---------------------------------------------------------------- near pairs

@@ -193,6 +193,23 @@ def test_classifier_bootstrap_is_confident_on_clear_input(spark):
     assert {(r["seq_id"], r["name"]) for r in rows if r["rank"] == 2} == {(1, "a"), (2, "b")}
 
 
+def test_texts_without_a_word_or_hit_have_a_row(spark):
+    train = spark.createDataFrame([(1, "a", "ACGTACGT"), (2, "b", "GGGGCCCC")], "seq_id long, taxon string, seq string")
+    q = spark.createDataFrame([(1, "ACGTAC"), (2, "TTTTTT"), (3, "AC"), (4, ""), (5, None)], "seq_id long, seq string")
+    refs = train.select(F.col("seq_id").alias("ref_id"), "seq")
+    got = {r["seq_id"]: (r["ref_id"], r["shared"]) for r in Q.template_search(q, refs, k=4, all_queries=True).collect()}
+    assert got == {1: (1, 3), 2: (None, 0), 3: (None, 0), 4: (None, 0), 5: (None, 0)}
+    rows = {r["seq_id"]: r for r in Q.nb_classify(q, train, k=4, all_queries=True).collect()}
+    assert set(rows) == {1, 2, 3, 4, 5} and rows[1]["taxon"] == "a"
+    assert all(rows[i]["taxon"] is None and rows[i]["score"] == 0 for i in (3, 4, 5))
+    lineages = spark.createDataFrame([("a", ["root", "a"]), ("b", ["root", "b"])], "taxon string, ranks array<string>")
+    boot = Q.nb_bootstrap(q, train, lineages, k=4, iters=30).collect()
+    assert sorted((r["seq_id"], r["rank"]) for r in boot) == [(i, k) for i in range(1, 6) for k in (1, 2)]
+    assert all((r["taxon"], r["name"], r["conf"]) == (None, "unclassified", 0) for r in boot if r["seq_id"] > 2)
+    few = Q.nb_bootstrap(q, train, lineages, k=4, iters=1).collect()  # most words are not drawn
+    assert sorted((r["seq_id"], r["rank"]) for r in few) == [(i, k) for i in range(1, 6) for k in (1, 2)]
+
+
 def test_consensus_falls_back_to_the_parent(spark):
     df = spark.createDataFrame(
         [(1, 60, ["B", "F", "x"]), (1, 40, ["B", "G", "y"]), (2, 1, ["P", "Q", "r"]), (2, 1, ["S", "T", "u"])],
