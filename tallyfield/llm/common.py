@@ -92,6 +92,12 @@ def global_rank(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
     return ranked.drop("__part", "__first", "__row", "__tie"), n
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a table of this library's own below the shared folder, once nothing reads it any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 __all__ = [
-    "HOT_SHARE", "broadcast_if_small", "checkpointed", "global_rank", "join_hot", "slices", "small_batches", "strings", "utf8",
+    "HOT_SHARE", "broadcast_if_small", "checkpointed", "global_rank", "join_hot", "remove_path", "slices", "small_batches", "strings", "utf8",
 ]
