@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import broadcast_if_small, checkpointed
+from ..session import BROADCAST_BYTES, broadcast_if_small, checkpointed
 
 #: A key is hot if it holds more than this share of the rows; so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1e-3
@@ -38,6 +40,22 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
             yield b.slice(at, rows)
 
 
+#: Bytes of text that are worked on at a time; a longer text is on its own.
+CHUNK = 1 << 20
+
+
+def byte_slices(batches: Iterable[pa.RecordBatch], text: str | int, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with at most ``size`` (``CHUNK``) bytes of text, or one longer text."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < b.num_rows:
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + (size or CHUNK), "right")))
+            yield b.slice(first, last - first)
+            first = last
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = ROWS):
     """Jobs inside get Arrow batches of at most so many rows, which bounds both sides' buffers for long texts."""
@@ -99,5 +117,5 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 __all__ = [
-    "HOT_SHARE", "broadcast_if_small", "checkpointed", "global_rank", "join_hot", "remove_path", "slices", "small_batches", "strings", "utf8",
+    "BROADCAST_BYTES", "HOT_SHARE", "broadcast_if_small", "byte_slices", "checkpointed", "global_rank", "join_hot", "remove_path", "slices", "small_batches", "strings", "utf8",
 ]

@@ -17,10 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import byte_slices
+
 #: Of 100 documents about so many stay plain, and of 100 others about so many have the suffix first.
 PLAIN, SUFFIX_FIRST = 10, 20
-#: Bytes of text that are moved at a time; a longer text is a batch of its own.
-CHUNK = 1 << 20
 _LETTERS = np.frombuffer(b"PSM", np.uint8)
 _MARK_BYTES = np.frombuffer(b"<P><S><M>", np.uint8).reshape(3, 3)
 
@@ -39,17 +39,6 @@ def texts(data: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
 
 
-def pieces(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """The same rows with about ``CHUNK`` bytes of text at a time."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
-    first = 0
-    while first < batch.num_rows:
-        done = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, done + CHUNK, "right")))
-        yield batch.slice(first, last - first)
-        first = last
-
-
 def find_marks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, letter (0 to 2 for P, S, M) and place of every mark that lies within one text, in order."""
     if len(data) < 3:
@@ -126,11 +115,11 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``n`` counts code points; cuts and form follow from the id alone. Null text is empty and, as texts that hold a
     mark, plain; the two lengths are null there. A null id draws as an empty string; repeated rows give equal rows.
-    Memory follows the Arrow batch and ``CHUNK``, or the longest text.
+    Memory follows the Arrow batch and ``common.CHUNK``, or the longest text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x for whole in batches for x in pieces(whole, 1)):
+        for b in byte_slices(batches, 1):
             out = transform(*raw(b.column(1)), draws(b.column(0).to_pylist(), salt))
             plain = out["form"] == 0
             yield pa.RecordBatch.from_arrays(
@@ -155,7 +144,7 @@ def restored(made: DataFrame, output_col: str = "output", form_col: str = "form"
     text, form = kept.index(output_col), kept.index(form_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x for whole in batches for x in pieces(whole, text)):
+        for b in byte_slices(batches, text):
             forms = np.array([FORMS.index(f) if f in FORMS else 0 for f in b.column(form).to_pylist()], np.int64)
             back = texts(*restore(*raw(b.column(text)), forms))
             yield pa.RecordBatch.from_arrays([*b.columns, back], names=[*kept, name])

@@ -1,12 +1,17 @@
 """Substring dedup: MinHash bands over paragraphs, exact Jaccard on colliding ones, components of removals.
 
-A paragraph is a line of at least ``min_words`` words; words are lower-cased and split at white space. Equal word
-sequences collapse to one before banding, so thousands of copies are one row from there on.
-
-The lines that stay are searched for passages of ``span`` words or more that repeat word by word inside unlike lines.
-Runs of ``SEED`` words are picked by the smallest hash in a window, which falls on the same words in every copy of a
-passage; around the picked runs that occur again all windows of ``span`` words are grouped, and those that
-repeat are joined to word spans.
+A paragraph is a line of at least ``min_words`` words, or a run of shorter lines, up to a blank or a long one, that has
+so many together, as in text wrapped by line breaks. Words are lower-cased and split at white space, so the same
+words wrapped otherwise are the same paragraph. Equal word sequences collapse to one before banding: thousands of
+copies are one row from there on.
+
+What stays is searched for passages of ``span`` words or more that repeat word by word, in each document's whole word
+sequence, line breaks being white space. Runs of ``SEED`` words are picked by the smallest hash in a window, which falls on
+the same words in every copy of a passage; around the picked runs that occur again all windows of ``span`` words
+are grouped, and those that repeat are joined to word spans.
+
+Texts are cut into words once for all documents; again for those that hold a colliding paragraph, and for those that
+hold a picked run of another place.
 """
 
 from __future__ import annotations
@@ -23,16 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.seqs import connected_components
-from .common import broadcast_if_small, checkpointed, join_hot, slices, small_batches, strings
+from .common import BROADCAST_BYTES, byte_slices, checkpointed, join_hot, small_batches, strings
 
 SHINGLE = 5
-MIN_WORDS = 20
+MIN_WORDS = 50
 THRESHOLD = 0.8
-#: Members of a band bucket that one task compares; larger ones go as pairs of blocks of half that size.
-BLOCK = 16_000
-#: Words of the shortest repeated passage inside a line, and of the runs picked to find it.
+#: Bytes of shingle sets of a band bucket that one task compares; larger ones go as pairs of blocks of half that size.
+BLOCK_BYTES = 8 << 20
+#: Words of the shortest repeated passage, and of the runs picked to find it.
 SPAN = 50
 SEED = 16
+#: Distinct words whose hash a worker remembers.
+CACHE = 300_000
+
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -53,100 +62,216 @@ def tune_bands(threshold: float = THRESHOLD, recall: float = 0.9999, hashes: int
     raise ValueError("no banding reaches that recall")
 
 
-def shingles(words: list[str], k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word ``k``-shingles; fewer words are one shingle."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    if len(h) <= k:
-        return np.array([xxhash.xxh3_64_intdigest(h.tobytes())], np.uint64)
-    out = np.zeros(len(h) - k + 1, np.uint64)
-    for i in range(k):
-        out = (out ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
+class _WordHash(dict):
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < CACHE:
+            self[word] = h
+        return h
+
+
+_HASH = _WordHash()
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = a * _GOLDEN + b * np.uint64(0xC2B2AE3D27D4EB4F)
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
 
 
-def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash of every ``n`` consecutive word hashes, put together from runs of doubled length."""
+    if len(h) < n:
+        return h[:0]
+    out, done, part, size = None, 0, h, 1
+    while True:
+        if n & size:
+            m = len(h) - done - size + 1
+            out = part[:m] if out is None else _mix(out[:m], part[done : done + m])
+            done += size
+        if done == n:
+            return out
+        part, size = _mix(part[:-size], part[size:]), 2 * size
+
+
+def _slide(x: np.ndarray, window: int, take) -> np.ndarray:
+    """``take`` (smallest or largest) of every ``window`` consecutive values, in log steps."""
+    size = 1
+    while 2 * size <= window:
+        x, size = take(x[:-size], x[size:]), 2 * size
+    return take(x[: len(x) - (window - size)], x[window - size :]) if window > size else x
+
+
+def picked(h: np.ndarray, window: int) -> np.ndarray:
+    """Places of the smallest hash in every ``window`` consecutive ones, all places of equal ones."""
+    if len(h) < window:
+        return np.zeros(0, np.int64)
+    low = _slide(h, window, np.minimum)
+    # the largest of the minima of all windows over a place; before the first and after the last there is none
+    over = _slide(np.concatenate([np.zeros(window - 1, h.dtype), low, np.zeros(window - 1, h.dtype)]), window, np.maximum)
+    return np.flatnonzero(over == h)
+
+
+def _within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers ``starts[i] .. starts[i] + sizes[i] - 1`` of all ``i`` in order."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Words:
+    """The words of some texts as hashes, with the first word of every text and line."""
+
+    def __init__(self, texts: list[str]):
+        flat: list[str] = []
+        lines, of_text = [0], [0]
+        for t in texts:
+            for line in t.lower().split("\n"):
+                flat += line.split()
+                lines.append(len(flat))
+            of_text.append(len(lines) - 1)
+        self.hash = np.fromiter(map(_HASH.__getitem__, flat), np.uint64, len(flat))
+        self.line = np.array(lines, np.int64)
+        self.first_line = np.array(of_text, np.int64)
+        self.text = self.line[self.first_line]
+
+    def paragraphs(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first word and size of every paragraph of ``least`` words or more."""
+        sizes = np.diff(self.line)
+        short = (sizes > 0) & (sizes < least)
+        new = np.ones(len(sizes), bool)
+        new[1:] = ~(short[1:] & short[:-1])
+        new[self.first_line[:-1]] = True
+        at = np.flatnonzero(new)
+        start, size = self.line[at], np.diff(np.append(self.line[at], self.line[-1]))
+        own = np.searchsorted(self.first_line, at, "right") - 1
+        some = (size >= least) & (size > 0)
+        return own[some], start[some], size[some]
+
+    def sets(self, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the word shingles of paragraphs, repeats included, and how many each has; a shorter one has one."""
+        every = run_hashes(np.append(self.hash, np.zeros(SHINGLE - 1, np.uint64)), SHINGLE)
+        few = np.minimum(size, SHINGLE)
+        for i in np.flatnonzero(size < SHINGLE):  # its words, then zeros
+            own = np.zeros(SHINGLE, np.uint64)
+            own[: size[i]] = self.hash[start[i] : start[i] + size[i]]
+            every[start[i]] = run_hashes(own, SHINGLE)[0]
+        n = size - few + 1
+        return every[_within(start, n)], n
+
+
+def digests(sh: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each paragraph's word sequence, from its shingles and their places in it."""
+    if not len(n):
+        return np.zeros(0, np.uint64)
+    place = _within(np.zeros(len(n), np.int64), n).astype(np.uint64)
+    return np.add.reduceat(_mix(sh, place), np.cumsum(n) - n)
+
+
+def band_keys(sh: np.ndarray, n: np.ndarray, bands: Bands) -> np.ndarray:
+    """One 64-bit key per paragraph and band over the minima of multiply-and-mix hashes of the shingles."""
     rng = np.random.default_rng(11)
-    return rng.integers(1, 1 << 63, n, np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
+    mul = rng.integers(1, 1 << 63, bands.count * bands.rows, np.uint64) | np.uint64(1)
+    add = rng.integers(0, 1 << 63, bands.count * bands.rows, np.uint64)
+    keys = np.tile(np.arange(bands.count, dtype=np.uint64), (len(n), 1))
+    if not len(n):
+        return keys
+    first = np.cumsum(n) - n
+    for band in range(bands.count):
+        for r in range(band * bands.rows, (band + 1) * bands.rows):
+            x = sh * mul[r]
+            x += add[r]
+            x ^= x >> np.uint64(32)
+            key = (keys[:, band] ^ np.minimum.reduceat(x, first)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            keys[:, band] = key ^ (key >> np.uint64(31))
+    return keys
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
+
+
+def _scan(min_words: int, span: int, bands: Bands):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in byte_slices(batches, "text"):
+            words = Words(strings(b.column("text")))
+            n = b.num_rows
+            own, start, size = words.paragraphs(min_words)
+            sh, many = words.sets(start, size)
+            per = np.bincount(own, minlength=n)
+            at, seed = words_seeds(words, span)
+            text = np.searchsorted(words.text, at, "right") - 1
+            seeds = np.bincount(text, minlength=n)
+            lines = np.diff(words.first_line)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"), _lists((start - words.text[own]).astype(np.int32), per), _lists(size.astype(np.int32), per),
+                    _lists(digests(sh, many).view(np.int64), per), _lists(band_keys(sh, many, bands).view(np.int64).ravel(), per * bands.count),
+                    _lists((at - words.text[text]).astype(np.int32), seeds), _lists(seed.view(np.int64), seeds),
+                    _lists((words.line[:-1] - np.repeat(words.text[:-1], lines)).astype(np.int32), lines),
+                ],
+                names=[x.split()[0] for x in SCAN.split(", ")],
+            )
 
+    return run
 
-def band_keys(sh: np.ndarray, bands: Bands, seeds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """One 64-bit key per band over the minima of multiply-and-mix hashes of the shingles."""
-    mul, add = seeds
-    low = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(sh), 2048):
-        x = sh[at : at + 2048, None] * mul + add
-        x ^= x >> np.uint64(32)
-        low = np.minimum(low, x.min(axis=0))
-    rows = low[: bands.count * bands.rows].reshape(bands.count, bands.rows)
-    key = np.arange(bands.count, dtype=np.uint64)
-    for r in range(bands.rows):
-        key = (key ^ rows[:, r]) * np.uint64(0xC2B2AE3D27D4EB4F)
-        key ^= key >> np.uint64(31)
-    return key
 
+SCAN = (
+    "doc_id long, first array<int>, size array<int>, para array<long>, keys array<long>, at array<int>, seed array<long>, "
+    "lines array<int>"
+)
 
-def _paragraphs(text: str, min_words: int) -> Iterator[tuple[int, list[str]]]:
-    for pos, line in enumerate(text.split("\n")):
-        words = line.lower().split()
-        if len(words) >= min_words:
-            yield pos, words
 
+def words_seeds(words: Words, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the picked runs; every window of ``span`` words inside a text holds one."""
+    h = run_hashes(words.hash, SEED)
+    at = picked(h, span - SEED + 1)
+    text = np.searchsorted(words.text, at, "right") - 1
+    inside = (at + SEED <= words.text[text + 1]) & (np.diff(words.text)[text] >= span)
+    return at[inside], h[at[inside]]
 
-def _digest(words: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63)
 
+def scan(docs: DataFrame, id_col: str, text_col: str, min_words: int, span: int, bands: Bands) -> DataFrame:
+    """A row per document: its paragraphs (first word, size, digest of the words, band keys), picked runs and lines."""
+    with small_batches(docs.sparkSession):
+        return checkpointed(_plain(docs, id_col, text_col).mapInArrow(_scan(min_words, span, bands), SCAN))
 
-def paragraph_table(docs: DataFrame, id_col: str, text_col: str, min_words: int, bands: Bands) -> DataFrame:
-    """``(doc_id, pos, n_words, para, keys)`` for every paragraph; ``para`` is a 64-bit digest of its words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = _seeds(bands.count * bands.rows)
-        for b in slices(batches):
-            rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), strings(b.column(1))):
-                for pos, words in _paragraphs(text, min_words):
-                    rows.append((doc, pos, len(words), _digest(words), band_keys(shingles(words), bands, seeds).view(np.int64)))
-            if rows:
-                keys = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, (len(rows) + 1) * bands.count, bands.count, dtype=np.int32)),
-                    pa.array(np.concatenate([r[4] for r in rows])),
-                )
-                doc, pos, n, para, _ = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(para, pa.int64()), keys],
-                    names=["doc_id", "pos", "n_words", "para", "keys"],
-                )
-
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(
-        run, "doc_id long, pos int, n_words int, para long, keys array<long>"
-    )
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
 
+def _broadcast_if_small(df: DataFrame, per_list: str | None = None) -> DataFrame:
+    """A written table, hinted for a broadcast if its counted rows and list entries stay under the size bound."""
+    entries = F.sum(F.size(per_list)) if per_list else F.lit(0)
+    n = df.agg(F.count("*").alias("rows"), entries.alias("entries")).first()
+    return F.broadcast(df) if 64 * n["rows"] + 64 * (n["entries"] or 0) <= BROADCAST_BYTES else df
 
-def shingle_table(docs: DataFrame, id_col: str, text_col: str, places: DataFrame, min_words: int) -> DataFrame:
-    """``(para, shingles)`` of the paragraphs whose first place ``(doc_id, para)`` is in ``places``.
+
+def shingle_table(docs: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
+    """``(para, shingles)`` of the paragraphs whose place ``(doc_id, para)`` is in ``places``; ``docs`` as of ``_plain``.
 
     Texts are shuffled only where the places are too many to be broadcast.
     """
-    places = checkpointed(places)
-    wanted = places.groupBy("doc_id").agg(F.collect_list("para").alias("paras"))  # paragraphs of one document
-    wanted = broadcast_if_small(wanted, places.count(), 48)
-    both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id")
+    wanted = checkpointed(places.groupBy("doc_id").agg(F.collect_list("para").alias("paras")))  # paragraphs of one document
+    both = docs.join(_broadcast_if_small(wanted, "paras"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            para, found = [], []
-            for text, paras in zip(strings(b.column("text")), b.column("paras").to_pylist()):
-                left = set(paras)
-                for _, words in _paragraphs(text, min_words):
-                    d = _digest(words)
-                    if d in left:
-                        left.discard(d)
-                        para.append(d)
-                        found.append(shingles(words).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(para, pa.int64()), pa.array(found, pa.binary())], names=["para", "shingles"])
-
-    return both.mapInArrow(run, "para long, shingles binary").dropDuplicates(["para"])
+        for b in byte_slices(batches, "text"):
+            words = Words(strings(b.column("text")))
+            own, start, size = words.paragraphs(min_words)
+            sh, many = words.sets(start, size)
+            found, names = [], []
+            ends = np.cumsum(many)
+            left = [set(x) for x in b.column("paras").to_pylist()]
+            for text, para, s, e in zip(own.tolist(), digests(sh, many).view(np.int64).tolist(), (ends - many).tolist(), ends.tolist()):
+                if para in left[text]:
+                    left[text].discard(para)
+                    names.append(para)
+                    found.append(np.unique(sh[s:e]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.binary())], names=["para", "shingles"])
+
+    return both.select("text", "paras").mapInArrow(run, "para long, shingles binary").dropDuplicates(["para"])
 
 
 def links(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
@@ -216,28 +341,28 @@ def _compare(threshold: float):
     return run
 
 
-def _line_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int, threshold: float, recall: float) -> DataFrame:
-    """The result rows of whole lines, without the word columns."""
-    bands = tune_bands(threshold, recall)
-    with small_batches(docs.sparkSession):
-        places = checkpointed(
-            paragraph_table(docs.where(F.col(id_col).isNotNull()), id_col, text_col, min_words, bands)
-        )
+def _paragraph_repeats(docs: DataFrame, scanned: DataFrame, min_words: int, threshold: float) -> DataFrame:
+    """``(doc_id, first_word, n_words, component_id, kept_doc_id, kept_first_word)`` of all paragraphs with a like one."""
+    places = scanned.select("doc_id", F.inline(F.arrays_zip("first", "size", "para")))
+    count = F.size("para")
+    keyed = scanned.where(count > 0).select(
+        "doc_id", F.posexplode("para").alias("k", "para"), "first", "size", "keys", (F.size("keys") / count).cast("int").alias("bands")
+    ).select("doc_id", "para", F.col("first")[F.col("k")].alias("first"), F.col("size")[F.col("k")].alias("size"),
+             F.expr("slice(keys, k * bands + 1, bands)").alias("keys"))
     # one row per word sequence, with its first place and number of occurrences
-    unique = places.groupBy("para").agg(
-        F.min(F.struct("doc_id", "pos")).alias("place"), F.count("*").alias("n"), F.first("keys").alias("keys")
-    )
-    rows = checkpointed(unique)
-    banded = rows.select("para", F.explode("keys").alias("band"))
-    shared = checkpointed(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"))
-    hits = checkpointed(banded.join(broadcast_if_small(shared, shared.count(), 32), "band"))
-    near = hits.select("para").distinct()
-    first = rows.select("para", F.col("place.doc_id").alias("doc_id")).join(near, "para")
-    table = shingle_table(docs, id_col, text_col, first, min_words)
-    half = BLOCK // 2
-    # a bucket over BLOCK is dealt to blocks, and every pair of blocks is compared by a task of its own
-    blocks = F.when(F.col("members") > BLOCK, F.ceil(F.col("members") / half)).otherwise(1).cast("int")
-    dealt = hits.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("para", "band"), F.col("blocks")).cast("int"))
+    rows = checkpointed(keyed.groupBy("para").agg(
+        F.min(F.struct("doc_id", "first")).alias("place"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")
+    ))
+    banded = rows.select("para", "size", F.explode("keys").alias("band"))
+    shared = checkpointed(banded.groupBy("band").agg(F.count("*").alias("members"), F.sum("size").alias("words")).where("members > 1"))
+    hits = checkpointed(banded.drop("size").join(_broadcast_if_small(shared), "band"))
+    first = rows.select("para", F.col("place.doc_id").alias("doc_id")).join(hits.select("para").distinct(), "para")
+    table = shingle_table(docs, first, min_words)
+    # a bucket over BLOCK_BYTES is dealt to blocks, and every pair of blocks is compared by a task of its own
+    half = BLOCK_BYTES // 2
+    blocks = F.when(8 * F.col("words") > BLOCK_BYTES, F.ceil(8 * F.col("words") / half)).otherwise(1).cast("int")
+    dealt = hits.withColumn("blocks", F.least(blocks, F.col("members").cast("int")))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("para", "band"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 OR other <> own")
     key = F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))
     group = dealt.select("para", key.alias("key")).join(table, "para")
@@ -251,245 +376,202 @@ def _line_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int, t
     )
     kept = member.groupBy("component_id").agg(F.min("place").alias("kept"))
     named = checkpointed(member.join(kept, "component_id").select("para", "n", "component_id", "kept"))
-    found = join_hot(places.drop("keys"), named, "para", "n")
-    return found.select(
-        "doc_id", F.col("pos").alias("paragraph"), "n_words", "component_id",
-        F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.pos").alias("kept_paragraph"),
-        ((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("pos") != F.col("kept.pos"))).alias("removed"),
+    return join_hot(places, named, "para", "n").select(
+        "doc_id", F.col("first").alias("first_word"), F.col("size").alias("n_words"), "component_id",
+        F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.first").alias("kept_first_word"),
     )
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
-
-
-def run_hashes(words: list[str], n: int) -> np.ndarray:
-    """64-bit hash of every ``n`` consecutive words, put together from runs of doubled length."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    if len(h) < n:
-        return h[:0]
-    out, done, part, size = None, 0, h, 1
-    while True:
-        if n & size:
-            m = len(h) - done - size + 1
-            out = part[:m] if out is None else _mix(out[:m], part[done : done + m])
-            done += size
-        if done == n:
-            return out
-        part, size = _mix(part[:-size], part[size:]), 2 * size
-
-
-def picked(h: np.ndarray, window: int) -> np.ndarray:
-    """Places of the first smallest hash in every ``window`` consecutive ones."""
-    low = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1)
-    return np.unique(low + np.arange(len(low)))
-
-
-def _places(doc: list[int], places: list[np.ndarray], hashes: list[np.ndarray], name: str) -> pa.RecordBatch:
-    """Rows of one hash each; a place is the line number and the word number in one long."""
-    flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    docs = np.repeat(np.array(doc, np.int64), [len(p) for p in places])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(docs), pa.array(flat(places)), pa.array(flat(hashes).view(np.int64))], names=["doc_id", "place", name]
-    )
-
-
-def _pick_seeds(span: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            doc, places, hashes = [], [], []
-            for d, text, gone in zip(b.column("doc_id").to_pylist(), strings(b.column("text")), b.column("gone").to_pylist()):
-                gone = set(gone or ())
-                for pos, words in _paragraphs(text, span):
-                    if pos not in gone:
-                        h = run_hashes(words, SEED)
-                        at = picked(h, span - SEED + 1)
-                        doc.append(d)
-                        places.append((pos << 32) + at)
-                        hashes.append(h[at])
-            yield _places(doc, places, hashes, "seed")
-
-    return run
-
-
 def _windows(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            doc, places, hashes = [], [], []
-            for d, text, seeds in zip(b.column("doc_id").to_pylist(), strings(b.column("text")), b.column("seeds").to_pylist()):
-                seeds = np.unique(np.array(seeds, np.int64))
-                lines = seeds >> 32
-                wanted = set(lines.tolist())
-                for pos, words in _paragraphs(text, span):
-                    if pos in wanted:
-                        h = run_hashes(words, span)
-                        at = (seeds[lines == pos] & 0xFFFFFFFF)[:, None] - np.arange(span - SEED + 1)
-                        at = np.unique(at[(at >= 0) & (at < len(h))])
-                        doc.append(d)
-                        places.append((pos << 32) + at)
-                        hashes.append(h[at])
-            yield _places(doc, places, hashes, "win")
+        for b in byte_slices(batches, "text"):
+            words = Words(strings(b.column("text")))
+            h = run_hashes(words.hash, span)
+            places, own = [], []
+            begin, end = words.text[:-1], words.text[1:]
+            for i, (seeds, gone) in enumerate(zip(b.column("seeds").to_pylist(), b.column("gone").to_pylist())):
+                n = int(end[i] - begin[i])
+                at = np.unique(np.array(seeds, np.int64)[:, None] - np.arange(span - SEED + 1))
+                at = at[(at >= 0) & (at + span <= n)]
+                if gone:
+                    cover = np.zeros(n + 1, np.int64)
+                    for g in gone:
+                        cover[g["first_word"] + 1 : g["first_word"] + g["n_words"] + 1] = 1
+                    cover = np.cumsum(cover)
+                    at = at[cover[at + span] == cover[at]]
+                places.append(at)
+                own.append(begin[i] + at)
+            flat = np.concatenate(places) if places else np.zeros(0, np.int64)
+            docs = np.repeat(b.column("doc_id").to_numpy(), [len(p) for p in places])
+            hashes = h[np.concatenate(own)] if len(flat) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs), pa.array(flat.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["doc_id", "at", "win"]
+            )
 
     return run
 
 
-def line_spans(at: np.ndarray, first_doc: np.ndarray, first_at: np.ndarray, own: np.ndarray, span: int) -> list[tuple]:
-    """``(first_word, n_words, kept_doc, kept_place, removed)`` of one line from its repeated windows, by place.
+def spans(at: np.ndarray, first_doc: np.ndarray, first_at: np.ndarray, own: np.ndarray, span: int) -> list[tuple]:
+    """``(first_word, n_words, kept_doc, kept_word, removed)`` of one document from its repeated windows, by place.
 
     A word goes if a window that repeats an earlier one has it and no window that is the first of its kind does; so
-    the first occurrence of every repeated passage stays whole.
+    the first occurrence of every repeated passage stays whole. Neighbouring words that go are one span, whatever
+    they repeat; its kept place is that of its first word.
     """
-    n = int(at[-1] & 0xFFFFFFFF) + span
-    word = at & 0xFFFFFFFF
+    n = int(at[-1]) + span
 
     def covered(some: np.ndarray) -> np.ndarray:
         steps = np.zeros(n + 1, np.int64)
-        np.add.at(steps, word[some], 1)
-        np.add.at(steps, word[some] + span, -1)
+        np.add.at(steps, at[some], 1)
+        np.add.at(steps, at[some] + span, -1)
         return np.cumsum(steps[:n]) > 0
 
+    def runs(mask: np.ndarray) -> list[list[int]]:
+        return np.flatnonzero(np.diff(mask, prepend=False, append=False)).reshape(-1, 2).tolist()
+
     keep = covered(own)
-    drop = covered(~own) & ~keep
-    out = []
-    edges = np.flatnonzero(np.diff(keep, prepend=False, append=False)).reshape(-1, 2)
-    out += [(int(s), int(e - s), None, None, False) for s, e in edges]
-    if drop.any():
-        later = np.flatnonzero(~own)
-        from_ = later[np.maximum(np.searchsorted(word[later], np.arange(n), "right") - 1, 0)]
-        doc, shift = first_doc[from_], first_at[from_] - word[from_]
-        new = np.flatnonzero(drop & (~np.roll(drop, 1) | (doc != np.roll(doc, 1)) | (shift != np.roll(shift, 1)) | (np.arange(n) == 0)))
-        for s, stop in zip(new, [*new[1:], n]):
-            out.append((int(s), int(np.count_nonzero(drop[s:stop])), int(doc[s]), int(shift[s] + s), True))
+    out = [(s, e - s, None, None, False) for s, e in runs(keep)]
+    later = np.flatnonzero(~own)
+    for s, e in runs(covered(~own) & ~keep):
+        k = later[max(0, int(np.searchsorted(at[later], s, "right")) - 1)]
+        out.append((s, e - s, int(first_doc[k]), int(first_at[k] - at[k] + s), True))
     return out
 
 
 def _join_spans(span: int):
+    names = ["doc_id", "first_word", "n_words", "kept_doc_id", "kept_first_word", "removed"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "paragraph", "first_word", "n_words", "kept_doc_id", "kept_paragraph", "removed"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
-        line: list[list[np.ndarray]] = []
-        current = None
+        current: int | None = None
+        parts: list[list[np.ndarray]] = []
 
         def close() -> list[tuple]:
             if current is None:
                 return []
-            place, fd, fp = (np.concatenate(x) for x in zip(*line))
-            place, at = np.unique(place, return_index=True)
-            fd, fp = fd[at], fp[at]
-            doc, pos = current
-            found = line_spans(place, fd, fp, (fd == doc) & (fp == place), span)
-            return [
-                (doc, pos, s, n, doc if kd is None else kd, pos if kd is None else kp >> 32, gone) for s, n, kd, kp, gone in found
-            ]
+            at, fd, fa = (np.concatenate(x) for x in zip(*parts))
+            at, some = np.unique(at, return_index=True)
+            fd, fa = fd[some], fa[some]
+            found = spans(at.astype(np.int64), fd, fa, (fd == current) & (fa == at), span)
+            return [(current, s, n, current if kd is None else kd, s if ka is None else ka, gone) for s, n, kd, ka, gone in found]
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names
-            )
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
         for b in batches:
-            doc, place, fd, fp = (b.column(c).to_numpy() for c in ("doc_id", "place", "first_doc", "first_place"))
-            pos = place >> 32
+            doc, at, fd, fa = (b.column(c).to_numpy() for c in ("doc_id", "at", "first_doc", "first_at"))
             rows = []
-            change = np.flatnonzero((np.diff(doc) != 0) | (np.diff(pos) != 0)) + 1
+            change = np.flatnonzero(np.diff(doc)) + 1
             for s, e in zip([0, *change], [*change, len(doc)]):
                 if s == e:
                     continue
-                if (int(doc[s]), int(pos[s])) != current:
+                if int(doc[s]) != current:
                     rows += close()
-                    current, line = (int(doc[s]), int(pos[s])), []
-                line.append([place[s:e], fd[s:e], fp[s:e]])
+                    current, parts = int(doc[s]), []
+                parts.append([at[s:e], fd[s:e], fa[s:e]])
             yield batch(rows)
         yield batch(close())
 
     return run
 
 
-def span_repeats(docs: DataFrame, id_col: str, text_col: str, gone: DataFrame, span: int) -> DataFrame:
-    """Repeated passages of at least ``span`` words inside the lines that are not in ``gone(doc_id, paragraph)``.
+def _span_repeats(docs: DataFrame, scanned: DataFrame, removed: DataFrame, span: int) -> DataFrame:
+    """Repeated passages of at least ``span`` words outside of the paragraphs ``removed(doc_id, first_word, n_words)``.
 
     Every repeated window of ``span`` words is found, as it holds a picked run at the same place as its copies.
     """
-    spark = docs.sparkSession
-    plain = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = checkpointed(gone.groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone")))  # lines of one document
-    left = plain.join(broadcast_if_small(lines, lines.count(), 48), "doc_id", "left")
-    with small_batches(spark):
-        seeds = checkpointed(left.mapInArrow(_pick_seeds(span), "doc_id long, place long, seed long"))
+    gone = checkpointed(  # paragraphs of one document
+        removed.groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "n_words")).alias("gone"))
+    )
+    runs = scanned.select("doc_id", F.arrays_zip("at", "seed").alias("runs")).where(F.size("runs") > 0)
+    meets = lambda r, g: (r["at"] < g["first_word"] + g["n_words"]) & (r["at"] + SEED > g["first_word"])
+    left = F.filter("runs", lambda r: ~F.exists("gone", lambda g: meets(r, g)))
+    seeds = runs.join(_broadcast_if_small(gone, "gone"), "doc_id", "left").select(
+        "doc_id", F.inline(F.when(F.col("gone").isNull(), F.col("runs")).otherwise(left))
+    )
+    seeds = checkpointed(seeds)
     again = checkpointed(seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"))
-    hits = join_hot(seeds, again, "seed", "n").groupBy("doc_id").agg(F.collect_list("place").alias("seeds"))
-    hits = checkpointed(hits)
-    both = plain.join(broadcast_if_small(hits, hits.count(), 256), "doc_id")
-    with small_batches(spark):
-        windows = checkpointed(both.mapInArrow(_windows(span), "doc_id long, place long, win long"))
-    place = F.struct(F.col("doc_id").alias("first_doc"), F.col("place").alias("first_place"))
+    hits = join_hot(seeds, again, "seed", "n").groupBy("doc_id").agg(F.collect_set("at").alias("seeds"))
+    hits = checkpointed(hits.join(gone, "doc_id", "left"))
+    both = docs.join(_broadcast_if_small(hits, "seeds"), "doc_id").select("doc_id", "text", "seeds", "gone")
+    with small_batches(docs.sparkSession):
+        windows = checkpointed(both.mapInArrow(_windows(span), "doc_id long, at int, win long"))
+    place = F.struct(F.col("doc_id").alias("first_doc"), F.col("at").alias("first_at"))
     firsts = windows.groupBy("win").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
     firsts = checkpointed(firsts.where("first <> last").select("win", "first.*", "n"))
-    marked = join_hot(windows, firsts, "win", "n").select("doc_id", "place", "first_doc", "first_place")
-    return marked.repartition("doc_id", F.shiftright("place", 32)).sortWithinPartitions("doc_id", "place").mapInArrow(
-        _join_spans(span),
-        "doc_id long, paragraph int, first_word int, n_words int, kept_doc_id long, kept_paragraph int, removed boolean",
+    marked = join_hot(windows, firsts, "win", "n").select("doc_id", "at", "first_doc", "first_at")
+    return marked.repartition("doc_id").sortWithinPartitions("doc_id", "at").mapInArrow(
+        _join_spans(span), "doc_id long, first_word int, n_words int, kept_doc_id long, kept_first_word int, removed boolean"
     )
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
                  threshold: float = THRESHOLD, recall: float = 0.9999, span: int = SPAN) -> DataFrame:
-    """Every paragraph that occurs again, equal or similar, and every passage that occurs again inside other lines.
-
-    ``(doc_id, paragraph, first_word, n_words, component_id, kept_doc_id, kept_paragraph, removed)``: ``paragraph`` is
-    the line number from 0, ``first_word`` and ``n_words`` the words of the line meant. For whole lines,
-    ``component_id`` is the digest of the component's smallest member; the first occurrence by (doc_id, paragraph) of a
-    component is kept, all others are removed. In the lines that stay, words in passages of at least ``span`` words
-    that occur earlier by (doc_id, paragraph, word) are removed, except those in the first occurrence of another one;
-    ``component_id`` is then the digest of the kept place's line. Null text has no paragraph; rows without an id are
-    left out, as they can't be named. Repeated rows repeat the same place and are kept or removed with it; a passage
-    inside them is given once.
+    """Every paragraph that occurs again, equal or similar, and every passage that occurs again in what stays.
+
+    ``(doc_id, paragraph, first_word, n_words, component_id, kept_doc_id, kept_first_word, removed)``: words are numbered
+    from 0 in the whole document, ``paragraph`` is the line that holds the first one. For paragraphs,
+    ``component_id`` is the digest of the component's smallest member; the first occurrence by (doc_id, first_word) of a
+    component is kept, all others are removed. In what stays, words in passages of at least ``span`` words that
+    occur earlier by (doc_id, word) are removed, except those in the first occurrence of another one;
+    ``component_id`` is then a hash of the kept place. Neighbouring words that go are one row. The kept places have rows,
+    too, with ``removed`` false: they are finds as well, and lie wholly in repeated passages.
+
+    Null text has no paragraph; rows without an id are left out, as they can't be named. Repeated rows repeat the
+    same place and are kept or removed with it; a passage inside them is given once. Rows of one id and other texts
+    are taken for one document.
     """
     if span < SEED:
         raise ValueError(f"span must be at least {SEED}")
-    lines = checkpointed(_line_repeats(docs, id_col, text_col, min_words, threshold, recall))
-    spans = span_repeats(docs, id_col, text_col, lines.where("removed").select("doc_id", "paragraph"), span)
-    columns = ["doc_id", "paragraph", "first_word", "n_words", "component_id", "kept_doc_id", "kept_paragraph", "removed"]
-    return lines.withColumn("first_word", F.lit(0)).select(columns).unionByName(
-        spans.withColumn("component_id", F.xxhash64("kept_doc_id", "kept_paragraph")).select(columns)
+    scanned = scan(docs, id_col, text_col, min_words, span, tune_bands(threshold, recall))
+    plain = _plain(docs, id_col, text_col)
+    paragraphs = checkpointed(
+        _paragraph_repeats(plain, scanned, min_words, threshold).withColumn(
+            "removed", (F.col("doc_id") != F.col("kept_doc_id")) | (F.col("first_word") != F.col("kept_first_word"))
+        )
+    )
+    inside = _span_repeats(plain, scanned, paragraphs.where("removed").select("doc_id", "first_word", "n_words"), span)
+    found = paragraphs.unionByName(inside.withColumn("component_id", F.xxhash64("kept_doc_id", "kept_first_word")))
+    lines = scanned.groupBy("doc_id").agg(F.min("lines").alias("lines"))
+    line = F.size(F.filter("lines", lambda x: x <= F.col("first_word"))) - 1
+    return found.join(lines, "doc_id").select(
+        "doc_id", line.alias("paragraph"), "first_word", "n_words", "component_id", "kept_doc_id", "kept_first_word", "removed"
     )
 
 
-def _without(text: str, gone: dict[int, list[tuple[int, int]]]) -> str:
-    lines = []
-    for pos, line in enumerate(text.split("\n")):
-        if pos in gone:
-            words = list(re.finditer(r"\S+", line))
-            keep = np.ones(len(words), bool)
-            for first, n in gone[pos]:
-                keep[first : first + n] = False
-            if not keep.any():
+def _without(text: str, gone: list[tuple[int, int]]) -> str:
+    """The text without the words in ``gone`` (first word, number) and without the lines that lose all of theirs."""
+    lines, at = [], 0
+    cut = np.zeros(max(first + n for first, n in gone) + 1, bool)
+    for first, n in gone:
+        cut[first : first + n] = True
+    for line in text.split("\n"):
+        words = list(re.finditer(r"\S+", line))
+        away = cut[at : at + len(words)]
+        at += len(words)
+        if away.any():
+            if len(away) == len(words) and away.all():
                 continue
             ends = [w.start() for w in words[1:]] + [len(line)]
-            line = line[: words[0].start()] + "".join(line[w.start() : e] for w, e, k in zip(words, ends, keep) if k)
+            away = away.tolist() + [False] * (len(words) - len(away))
+            line = line[: words[0].start()] + "".join(line[w.start() : e] for w, e, x in zip(words, ends, away) if not x)
         lines.append(line)
     return "\n".join(lines)
 
 
 def remove_repeats(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its columns, without the words marked ``removed`` and the lines left empty; every row stays."""
-    span = F.struct("paragraph", "first_word", "n_words")
+    span = F.struct("first_word", "n_words")
     gone = repeats.where("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(span).alias("__gone"))
     joined = docs.join(gone, F.col(id_col) == F.col("__id"), "left").select(*docs.columns, "__gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in byte_slices(batches, text_col):
             at = b.schema.get_field_index(text_col)
             texts = b.column(at).to_pylist()
             for i, cuts in enumerate(b.column("__gone").to_pylist()):
                 if cuts and texts[i] is not None:
-                    by_line: dict[int, list[tuple[int, int]]] = {}
-                    for c in cuts:
-                        by_line.setdefault(c["paragraph"], []).append((c["first_word"], c["n_words"]))
-                    texts[i] = _without(texts[i], by_line)
+                    texts[i] = _without(texts[i], [(c["first_word"], c["n_words"]) for c in cuts])
             done = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
             yield done.select(docs_columns)
 

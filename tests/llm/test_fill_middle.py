@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyfield.llm import fill_middle as M
-from tallyfield.llm import queries
+from tallyfield.llm import common, queries
 
 
 def brute(doc_id, text):
@@ -52,7 +52,7 @@ def test_batches(texts, first):
 
 
 def test_rows(frame, monkeypatch):
-    monkeypatch.setattr(M, "CHUNK", 50)
+    monkeypatch.setattr(common, "CHUNK", 50)
     texts = [*ODD, *ODD, "x" * 200_000 + "é" * 1000, "same text", "same text"]
     ids = [*range(len(texts) - 2), 77, 77]
     ids[3] = None
