@@ -4,6 +4,7 @@ side."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 from functools import reduce
@@ -55,6 +56,29 @@ def log_or_limit(x: Column, base10: bool = False) -> Column:
     return F.when(x > 0, f).when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan")))
 
 
+def _stirling_rest(x: Column) -> Column:
+    """What ``ln x!`` has beyond ``(x + 1/2) ln x - x + ln(2 pi) / 2``, for ``x`` of 16 and more."""
+    y = 1 / (x * x)
+    return (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x
+
+
+def log_factorial(x: Column) -> Column:
+    """``ln x!`` of a whole number of 0 or more."""
+    few = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
+    d = F.greatest(x, F.lit(16)).cast("double")
+    many = (d + 0.5) * F.log(d) - d + 0.5 * math.log(2 * math.pi) + _stirling_rest(d)
+    return F.when(x < 16, F.get(few, x.cast("int"))).otherwise(many)
+
+
+def log_falling(a: Column, n: Column) -> Column:
+    """``ln(a (a-1) .. (a-n+1))`` for ``0 <= n <= a``, without the difference of two large logarithms."""
+    x, k = a.cast("double"), n.cast("double")
+    left = F.greatest(x - k, F.lit(16.0))
+    near = (left + 0.5) * -F.log1p(-k / F.greatest(x, F.lit(1.0))) + k * F.log(F.greatest(x, F.lit(1.0))) - k
+    near = near + _stirling_rest(F.greatest(x, F.lit(16.0))) - _stirling_rest(left)
+    return F.when(a - n < 16, log_factorial(a) - log_factorial(F.greatest(a - n, F.lit(0)))).otherwise(near)
+
+
 def signif(x: Column, digits: int = 3) -> Column:
     """Round to significant digits."""
     p = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - (digits - 1))
