@@ -9,17 +9,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, strings
+from .common import byte_slices, slices
 
 MARK = "▁"
-#: Words remembered by a task beyond a slice's own; then the table starts anew. Longer words are never remembered.
-TABLE, LONG = 300_000, 64
+#: Characters of the words that a worker remembers beyond a slice's own; then the table starts anew.
+TABLE_CHARS = 4_000_000
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -37,36 +39,59 @@ class ChunkTable:
         for probe in ("a  b ", "ﬁ Ａ́\t ", MARK + "x"):
             if sp.normalize(probe) != (MARK + probe).replace(" ", MARK):
                 raise ValueError("this vocabulary normalises texts")
-        self.lone = np.array([sp.piece_to_id(MARK)], np.int32)
-        self.ids: dict[str, np.ndarray] = {}
+        self.lone = sp.piece_to_id(MARK)
+        self.clear()
+
+    def clear(self) -> None:
+        """Words by number; the ids of word ``i`` are ``flat[first[i] : first[i + 1]]``."""
+        self.number: dict[str, int] = {}
+        self.flat, self.first, self.chars = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        """Marked words without their first mark; an empty text has none."""
-        if not text:
-            return []
-        marked = text.replace(" ", MARK)
-        if MARK + MARK in marked or marked[0] == MARK or marked[-1] == MARK:
-            return [w[1:] for w in _MARKED.findall(MARK + marked)]
-        return marked.split(MARK)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and the number of ids of each."""
-        cut = [self.words(t) for t in texts]
-        if len(self.ids) > TABLE:
-            self.ids.clear()
-        new = list({w for words in cut for w in words}.difference(self.ids))
+    def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The marked words of all texts without their first mark, and the number of each text; an empty text has none."""
+        marked = pc.replace_substring(texts.cast(pa.large_string()), " ", MARK)
+        odd = pc.or_(pc.match_substring(marked, MARK + MARK), pc.match_substring_regex(marked, f"^{MARK}|{MARK}$|^$"))
+        odd = odd.to_numpy(zero_copy_only=False)
+        plain = pc.split_pattern(marked.filter(pa.array(~odd)), MARK)
+        others = [[w[1:] for w in _MARKED.findall(MARK + t)] if t else [] for t in marked.filter(pa.array(odd)).to_pylist()]
+        counts = np.empty(len(odd), np.int64)
+        counts[~odd] = plain.value_lengths().to_numpy(zero_copy_only=False)
+        counts[odd] = list(map(len, others))
+        words = pa.concat_arrays([plain.flatten(), pa.array(list(chain.from_iterable(others)), pa.large_string())])
+        if odd.any():  # back in the order of the texts
+            order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+            starts = np.empty(len(odd), np.int64)
+            starts[order] = np.cumsum(counts[order]) - counts[order]
+            words = words.take(pa.array(np.arange(len(words)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)))
+        return words, counts
+
+    def add(self, words: list[str]) -> None:
         # the library puts the first mark in front of every word; a mark alone is the one word it can't be given
-        found = [self.lone if not w else np.array(i, np.int32) for w, i in zip(new, self.sp.encode(new, num_threads=1))] if new else []
-        self.ids.update(zip(new, found))
-        at = self.ids.__getitem__
-        parts = [list(map(at, words)) for words in cut]
-        counts = np.array([sum(map(len, p)) for p in parts], np.int64)
-        flat = [x for p in parts for x in p]
-        for w in new:
-            if len(w) > LONG:
-                del self.ids[w]
-        return (np.concatenate(flat) if flat else np.zeros(0, np.int32)), counts
+        found = [i or [self.lone] for i in self.sp.encode(words, num_threads=1)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        self.chars += sum(map(len, words))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and the number of ids of each."""
+        if self.chars > TABLE_CHARS:
+            self.clear()
+        words, counts = self.words(texts)
+        chunks = words.dictionary_encode()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in distinct if w not in self.number]
+        if new:
+            self.add(new)
+        which = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[chunks.indices.to_numpy()]
+        sizes = (self.first[1:] - self.first[:-1])[which]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.flat[np.arange(total) + np.repeat(self.first[which] - (ends - sizes), sizes)]
+        last = np.concatenate([[0], np.cumsum(counts)])
+        return flat, np.diff(np.concatenate([[0], ends])[last])
 
 
 _WORKER: dict[int, ChunkTable] = {}
@@ -89,15 +114,15 @@ def _shared(df: DataFrame, model_path: str):
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids)`` for every row, without begin and end ids, in one pass without a shuffle.
 
-    Null and empty texts have no ids; repeated rows and null ids give a row each. Memory follows ``TABLE``, a slice's
+    Null and empty texts have no ids; repeated rows and null ids give a row each. Memory follows ``TABLE_CHARS``, a slice's
     distinct words and the longest text.
     """
     model = _shared(docs, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(model.value)
-        for b in slices(batches):
-            flat, counts = table.encode(strings(b.column(1)))
+        for b in byte_slices(batches, 1):
+            flat, counts = table.encode(pc.fill_null(b.column(1), ""))
             at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["doc_id", "ids"])
 
