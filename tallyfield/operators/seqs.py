@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..session import broadcast_if_small, checkpointed
+from .blocking import near_pairs
 from .ranks import quantiles
 
 # ---------------------------------------------------------------- measures and screening
@@ -369,53 +370,6 @@ def nb_bootstrap(
 # ---------------------------------------------------------------- near pairs
 
 
-def near_pairs(seqs: DataFrame, allowed: Callable[[Column], Column]) -> DataFrame:
-    """Pairs of equal-length distinct sequences differing in at most ``allowed(length)`` positions.
-
-    Exact blocking: a sequence is cut into ``m = 2(d+1)`` segments, so sequences within ``d``
-    mismatches share at least ``m - d`` of them. Ordering all segments by rarity, the ``d + 1``
-    rarest segments of two such sequences must meet in at least one; only those are joined, so
-    segments common to many sequences are not used for blocking. Candidates are verified.
-    """
-    base = seqs.select("seq_id", "seq", F.length("seq").alias("len"))
-    # a length that occurs once has no partner
-    shared = checkpointed(base.groupBy("len").agg(F.count("*").alias("_k")).where("_k > 1").select("len"))
-    width = max(1, int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    base = checkpointed(
-        base.join(broadcast_if_small(shared, shared.count(), 32), "len", "left_semi")
-        .withColumn("d", allowed(F.col("len")).cast("int")).repartition(width, "seq_id")
-    )
-    m = F.least(F.col("len"), 2 * (F.col("d") + 1))
-    cut = lambda i: F.floor(i * F.col("len") / F.col("m")).cast("int")
-    # sequences no longer than d match all others of their length: one segment, the empty one
-    pieces = F.when(F.col("len") <= F.col("d"), F.array(F.struct(F.lit(0).alias("i"), F.lit("").alias("s")))).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.col("m") - 1),
-            lambda i: F.struct(
-                i.cast("int").alias("i"), F.substring(F.col("seq"), cut(i) + 1, cut(i + 1) - cut(i)).alias("s")
-            ),
-        )
-    )
-    seg = base.withColumn("m", m.cast("int")).select("seq_id", "len", "d", F.explode(pieces).alias("p")).select(
-        "seq_id", "d", F.xxhash64("len", "p.i", "p.s").alias("key")
-    )
-    seg = checkpointed(seg)
-    freq = seg.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
-    # a segment held by one sequence only cannot block a pair, but it does use up a prefix place
-    ranked = seg.join(freq, "key", "left").withColumn("f", F.coalesce("f", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("seq_id").orderBy("f", "key"))
-    picks = ranked.withColumn("r", place).where((F.col("r") <= F.col("d") + 1) & (F.col("f") > 1)).select("seq_id", "key")
-    a, b = picks.withColumnRenamed("seq_id", "a"), picks.withColumnRenamed("seq_id", "b")
-    cand = a.join(b, "key").where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    sa = base.select(F.col("seq_id").alias("a"), F.col("seq").alias("sa"), "len", "d")
-    sb = base.select(F.col("seq_id").alias("b"), F.col("seq").alias("sb"), F.col("len").alias("lb"))
-    pairs = cand.join(sa, "a").join(sb, "b").where(F.col("len") == F.col("lb"))
-    return (
-        pairs.withColumn("diffs", mismatches(F.col("sa"), F.col("sb"))).where(F.col("diffs") <= F.col("d"))
-        .select("a", "b", "diffs", "len")
-    )
-
-
 def threshold_pairs(seqs: DataFrame, cutoff: float = 0.03) -> DataFrame:
     """Distance list below the cutoff: mismatches over length. Written once, as its users read it often."""
     pairs = near_pairs(seqs, lambda n: F.floor(n * F.lit(cutoff) + 1e-9))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyfield.operators import blocking as B
 from tallyfield.operators import seqs as Q
 from tallyfield.sources import tables as T
 
@@ -47,6 +48,30 @@ def test_near_pairs_have_full_recall(spark, d):
     assert len(out) == len(got) and got == near(texts, lambda n: d)
 
 
+@pytest.mark.parametrize("hot", [2000, 5])
+def test_near_pairs_of_other_texts(spark, monkeypatch, hot):
+    monkeypatch.setattr(B, "HOT", hot)
+    rng = random.Random(6)
+    texts = {"", "a", "b", "é", "漢字", "漢学", "😀b", "😀c"}
+    texts |= {"".join(rng.choice("ab😀") for _ in range(rng.randrange(1, 6))) for _ in range(150)}
+    texts |= {"".join(rng.choice("xy") for _ in range(9)) + "z" * 20 for _ in range(100)}
+    texts = sorted(texts)
+    for allowed, plain in ((lambda n: F.lit(2), lambda n: 2), (lambda n: F.floor(n / 7), lambda n: n // 7)):
+        out = Q.near_pairs(frame(spark, texts).withColumn("seq_id", F.col("seq_id").cast("string")), allowed).collect()
+        got = {tuple(sorted((int(r["a"]), int(r["b"])))): (r["diffs"], r["len"]) for r in out}
+        assert len(got) == len(out)
+        assert got == {k: (v, len(texts[k[0]])) for k, v in near(texts, plain).items()}
+
+
+def test_a_variable_region_does_not_make_every_pair_a_candidate(spark):
+    rng = random.Random(12)
+    body = "".join(rng.choice("ACGT") for _ in range(220))
+    texts = sorted({body[:100] + "".join(rng.choice("ACGT") for _ in range(30)) + body[100:] for _ in range(3000)})
+    base = frame(spark, texts).select("seq_id", "seq", F.length("seq").alias("len"), F.lit(7).alias("d"))
+    pairs = B.candidates(base.cache()).count()
+    assert pairs < 10 * len(texts)  # of 4,498,500
+
+
 def test_threshold_pairs_and_components(spark):
     texts = family(2)
     df = frame(spark, texts)
