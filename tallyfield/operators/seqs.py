@@ -8,11 +8,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import broadcast_if_small, checkpointed
+from ..session import BROADCAST_BYTES, broadcast_if_small, checkpointed
 from .blocking import near_pairs
 from .ranks import quantiles
 
@@ -328,43 +329,190 @@ def nb_classify(queries: DataFrame, train: DataFrame, k: int = 8, all_queries: b
     return every.select("seq_id", "taxon", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def _word_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of every ``k`` consecutive characters."""
+    out = np.zeros(max(0, len(codes) - k + 1), np.uint64)
+    for i in range(k):
+        out = (out ^ codes[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def _count_words(shared, k: int):
+    """Texts that hold each word of a vocabulary, ``(w, taxon, n)``, summed within a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pa.array(shared.value, pa.string())
+        codes = _codes("".join(shared.value)).reshape(-1, k)
+        names = np.array([_word_hashes(c, k)[0] for c in codes], np.uint64)
+        order = np.argsort(names)
+        names = names[order]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
+                taxa = b.column(0).dictionary_encode()
+                found = []
+                for taxon, text in zip(taxa.indices.to_pylist(), b.column(1).to_pylist()):
+                    own = _codes(text or "")
+                    h = _word_hashes(own, k)
+                    place = np.searchsorted(names, h)
+                    hit = np.flatnonzero(names[np.minimum(place, len(names) - 1)] == h)
+                    word = order[place[hit]]
+                    same = (own[hit[:, None] + np.arange(k)] == codes[word]).all(axis=1)
+                    found.append(np.unique(word[same]) + (-1 if taxon is None else taxon) * len(codes))
+                cells, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        vocabulary.take(pa.array(cells % len(codes))),
+                        taxa.dictionary.take(pa.array(cells // len(codes), mask=cells < 0)), pa.array(n),
+                    ],
+                    names=["w", "taxon", "n"],
+                )
+
+    return run
+
+
+def vocabulary_model(train: DataFrame, vocabulary: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """``(w, lp, classes)`` for every word of ``vocabulary(w)``, and the class sizes ``(taxon, nk)``.
+
+    ``lp`` is the word's log prior, ``classes`` the classes that have seen it with their gain and ``ln(nk + 1)``. Under
+    the size bound the vocabulary is broadcast and the training texts are read once, without a row per word; a larger
+    one is joined by word.
+    """
+    vocabulary = checkpointed(vocabulary.select("w").distinct())
+    count = vocabulary.count()
+    labelled = train.select(F.col("taxon").cast("string").alias("taxon"), "seq")
+    sizes = checkpointed(labelled.groupBy("taxon").agg(F.count("*").alias("nk")))
+    total = sizes.agg(F.sum("nk")).first()[0] or 0
+    if 64 * (k + 16) * count <= BROADCAST_BYTES:
+        words = [r["w"] for r in vocabulary.collect()]  # bounded by the line above
+        shared = train.sparkSession.sparkContext.broadcast(words)
+        seen = labelled.mapInArrow(_count_words(shared, k), "w string, taxon string, n long") if words else None
+    else:
+        seen = labelled.select("taxon", F.explode(kmers(F.col("seq"), k)).alias("w")).join(vocabulary, "w", "left_semi").withColumn(
+            "n", F.lit(1).cast("long"))
+    if seen is None:
+        seen = train.sparkSession.createDataFrame([], "w string, taxon string, n long")
+    seen = seen.where("taxon IS NOT NULL").groupBy("w", "taxon").agg(F.sum("n").alias("nwk"))
+    sized = seen.join(broadcast_if_small(sizes, sizes.count(), 64), "taxon")
+    # a word has one entry per class
+    per = sized.groupBy("w").agg(F.sum("nwk").alias("all"), F.array_sort(F.collect_list(F.struct("taxon", "nwk", "nk"))).alias("c"))
+    prior = (F.coalesce("all", F.lit(0)) + 0.5) / (total + 1)
+    joined = vocabulary.join(per, "w", "left").withColumn("pw", prior)
+    entry = "transform(c, x -> struct(x.taxon AS taxon, ln((x.nwk + pw) / pw) AS gain, ln(x.nk + 1) AS size))"
+    return checkpointed(joined.selectExpr("w", "ln(pw) AS lp", f"coalesce({entry}, array()) AS classes")), sizes
+
+
+#: Cells of a score table (words of a sequence x draws) that are summed at a time.
+_SCORE_CELLS = 4_000_000
+
+
+def draw_votes(lp: np.ndarray, chosen: np.ndarray, word: np.ndarray, klass: np.ndarray, gain: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The best class of every draw, -1 for one without a word.
+
+    ``chosen`` (words x draws) tells which words a draw has; entry ``i`` gives class ``klass[i]`` the ``gain[i]`` of
+    word ``word[i]``; ``size`` is the logarithm of each class's size. Of equal scores the lower class.
+    """
+    scores = np.zeros((len(size), chosen.shape[1]))
+    order = np.argsort(klass, kind="stable")
+    step = max(1, _SCORE_CELLS // chosen.shape[1])
+    for at in range(0, len(order), step):
+        some = order[at : at + step]
+        own = klass[some]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        scores[own[starts]] += np.add.reduceat(chosen[word[some]] * gain[some, None], starts, axis=0)
+    n = chosen.sum(axis=0)
+    best = (lp @ chosen + scores - n * size[:, None]).argmax(axis=0)
+    best[n == 0] = -1
+    return best
+
+
+def _vote(iters: int, low: tuple[str, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                words = b.column(1)[i].values
+                lp = words.field("lp").to_numpy()
+                digits = np.frombuffer("".join(words.field("digits").to_pylist()).encode(), np.uint8).reshape(len(lp), -1)
+                chosen = np.ones((len(lp), iters + 1))  # the last column is the whole sequence
+                chosen[:, :iters] = digits[:, :iters] < ord("2")
+                lists = words.field("classes")
+                own = lists.flatten()
+                taxa, klass = np.unique(np.array([*own.field("taxon").to_pylist(), low[0]], object), return_inverse=True)
+                size = np.empty(len(taxa))
+                size[klass] = [*own.field("size").to_pylist(), low[1]]
+                word = np.repeat(np.arange(len(lp)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                best = draw_votes(lp, chosen, word, klass[:-1], own.field("gain").to_numpy(), size)
+                drawn, votes = np.unique(best[:iters][best[:iters] >= 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).slice(i, 1), pa.array([taxa[best[-1]]], pa.string()),
+                        pa.array([[{"drawn": str(taxa[t]), "n": int(n)} for t, n in zip(drawn, votes)]],
+                                 pa.list_(pa.struct([("drawn", pa.string()), ("n", pa.int64())]))),
+                    ],
+                    names=["seq_id", "taxon", "votes"],
+                )
+
+    return run
+
+
 def nb_bootstrap(
     queries: DataFrame, train: DataFrame, lineages: DataFrame, k: int = 8, iters: int = 100, cutoff: int = 80,
     seed: int = 1,
 ) -> DataFrame:
     """Class with bootstrap confidence per rank; ranks under ``cutoff`` become ``unclassified``.
 
-    Each iteration scores a hash-chosen eighth of the query's words; one that draws no word casts no vote. ``lineages(taxon, ranks)`` holds
-    the rank names from the root down. A query without any vote is ``unclassified`` at confidence 0 on every rank, one
+    Each iteration scores an eighth of the query's words, those whose hexadecimal digit of the draw is 0 or 1 (digits are
+    those of md5 of seed, number of 32 draws, and word); one that draws no word casts no vote. ``lineages(taxon, ranks)``
+    holds the rank names from the root down. A query without any vote is ``unclassified`` at confidence 0 on every rank, one
     without a word on all ranks of the deepest lineage and without ``taxon``.
+
+    All draws of a query are scored at once in a table of its classes x draws; words, draws and classes are never
+    crossed as rows. A task holds the words of one query at a time.
     """
-    model = train_kmer_classes(train, k)
     words = checkpointed(queries.select("seq_id", F.explode(kmers(F.col("seq"), k)).alias("w")))
-    full = _score(words, ["seq_id"], model).join(lineages, "taxon")
-    chosen = F.filter(
-        F.sequence(F.lit(1), F.lit(iters)), lambda i: F.pmod(F.xxhash64(F.lit(seed), i, F.col("w")), F.lit(8)) == 0
-    )
-    draws = words.withColumn("iter", F.explode(chosen))
-    boot = _score(draws, ["seq_id", "iter"], model).join(lineages.withColumnRenamed("ranks", "drawn"), "taxon")
-    prefix = lambda a, i: F.slice(a, 1, i + 1)
-    votes = (
-        full.select("seq_id", "taxon", F.posexplode("ranks").alias("depth", "name"), "ranks")
-        .join(boot.select("seq_id", "drawn"), "seq_id", "left")
-        .groupBy("seq_id", "taxon", "depth", "name")
-        .agg((100 * F.count_if(prefix(F.col("ranks"), F.col("depth")) == prefix(F.col("drawn"), F.col("depth")))
-              / F.count("*")).alias("conf"))
-    )
-    named = votes.select(
-        "seq_id", "taxon", (F.col("depth") + 1).alias("rank"),
-        F.when(F.col("conf") >= cutoff, F.col("name")).otherwise("unclassified").alias("name"), "conf",
-    )
+    model, sizes = vocabulary_model(train, words.select("w"), k)
+    low = sizes.where("taxon IS NOT NULL").agg(F.min_by(F.struct("taxon", "nk"), F.struct("nk", "taxon")).alias("b")).first()["b"]
     deepest = lineages.agg(F.max(F.size("ranks"))).first()[0] or 0
-    blank = queries.select("seq_id").distinct().join(words, "seq_id", "left_anti")
-    ranks = F.explode(F.sequence(F.lit(1), F.lit(deepest))) if deepest else F.explode(F.array().cast("array<int>"))
-    taxon = F.lit(None).cast(named.schema["taxon"].dataType)
-    return named.unionByName(
-        blank.select("seq_id", taxon.alias("taxon"), ranks.alias("rank"), F.lit("unclassified").alias("name"), F.lit(0.0).alias("conf"))
-    )
+    if low is None:
+        named = None
+    else:
+        blocks = range(-(-iters // 32))
+        digits = F.concat(*[F.md5(F.concat(F.lit(f"{seed}-{j}-"), F.col("w"))) for j in blocks])
+        entries = model.agg(F.count("*"), F.sum(F.size("classes"))).first()
+        if 64 * (entries[0] + (entries[1] or 0)) <= BROADCAST_BYTES:
+            model = F.broadcast(model)
+        per = words.join(model, "w").groupBy("seq_id").agg(
+            F.array_sort(F.collect_list(F.struct("w", "lp", digits.alias("digits"), "classes"))).alias("words")
+        )
+        kind = queries.schema["seq_id"].dataType.simpleString()
+        voted = per.mapInArrow(
+            _vote(iters, (low["taxon"], math.log(low["nk"] + 1))), f"seq_id {kind}, taxon string, votes array<struct<drawn:string,n:bigint>>"
+        )
+        voted = checkpointed(voted)
+        ranks = lineages.select(F.col("taxon").cast("string").alias("taxon"), "ranks")
+        one = F.explode_outer("votes").alias("v")
+        votes = (
+            voted.join(ranks, "taxon").select("seq_id", "taxon", "ranks", one)
+            .join(ranks.withColumnsRenamed({"taxon": "_t", "ranks": "drawn"}), F.col("v.drawn") == F.col("_t"), "left")
+            .select("seq_id", "taxon", F.posexplode("ranks").alias("depth", "name"), "ranks", "drawn", F.coalesce("v.n", F.lit(0)).alias("n"))
+        )
+        prefix = lambda a: F.slice(a, 1, F.col("depth") + 1)
+        same = F.sum(F.when(prefix(F.col("ranks")) == prefix(F.col("drawn")), F.col("n")).otherwise(0))
+        conf = F.coalesce(100 * same / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0))
+        named = votes.groupBy("seq_id", "taxon", "depth", "name").agg(conf.alias("conf")).select(
+            "seq_id", "taxon", (F.col("depth") + 1).alias("rank"),
+            F.when(F.col("conf") >= cutoff, F.col("name")).otherwise("unclassified").alias("name"), "conf",
+        )
+    blank = queries.select("seq_id").distinct()
+    if named is not None:
+        blank = blank.join(words, "seq_id", "left_anti")
+    levels = F.explode(F.sequence(F.lit(1), F.lit(deepest))) if deepest else F.explode(F.array().cast("array<int>"))
+    empty = blank.select(
+        "seq_id", F.lit(None).cast("string").alias("taxon"), levels.alias("rank"), F.lit("unclassified").alias("name"),
+        F.lit(0.0).alias("conf"),
+    )
+    return empty if named is None else named.unionByName(empty)
 
 
 # ---------------------------------------------------------------- near pairs

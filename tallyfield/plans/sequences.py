@@ -106,12 +106,13 @@ _BEST = """sh AS (SELECT q.id AS seq_id, r.id AS ref_id, count(*) AS shared FROM
 @query(
     "template_search",
     f"""WITH {_kmer_cte('q', 'documents', 'doc_id', 'text')}, {_kmer_cte('r', 'benchmark', 'item_id', 'text')},
-        {_BEST} SELECT seq_id, ref_id, shared FROM best""",
+        {_BEST} SELECT doc_id AS seq_id, ref_id, coalesce(shared, 0) AS shared
+        FROM documents LEFT JOIN best ON seq_id = doc_id""",
 )
 def template_search(spark: SparkSession, d: str) -> DataFrame:
     q = texts(spark, d).select(F.col("doc_id").alias("seq_id"), F.col("text").alias("seq"))
     r = table(spark, d, "benchmark").select(F.col("item_id").alias("ref_id"), F.col("text").alias("seq"))
-    return seqs.template_search(q, r, k=8)
+    return seqs.template_search(q, r, k=8, all_queries=True)
 
 
 @query(
@@ -139,17 +140,45 @@ def reference_error_histogram(spark: SparkSession, d: str) -> DataFrame:
         g AS (SELECT id, taxon, sum(gain) AS g FROM q JOIN gain USING (k) GROUP BY 1, 2),
         s AS (SELECT base.id, nk.taxon, flat + coalesce(g, 0) - nq * ln(nk + 1) AS score
               FROM base CROSS JOIN nk LEFT JOIN g ON g.id = base.id AND g.taxon = nk.taxon)
-        SELECT id AS seq_id, taxon, round(score, 3) AS score FROM (
-          SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, taxon) AS rn FROM s) WHERE rn = 1""",
+        SELECT doc_id AS seq_id, taxon, coalesce(round(score, 3), 0) AS score FROM documents LEFT JOIN (
+          SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, taxon) AS rn FROM s) ON id = doc_id AND rn = 1
+        WHERE coalesce(rn, 1) = 1""",
 )
 def nb_classify(spark: SparkSession, d: str) -> DataFrame:
     docs = texts(spark, d).select(
         F.col("doc_id").alias("seq_id"), F.col("lang").alias("taxon"), F.col("text").alias("seq")
     )
-    return seqs.nb_classify(docs.select("seq_id", "seq"), docs, k=8).withColumn("score", F.round("score", 3))
+    found = seqs.nb_classify(docs.select("seq_id", "seq"), docs, k=8, all_queries=True)
+    return found.withColumn("score", F.round("score", 3))
 
 
-@query("nb_bootstrap")
+@query(
+    "nb_bootstrap",
+    f"""WITH {_kmer_cte('q', 'documents', 'doc_id', 'text', ', lang')}, {_kmer_cte('b', 'benchmark', 'item_id', 'text')},
+        bw AS (SELECT DISTINCT k FROM b), n AS (SELECT count(*) AS n FROM documents),
+        nk AS (SELECT lang AS taxon, count(*) AS nk FROM documents GROUP BY 1),
+        wk AS (SELECT k, lang AS taxon, count(*) AS nwk FROM q SEMI JOIN bw USING (k) GROUP BY 1, 2),
+        pw AS (SELECT k, (coalesce(sum(nwk), 0) + 0.5) / (any_value(n) + 1) AS pw FROM bw CROSS JOIN n LEFT JOIN wk USING (k) GROUP BY 1),
+        gain AS (SELECT wk.k, taxon, ln((nwk + pw) / pw) AS gain FROM wk JOIN pw USING (k)),
+        dr AS (SELECT k, i FROM bw, range(0, 100) t(i)
+               WHERE substr(md5('1-' || (i // 32) || '-' || k), CAST(i % 32 + 1 AS INT), 1) IN ('0', '1')
+               UNION ALL SELECT k, -1 FROM bw),
+        x AS (SELECT b.id, i, k FROM b JOIN dr USING (k)),
+        base AS (SELECT id, i, sum(ln(pw)) AS flat, count(*) AS nq FROM x JOIN pw USING (k) GROUP BY 1, 2),
+        g AS (SELECT id, i, taxon, sum(gain) AS g FROM x JOIN gain USING (k) GROUP BY 1, 2, 3),
+        s AS (SELECT base.id, base.i, nk.taxon, flat + coalesce(g, 0) - nq * ln(nk + 1) AS score
+              FROM base CROSS JOIN nk LEFT JOIN g ON g.id = base.id AND g.i = base.i AND g.taxon = nk.taxon),
+        top AS (SELECT id, i, taxon FROM (
+                  SELECT *, row_number() OVER (PARTITION BY id, i ORDER BY score DESC, taxon) AS rn FROM s) WHERE rn = 1),
+        lin AS (SELECT taxon, ['text', CASE WHEN taxon IN ('en', 'de') THEN 'germanic' ELSE 'romance' END, taxon] AS ranks FROM nk),
+        f AS (SELECT id, taxon, ranks, unnest([1, 2, 3]) AS rank FROM top JOIN lin USING (taxon) WHERE i = -1),
+        c AS (SELECT f.id, f.taxon, f.rank, any_value(f.ranks) AS ranks,
+                coalesce(100 * count(*) FILTER (l.ranks[1:f.rank] = f.ranks[1:f.rank]) / nullif(count(l.taxon), 0), 0.0) AS conf
+              FROM f LEFT JOIN top d ON d.id = f.id AND d.i >= 0 LEFT JOIN lin l ON l.taxon = d.taxon GROUP BY 1, 2, 3)
+        SELECT item_id AS seq_id, c.taxon, r.rank, CASE WHEN conf >= 80 THEN c.ranks[r.rank] ELSE 'unclassified' END AS name,
+          coalesce(conf, 0.0) AS conf
+        FROM (SELECT item_id, unnest([1, 2, 3]) AS rank FROM benchmark) r LEFT JOIN c ON c.id = item_id AND c.rank = r.rank""",
+)
 def nb_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     docs = texts(spark, d).select(
         F.col("doc_id").alias("seq_id"), F.col("lang").alias("taxon"), F.col("text").alias("seq")

@@ -280,3 +280,54 @@ def test_fasta_joins_wrapped_lines(spark, tmp_path):
     (tmp_path / "x.fasta").write_text(">a desc\nACGT\nAC\n>b\nTT\n")
     got = {r["seq_id"]: r["seq"] for r in T.read_fasta(spark, str(tmp_path / "x.fasta")).collect()}
     assert got == {"a": "ACGTAC", "b": "TT"}
+
+
+def test_bootstrap_votes_against_plain_scores(spark):
+    import hashlib
+    import math
+
+    rng = random.Random(3)
+    make = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    train = [(i, "abc"[i % 3], make(("ACG", "CGT", "AGTé")[i % 3], rng.randrange(0, 60))) for i in range(60)] + [(99, "c", None)]
+    queries = [(i, make(("ACG", "CGT", "AGTé", "ACGTé")[i % 4], rng.randrange(0, 30))) for i in range(24)] + [(99, None)]
+    k, iters = 3, 40
+    words = lambda t: {t[i : i + k] for i in range(len(t or "") - k + 1)}
+    seen = {}
+    for _, x, t in train:
+        for w in words(t):
+            seen.setdefault(w, {}).setdefault(x, 0)
+            seen[w][x] += 1
+    size = {x: sum(y == x for _, y, _ in train) for x in "abc"}
+    prior = lambda w: (sum(seen.get(w, {}).values()) + 0.5) / (len(train) + 1)
+
+    def best(ws):
+        score = lambda x: math.fsum(math.log((seen.get(w, {}).get(x, 0) + prior(w)) / (size[x] + 1)) for w in ws)
+        return max(sorted(size), key=score) if ws else None
+
+    def chosen(w, i):
+        return hashlib.md5(f"1-{i // 32}-{w}".encode()).hexdigest()[i % 32] in "01"
+
+    ranks = {x: ["root", "ab" if x in "ab" else "c", x] for x in "abc"}
+    want = {}
+    for q, t in queries:
+        own = words(t)
+        votes = [v for v in (best({w for w in own if chosen(w, i)}) for i in range(iters)) if v]
+        full = best(own)
+        for r in (1, 2, 3):
+            same = sum(ranks[v][:r] == ranks[full][:r] for v in votes) if full else 0
+            conf = 100 * same / len(votes) if votes else 0.0
+            want[q, r] = (full, ranks[full][r - 1] if conf >= 80 else "unclassified", conf)
+    t = spark.createDataFrame(train, "seq_id long, taxon string, seq string")
+    q = spark.createDataFrame(queries, "seq_id long, seq string")
+    lineages = spark.createDataFrame([(x, r) for x, r in ranks.items()], "taxon string, ranks array<string>")
+    for bound in (Q.BROADCAST_BYTES, 10):  # vocabulary broadcast, and joined
+        old, Q.BROADCAST_BYTES = Q.BROADCAST_BYTES, bound
+        try:
+            rows = Q.nb_bootstrap(q, t, lineages, k=k, iters=iters).collect()
+        finally:
+            Q.BROADCAST_BYTES = old
+        got = {(r["seq_id"], r["rank"]): (r["taxon"], r["name"], r["conf"]) for r in rows}
+        assert len(rows) == len(got) and got.keys() == want.keys()
+        for key, (taxon, name, conf) in want.items():
+            assert got[key][:2] == (taxon, name) and got[key][2] == pytest.approx(conf)
+    assert {r["taxon"] for r in Q.nb_bootstrap(q, t.limit(0), lineages, k=k, iters=5).collect()} == {None}
