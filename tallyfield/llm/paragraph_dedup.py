@@ -243,9 +243,26 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _broadcast_if_small(df: DataFrame, per_list: str | None = None) -> DataFrame:
     """A written table, hinted for a broadcast if its counted rows and list entries stay under the size bound."""
-    entries = F.sum(F.size(per_list)) if per_list else F.lit(0)
-    n = df.agg(F.count("*").alias("rows"), entries.alias("entries")).first()
-    return F.broadcast(df) if 64 * n["rows"] + 64 * (n["entries"] or 0) <= BROADCAST_BYTES else df
+    rows, entries = _sizes(df, per_list)
+    return F.broadcast(df) if 64 * (rows + entries) <= BROADCAST_BYTES else df
+
+
+def _sizes(df: DataFrame, per_list: str | None) -> tuple[int, int]:
+    row = df.agg(F.count("*"), F.sum(F.size(per_list)) if per_list else F.lit(0)).first()
+    return row[0], row[1] or 0
+
+
+def _with_texts(docs: DataFrame, lists: DataFrame, per_list: str) -> DataFrame:
+    """The texts of the documents in ``lists``, a written table with a row per document, joined to its columns.
+
+    Lists, or else the ids alone, are broadcast if they are small, so that other texts are not moved.
+    """
+    rows, entries = _sizes(lists, per_list)
+    if 64 * (rows + entries) <= BROADCAST_BYTES:
+        return docs.join(F.broadcast(lists), "doc_id")
+    if 32 * rows <= BROADCAST_BYTES:
+        docs = docs.join(F.broadcast(lists.select("doc_id")), "doc_id", "left_semi")
+    return docs.join(lists, "doc_id")
 
 
 def shingle_table(docs: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
@@ -254,7 +271,7 @@ def shingle_table(docs: DataFrame, places: DataFrame, min_words: int) -> DataFra
     Texts are shuffled only where the places are too many to be broadcast.
     """
     wanted = checkpointed(places.groupBy("doc_id").agg(F.collect_list("para").alias("paras")))  # paragraphs of one document
-    both = docs.join(_broadcast_if_small(wanted, "paras"), "doc_id")
+    both = _with_texts(docs, wanted, "paras")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in byte_slices(batches, "text"):
@@ -341,7 +358,7 @@ def _compare(threshold: float):
     return run
 
 
-def _paragraph_repeats(docs: DataFrame, scanned: DataFrame, min_words: int, threshold: float) -> DataFrame:
+def _paragraph_repeats(docs: DataFrame, scanned: DataFrame, min_words: int, threshold: float, within: bool) -> DataFrame:
     """``(doc_id, first_word, n_words, component_id, kept_doc_id, kept_first_word)`` of all paragraphs with a like one."""
     places = scanned.select("doc_id", F.inline(F.arrays_zip("first", "size", "para")))
     count = F.size("para")
@@ -351,10 +368,14 @@ def _paragraph_repeats(docs: DataFrame, scanned: DataFrame, min_words: int, thre
              F.expr("slice(keys, k * bands + 1, bands)").alias("keys"))
     # one row per word sequence, with its first place and number of occurrences
     rows = checkpointed(keyed.groupBy("para").agg(
-        F.min(F.struct("doc_id", "first")).alias("place"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")
+        F.min(F.struct("doc_id", "first")).alias("place"), F.max("doc_id").alias("last"), F.count("*").alias("n"),
+        F.first("size").alias("size"), F.first("keys").alias("keys"),
     ))
     banded = rows.select("para", "size", F.explode("keys").alias("band"))
-    shared = checkpointed(banded.groupBy("band").agg(F.count("*").alias("members"), F.sum("size").alias("words")).where("members > 1"))
+    # buckets of the same members, as bands of a few near copies are, are one; sums of hashes name the set
+    same = [F.sum(F.xxhash64("para").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("para", F.lit(1))).alias("xor")]
+    shared = banded.groupBy("band").agg(F.count("*").alias("members"), F.sum("size").alias("words"), *same).where("members > 1")
+    shared = checkpointed(shared.groupBy("members", "words", "sum", "xor").agg(F.min("band").alias("band")).drop("sum", "xor"))
     hits = checkpointed(banded.drop("size").join(_broadcast_if_small(shared), "band"))
     first = rows.select("para", F.col("place.doc_id").alias("doc_id")).join(hits.select("para").distinct(), "para")
     table = shingle_table(docs, first, min_words)
@@ -372,9 +393,10 @@ def _paragraph_repeats(docs: DataFrame, scanned: DataFrame, min_words: int, thre
     ends = pairs.select(F.explode(F.array("a", "b")).alias("seq_id")).distinct()
     joined = connected_components(ends, pairs).select(F.col("seq_id").alias("para"), "cluster")
     member = rows.join(joined, "para", "left").where("n > 1 OR cluster IS NOT NULL").select(
-        "para", "place", "n", F.coalesce("cluster", "para").alias("component_id")
+        "para", "place", "last", "n", F.coalesce("cluster", "para").alias("component_id")
     )
-    kept = member.groupBy("component_id").agg(F.min("place").alias("kept"))
+    kept = member.groupBy("component_id").agg(F.min("place").alias("kept"), F.max("last").alias("last"))
+    kept = (kept if within else kept.where("last <> kept.doc_id")).drop("last")
     named = checkpointed(member.join(kept, "component_id").select("para", "n", "component_id", "kept"))
     return join_hot(places, named, "para", "n").select(
         "doc_id", F.col("first").alias("first_word"), F.col("size").alias("n_words"), "component_id",
@@ -475,7 +497,7 @@ def _join_spans(span: int):
     return run
 
 
-def _span_repeats(docs: DataFrame, scanned: DataFrame, removed: DataFrame, span: int) -> DataFrame:
+def _span_repeats(docs: DataFrame, scanned: DataFrame, removed: DataFrame, span: int, within: bool) -> DataFrame:
     """Repeated passages of at least ``span`` words outside of the paragraphs ``removed(doc_id, first_word, n_words)``.
 
     Every repeated window of ``span`` words is found, as it holds a picked run at the same place as its copies.
@@ -493,12 +515,12 @@ def _span_repeats(docs: DataFrame, scanned: DataFrame, removed: DataFrame, span:
     again = checkpointed(seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"))
     hits = join_hot(seeds, again, "seed", "n").groupBy("doc_id").agg(F.collect_set("at").alias("seeds"))
     hits = checkpointed(hits.join(gone, "doc_id", "left"))
-    both = docs.join(_broadcast_if_small(hits, "seeds"), "doc_id").select("doc_id", "text", "seeds", "gone")
+    both = _with_texts(docs, hits, "seeds").select("doc_id", "text", "seeds", "gone")
     with small_batches(docs.sparkSession):
         windows = checkpointed(both.mapInArrow(_windows(span), "doc_id long, at int, win long"))
     place = F.struct(F.col("doc_id").alias("first_doc"), F.col("at").alias("first_at"))
     firsts = windows.groupBy("win").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
-    firsts = checkpointed(firsts.where("first <> last").select("win", "first.*", "n"))
+    firsts = checkpointed(firsts.where("first <> last" if within else "first.first_doc <> last.first_doc").select("win", "first.*", "n"))
     marked = join_hot(windows, firsts, "win", "n").select("doc_id", "at", "first_doc", "first_at")
     return marked.repartition("doc_id").sortWithinPartitions("doc_id", "at").mapInArrow(
         _join_spans(span), "doc_id long, first_word int, n_words int, kept_doc_id long, kept_first_word int, removed boolean"
@@ -506,7 +528,7 @@ def _span_repeats(docs: DataFrame, scanned: DataFrame, removed: DataFrame, span:
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                 threshold: float = THRESHOLD, recall: float = 0.9999, span: int = SPAN) -> DataFrame:
+                 threshold: float = THRESHOLD, recall: float = 0.9999, span: int = SPAN, within: bool = False) -> DataFrame:
     """Every paragraph that occurs again, equal or similar, and every passage that occurs again in what stays.
 
     ``(doc_id, paragraph, first_word, n_words, component_id, kept_doc_id, kept_first_word, removed)``: words are numbered
@@ -515,7 +537,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     component is kept, all others are removed. In what stays, words in passages of at least ``span`` words that
     occur earlier by (doc_id, word) are removed, except those in the first occurrence of another one;
     ``component_id`` is then a hash of the kept place. Neighbouring words that go are one row. The kept places have rows,
-    too, with ``removed`` false: they are finds as well, and lie wholly in repeated passages.
+    too, with ``removed`` false: they are finds as well, and lie wholly in repeated passages. What repeats inside one
+    document alone is left as it is, unless ``within`` is set.
 
     Null text has no paragraph; rows without an id are left out, as they can't be named. Repeated rows repeat the
     same place and are kept or removed with it; a passage inside them is given once. Rows of one id and other texts
@@ -526,11 +549,11 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = scan(docs, id_col, text_col, min_words, span, tune_bands(threshold, recall))
     plain = _plain(docs, id_col, text_col)
     paragraphs = checkpointed(
-        _paragraph_repeats(plain, scanned, min_words, threshold).withColumn(
+        _paragraph_repeats(plain, scanned, min_words, threshold, within).withColumn(
             "removed", (F.col("doc_id") != F.col("kept_doc_id")) | (F.col("first_word") != F.col("kept_first_word"))
         )
     )
-    inside = _span_repeats(plain, scanned, paragraphs.where("removed").select("doc_id", "first_word", "n_words"), span)
+    inside = _span_repeats(plain, scanned, paragraphs.where("removed").select("doc_id", "first_word", "n_words"), span, within)
     found = paragraphs.unionByName(inside.withColumn("component_id", F.xxhash64("kept_doc_id", "kept_first_word")))
     lines = scanned.groupBy("doc_id").agg(F.min("lines").alias("lines"))
     line = F.size(F.filter("lines", lambda x: x <= F.col("first_word"))) - 1

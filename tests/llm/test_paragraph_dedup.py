@@ -43,7 +43,7 @@ def units(text, least):
     return out
 
 
-def brute(texts, ids, least=P.MIN_WORDS, threshold=0.8):
+def brute(texts, ids, least=P.MIN_WORDS, threshold=0.8, within=False):
     """{(doc, first word, words): kept place} of the paragraphs that have a like one."""
     places = [(doc, at, w) for doc, t in zip(ids, texts) for at, w in units(t, least)]
     distinct = sorted({w for *_, w in places})
@@ -64,13 +64,13 @@ def brute(texts, ids, least=P.MIN_WORDS, threshold=0.8):
     groups = {}
     for doc, pos, w in places:
         groups.setdefault(at[w], []).append((doc, pos, len(w)))
-    return {x: min(g)[:2] for g in groups.values() if len(g) > 1 for x in g}
+    return {x: min(g)[:2] for g in groups.values() if len(g) > 1 and (within or len({d for d, *_ in g}) > 1) for x in g}
 
 
-def brute_left(texts, span=P.SPAN, least=P.MIN_WORDS):
+def brute_left(texts, span=P.SPAN, least=P.MIN_WORDS, within=False):
     """Words that stay of every text: not in a removed paragraph, nor in a later copy of a window alone."""
     gone = {}
-    for (doc, at, n), kept in brute(texts, range(len(texts)), least).items():
+    for (doc, at, n), kept in brute(texts, range(len(texts)), least, within=within).items():
         if (doc, at) != kept:
             gone.setdefault(doc, set()).update(range(at, at + n))
     seen, words = {}, {}
@@ -82,7 +82,7 @@ def brute_left(texts, span=P.SPAN, least=P.MIN_WORDS):
                 seen.setdefault(tuple(w[i : i + span]), []).append((doc, i))
     keep, drop = set(), set()
     for places in seen.values():
-        if len(places) > 1:
+        if len(places) > 1 and (within or len({d for d, _ in places}) > 1):
             keep |= {(places[0][0], places[0][1] + k) for k in range(span)}
             drop |= {(d, i + k) for d, i in places[1:] for k in range(span)}
     return {d: [x for i, x in enumerate(w) if i not in gone[d] and (d, i) not in drop - keep] for d, w in words.items()}
@@ -122,14 +122,15 @@ def test_removal(frame):
     repeats = P.find_repeats(df)
     assert P.remove_repeats(df, repeats).columns == df.columns
     check_left(df, texts, repeats)
-    shorter = P.find_repeats(df, min_words=20)
-    check_left(df, texts, shorter, least=20)
+    check_left(df, texts, P.find_repeats(df, min_words=20), least=20)
+    check_left(df, texts, P.find_repeats(df, within=True), within=True)
 
 
 def test_null_ids_repeated_rows_and_empty_table(frame):
     line = " ".join(f"a{i}" for i in range(60))
-    rows = P.find_repeats(frame([line, line, line, "x"], ids=[None, 4, 4, 7])).collect()
+    rows = P.find_repeats(frame([line, line, line, "x"], ids=[None, 4, 4, 7]), within=True).collect()
     assert [(r["doc_id"], r["removed"]) for r in rows] == [(4, False), (4, False)]
+    assert P.find_repeats(frame([line, line, line, "x"], ids=[None, 4, 4, 7])).collect() == []
     assert P.find_repeats(frame([])).collect() == []
 
 
@@ -215,9 +216,16 @@ def test_passages_over_line_breaks(frame):
 
 def test_a_repeating_line_is_one_passage(frame):
     texts = ["uh " * 3000, "a b c " * 200 + "\n" + "a b c " * 150, "um um um " * 5]
-    rows = P.find_repeats(frame(texts)).collect()
+    df = frame(texts)
+    assert P.find_repeats(df).collect() == []  # inside one document alone
+    repeats = P.find_repeats(df, within=True)
+    rows = repeats.collect()
     assert len(rows) <= 6 and {r["doc_id"] for r in rows} == {0, 1}
-    check_left(frame(texts), texts, P.find_repeats(frame(texts)))
+    check_left(df, texts, repeats, within=True)
+    texts += ["uh " * 1000, "a " + "uh " * 400 + "b"]
+    repeats = P.find_repeats(frame(texts))
+    assert {r["doc_id"] for r in repeats.collect()} == {0, 3, 4}
+    check_left(frame(texts), texts, repeats)
 
 
 def test_words_and_paragraphs():
