@@ -63,19 +63,22 @@ def scan_ranged_sheet(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer")
     n = rows.count()
     body = rows.selectExpr(
-        "c_custkey + 4 AS row_no", "concat('c', c_custkey) a", "cast(c_acctbal AS string) b",
-        "cast(c_acctbal * 2 AS string) c",
+        "c_custkey + 4 AS row_no", "concat('note', c_custkey) z", "concat('c', c_custkey) a", "cast(c_acctbal AS string) b",
+        "cast(c_acctbal * 2 AS string) c", "'beyond' d",
     )
     head = spark.createDataFrame(
-        [(1, "late trial", None, None), (2, "Sample ID", "Acetic", "Lactic"), (3, None, "ppm", "ppm"),
-         (n + 4, "footer", "x", "x")],
+        [(1, "late trial", None, None, None, None), (2, "Note", "Sample ID", "Acetic", "Lactic", ""),
+         (3, None, None, "ppm", "ppm", None), (n + 4, "footer", "x", "x", "x", "x")],
         body.schema,
     )
+    # the sheet has no line numbers of its own; its rows are in order over the files
     path = scratch_path(spark, "sheet")
-    body.unionByName(head).write.option("sep", "\t").csv(path)
-    sheet = src.read_ranged_sheet(spark, path, ["sample_id", "acetic", "lactic"], header_row=2, last_row=n + 3)
-    return sheet.select(
-        "sample_id", S.as_numeric(F.col("acetic")).alias("acetic"), S.as_numeric(F.col("lactic")).alias("lactic")
+    sheet = body.unionByName(head).repartitionByRange("row_no").sortWithinPartitions("row_no")
+    sheet.drop("row_no").write.option("sep", "\t").csv(path)
+    found = src.read_ranged_sheet(spark, path, header_row=2, last_row=n + 3, first_col=2, last_col=4)
+    return found.select(
+        F.col("Sample ID").alias("sample_id"), S.as_numeric(F.col("Acetic")).alias("acetic"),
+        S.as_numeric(F.col("Lactic")).alias("lactic"),
     )
 
 
@@ -110,18 +113,21 @@ def scan_fasta(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "scan_fastq",
     with_tables("lines")
-    + """ SELECT 'r' || doc_id || '_' || pos AS seq_id, seq,
-          CASE pos % 3 WHEN 0 THEN repeat('@', length(seq)) WHEN 1 THEN '@' || repeat('+', length(seq) - 1)
-            ELSE repeat('I', length(seq)) END AS qual FROM lines""",
+    + """, reads AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 4 THEN '' ELSE seq END AS seq FROM lines)
+         SELECT 'r' || doc_id || '_' || pos AS seq_id, seq,
+          CASE WHEN seq = '' THEN '' WHEN pos % 3 = 0 THEN repeat('@', length(seq))
+            WHEN pos % 3 = 1 THEN '@' || repeat('+', length(seq) - 1)
+            ELSE repeat('I', length(seq)) END AS qual FROM reads""",
 )
 def scan_fastq(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "fastq")
     name = F.format_string("@r%s_%s", "doc_id", "pos")
     qual = F.expr(
-        "CASE pos % 3 WHEN 0 THEN repeat('@', length(seq)) WHEN 1 THEN '@' || repeat('+', length(seq) - 1) "
-        "ELSE repeat('I', length(seq)) END"
+        "CASE WHEN seq = '' THEN '' WHEN pos % 3 = 0 THEN repeat('@', length(seq)) "
+        "WHEN pos % 3 = 1 THEN '@' || repeat('+', length(seq) - 1) ELSE repeat('I', length(seq)) END"
     )
-    lines(spark, d).select(F.concat_ws("\n", name, "seq", F.lit("+"), qual).alias("value")).write.text(path)
+    reads = lines(spark, d).withColumn("seq", F.when(F.col("pos") % 5 == 4, "").otherwise(F.col("seq")))  # some are empty
+    reads.select(F.concat_ws("\n", name, "seq", F.lit("+"), qual).alias("value")).write.text(path)
     return src.read_fastq(spark, path)
 
 

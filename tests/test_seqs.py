@@ -276,6 +276,63 @@ def test_fastq_across_split_borders(spark, tmp_path):
     assert {r["seq_id"]: r["qual"] for r in rows} == {f"r{i}": f"@IIIIII{i % 10}" for i in range(3000)}
 
 
+@pytest.fixture
+def small_splits(spark):
+    keys = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("rows", [10_000, 7])
+def test_fastq_keeps_empty_reads(spark, tmp_path, small_splits, rows):
+    rng = random.Random(2)
+    want = {}
+    for f in range(3):
+        out = []
+        for i in range(400):
+            n = rng.choice([0, 0, 1, 8, 30])
+            seq, qual = "".join(rng.choice("ACGT") for _ in range(n)), "".join(rng.choice("@+#I") for _ in range(n))
+            want[f"r{f}_{i}"] = (seq, qual)
+            out.append(f"@r{f}_{i} of file\n{seq}\n+x\n{qual}\n")
+        text = "".join(out) + "\n\n" * (f == 1)
+        if f == 2:
+            text = text.replace("\n", "\r\n")
+        (tmp_path / f"{f}.fastq").write_bytes(text.encode())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        found = T.read_fastq(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(want) and {r["seq_id"]: (r["seq"], r["qual"]) for r in found} == want
+
+
+def test_malformed_fastq_is_an_error(spark, tmp_path):
+    for i, text in enumerate(["@a\nAC\n+\nI\n", "a\nAC\n+\nII\n", "@a\nAC\nII\n+\n", "@a\nAC\n+\nII\n@b\nAC\n"]):
+        (tmp_path / f"{i}.fastq").write_text(text)
+        with pytest.raises(Exception, match="malformed FASTQ record at line"):
+            T.read_fastq(spark, str(tmp_path / f"{i}.fastq")).collect()
+
+
+def test_ranged_sheet_by_physical_rows(spark, tmp_path, small_splits):
+    rows = [f'x{i}\ts{i}\t"{i}\t0"\t{i / 4}\textra' for i in range(500)]
+    text = ["\ufefftitle", "", "note\tSample ID\tA b\t\tmore", "\t\tppm\tppm\t"] + rows + ["short", "footer\ta\tb\tc\td"]
+    (tmp_path / "a.tsv").write_text("\n".join(text[:200]) + "\n")
+    (tmp_path / "b.tsv").write_text("\n".join(text[200:]) + "\n")
+    got = T.read_ranged_sheet(spark, str(tmp_path), header_row=3, last_row=505, first_col=2, last_col=4)
+    assert got.columns == ["Sample ID", "A b", "...4"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(f"s{i}", f"{i}\t0", str(i / 4)) for i in range(500)] + [(None, None, None)], key=str
+    )
+    numbers = {r["value"]: r["line_no"] for r in T.numbered_lines(spark, str(tmp_path), per_file=False)[0].collect() if r["value"]}
+    assert all(numbers[x] == i for i, x in enumerate(text) if x and i)
+    with pytest.raises(ValueError):
+        T.read_ranged_sheet(spark, str(tmp_path), header_row=9999)
+
+
 def test_fasta_joins_wrapped_lines(spark, tmp_path):
     (tmp_path / "x.fasta").write_text(">a desc\nACGT\nAC\n>b\nTT\n")
     got = {r["seq_id"]: r["seq"] for r in T.read_fasta(spark, str(tmp_path / "x.fasta")).collect()}
