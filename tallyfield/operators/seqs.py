@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..session import BROADCAST_BYTES, broadcast_if_small, checkpointed
 from .blocking import near_pairs
+from .chimera import bimera_flag
 from .ranks import quantiles
 
 # ---------------------------------------------------------------- measures and screening
@@ -695,123 +696,3 @@ def consensus_taxonomy(members: DataFrame, cutoff: int = 51) -> DataFrame:
             ).alias("taxonomy"),
         )
     )
-
-
-# ---------------------------------------------------------------- chimeras
-
-
-def _position_keys(n: int, salt: int) -> np.ndarray:
-    """Odd 64-bit multipliers for positions 1..n (splitmix of the position)."""
-    z = (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (z ^ (z >> np.uint64(31))) | np.uint64(1)
-
-
-def _position_hashes(pdf_iter: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Two 64-bit hashes of every prefix (side 0) and suffix (side 1), cumulated: two lists per side."""
-    with np.errstate(over="ignore"):
-        for pdf in pdf_iter:
-            codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1) for t in pdf["seq"]]
-            mult = [_position_keys(max(map(len, codes), default=1), salt) for salt in (17, 911)]
-            run = lambda c, m: np.cumsum(c * m[: len(c)], dtype=np.uint64).view(np.int64)
-            for side, step in ((0, 1), (1, -1)):
-                h = {f"h{i}": [run(c[::step], m) for c in codes] for i, m in enumerate(mult, 1)}
-                yield pdf.drop(columns="seq").assign(side=np.int32(side), **h)
-
-
-#: Every so many characters a break point is looked up before the ones between.
-_BREAK_STEP = 32
-
-
-def bimera_flag(counts: DataFrame, seqs: DataFrame, fold: float = 2.0, dereplicate: bool = True) -> DataFrame:
-    """Flag sequences that are an exact join of two more abundant parents of a sample, of any length.
-
-    ``counts(seq_id, sample, n)``, ``seqs(seq_id, seq)``; ``fold`` over 1. For every break point only the
-    most abundant sequence with the same prefix (suffix) is needed, so parents are never paired up: a
-    grouped maximum replaces the pair join; every 32nd break point is looked up first, then those of the
-    stretch in which a match ends. ``prefix`` and ``suffix`` are the longest ones found in parents
-    at least ``fold`` times as abundant. A sequence that is as a whole the start or the end of such a
-    parent is a shorter read of it and no chimera. Where the best parent is the same on both sides of every
-    break point (a read of it with a gap), the second best of those few keys decides. With ``dereplicate``
-    a flag holds only in its own sample.
-    """
-    rows = counts.join(seqs.select("seq_id", "seq", F.length("seq").alias("len")), "seq_id")
-    spread = rows.groupBy("sample").agg(F.max("n").alias("top"), F.min("n").alias("low"))
-    # a parent is large enough for the sample's rarest sequence, a child small enough for its most abundant one
-    live = rows.where("len > 0").join(spread, "sample").select(
-        "sample", "seq_id", "n", "len", "seq", (F.col("n") >= fold * F.col("low")).alias("parent"),
-        (fold * F.col("n") <= F.col("top")).alias("child"),
-    ).where("parent OR child")
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in live.schema if f.name != "seq")
-    hashed = checkpointed(live.mapInPandas(_position_hashes, f"{types}, side int, h1 array<long>, h2 array<long>"))
-    parents, children = hashed.where("parent"), hashed.where("child")
-    me, key = ["sample", "seq_id", "side"], ["sample", "side", "k", "a", "b"]
-
-    def cells(df: DataFrame, ks: str) -> DataFrame:
-        """One row per position of the list ``ks``, given as SQL."""
-        at = F.expr(f"inline(transform({ks}, k -> struct(k AS k, h1[k - 1] AS a, h2[k - 1] AS b)))")
-        return df.select(*me, "n", "len", at)
-
-    def between(df: DataFrame, f: str) -> DataFrame:
-        """The positions after ``f`` up to the next looked-up one."""
-        part = lambda h: F.expr(f"slice({h}, {f} + 1, {_BREAK_STEP - 1})").alias(h)
-        cut = df.select(*me, "n", F.expr(f"{f} AS f"), part("h1"), part("h2"))
-        return cut.select(*me, "n", "f", F.posexplode(F.arrays_zip("h1", "h2")).alias("pos", "h")).select(
-            *me, "n", (F.col("f") + F.col("pos") + 1).alias("k"), F.col("h.h1").alias("a"), F.col("h.h2").alias("b")
-        )
-
-    def ends(of: DataFrame, among: DataFrame) -> DataFrame:
-        best = among.groupBy(*key).agg(F.max("n").alias("most"))
-        return checkpointed(
-            of.join(best, key).where(F.col("most") >= fold * F.col("n")).groupBy(*me).agg(F.max("k").alias("k"))
-        )
-
-    every = f"IF(len < {_BREAK_STEP}, CAST(array() AS array<int>), sequence({_BREAK_STEP}, len, {_BREAK_STEP}))"
-    coarse = ends(cells(children, every), cells(parents, every))
-    # the stretch in which a match ends, among the parents that share its start; at 0 all of a sample do
-    kids = children.join(coarse, me, "left").withColumn("k", F.coalesce("k", F.lit(0)))
-    wanted = kids.where("k > 0").select("sample", "side", "k", F.expr("h1[k - 1] AS a"), F.expr("h2[k - 1] AS b")).distinct()
-    further = parents.join(
-        cells(parents, every).join(wanted, key, "left_semi").select(*me, "k"), me
-    ).unionByName(parents.withColumn("k", F.lit(0)))
-    fine = ends(between(kids, "k"), between(further, "k"))
-    reach = coarse.unionByName(fine).groupBy("sample", "seq_id").agg(
-        F.max(F.when(F.col("side") == 0, F.col("k"))).alias("prefix"),
-        F.max(F.when(F.col("side") == 1, F.col("k"))).alias("suffix"),
-    )
-    # the break points at which both sides are found: a shorter start of a found one is found, too
-    covered = children.join(reach, ["sample", "seq_id"]).where(
-        (F.col("prefix") + F.col("suffix") >= F.col("len")) & (F.greatest("prefix", "suffix") < F.col("len"))
-    )
-    asked = checkpointed(
-        cells(covered, "sequence(len - IF(side = 0, suffix, prefix), IF(side = 0, prefix, suffix))")
-        .select(*key, "seq_id", "n", F.expr("IF(side = 0, k, len - k)").alias("cut"))
-    )
-    # the best holder of each such start or end and the count of the second best
-    holders = checkpointed(
-        cells(parents, "sequence(1, len)").join(asked.select(*key).distinct(), key, "left_semi")
-        .select(*key, "seq_id", "n")
-    )
-    lead = holders.groupBy(*key).agg(F.max(F.struct("n", "seq_id"))["seq_id"].alias("p"))
-    next_ = holders.join(lead, key).where(F.col("seq_id") != F.col("p")).groupBy(*key).agg(F.max("n").alias("n2"))
-    two = (
-        asked.join(lead, key).join(next_, key, "left").groupBy("sample", "seq_id", "cut").agg(
-            F.max(F.when(F.col("side") == 0, F.col("p"))).alias("pp"),
-            F.max(F.when(F.col("side") == 1, F.col("p"))).alias("sp"),
-            F.bool_or(F.col("n2") >= fold * F.col("n")).alias("other"),
-        )
-        .where((F.col("pp") != F.col("sp")) | F.col("other")).select("sample", "seq_id").distinct()
-        .withColumn("_two", F.lit(True))
-    )
-    out = (
-        rows.select("sample", "seq_id").join(reach, ["sample", "seq_id"], "left")
-        .join(two, ["sample", "seq_id"], "left").select(
-            "sample", "seq_id", F.coalesce("prefix", F.lit(0)).alias("prefix"),
-            F.coalesce("suffix", F.lit(0)).alias("suffix"), F.col("_two").isNotNull().alias("chimera"),
-        )
-    )
-    if dereplicate:
-        return out
-    anywhere = out.where("chimera").select("seq_id").distinct().withColumn("_hit", F.lit(True))
-    return out.join(anywhere, "seq_id", "left").withColumn("chimera", F.coalesce("_hit", F.lit(False))).drop("_hit")

@@ -69,7 +69,7 @@ def scan_ranged_sheet(spark: SparkSession, d: str) -> DataFrame:
     head = spark.createDataFrame(
         [(1, "late trial", None, None, None, None), (2, "Note", "Sample ID", "Acetic", "Lactic", ""),
          (3, None, None, "ppm", "ppm", None), (n + 4, "footer", "x", "x", "x", "x")],
-        body.schema,
+        "row_no long, z string, a string, b string, c string, d string",
     )
     # the sheet has no line numbers of its own; its rows are in order over the files
     path = scratch_path(spark, "sheet")

@@ -1,11 +1,13 @@
 """Sequence operators against brute force on small fixtures."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyfield.operators import blocking as B
+from tallyfield.operators import chimera as C
 from tallyfield.operators import seqs as Q
 from tallyfield.sources import tables as T
 
@@ -161,6 +163,48 @@ def test_bimera_brute_force(spark):
     assert {(r["sample"], r["seq_id"]) for r in every if r["chimera"]} >= {("s1", 10), ("s2", 10)}
 
 
+def test_best_two_parents(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(7)
+    for trial in range(200):
+        texts = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 40))})
+        n = np.array([rng.choice([1, 2, 3, 5, 9, 30]) for _ in texts])
+        lcp = np.array([C.common_start(a, b) for a, b in zip(texts, texts[1:])], np.int64)
+        assert lcp.tolist() == [len(os.path.commonprefix([a, b])) for a, b in zip(texts, texts[1:])]
+        places, starts = C.two_best(n, lcp, np.arange(len(n)), 2 * n)
+        for i, t in enumerate(texts):
+            want = sorted((len(os.path.commonprefix([t, u])) for j, u in enumerate(texts) if n[j] >= 2 * n[i]), reverse=True)[:2]
+            got = [(int(p), int(k)) for p, k in zip(places[:, i], starts[:, i]) if p >= 0]
+            assert [k for _, k in got] == want and len({p for p, _ in got}) == len(got)
+            assert all(n[p] >= 2 * n[i] and len(os.path.commonprefix([t, texts[p]])) == k for p, k in got)
+
+
+@pytest.mark.parametrize("bound", [64 << 20, 0])
+def test_bimera_over_many_ranges(spark, monkeypatch, bound):
+    monkeypatch.setattr(C, "BROADCAST_BYTES", bound)
+    rng = random.Random(14)
+    rows = []
+    for sample, size in (("big", 400), ("b", 30), ("c", 1), (None, 40)):
+        pool = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(6, 20))) for _ in range(12)]
+        texts = set(pool) | {"", "é漢"}
+        while len(texts) < size:
+            a, b = rng.choice(pool), rng.choice(pool)
+            k = rng.randrange(1, len(a))
+            texts.add(rng.choice([a[:k] + b[k:], a[:k] + rng.choice("ACGT") + a[k:], a[:k], b[k:], a[:k] + a[k + 1 :]]))
+        rows += [(sample, t, rng.choice([1, 2, 4, 8, 40])) for t in sorted(texts)]
+    counts = spark.createDataFrame([(t, s, n) for s, t, n in rows], "seq_id string, sample string, n long")
+    seqs = counts.select("seq_id", F.col("seq_id").alias("seq")).distinct()
+    found = {(r["sample"], r["seq_id"]): r for r in Q.bimera_flag(counts, seqs).collect()}
+    assert len(found) == len(rows) and sum(r["chimera"] for r in found.values()) > 30
+    for s, t, n in rows:
+        parents = [u for x, u, m in rows if x == s and m >= 2 * n]
+        r = found[s, t]
+        assert r["prefix"] == max((len(os.path.commonprefix([t, u])) for u in parents), default=0), (s, t)
+        assert r["suffix"] == max((len(os.path.commonprefix([t[::-1], u[::-1]])) for u in parents), default=0)
+        assert r["chimera"] == _chimera(t, parents), (s, t)
+
+
 def test_merge_pairs_with_errors(spark):
     full = "ACGTTGCAACGGTTAACCGATCGATTGCACGT"
     comp = str.maketrans("ACGT", "TGCA")
