@@ -38,16 +38,25 @@ _RAW = frozenset("script style textarea title noscript template iframe".split())
 _AROUND = frozenset("nav footer aside form menu dialog".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = frozenset(("article", "main"))
-#: Words in class, id or role that name a part of a page which is not its text.
-_ROLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|block)|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
-    r"nav\w*|menu|breadcrumbs?|side|side-?bar|widget|foot|footer|comments?|replies|respond|disqus|"
-    r"share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|copyright|"
-    r"disclaimer|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+# Words in class, id or role that name a part of a page which is not its text, and words that may stand
+# beside them in such a name. ``comment-list`` is a part of the page; ``related-work`` and ``social-impact`` are not.
+_ROLES = frozenset(
+    """ad ads adbox adslot adunit adblock advert adverts advertisement advertising advertorial banner banners sponsor sponsored
+    sponsors promo promos promotion cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay nav navbar
+    navigation navigator navi menu menus breadcrumb breadcrumbs side sidebar sidebars widget widgets foot footer share sharing
+    social related recommend recommended recommendations newsletter subscribe subscription signup login search pagination pager
+    copyright disclaimer complementary contentinfo""".split()
 )
-#: The same outside of an article only: inside, these may hold its heading.
-_TOP_ROLE = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|top-bar|toolbar|hero)(?:$|[\s_-])", re.I)
+_COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+_TOP_ROLES = frozenset("header masthead topbar toolbar hero".split())
+_BESIDE = frozenset(
+    """post posts page pages site user users reader readers article articles main global primary secondary top bottom left right
+    entry story item items list lists link links box boxes bar bars section sections container wrapper wrap inner outer area
+    block blocks holder panel form field button buttons icon icons slot unit group row col column count title thread body
+    content text message msg in up by out mobile desktop sticky fixed small large the""".split()
+)
+#: Elements that hold text themselves; inside an article their names tell what they say, not what they are.
+_TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote figcaption caption li dt dd td th".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|"
     r"<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<self>/?)>",
@@ -66,13 +75,22 @@ LINKS_HIGH = 0.5
 
 
 class Block:
-    __slots__ = ("text", "linked", "around", "main", "item", "label")
+    __slots__ = ("text", "linked", "around", "main", "label")
 
-    def __init__(self, text: str, linked: int, around: bool, main: int, item: bool):
-        self.text, self.linked, self.around, self.main, self.item = text, linked, around, main, item
+    def __init__(self, text: str, linked: int, around: bool, main: int):
+        self.text, self.linked, self.around, self.main = text, linked, around, main
         self.label = OPEN
 
 
+def _names(value: str, roles: frozenset) -> bool:
+    """Whether a name in the value is made of ``roles`` and words that may stand beside them."""
+    for token in value.split():
+        words = [w.lower() for w in re.findall("[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^\\W_]+", token)]
+        if any(w in roles for w in words) and all(w in roles or w in _ROLES or w in _BESIDE or w.isdigit() for w in words):
+            return True
+    return False
+
+
 def _hidden_or_role(name: str, attrs: str, in_main: bool) -> bool:
     if name in _AROUND or (name == "header" and not in_main):
         return True
@@ -83,8 +101,11 @@ def _hidden_or_role(name: str, attrs: str, in_main: bool) -> bool:
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
-        elif name not in ("body", "html", "article", "main", "h1"):
-            if _ROLE.search(value) or (not in_main and _TOP_ROLE.search(value)):
+        elif name in ("article", "main"):  # of the roles only that of a reader's comment
+            if _names(value, _COMMENTS):
+                return True
+        elif name not in ("body", "html", "h1") and not (in_main and name in _TEXTUAL):
+            if _names(value, _ROLES | _COMMENTS) or (not in_main and _names(value, _TOP_ROLES)):
                 return True
     return False
 
@@ -102,8 +123,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                item = any(s[0] in ("li", "td", "dd") for s in stack)
-                out.append(Block(text, linked, around > 0, section if main_depth else 0, item))
+                out.append(Block(text, linked, around > 0, section if main_depth else 0))
             parts.clear()
         linked = 0
 
@@ -191,23 +211,38 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _shares(b: Block) -> tuple[float, float]:
+    """Share of stop words among the words, and of link text among the characters."""
+    words = b.text.lower().split()
+    stop = sum(w.strip(".,;:!?\"'()%*#&$") in STOP_WORDS for w in words) / max(len(words), 1)
+    return stop, b.linked / max(len("".join(words)), 1)
+
+
+def _other_script(text: str) -> bool:
+    """Whether most letters are beyond the Latin ones, where the list of stop words has none."""
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c > "\u024f" for c in letters) > len(letters)
+
+
 def classify(found: list[Block]) -> list[Block]:
     """Both passes; every block has a label of ``GOOD`` or ``BAD`` afterwards."""
     any_main = any(b.main and not b.around for b in found)
-    for b in found:
+    shares = [_shares(b) for b in found]
+    # the list of stop words says nothing about a page on which no longer text has any
+    listed = any(len(b.text) >= SHORT_CHARS and stop >= STOP_LOW and links <= LINKS_HIGH for b, (stop, links) in zip(found, shares))
+    for b, (stop, links) in zip(found, shares):
         size = len(b.text)
-        words = b.text.lower().split()
-        stop = sum(w.strip(".,;:!?\"'()%*#&$") in STOP_WORDS for w in words) / max(len(words), 1)
-        links = b.linked / max(len("".join(words)), 1)
+        foreign = not listed or _other_script(b.text)
         if b.around or (any_main and not b.main):
             b.label = BAD
         elif b.main:
-            if links > LINKS_HIGH:
-                b.label = BAD if b.item else OPEN
-            elif size >= SHORT_CHARS and stop >= STOP_LOW:
+            if links <= LINKS_HIGH and size >= SHORT_CHARS and (stop >= STOP_LOW or foreign):
                 b.label = GOOD
         elif links > LINKS_HIGH or "©" in b.text[:40]:
             b.label = BAD
+        elif foreign:
+            if size >= SHORT_CHARS:
+                b.label = GOOD
         elif size >= LONG_CHARS:
             b.label = GOOD if stop >= STOP_LOW else OPEN if stop else BAD
         elif size >= SHORT_CHARS and stop >= STOP_HIGH:

@@ -85,7 +85,7 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, how: str
 
 
 def global_rank(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
-    """``df`` with a gapless ``rank`` from 0 in the given order, and the number of rows.
+    """``df`` with a gapless ``__rank`` from 0 in the given order, and the number of rows.
 
     Rows are range-partitioned once and written; counts per partition (one row each) give the first rank of
     a partition, a window inside it the rest. Equal rows are told apart by their position in the scan, so
@@ -105,7 +105,7 @@ def global_rank(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
     first = spark.createDataFrame(firsts, "__part int, __first long")
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*order, "__tie"))
     ranked = placed.withColumn("__row", within).join(F.broadcast(first), "__part").withColumn(
-        "rank", F.col("__first") + F.col("__row") - 1
+        "__rank", F.col("__first") + F.col("__row") - 1
     )
     return ranked.drop("__part", "__first", "__row", "__tie"), n
 

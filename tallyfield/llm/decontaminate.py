@@ -56,7 +56,7 @@ class Block:
 
     vocab: dict[bytes, int]
     ids: np.ndarray
-    names: list[str]
+    names: list[str | bytes]  # an item without an id is named by the bytes of a digest of its text
     item_of: np.ndarray  # item of each position in ids
     start_of: np.ndarray  # first position of that item
     low: np.ndarray  # key range of each distinct window
@@ -66,7 +66,7 @@ class Block:
     first: np.ndarray  # where a window's places begin
 
     @staticmethod
-    def of(items: list[tuple[str, bytes]]) -> "Block":
+    def of(items: list[tuple[str | None, bytes]]) -> "Block":
         vocab: dict[bytes, int] = {}
         ids, item_of, start_of, starts, sizes, names = [], [], [], [], [], []
         for name, text in items:
@@ -80,7 +80,7 @@ class Block:
             ids += own + [0]
             item_of += [len(names)] * (len(own) + 1)
             start_of += [at] * (len(own) + 1)
-            names.append(name)
+            names.append(hashlib.sha256(text).digest() if name is None else name)
         array = np.array(ids + [0] * WINDOW, np.int64)
         at, size = np.array(starts, np.int64), np.array(sizes, np.int64)
         inside = np.arange(WINDOW) < size[:, None]
@@ -136,17 +136,17 @@ class Block:
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Broadcast]:
-    """The benchmark as broadcast blocks of about ``BLOCK_BYTES`` of text each; null ids and texts are left out.
+    """The benchmark as broadcast blocks of about ``BLOCK_BYTES`` of text each; null texts are left out.
 
     The benchmark is the stated query set; one block at a time comes to the driver.
     """
-    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).dropna()
+    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).dropna(subset=["text"])
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
     out = []
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        rows = sorted((r["id"], r["text"]) for r in part.collect())
+        rows = sorted(((r["id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r))
         out.append(benchmark.sparkSession.sparkContext.broadcast(Block.of([(i, t.encode()) for i, t in rows])))
     return out
 
@@ -173,14 +173,16 @@ def scan_shard(texts: list[bytes], blocks: list[Block]) -> list[tuple]:
             items.setdefault(d, set()).update(block.names[i] for i in own)
         t, size, q = block.longest(ids, at, window)
         for d, p, n, place in zip((np.searchsorted(begins, t, "right") - 1).tolist(), t.tolist(), size.tolist(), q.tolist()):
-            found = (-n, p - int(begins[d]), block.names[block.item_of[place]], place - int(block.start_of[place]))
+            name = block.names[block.item_of[place]]
+            found = (-n, p - int(begins[d]), isinstance(name, bytes), name, place - int(block.start_of[place]))
             if d not in best or found < best[d]:
                 best[d] = found
     hit = np.concatenate([[0], np.cumsum(np.cumsum(change) > 0)])
     out = []
     for d in range(len(docs)):
-        n = best.get(d, (0, None, None, None))
-        out.append((int(sizes[d]), int(hit[ends[d] - 1] - hit[begins[d]]), items.get(d, set()), -n[0], *n[1:]))
+        n = best.get(d, (0, None, True, None, None))
+        name = None if n[2] else n[3]
+        out.append((int(sizes[d]), int(hit[ends[d] - 1] - hit[begins[d]]), items.get(d, set()), -n[0], n[1], name, n[4]))
     return out
 
 
@@ -198,7 +200,8 @@ def contamination(docs: DataFrame, blocks: list[Broadcast], id_col: str = "doc_i
 
     ``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_words, longest_start, longest_item,
     longest_item_start)``: the last four tell the longest verbatim match, ties by the earliest place (null if
-    none). Null text has no words. Rows don't meet, so there is no shuffle and repeated rows repeat their result.
+    none). Null text has no words. An item without an id is searched and counted like others, equal texts as one, but it has no
+    name in ``items_sha256`` and ``longest_item``. Rows don't meet, so there is no shuffle and repeated rows repeat their result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +209,7 @@ def contamination(docs: DataFrame, blocks: list[Broadcast], id_col: str = "doc_i
         for b in slices(batches):
             texts = utf8(b.column("text"))
             rows = [r for i, j in _shards(texts) for r in scan_shard(texts[i:j], own)]
-            lists = [",".join(sorted(r[2])) for r in rows]
+            lists = [",".join(sorted(x for x in r[2] if isinstance(x, str))) for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),

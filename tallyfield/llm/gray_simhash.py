@@ -52,15 +52,21 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` of every row, ``fp`` as a signed long."""
+    """``(doc_id, fp, text_hash)`` of every row, ``fp`` as a signed long; the other hash tells texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             fps = np.array([fingerprint(t) for t in utf8(b.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps), b.column("text_hash")], names=["doc_id", "fp", "text_hash"])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col)
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text_hash(text).alias("text_hash"))
+    return plain.mapInArrow(run, "doc_id long, fp long, text_hash long")
+
+
+def text_hash(text: Column) -> Column:
+    """Of equal texts equal, null as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -264,40 +270,46 @@ def link_fingerprints(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` for every row.
+    """``(doc_id, fingerprint, component_id, text_hash, first)`` for every row.
 
     Documents link at ``bits`` or fewer differing fingerprint bits; ``component_id`` is the smallest id reachable.
     Null and empty texts have fingerprint zero and link like any other. Rows without an id take part and get the
     component of the others with their links, null if there is none. Repeated rows repeat their result. Equal
-    fingerprints are one row from the first step on, so a group of copies does not grow any task.
+    fingerprints are one row from the first step on, so a group of copies does not grow any task. ``first`` names the
+    first row of the component, by id, rows without one last, then by ``text_hash``.
     """
     with small_batches(docs.sparkSession):
         prints = checkpointed(fingerprints(docs, id_col, text_col))
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("n")))
     pairs = checkpointed(link_fingerprints(distinct.select("fp"), bits).distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("seq_id")).distinct()
     joined = connected_components(ends, pairs).select(F.col("seq_id").alias("fp"), "cluster")
-    grouped = distinct.select("fp", "least").join(joined, "fp")
-    least = grouped.groupBy("cluster").agg(F.min("least").alias("component"))
+    grouped = distinct.select("fp", F.col("first").alias("own")).join(joined, "fp")
+    least = grouped.groupBy("cluster").agg(F.min("own").alias("least"))
     known = distinct.join(grouped.select("fp", "cluster").join(least, "cluster").drop("cluster"), "fp", "left")
-    named = checkpointed(known.select("fp", "n", F.coalesce("component", "least").alias("component_id")))
+    named = checkpointed(known.select("fp", "n", F.coalesce("least", "first").alias("first")))
     return join_hot(prints, named, "fp", "n").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"),
+        "text_hash", "first",
     )
 
 
-def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, with their columns, that are the first of their group; a row without an id stays.
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, that are the first of their component in ``groups`` (``near_duplicates``).
 
-    Rows that repeat an id are one document; which of them stays is undefined, as they have one name.
+    Rows are told apart by id and text, so rows that share an id and no text are judged each; of equal rows one stays.
     """
-    later = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__id"))
-    kept = docs.join(later, F.col(id_col) == F.col("__id"), "left_anti")
-    again = checkpointed(
-        groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).where("n > 1")
-    )
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    groups = checkpointed(groups.select("doc_id", "text_hash", (own == F.col("first")).alias("stays")))
+    same = [F.col(id_col).cast("long").eqNullSafe(F.col("__id")), F.col("__hash") == F.col("__other")]
+    names = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__other")]
+    later = groups.where(~F.col("stays")).select(*names).distinct()
+    again = checkpointed(groups.where("stays").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(*names))
+    marked = docs.withColumn("__hash", text_hash(F.col(text_col)))
+    kept = marked.join(later, same, "left_anti")
     if not again.count():
-        return kept
-    single = kept.join(again, F.col(id_col) == F.col("__id"), "left_anti")
-    twice = kept.join(again, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return single.unionByName(twice)
+        return kept.drop("__hash")
+    single = kept.join(again, same, "left_anti")
+    several = kept.join(again, same, "left_semi").withColumn("__id", F.col(id_col).cast("long")).dropDuplicates(["__id", "__hash"])
+    return single.unionByName(several.drop("__id")).drop("__hash")

@@ -67,7 +67,8 @@ def op7_residual_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_gray_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    return gray_simhash.near_duplicates(table(spark, folder, "documents"))
+    found = gray_simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
 
 
 def op9_block_rules(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,11 +18,11 @@ def brute(texts, items):
     windows = {}
     for name, t in items:
         w = split(t)
-        if name is None or not w:
+        if not w:
             continue
         n = min(10, len(w))
         for i in range(len(w) - n + 1):
-            windows.setdefault(tuple(w[i : i + n]), set()).add(str(name))
+            windows.setdefault(tuple(w[i : i + n]), set()).add(("unnamed", t) if name is None else str(name))
     out = []
     for t in texts:
         w = split(t)
@@ -33,7 +33,7 @@ def brute(texts, items):
                 if names:
                     found |= names
                     hit[i : i + n] = [True] * n
-        out.append((len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(hit)))
+        out.append((len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(x for x in found if isinstance(x, str))).encode()).hexdigest(), any(hit)))
     return out
 
 
@@ -75,7 +75,7 @@ def test_against_every_window(spark, frame, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = frame(texts)
     want = brute(texts, items)
-    full = [longest(t, [x for x in items if x[0] is not None]) for t in texts[:100]]
+    full = [longest(t, items) for t in texts[:100]]
     for shard, block in ((4 << 20, 16 << 20), (300, 200)):
         monkeypatch.setattr(D, "SHARD_BYTES", shard)
         monkeypatch.setattr(D, "BLOCK_BYTES", block)
@@ -85,12 +85,22 @@ def test_against_every_window(spark, frame, monkeypatch):
         for r in rows:
             if r["longest_words"]:
                 w = split(texts[r["doc_id"]])[r["longest_start"] :][: r["longest_words"]]
-                assert any(split(t)[r["longest_item_start"] :][: r["longest_words"]] == w for i, t in items if str(i) == r["longest_item"])
+                names = [None if i is None else str(i) for i, _ in items]
+                assert any(split(t)[r["longest_item_start"] :][: r["longest_words"]] == w for i, (_, t) in zip(names, items) if i == r["longest_item"])
         kept = D.drop_contaminated(df, D.benchmark_blocks(bench))
         assert kept.columns == df.columns
         assert {r["doc_id"] for r in kept.collect()} == {i for i, w in enumerate(want) if not w[4]}
 
 
+def test_items_without_an_id(spark, frame):
+    w = [f"q{i}" for i in range(30)]
+    bench = spark.createDataFrame([(None, " ".join(w[:12])), (None, " ".join(w[:12])), (None, " ".join(w[15:])), (4, " ".join(w[5:20]))], "item_id long, text string")
+    r = D.contamination(frame([" ".join(w), "none"]), D.benchmark_blocks(bench)).orderBy("doc_id").collect()
+    assert (r[0]["n_hit"], r[0]["n_items"], r[0]["contaminated"]) == (30, 3, True)
+    assert r[0]["items_sha256"] == hashlib.sha256(b"4").hexdigest()
+    assert (r[1]["n_hit"], r[1]["n_items"], r[1]["contaminated"]) == (0, 0, False)
+
+
 def test_empty_tables(spark, frame):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contamination(frame(["a"]), D.benchmark_blocks(none)).first()["contaminated"] is False
