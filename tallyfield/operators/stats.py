@@ -162,7 +162,8 @@ def pairwise_wilcoxon(
 ) -> DataFrame:
     """Rank-sum test of every level pair, re-ranked inside the pair, BH within the stratum.
 
-    With ``gate`` only strata whose Kruskal-Wallis p is below it are tested. The data are read once and
+    With ``gate`` only strata whose Kruskal-Wallis p is below it are tested. A stratum with a single level has no
+    pair and so no row. The data are read once and
     collapsed to (level, value) counts, which both the gate and the pair ranking use; for the
     pairs they are copied once per other level of the design.
     """
@@ -258,8 +259,8 @@ def _anova_fit(cells: pd.DataFrame, a: str, b: str) -> list[tuple[str, int, floa
     s2, r2 = fit(np.hstack([one, da, db]))
     cells_n = len(cells)
     return [
-        (a, r1 - r0, s0 - s1),
-        (b, r2 - r1, s1 - s2),
+        (a, r1 - r0, max(0.0, s0 - s1)),
+        (b, r2 - r1, max(0.0, s1 - s2)),
         (f"{a}:{b}", cells_n - r2, s2),
         ("Residuals", int(n.sum()) - cells_n, float(cells["within"].sum())),
     ]
@@ -416,7 +417,8 @@ def shapiro_wilk(df: DataFrame, strata: Sequence[str], value: str) -> DataFrame:
         .when(F.col("n") <= 5, an * top + inner4 / F.sqrt(phi4))
         .otherwise(an * top + am * second + inner5 / F.sqrt(phi5))
     )
-    w = F.least(score * score / F.nullif(F.col("ss"), F.lit(0.0)), F.lit(1.0))
+    # W says nothing about a stratum of one value, whose sum of squares may be a rounding error
+    w = F.when(F.col("xn") > F.col("x1"), F.least(score * score / F.nullif(F.col("ss"), F.lit(0.0)), F.lit(1.0)))
     res = sums.withColumn("w", w)
     lw, ln = F.log1p(-F.col("w")), F.log(n)
     small = n <= 11
@@ -461,12 +463,11 @@ def confidence_ellipse(df: DataFrame, strata: Sequence[str], x: str, y: str, lev
     half, diff = (F.col("sxx") + F.col("syy")) / 2, (F.col("sxx") - F.col("syy")) / 2
     root = F.sqrt(diff * diff + F.col("sxy") * F.col("sxy"))
 
-    @F.pandas_udf("double")
-    def scale(n: pd.Series) -> pd.Series:
-        return n.map(lambda k: 2 * tails.f_quantile(level, 2.0, k - 1.0) / k)
-
+    # the quantile of F with 2 and m degrees of freedom is m / 2 * ((1 - level)^(-2 / m) - 1)
+    m = F.col("n") - 1
+    scale = m * F.expm1(-2 * math.log(1 - level) / m) / F.col("n")
     return agg.withColumns({"l1": half + root, "l2": F.greatest(half - root, F.lit(0.0))}).withColumn(
-        "_s", scale(F.col("n"))
+        "_s", scale
     ).select(
         *strata, "n", "mean_x", "mean_y", "sxx", "syy", "sxy", "l1", "l2",
         F.sqrt(F.col("l1") * F.col("_s")).alias("semi_major"), F.sqrt(F.col("l2") * F.col("_s")).alias("semi_minor"),

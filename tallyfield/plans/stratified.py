@@ -238,7 +238,35 @@ def tukey_hsd(spark: SparkSession, d: str) -> DataFrame:
     return _round(res, "estimate", "statistic").drop("p_adj")
 
 
-@query("tukey_p_values")
+def _range_tail(q: str, k: str, df: str) -> str:
+    """Rows of ``t`` with the studentized-range tail ``p``: equal-step sums over the scale and the normal variable.
+
+    The normal distribution function at a sum is 1/2 plus the density times the series x + x^3/3 + x^5/15 + ..
+    """
+    phi = "exp(-0.5 * ({x}) * ({x})) / sqrt(2 * pi())"
+    cdf = (
+        "CASE WHEN {x} > 9 THEN 1.0 ELSE 0.5 + " + phi + " * list_reduce(range(150, -1, -1)::DOUBLE[], "
+        "lambda acc, step: 1 + acc * ({x}) * ({x}) / (2 * step + 3), 1.0) * ({x}) END"
+    )
+    return f"""zs AS MATERIALIZED (SELECT j * 0.1 AS z, {phi.format(x='j * 0.1')} AS f, {cdf.format(x='j * 0.1')} AS c FROM range(-80, 81) r(j)),
+        ds AS (SELECT DISTINCT CAST({df} AS DOUBLE) AS v FROM t),
+        ss AS MATERIALIZED (
+          SELECT v, 1 + i / (5 * sqrt(2 * v)) AS s, 1 / (5 * sqrt(2 * v)) AS h FROM ds, range(-45, 51) r(i) WHERE 1 + i / (5 * sqrt(2 * v)) > 0),
+        sw AS MATERIALIZED (SELECT v, s, h * exp(v / 2 * ln(v) - lgamma(v / 2) - (v / 2 - 1) * ln(2) + (v - 1) * ln(s) - v * s * s / 2) AS w FROM ss),
+        spots AS (SELECT t.*, sw.w, zs.f, zs.c, zs.z + {q} * sw.s AS x FROM t JOIN sw ON sw.v = {df}, zs),
+        tail AS (SELECT * EXCLUDE (w, f, c, x), 1 - sum(w * {k} * 0.1 * f * pow(({cdf.format(x='x')}) - c, {k} - 1)) AS p FROM spots GROUP BY ALL)"""
+
+
+@query(
+    "tukey_p_values",
+    f"""WITH {_CELLS},
+        e AS (SELECT stratum, sum(w) / (sum(n) - count(*)) AS mse, CAST(sum(n) - count(*) AS BIGINT) AS df, count(*) AS k FROM c GROUP BY 1),
+        t AS (SELECT x.stratum, y.a || ':' || y.b || '-' || x.a || ':' || x.b AS contrast, y.m - x.m AS estimate,
+                abs(y.m - x.m) / sqrt(mse / 2 * (1.0 / x.n + 1.0 / y.n)) AS q, df, k
+              FROM c x JOIN c y ON x.stratum = y.stratum AND (x.b, x.a) < (y.b, y.a) JOIN e ON e.stratum = x.stratum),
+        {_range_tail('q', 'k', 'df')}
+        SELECT stratum, contrast, round(estimate, 6) AS estimate, round(greatest(least(p, 1.0), 0.0), 6) AS p_adj FROM tail""",
+)
 def tukey_p_values(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").withColumnRenamed("l_linenumber", "stratum")
     return _round(

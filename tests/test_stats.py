@@ -124,6 +124,27 @@ def test_tails_against_published_critical_values():
         assert tails.studentized_range_sf(q, k, df) == pytest.approx(0.05, abs=2e-4)
 
 
+def test_tails_over_arrays():
+    x = np.concatenate([np.linspace(-6, 27, 3001), [0.0, 1e-300, -30, 40]])
+    want = np.array([math.erfc(v) for v in x])
+    np.testing.assert_allclose(tails.erfc(x), want, rtol=2e-13)
+    x = np.concatenate([np.linspace(1e-3, 40, 3001), np.logspace(-12, 12, 200)])
+    np.testing.assert_allclose(tails.lgamma(x), [math.lgamma(v) for v in x], rtol=1e-13, atol=2e-14)
+    q = np.array([0.0, -1.0, 0.5, 3.0, 3.958, 9.0, 60.0])
+    every = tails.studentized_range_sf(q, 4, 20)
+    assert every[:2].tolist() == [1, 1] and every[4] == pytest.approx(0.05, abs=2e-4) and every[-1] < 1e-9
+    # two groups: the range is a t variable times the root of two
+    np.testing.assert_allclose(tails.studentized_range_sf(q[2:], 2, 17), tails.t_two_sided(q[2:] / math.sqrt(2), 17), atol=1e-9)
+    assert tails.studentized_range_sf(3.0, 4, 5e5)[0] == pytest.approx(tails.studentized_range_sf(3.0, 4, 5e6)[0], abs=5e-6)
+
+
+def test_one_value_has_no_shape(spark):
+    df = spark.createDataFrame([("a", 0.1)] * 9 + [("b", float(i)) for i in range(9)], "g string, x double")
+    rows = {r["g"]: r for r in stats.shapiro_wilk(df, ["g"], "x").collect()}
+    assert rows["a"]["statistic"] is None and rows["a"]["p_value"] is None and rows["a"]["n"] == 9
+    assert rows["b"]["statistic"] > 0.9
+
+
 def test_probit_inverts_the_normal(spark):
     ps = [1e-9, 0.001, 0.02, 0.3, 0.5, 0.77, 0.999]
     df = spark.createDataFrame([(p,) for p in ps], "p double").select(tails.probit(F.col("p")).alias("z"))
