@@ -135,6 +135,12 @@ def feature_glm(cells: DataFrame, absent: DataFrame, design: DataFrame, by: Sequ
     missing cell has in each sample. X'y is the absent-everywhere sum plus a correction per
     stored cell; the aggregation combines map-side and no feature is gathered.
     """
+    full, terms, inv, n = _glm_sums(cells, absent, design, by)
+    return _fit_sums(full, [*by, "feature"], terms, inv, n)
+
+
+def _glm_sums(cells: DataFrame, absent: DataFrame, design: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, list[str], np.ndarray, int]:
+    """X'y as ``xy0..`` and y'y as ``yy`` of every feature, with the terms, the inverse of X'X and the number of samples."""
     by = list(by)
     terms = [c for c in design.columns if c != "sample"]
     xtx, n = _gram(design, terms)
@@ -160,7 +166,7 @@ def feature_glm(cells: DataFrame, absent: DataFrame, design: DataFrame, by: Sequ
         *by, "feature", *[(F.col(f"d{i}") + F.col(f"z{i}")).alias(f"xy{i}") for i in range(len(terms))],
         (F.col("dd") + F.col("zz")).alias("yy"),
     )
-    return _fit_sums(full, [*by, "feature"], terms, inv, n)
+    return full, terms, inv, n
 
 
 def clr_glm(counts: DataFrame, samples: DataFrame, design: DataFrame, offset: float = 0.5) -> DataFrame:
@@ -192,45 +198,61 @@ def pseudo_sensitivity(
     )
 
 
-def group_contrasts(counts: DataFrame, samples: DataFrame, group: str, offset: float = 0.5) -> DataFrame:
-    """All pairwise contrasts of group means on the CLR scale, Holm within each feature.
+def group_contrasts(
+    counts: DataFrame, samples: DataFrame, group: str, factors: Sequence[str] = (), numeric: Sequence[str] = (),
+    alpha: float = 0.05, offset: float = 0.5,
+) -> DataFrame:
+    """Directional contrasts of all pairs of ``group`` levels on the CLR scale, with other design terms as covariates.
 
-    Cell means follow from sums over stored cells plus the absent part per group.
+    ``(feature, contrast, estimate, se, statistic, p_value, p_adj, global_p, global_q, direction)``. One model per feature has
+    the group and the covariates; contrasts follow from its coefficients and their covariance. The error rate is the
+    mixed directional one: the F test that all levels are equal is adjusted over the features (``global_q``), and a contrast of
+    one of the ``R`` of ``m`` features below ``alpha`` has a ``direction`` (1 or -1, else 0) if its Holm-adjusted p-value
+    within the feature (``p_adj``) is at most ``alpha * R / m``.
     """
     src, centers, n_samples = _clr_parts(counts, samples, offset)
-    side = checkpointed(samples.select("sample", F.col(group).alias("g")).join(centers, "sample"))
-    zero = side.groupBy("g").agg(
-        F.count("*").alias("n"), F.sum("absent").alias("z"), F.sum(F.col("absent") * F.col("absent")).alias("zz")
-    )
-    levels = zero.collect()  # one row per level of the design
-    y = F.log(F.col("reads") + offset) - F.col("center")
-    joined = src.join(broadcast_if_small(side, n_samples, 64), "sample").withColumn("y", y)
-    dev, dev2 = F.col("y") - F.col("absent"), F.col("y") * F.col("y") - F.col("absent") * F.col("absent")
-    sums = joined.groupBy("feature").agg(
-        *[F.coalesce(F.sum(F.when(F.col("g") == r["g"], dev)), F.lit(0.0)).alias(f"s{i}") for i, r in enumerate(levels)],
-        F.sum(dev2).alias("q"),
-    )
-    n = sum(r["n"] for r in levels)
-    total_zz = sum(r["zz"] for r in levels)
-    mean = [(F.col(f"s{i}") + F.lit(r["z"])) / r["n"] for i, r in enumerate(levels)]
-    between = reduce(lambda a, b: a + b, [m * m * r["n"] for m, r in zip(mean, levels)])
-    mse = (F.col("q") + F.lit(total_zz) - between) / (n - len(levels))
-    order = sorted(range(len(levels)), key=lambda i: (str(levels[i]["g"]).lower(), str(levels[i]["g"])))
-    pairs = [(order[x], order[y]) for x in range(len(order)) for y in range(x + 1, len(order))]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(f"{levels[b]['g']} - {levels[a]['g']}").alias("contrast"), (mean[b] - mean[a]).alias("estimate"),
-                F.sqrt(F.greatest(mse, F.lit(0.0)) * (1 / levels[a]["n"] + 1 / levels[b]["n"])).alias("se"),
-            )
-            for a, b in pairs
-        ]
+    design = checkpointed(design_matrix(samples, [group, *factors], numeric))
+    levels = level_list(samples, group)
+    clr = _clr_cells(src, centers, n_samples, offset)
+    absent = centers.select("sample", F.col("absent").alias("y0"))
+    sums, terms, inv, n = _glm_sums(clr.select("sample", "feature", F.col("clr").alias("y")), absent, design)
+    p = len(terms)
+    xy = [F.col(f"xy{i}") for i in range(p)]
+    dot = lambda ws, cs: reduce(lambda a, b: a + b, [F.lit(float(w)) * c for w, c in zip(ws, cs)])
+    sums = sums.withColumns({f"b{j}": dot(inv[j], xy) for j in range(p)})
+    b = [F.col(f"b{j}") for j in range(p)]
+    rss = F.col("yy") - reduce(lambda x, y: x + y, [b[j] * xy[j] for j in range(p)])
+    place = {lv: (terms.index(f"{group}{lv}") if lv != levels[0] else None) for lv in levels}
+    at = [place[lv] for lv in levels[1:]]
+    middle = np.linalg.inv(inv[np.ix_(at, at)])
+    quad = reduce(lambda x, y: x + y, [F.lit(float(middle[i, j])) * b[k] * b[m] for i, k in enumerate(at) for j, m in enumerate(at)])
+    s2 = F.greatest(rss, F.lit(0.0)) / (n - p)
+    sums = checkpointed(sums.select("feature", *b, s2.alias("_s2"), (quad / len(at)).alias("_ms")))
+    whole = sums.withColumn("_f", F.col("_ms") / F.nullif(F.col("_s2"), F.lit(0.0))).withColumn(
+        "global_p", tails.p_f(F.col("_f"), F.lit(len(at)), F.lit(n - p))
     )
-    long = sums.select("feature", F.inline(rows))
+    whole = checkpointed(adjust_bh(whole.withColumn("_all", F.lit(1)), ["_all"], "global_p", "global_q"))
+    found = whole.agg(F.count("global_p").alias("m"), F.count_if(F.col("global_q") <= alpha).alias("r")).first()
+    rows = []
+    for x in range(len(levels)):
+        for y in range(x + 1, len(levels)):
+            w = np.zeros(p)
+            for lv, sign in ((levels[y], 1.0), (levels[x], -1.0)):
+                if place[lv] is not None:
+                    w[place[lv]] += sign
+            rows.append(F.struct(
+                F.lit(f"{levels[y]} - {levels[x]}").alias("contrast"), dot(w, b).alias("estimate"),
+                F.sqrt(F.col("_s2") * F.lit(float(w @ inv @ w))).alias("se"),
+            ))
+    long = whole.select("feature", "global_p", "global_q", F.inline(F.array(*rows)))
     res = long.withColumn("statistic", F.col("estimate") / F.nullif(F.col("se"), F.lit(0.0))).withColumn(
-        "p_value", tails.p_t(F.col("statistic"), F.lit(n - len(levels)))
+        "p_value", tails.p_t(F.col("statistic"), F.lit(n - p))
+    )
+    bound = alpha * found["r"] / max(1, found["m"])
+    sure = (F.col("global_q") <= alpha) & (F.col("p_adj") <= bound)
+    return adjust_holm(res, ["feature"], "p_value").withColumn(
+        "direction", F.when(sure, F.signum("estimate").cast("int")).otherwise(0)
     )
-    return adjust_holm(res, ["feature"], "p_value")
 
 
 # ---------------------------------------------------------------- Monte-Carlo instances

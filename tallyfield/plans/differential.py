@@ -9,7 +9,7 @@ from ..operators import abundance as A
 from ..operators import diversity
 from ..proxies import analytes, counts, genus_counts, samples, table, taxonomy
 from .registry import query, with_tables
-from .sqltext import bh, midrank, t_two_sided
+from .sqltext import bh, f_sf, inverse, midrank, t_two_sided
 
 _DESIGN = """design AS (SELECT sample, CAST(1 AS DOUBLE) AS x0, CAST(challenge = 'sal' AS DOUBLE) AS x1,
       CAST(diet = 'gos' AS DOUBLE) AS x2, CAST(age AS DOUBLE) AS x3 FROM samples)"""
@@ -378,26 +378,59 @@ def control_rank_table(spark: SparkSession, d: str) -> DataFrame:
     return A.control_rank_table(ranked, controls, _KEY)
 
 
+# terms: intercept, ages 24, 28 and 35, challenge, diet
+_LEVELS = {22: None, 24: 1, 28: 2, 35: 3}
+_PAIRS = [(x, y) for x in _LEVELS for y in _LEVELS if x < y]
+
+
+def _contrast_rows() -> str:
+    cells = []
+    for x, y in _PAIRS:
+        cells += [f"('{y} - {x}', {_LEVELS[y]}, 1.0)"] + ([f"('{y} - {x}', {_LEVELS[x]}, -1.0)"] if _LEVELS[x] else [])
+    return ", ".join(cells)
+
+
 @query(
     "group_contrasts",
     with_tables("samples", "counts")
     + f""", {_grid('counts')}, {_CLR},
-         c AS (SELECT feature, age AS g, count(*) AS n, avg(y) AS m, coalesce(var_samp(y) * (count(*) - 1), 0) AS w
-               FROM clr JOIN samples USING (sample) GROUP BY 1, 2),
-         e AS (SELECT feature, sum(w) / (sum(n) - count(*)) AS mse, sum(n) - count(*) AS dof FROM c GROUP BY 1),
-         k AS (SELECT a.feature, b.g || ' - ' || a.g AS contrast, b.m - a.m AS d,
-                 sqrt(mse * (1.0 / a.n + 1.0 / b.n)) AS se, dof FROM c a JOIN c b ON a.feature = b.feature AND a.g < b.g
-               JOIN e ON e.feature = a.feature),
-         p AS (SELECT *, {t_two_sided('d / se', 'dof')} AS p FROM k),
+         dl AS (SELECT sample, unnest(range(0, 6)) AS i, unnest([1.0, CAST(age = 24 AS DOUBLE), CAST(age = 28 AS DOUBLE),
+                  CAST(age = 35 AS DOUBLE), CAST(challenge = 'sal' AS DOUBLE), CAST(diet = 'gos' AS DOUBLE)]) AS x FROM samples),
+         xx AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM dl a JOIN dl b USING (sample) GROUP BY 1, 2),
+         {inverse('iv', 'xx', [0, 1, 2, 3, 4, 5])}, {inverse('gm', 'iv', [1, 2, 3])},
+         xy AS MATERIALIZED (SELECT feature, i, sum(x * y) AS v FROM clr JOIN dl USING (sample) GROUP BY 1, 2),
+         be AS MATERIALIZED (SELECT feature, iv.i, sum(iv.v * xy.v) AS b FROM xy JOIN iv ON iv.j = xy.i GROUP BY 1, 2),
+         yy AS (SELECT feature, sum(y * y) AS v, count(*) - 6 AS dof FROM clr GROUP BY 1),
+         s2 AS MATERIALIZED (SELECT be.feature, (any_value(yy.v) - sum(b * xy.v)) / any_value(dof) AS s2, any_value(dof) AS dof
+                FROM be JOIN xy ON xy.feature = be.feature AND xy.i = be.i JOIN yy ON yy.feature = be.feature GROUP BY 1),
+         gf AS (SELECT a.feature, sum(a.b * gm.v * c.b) / 3 / any_value(s2) AS f, any_value(dof) AS dof
+                FROM be a JOIN gm ON gm.i = a.i JOIN be c ON c.feature = a.feature AND c.i = gm.j JOIN s2 ON s2.feature = a.feature GROUP BY 1),
+         gp AS (SELECT feature, {f_sf('f', '3', 'dof')} AS p FROM gf),
+         gr AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS rn, count(*) OVER () AS m FROM gp),
+         gq AS MATERIALIZED (SELECT feature, p, m, least(1.0, min(p * m / rn) OVER (ORDER BY p DESC, feature DESC
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM gr),
+         cw(contrast, i, w) AS (VALUES {_contrast_rows()}),
+         cv AS (SELECT a.contrast, sum(a.w * b.w * iv.v) AS v FROM cw a JOIN cw b USING (contrast) JOIN iv ON iv.i = a.i AND iv.j = b.i GROUP BY 1),
+         ce AS (SELECT feature, contrast, sum(w * b) AS d FROM be JOIN cw USING (i) GROUP BY 1, 2),
+         ct AS (SELECT feature, contrast, d, sqrt(s2 * cv.v) AS se, dof FROM ce JOIN cv USING (contrast) JOIN s2 USING (feature)),
+         p AS (SELECT *, {t_two_sided('d / se', 'dof')} AS p FROM ct),
          n AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY p, contrast) AS rn,
-                 count(*) OVER (PARTITION BY feature) AS m FROM p)
+                 count(*) OVER (PARTITION BY feature) AS m FROM p),
+         h AS (SELECT feature, contrast, d, se, p, least(1.0, max((m - rn + 1) * p) OVER (PARTITION BY feature ORDER BY p, contrast
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_adj FROM n)
          SELECT feature, contrast, round(d, 6) AS estimate, round(se, 6) AS se, round(d / se, 5) AS statistic,
-           round(p, 6) AS p_value, round(least(1.0, max((m - rn + 1) * p) OVER (PARTITION BY feature ORDER BY p, contrast
-             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS p_adj FROM n""",
+           round(h.p, 6) AS p_value, round(p_adj, 6) AS p_adj, round(gq.p, 5) AS global_p, round(q, 4) AS global_q,
+           CAST(CASE WHEN q <= 0.2 AND p_adj <= 0.2 * (SELECT count(*) FILTER (q <= 0.2) / CAST(count(*) AS DOUBLE) FROM gq)
+             THEN sign(d) ELSE 0 END AS INT) AS direction
+         FROM h JOIN gq USING (feature)""",
 )
 def group_contrasts(spark: SparkSession, d: str) -> DataFrame:
-    res = A.group_contrasts(counts(spark, d), samples(spark, d), "age")
-    return _r(res, "estimate", "se", "p_value", "p_adj").withColumn("statistic", F.round("statistic", 5))
+    s = samples(spark, d)
+    # the stand-in counts hold no effect; a level of 0.2 lets some of them pass the first test
+    res = A.group_contrasts(counts(spark, d), s, "age", ["challenge", "diet"], alpha=0.2)
+    return _r(res, "estimate", "se", "p_value", "p_adj").withColumns(
+        {"statistic": F.round("statistic", 5), "global_p": F.round("global_p", 5), "global_q": F.round("global_q", 4)}
+    )
 
 
 @query(

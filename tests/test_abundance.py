@@ -153,3 +153,44 @@ def test_association_of_signed_values(spark):
     p = sorted((r["p_value"], r["q"]) for r in rows)
     for k, (_, q) in enumerate(p):
         assert q == pytest.approx(min(1.0, *(p[j][0] * len(p) / (j + 1) for j in range(k, len(p)))))
+
+
+def test_directional_contrasts_of_a_full_model(spark):
+    rng = np.random.default_rng(8)
+    groups, sexes = np.array(["a", "B", "c"]), np.array(["f", "m"])
+    samples = [(i, str(groups[i % 3]), str(sexes[(i // 3) % 2]), float(rng.normal())) for i in range(42)]
+    lam = np.exp(rng.normal(2, 1, 12))[None, :] * np.ones((42, 1))
+    lam[[s[1] == "c" for s in samples], :3] *= 6  # three features differ
+    n = rng.poisson(lam)
+    counts = [(i, j, int(n[i, j])) for i in range(42) for j in range(12) if n[i, j]]
+    s = spark.createDataFrame(samples, "sample int, g string, sex string, x double")
+    c = spark.createDataFrame(counts, "sample int, feature int, reads long")
+    got = {(r["feature"], r["contrast"]): r for r in A.group_contrasts(c, s, "g", ["sex"], ["x"], alpha=0.05).collect()}
+    logs = np.log(n + 0.5)
+    y = logs - logs.mean(1, keepdims=True)
+    g = np.array([r[1] for r in samples])
+    x = np.column_stack([np.ones(42), g == "B", g == "c", [r[2] == "m" for r in samples], [r[3] for r in samples]]).astype(float)
+    inv = np.linalg.inv(x.T @ x)
+    beta = inv @ x.T @ y
+    rss = ((y - x @ beta) ** 2).sum(0)
+    small = np.linalg.lstsq(x[:, [0, 3, 4]], y, rcond=None)[0]
+    rss0 = ((y - x[:, [0, 3, 4]] @ small) ** 2).sum(0)
+    p = np.array([float(A.tails.f_sf(v, 2, 37)) for v in (rss0 - rss) / 2 / (rss / 37)])
+    order = np.argsort(p)
+    q = np.empty(12)
+    q[order] = np.minimum(1, np.minimum.accumulate((p[order] * 12 / np.arange(1, 13))[::-1])[::-1])
+    for j in range(12):
+        tests = []
+        for name, w in (("B - a", [0, 1, 0, 0, 0]), ("c - a", [0, 0, 1, 0, 0]), ("c - B", [0, -1, 1, 0, 0])):
+            w = np.array(w, float)
+            est, se = w @ beta[:, j], np.sqrt(rss[j] / 37 * (w @ inv @ w))
+            tests.append((float(A.tails.t_two_sided(est / se, 37)), name, est, se))
+        run = 0.0
+        for k, (pv, name, est, se) in enumerate(sorted(tests)):
+            run = max(run, (3 - k) * pv)
+            r = got[j, name]
+            assert r["estimate"] == pytest.approx(est) and r["se"] == pytest.approx(se)
+            assert r["p_adj"] == pytest.approx(min(1, run)) and r["global_p"] == pytest.approx(p[j]) and r["global_q"] == pytest.approx(q[j])
+            sure = q[j] <= 0.05 and min(1, run) <= 0.05 * (q <= 0.05).sum() / 12
+            assert r["direction"] == (np.sign(est) if sure else 0)
+    assert {r["feature"] for r in got.values() if r["direction"] == 1} >= {0, 1, 2}
