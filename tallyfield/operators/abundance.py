@@ -377,17 +377,12 @@ def _solve(p: int):
     return run
 
 
-def bias_corrected_glm(
-    counts: DataFrame, design: DataFrame, alpha: float = 0.05, tol: float = 1e-2, max_iter: int = 20,
-    em_tol: float = 1e-5, em_iter: int = 100, s0_perc: float = 0.05,
-) -> tuple[DataFrame, DataFrame]:
-    """Log-linear model with sample and coefficient bias removed.
+def _alternate(counts: DataFrame, design: DataFrame, tol: float, max_iter: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Log cells with their design, coefficients per feature (with ``n``, ``inv`` and ``b0..``) and ``(sample, theta)``.
 
-    Returns ``results(feature, term, lfc, se, w, p, q, diff)`` and ``fractions(sample, samp_frac)``.
-    Zeros are missing. Each feature's X'X is inverted once; an iteration is two grouped sums (X'y per
-    feature, mean residual per sample). The coefficient bias is the centre of a three-part normal
-    mixture over features, fitted with grouped sums per EM step. Results of a step are
-    checkpointed, so lineage stays short and a lost executor only repeats the current step.
+    Zeros are missing. Each feature's X'X is inverted once; an iteration is two grouped sums (X'y per feature, mean
+    residual per sample). Results of a step are checkpointed, so lineage stays short and a lost executor only repeats the
+    current step.
     """
     terms = [c for c in design.columns if c != "sample"]
     p = len(terms)
@@ -405,7 +400,7 @@ def bias_corrected_glm(
     theta = checkpointed(design.select("sample", F.lit(0.0).alias("theta")))
     # SQL text: the loop below would otherwise build hundreds of Column objects per step
     coef = [" + ".join(f"inv[{j * p + k}] * xy{k}" for k in range(p)) + f" AS b{j}" for j in range(p)]
-    fitted = " + ".join(f"`{t}` * b{j}" for j, t in enumerate(terms))
+    fitted = _fitted(terms)
     names = [f"b{j}" for j in range(p)]
     xy_sums = [F.expr(f"sum(`{t}` * (y - theta))").alias(f"xy{k}") for k, t in enumerate(terms)]
 
@@ -419,9 +414,34 @@ def bias_corrected_glm(
         theta = step
         if change is None or change < tol:
             break
+    return cells, beta, theta
+
 
+def _fitted(terms: Sequence[str]) -> str:
+    return " + ".join(f"`{t}` * b{j}" for j, t in enumerate(terms))
+
+
+def sampling_fractions(counts: DataFrame, design: DataFrame, tol: float = 1e-2, max_iter: int = 20) -> DataFrame:
+    """``(sample, samp_frac)``: the sample bias of the log-linear model; samples without a cell have no row."""
+    return _alternate(counts, design, tol, max_iter)[2].withColumnRenamed("theta", "samp_frac")
+
+
+def bias_corrected_glm(
+    counts: DataFrame, design: DataFrame, alpha: float = 0.05, tol: float = 1e-2, max_iter: int = 20,
+    em_tol: float = 1e-5, em_iter: int = 100, s0_perc: float = 0.05,
+) -> tuple[DataFrame, DataFrame]:
+    """Log-linear model with sample and coefficient bias removed.
+
+    Returns ``results(feature, term, lfc, se, w, p, q, diff)`` and ``fractions(sample, samp_frac)``. The sample bias comes from
+    alternating sums (``_alternate``). The coefficient bias is the centre of a three-part normal mixture over
+    features, fitted with grouped sums per EM step.
+    """
+    terms = [c for c in design.columns if c != "sample"]
+    p, n = len(terms), design.count()
+    cells, beta, theta = _alternate(counts, design, tol, max_iter)
+    names = [f"b{j}" for j in range(p)]
     full = cells.join(broadcast_if_small(theta, n, 24), "sample").join(beta.select("feature", *names), "feature")
-    rss = full.groupBy("feature").agg(F.expr(f"sum(pow(y - theta - ({fitted}), 2))").alias("rss"))
+    rss = full.groupBy("feature").agg(F.expr(f"sum(pow(y - theta - ({_fitted(terms)}), 2))").alias("rss"))
     rows = F.array(*[
         F.struct(F.lit(t).alias("term"), F.col(f"b{j}").alias("beta"),
                  (F.element_at("inv", j * p + j + 1) * F.col("rss") / (F.col("n") - p)).alias("nu"))
@@ -579,7 +599,18 @@ def feature_analyte_correlation(cells: DataFrame, samples: DataFrame, analytes:
     return adjust_bh(res, ["stratum", "analyte"], "p_value", "q")
 
 
-def correlation_agreement(first: DataFrame, second: DataFrame, q: str, alpha: float = 0.05) -> DataFrame:
+def agreement_table(first: DataFrame, second: DataFrame, q: str = "q", alpha: float = 0.05) -> DataFrame:
+    """Both routes' adjusted p-values and signs for every key they share, and whether they agree at ``alpha``."""
+    keys = ["stratum", "analyte", "feature"]
+    side = lambda df, s: df.select(
+        *keys, F.col(q).alias(f"q_{s}"), F.when(F.col("estimate") < 0, 0).otherwise(1).alias(f"sign_{s}")
+    )
+    both = side(first, "bc").join(side(second, "ra"), keys)
+    agree = (F.col("q_bc") <= alpha) & (F.col("q_ra") <= alpha) & (F.col("sign_bc") == F.col("sign_ra"))
+    return both.withColumn("agrees", F.coalesce(agree, F.lit(False)))
+
+
+def correlation_agreement(first: DataFrame, second: DataFrame, q: str = "q", alpha: float = 0.05) -> DataFrame:
     """Keys significant in both tables with the same sign; zero counts as positive."""
     keys = ["stratum", "analyte", "feature"]
     side = lambda df, s: df.where(F.col(q) <= alpha).select(

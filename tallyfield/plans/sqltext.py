@@ -33,24 +33,32 @@ def f_sf(x: str, d1: str, d2: str) -> str:
     return f"least(1.0, 2 * exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) * {body})"
 
 
-def inverse(name: str, source: str, rows: list[int]) -> str:
-    """CTEs up to ``name(i, j, v)``: the inverse of the given rows and columns of ``source(i, j, v)`` by elimination."""
+def inverse(name: str, source: str, rows: list[int], key: str = "") -> str:
+    """CTEs up to ``name(i, j, v)``: the inverse of the given rows and columns of ``source(i, j, v)`` by elimination.
+
+    With ``key`` a matrix per value of that column.
+    """
     k, steps = len(rows), []
     number = " ".join(f"WHEN {r} THEN {n}" for n, r in enumerate(rows))
     inside = f"i IN ({', '.join(map(str, rows))}) AND j IN ({', '.join(map(str, rows))})"
+    own, keys = (f"{key}, ", f"(SELECT DISTINCT {key} FROM {source}), ") if key else ("", "")
+    same = (lambda t: f" AND {t}.{key} = x.{key}") if key else (lambda t: "")
     steps.append(
-        f"{name}_0 AS MATERIALIZED (SELECT CASE i {number} END AS i, CASE j {number} END AS j, v FROM {source} WHERE {inside} "
-        f"UNION ALL SELECT a.n, {k} + b.n, CASE WHEN a.n = b.n THEN 1.0 ELSE 0.0 END FROM range({k}) a(n), range({k}) b(n))"
+        f"{name}_0 AS MATERIALIZED (SELECT {own}CASE i {number} END AS i, CASE j {number} END AS j, v FROM {source} WHERE {inside} "
+        f"UNION ALL SELECT {own}a.n, {k} + b.n, CASE WHEN a.n = b.n THEN 1.0 ELSE 0.0 END FROM {keys}range({k}) a(n), range({k}) b(n))"
     )
     for s in range(k):
         last = f"{name}_{s}"
         steps.append(
-            f"{name}_{s + 1} AS MATERIALIZED (SELECT x.i, x.j, CASE WHEN x.i = {s} THEN x.v / p.v ELSE x.v - f.v * r.v / p.v END AS v "
-            f"FROM {last} x JOIN {last} r ON r.i = {s} AND r.j = x.j JOIN {last} f ON f.i = x.i AND f.j = {s} "
-            f"JOIN {last} p ON p.i = {s} AND p.j = {s})"
+            f"{name}_{s + 1} AS MATERIALIZED (SELECT {f'x.{key}, ' if key else ''}x.i, x.j, "
+            f"CASE WHEN x.i = {s} THEN x.v / p.v ELSE x.v - f.v * r.v / p.v END AS v "
+            f"FROM {last} x JOIN {last} r ON r.i = {s} AND r.j = x.j{same('r')} JOIN {last} f ON f.i = x.i AND f.j = {s}{same('f')} "
+            f"JOIN {last} p ON p.i = {s} AND p.j = {s}{same('p')})"
         )
     back = " ".join(f"WHEN {n} THEN {r}" for n, r in enumerate(rows))
-    steps.append(f"{name} AS MATERIALIZED (SELECT CASE i {back} END AS i, CASE j - {k} {back} END AS j, v FROM {name}_{k} WHERE j >= {k})")
+    steps.append(
+        f"{name} AS MATERIALIZED (SELECT {own}CASE i {back} END AS i, CASE j - {k} {back} END AS j, v FROM {name}_{k} WHERE j >= {k})"
+    )
     return ", ".join(steps)
 
 
