@@ -434,7 +434,7 @@ def bias_corrected_glm(
 
     Returns ``results(feature, term, lfc, se, w, p, q, diff)`` and ``fractions(sample, samp_frac)``. The sample bias comes from
     alternating sums (``_alternate``). The coefficient bias is the centre of a three-part normal mixture over
-    features, fitted with grouped sums per EM step.
+    features, fitted with grouped sums per EM step; ``se`` holds its standard deviation, too.
     """
     terms = [c for c in design.columns if c != "sample"]
     p, n = len(terms), design.count()
@@ -449,8 +449,12 @@ def bias_corrected_glm(
     ])
     est = checkpointed(beta.join(rss, "feature").select("feature", "n", F.inline(rows)).where("nu > 0"))
     bias = _mixture_bias(est, em_tol, em_iter)
-    delta = reduce(lambda w, kv: w.when(F.col("term") == kv[0], F.lit(kv[1])), bias.items(), F.when(F.lit(False), F.lit(0.0)))
-    se = est.withColumn("se0", F.sqrt("nu"))
+    of_term = lambda i: reduce(
+        lambda w, kv: w.when(F.col("term") == kv[0], F.lit(kv[1][i])), bias.items(), F.when(F.lit(False), F.lit(0.0))
+    )
+    delta = of_term(0)
+    # the standard deviations of coefficient and bias add up, as the two may be dependent
+    se = est.withColumn("se0", F.sqrt("nu") + F.sqrt(of_term(1)))
     s0 = quantiles(se.select("term", "se0"), ["term"], "se0", {"s0": s0_perc}).select("term", "s0")
     res = se.join(F.broadcast(s0), "term").select(  # one row per model term
         "feature", "term", (F.col("beta") - delta).alias("lfc"), F.col("se0").alias("se"),
@@ -460,8 +464,8 @@ def bias_corrected_glm(
     return out, theta.withColumnRenamed("theta", "samp_frac")
 
 
-def _mixture_bias(est: DataFrame, tol: float, max_iter: int) -> dict[str, float]:
-    """Per term, the null centre of null + negative + positive normal parts; grouped sums per step.
+def _mixture_bias(est: DataFrame, tol: float, max_iter: int) -> dict[str, tuple[float, float]]:
+    """Per term, the null centre of null + negative + positive normal parts and its variance; grouped sums per step.
 
     The parameters of a step are one array literal, indexed by the row's term, which generated code
     refers to instead of spelling it out: every step reuses the compiled plan.
@@ -493,6 +497,7 @@ def _mixture_bias(est: DataFrame, tol: float, max_iter: int) -> dict[str, float]
         "sum(r2 * (pow(beta - d - l2, 2) - nu)) AS q2", "avg(r0) AS a0", "avg(r1) AS a1", "avg(r2) AS a2",
         "sum(r1) AS s1", "sum(r2) AS s2",
     )]
+    spread_of = dict.fromkeys(par, 0.0)
     for _ in range(max_iter):
         flat = ", ".join(f"{float(v)!r}D" for t in order for v in par[t])
         joined = est.selectExpr("*", f"array({flat}) AS par").selectExpr(*unpack)
@@ -505,10 +510,10 @@ def _mixture_bias(est: DataFrame, tol: float, max_iter: int) -> dict[str, float]
                 max(0.0, a["q2"] / max(a["s2"], 1e-12)), a["a0"], a["a1"], a["a2"],
             )
             move = max(move, abs(new[0] - par[a["term"]][0]))
-            par[a["term"]] = new
+            par[a["term"]], spread_of[a["term"]] = new, 1 / a["den"]
         if move < tol:
             break
-    return {k: v[0] for k, v in par.items()}
+    return {k: (v[0], spread_of[k]) for k, v in par.items()}
 
 
 def structural_zeros(counts: DataFrame, samples: DataFrame, group: str, neg_lb: bool = True) -> DataFrame:

@@ -154,10 +154,69 @@ def feature_effect_size(spark: SparkSession, d: str) -> DataFrame:
     return A.feature_effect_size(inst, A.trial_design(s))
 
 
-@query("bias_corrected_glm")
+def _mixture(steps: int = 100, tol: float = 1e-5) -> str:
+    """CTEs from ``est(feature, term, n, beta, nu)`` up to ``bias(term, d, vd)``: all EM steps, of which the first settled counts."""
+    t = ["""em0 AS MATERIALIZED (SELECT term, c AS d, least(lo - c, -1e-3) AS l1, greatest(hi - c, 1e-3) AS l2, sp AS k1, sp AS k2,
+          0.75 AS p0, 0.125 AS p1, 0.125 AS p2, 0.0 AS vd FROM (
+            SELECT term, (q1 + q3) / 2 AS c, lo, hi, greatest(((q3 - q1) / 1.349) ** 2, 1e-8) AS sp FROM (
+              SELECT term, quantile_cont(beta, 0.125) AS lo, quantile_cont(beta, 0.25) AS q1, quantile_cont(beta, 0.75) AS q3,
+                quantile_cont(beta, 0.875) AS hi FROM est GROUP BY 1)))"""]
+    for k in range(1, steps + 1):
+        t.append(f"""em{k} AS MATERIALIZED (
+          SELECT term, sum(r0 / nu * beta + r1 / v1 * (beta - l1) + r2 / v2 * (beta - l2)) / sum(r0 / nu + r1 / v1 + r2 / v2) AS d,
+            least(0.0, sum(r1 / v1 * (beta - d)) / greatest(sum(r1 / v1), 1e-12)) AS l1,
+            greatest(0.0, sum(r2 / v2 * (beta - d)) / greatest(sum(r2 / v2), 1e-12)) AS l2,
+            greatest(0.0, sum(r1 * ((beta - d - l1) ** 2 - nu)) / greatest(sum(r1), 1e-12)) AS k1,
+            greatest(0.0, sum(r2 * ((beta - d - l2) ** 2 - nu)) / greatest(sum(r2), 1e-12)) AS k2,
+            avg(r0) AS p0, avg(r1) AS p1, avg(r2) AS p2, 1 / sum(r0 / nu + r1 / v1 + r2 / v2) AS vd
+          FROM (SELECT *, f0 / (f0 + f1 + f2 + 1e-300) AS r0, f1 / (f0 + f1 + f2 + 1e-300) AS r1, f2 / (f0 + f1 + f2 + 1e-300) AS r2
+                FROM (SELECT *, p0 * exp(-1 * pow(beta - d, 2) / (2 * nu)) / sqrt(nu) AS f0,
+                        p1 * exp(-1 * pow(beta - d - l1, 2) / (2 * v1)) / sqrt(v1) AS f1,
+                        p2 * exp(-1 * pow(beta - d - l2, 2) / (2 * v2)) / sqrt(v2) AS f2
+                      FROM (SELECT term, beta, nu, d, l1, l2, p0, p1, p2, nu + k1 AS v1, nu + k2 AS v2 FROM est JOIN em{k - 1} USING (term))))
+          GROUP BY 1)""")
+    moves = " UNION ALL ".join(
+        f"SELECT {k} AS k, max(abs(a.d - b.d)) AS m FROM em{k} a JOIN em{k - 1} b USING (term)" for k in range(1, steps + 1)
+    )
+    every = " UNION ALL ".join(f"SELECT {k} AS k, term, d, vd FROM em{k}" for k in range(1, steps + 1))
+    t.append(f"em_end AS MATERIALIZED (SELECT coalesce(min(k), {steps}) AS k FROM ({moves}) WHERE m < {tol})")
+    t.append(f"bias AS MATERIALIZED (SELECT term, d, vd FROM ({every}) WHERE k = (SELECT k FROM em_end))")
+    return ", ".join(t)
+
+
+def _corrected_sql(source: str, steps: int = 20) -> str:
+    """CTEs up to ``bc(feature, term, lfc, se, w, p, q)`` of the bias-corrected model."""
+    coefficients = " UNION ALL ".join(f"SELECT {k} AS k, * FROM cf{k}" for k in range(1, steps + 1))
+    names = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(A.TERMS))
+    return f"""{_fractions(source, steps)},
+        cf AS MATERIALIZED (SELECT feature, i, b FROM ({coefficients}) WHERE k = (SELECT k FROM settled)),
+        rs AS MATERIALIZED (SELECT feature, sum((y - fr - f) ** 2) AS rss, count(*) AS n FROM (
+            SELECT sample, feature, any_value(y) AS y, sum(x * b) AS f FROM ll JOIN cf USING (feature, i) GROUP BY 1, 2)
+          JOIN fr USING (sample) GROUP BY 1),
+        est AS MATERIALIZED (SELECT cf.feature, CASE cf.i {names} END AS term, n, b AS beta, fi.v * rss / (n - 4) AS nu
+          FROM cf JOIN fi ON fi.feature = cf.feature AND fi.i = cf.i AND fi.j = cf.i JOIN rs ON rs.feature = cf.feature
+          WHERE cf.i > 0 AND fi.v * rss > 0),
+        {_mixture()},
+        se AS MATERIALIZED (SELECT feature, term, n, beta - d AS lfc, sqrt(nu) + sqrt(vd) AS se FROM est JOIN bias USING (term)),
+        s0 AS (SELECT term, quantile_cont(se, 0.05) AS s0 FROM se GROUP BY 1),
+        bw AS (SELECT feature, term, lfc, se, lfc / (se + s0) AS w, n - 4 AS dof FROM se JOIN s0 USING (term)),
+        bp AS MATERIALIZED (SELECT *, {t_two_sided('w', 'dof')} AS p FROM bw),
+        bn AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY p, feature) AS rn, count(*) OVER (PARTITION BY term) AS m FROM bp),
+        bc AS (SELECT feature, term, lfc, se, w, p, dof, least(1.0, max((m - rn + 1) * p) OVER (PARTITION BY term ORDER BY p, feature
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM bn)"""
+
+
+@query(
+    "bias_corrected_glm",
+    with_tables("samples", "counts")
+    + f""", {_DESIGN}, {_corrected_sql('counts')}
+         SELECT feature, term, round(lfc, 5) AS lfc, round(se, 5) AS se, round(w, 4) AS w, round(p, 5) AS p, round(q, 4) AS q,
+           CAST(dof AS BIGINT) AS df, q < 0.05 AS diff FROM bc""",
+)
 def bias_corrected_glm(spark: SparkSession, d: str) -> DataFrame:
     s = samples(spark, d)
-    return A.bias_corrected_glm(counts(spark, d), A.trial_design(s))[0]
+    res = A.bias_corrected_glm(counts(spark, d), A.trial_design(s))[0]
+    return _r(_r(res, "lfc", "se", "p", places=5), "w", "q", places=4)
 
 
 @query(
