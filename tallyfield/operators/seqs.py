@@ -101,27 +101,71 @@ def feature_table(counts: DataFrame, clusters: DataFrame, key: str) -> DataFrame
 # ---------------------------------------------------------------- reads
 
 
+#: Pairs whose overlaps are sought together; they are of similar length.
+_PAIRS = 1024
+
+
+def _bit_planes(texts: list[str], numbers: dict[str, int], width: int, right: bool) -> np.ndarray:
+    """The characters' numbers as bits: planes x texts x 64-bit words, padded to ``width`` characters on one side."""
+    codes = np.zeros((len(texts), width), np.uint32)
+    for i, t in enumerate(texts):
+        own = np.fromiter(map(numbers.__getitem__, t), np.uint32, len(t))
+        codes[i, width - len(t) :] = own if right else 0
+        if not right:
+            codes[i, : len(t)] = own
+    planes = max(1, (len(numbers) - 1).bit_length())
+    bits = ((codes[None] >> np.arange(planes, dtype=np.uint32)[:, None, None]) & 1).astype(np.uint8)
+    packed = np.packbits(bits, axis=2, bitorder="little")
+    whole = np.zeros((*packed.shape[:2], 8 * (-(-width // 64) + 1)), np.uint8)  # a word of zeros behind
+    whole[:, :, : packed.shape[2]] = packed
+    return whole.view("<u8")
+
+
+def overlaps(fwd: list[str], rev: list[str], min_overlap: int, max_share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Length and mismatches of each pair's best gap-free overlap; 0 where no one is within ``max_share``.
+
+    Characters are bits in planes, two for four bases. For each length of the overlap the ends of all first strings are
+    shifted over the starts of all second ones; the planes' differences, put together by OR, are counted by bits.
+    """
+    numbers = {c: i for i, c in enumerate(sorted(set("".join(fwd)) | set("".join(rev))))}
+    sizes = np.minimum([len(t) for t in fwd], [len(t) for t in rev])
+    top, width = int(sizes.max(initial=0)), max(map(len, fwd), default=0)
+    x, y = _bit_planes(fwd, numbers, width, True), _bit_planes(rev, numbers, max(map(len, rev), default=0), False)
+    best, bad = np.zeros(len(fwd), np.int32), np.zeros(len(fwd), np.int32)
+    share = np.full(len(fwd), np.nextafter(max_share, 2.0))
+    for o in range(top, min_overlap - 1, -1):
+        live = np.flatnonzero((sizes >= o) & (share > 0))
+        if not len(live):
+            continue
+        word, bit, n = (width - o) // 64, np.uint64((width - o) % 64), -(-o // 64)
+        part = x[:, live, word : word + n + 1]
+        shifted = part[..., :n] >> bit
+        if bit:
+            more = part[..., 1 : n + 1] << (np.uint64(64) - bit)
+            shifted[..., : more.shape[-1]] |= more
+        differ = np.bitwise_or.reduce(shifted ^ y[:, live, :n], axis=0)
+        if o % 64:
+            differ[:, n - 1] &= np.uint64((1 << (o % 64)) - 1)
+        count = np.bitwise_count(differ).sum(axis=1, dtype=np.int32)
+        less = count / o < share[live]
+        some = live[less]
+        best[some], bad[some], share[some] = o, count[less], count[less] / o
+    return best, bad
+
+
 def best_overlap(pdf_iter: Iterator[pd.DataFrame], min_overlap: int, max_share: float) -> Iterator[pd.DataFrame]:
     """Gap-free overlap of each pair with the smallest mismatch share; the longer one on ties.
 
     Overlap 0 means that no offset stays within ``max_share`` mismatches.
     """
     for pdf in pdf_iter:
-        found = []
-        for a, b in zip(pdf["fwd"], pdf["rev_rc"]):
-            x = np.frombuffer(a.encode("utf-32-le"), np.uint32)
-            y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-            top = min(len(x), len(y))
-            best = (0, 0)
-            share = np.nextafter(max_share, 2.0)
-            for o in range(top, min_overlap - 1, -1):
-                bad = int(np.count_nonzero(x[len(x) - o :] != y[:o]))
-                if bad / o < share:
-                    best, share = (o, bad), bad / o
-                    if bad == 0:
-                        break
-            found.append(best)
-        yield pdf.assign(overlap=[f[0] for f in found], mismatches=[f[1] for f in found])
+        best, bad = np.zeros(len(pdf), np.int32), np.zeros(len(pdf), np.int32)
+        order = np.argsort(np.minimum(pdf["fwd"].str.len(), pdf["rev_rc"].str.len()).to_numpy(), kind="stable")
+        fwd, rev = pdf["fwd"].to_numpy(), pdf["rev_rc"].to_numpy()
+        for at in range(0, len(order), _PAIRS):
+            some = order[at : at + _PAIRS]
+            best[some], bad[some] = overlaps(fwd[some].tolist(), rev[some].tolist(), min_overlap, max_share)
+        yield pdf.assign(overlap=best, mismatches=bad)
 
 
 def merge_pairs(

@@ -57,21 +57,34 @@ def sequence_screen(spark: SparkSession, d: str) -> DataFrame:
     "paired_merge",
     """WITH t AS (SELECT concat_ws('-', conv_id, turn) AS seq_id, text, CAST(ceil(length(text) * 0.6) AS BIGINT) AS k
                   FROM conversations),
-            r AS (SELECT seq_id, left(text, k) AS f, right(text, k) AS b, k FROM t),
-            o AS (SELECT *, list_max(list_filter(range(10, k + 1), lambda i: right(f, i) = left(b, i))) AS overlap FROM r)
-       SELECT seq_id, CAST(overlap AS INT) AS overlap, CAST(0 AS INT) AS mismatches,
-         left(f, k - overlap) || b AS seq FROM o WHERE overlap IS NOT NULL""",
+            r AS (SELECT seq_id, k, [CASE WHEN i % 17 = 0 THEN 'x' ELSE c END FOR c, i IN string_split(left(text, k), '')] AS f,
+                    [CASE WHEN i % 23 = 0 THEN 'y' ELSE c END FOR c, i IN string_split(right(text, k), '')] AS b FROM t),
+            o AS (SELECT seq_id, k, f, b, unnest(range(10, k + 1)) AS o FROM r),
+            m AS (SELECT *, len(list_filter(range(1, o + 1), lambda i: f[k - o + i] <> b[i])) AS bad FROM o),
+            w AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY bad / CAST(o AS DOUBLE), o DESC) AS rn FROM m
+                  WHERE bad / CAST(o AS DOUBLE) <= 0.25)
+       SELECT seq_id, CAST(o AS INT) AS overlap, CAST(bad AS INT) AS mismatches,
+         array_to_string(f[1:k - o], '') || array_to_string(list_transform(range(1, o + 1), lambda i:
+           CASE WHEN CASE WHEN i % 23 = 0 THEN 33 ELSE 70 END > CASE WHEN (k - o + i) % 17 = 0 THEN 35 ELSE 73 END
+             THEN b[i] ELSE f[k - o + i] END), '') || array_to_string(b[o + 1:], '') AS seq
+       FROM w WHERE rn = 1""",
 )
 def paired_merge(spark: SparkSession, d: str) -> DataFrame:
-    # error-free reads of the two ends of every message, sixty percent of it each
+    # reads of the two ends of every message, sixty percent of it each, with wrong characters of low quality
     t = table(spark, d, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("seq_id"), "text",
         F.ceil(F.length("text") * F.lit(0.6)).cast("int").alias("k"),
     )
-    qual = lambda q: F.expr(f"repeat('{q}', k)").alias("qual")
-    fwd = t.select("seq_id", F.expr("left(text, k)").alias("seq"), qual("I"))
-    rev = t.select("seq_id", S.reverse_complement(F.expr("right(text, k)")).alias("seq"), qual("F"))
-    return seqs.merge_pairs(fwd, rev, min_overlap=10)
+
+    def read(part: str, every: int, wrong: str, low: str, high: str) -> DataFrame:
+        seq = f"array_join(transform(split({part}(text, k), ''), (c, i) -> IF((i + 1) % {every} = 0, '{wrong}', c)), '')"
+        qual = f"array_join(transform(sequence(1, k), i -> IF(i % {every} = 0, '{low}', '{high}')), '')"
+        return t.select("seq_id", F.expr(seq).alias("seq"), F.expr(qual).alias("qual"))
+
+    rev = read("right", 23, "y", "!", "F").select(
+        "seq_id", S.reverse_complement(F.col("seq")).alias("seq"), F.reverse("qual").alias("qual")
+    )
+    return seqs.merge_pairs(read("left", 17, "x", "#", "I"), rev, min_overlap=10)
 
 
 @query(

@@ -216,6 +216,29 @@ def test_merge_pairs_with_errors(spark):
     assert [(x["seq_id"], x["overlap"], x["mismatches"], x["seq"]) for x in got] == [(1, 12, 1, full)]
 
 
+def test_overlaps_against_every_offset(monkeypatch):
+    import pandas as pd
+
+    rng = random.Random(3)
+    for alphabet in ("ACGT", "ab", "ACGTN-é漢😀", "z"):
+        make = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+        fwd, rev = [], []
+        for _ in range(120):
+            shared = make(rng.choice([0, 5, 30, 64, 65, 128, 200]))
+            a = list(make(rng.randrange(0, 90)) + shared)
+            for _ in range(rng.randrange(0, 6)):
+                if a:
+                    a[rng.randrange(len(a))] = rng.choice(alphabet)
+            fwd.append("".join(a))
+            rev.append(shared + make(rng.randrange(0, 90)))
+        monkeypatch.setattr(Q, "_PAIRS", 50)
+        out = next(Q.best_overlap(iter([pd.DataFrame({"fwd": fwd, "rev_rc": rev})]), 4, 0.25))
+        for a, b, o, m in zip(fwd, rev, out["overlap"], out["mismatches"]):
+            found = [(diff(a[len(a) - k :], b[:k]) / k, -k) for k in range(4, min(len(a), len(b)) + 1)]
+            share, k = min([x for x in found if x[0] <= 0.25], default=(0, 0))
+            assert (o, m) == (-k, round(share * -k))
+
+
 def test_alignment_columns(spark):
     df = spark.createDataFrame([(1, 1, "A-C.G"), (1, 2, "A-CTG"), (1, 3, "--CTG")], "aln long, seq_id long, seq string")
     got = {r["seq_id"]: r["seq"] for r in Q.alignment_column_filter(df).collect()}
