@@ -48,8 +48,11 @@ def with_totals(counts: DataFrame) -> DataFrame:
     )
 
 
-def list_by_group(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Sorted values of a group in one array. Only for groups bounded by the design."""
+def list_by_group(df: DataFrame, keys: Sequence[str], value: str, name: str, most: int = 100_000) -> DataFrame:
+    """Sorted values of a group in one array. Only for groups bounded by the design: one of over ``most`` rows is an error."""
+    largest = df.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a group has {largest} values, more than the {most} that one list may hold")
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(name))
 
 

@@ -205,7 +205,8 @@ def alignment_column_filter(aligned: DataFrame, gap: str = "-", trump: str = "."
     """Drop alignment columns with a ``trump`` character anywhere or gaps only.
 
     ``aligned(aln, seq_id, seq)``: sequences of one alignment have the same length. Columns are
-    judged by a combined aggregation over positions; the mask, one entry per column, is joined back.
+    judged by a combined aggregation over positions; the mask, one entry per column, is joined back: broadcast under the
+    size bound, so that the sequences of one large alignment are not moved to one task.
     """
     base = aligned.select("aln", F.posexplode(F.split("seq", "")).alias("pos", "ch"))
     keep = base.groupBy("aln", "pos").agg(
@@ -215,7 +216,9 @@ def alignment_column_filter(aligned: DataFrame, gap: str = "-", trump: str = "."
     mask = keep.groupBy("aln").agg(F.array_sort(F.collect_list(F.struct("pos", "keep"))).alias("mask"))
     chars = F.zip_with(F.split("seq", ""), "mask", lambda c, m: F.struct(c.alias("c"), m["keep"].alias("k")))
     kept = F.array_join(F.transform(F.filter(chars, lambda t: t["k"]), lambda t: t["c"]), "")
-    return aligned.join(mask, "aln").select("aln", "seq_id", kept.alias("seq"))
+    mask = checkpointed(mask)
+    columns = mask.agg(F.sum(F.size("mask"))).first()[0] or 0
+    return aligned.join(F.broadcast(mask) if 24 * columns <= BROADCAST_BYTES else mask, "aln").select("aln", "seq_id", kept.alias("seq"))
 
 
 # ---------------------------------------------------------------- k-mers

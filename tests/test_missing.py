@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from tallyfield.operators import stats, tidy
 from tallyfield.sources import tables
 
@@ -48,3 +50,12 @@ def test_fastq_qualities(spark, tmp_path):
     path.write_text("@r1\nACGT\n+\n@@II\n@r2 x\nA\n+\n@\n@r3\nAC\n+\nII\n@r4\nACG\n+\n@+I\n")
     got = [tuple(r) for r in tables.read_fastq(spark, str(path)).orderBy("seq_id").collect()]
     assert got == [("r1", "ACGT", "@@II"), ("r2", "A", "@"), ("r3", "AC", "II"), ("r4", "ACG", "@+I")]
+
+
+def test_a_list_has_a_bound(spark):
+    from tallyfield.operators import reports
+
+    df = spark.createDataFrame([(i % 2, float(i)) for i in range(20)] + [(0, None)], "g int, x double")
+    assert reports.list_by_group(df, ["g"], "x", "xs", most=10).count() == 2
+    with pytest.raises(ValueError, match="more than the 9"):
+        reports.list_by_group(df, ["g"], "x", "xs", most=9)
