@@ -605,10 +605,13 @@ def feature_analyte_correlation(cells: DataFrame, samples: DataFrame, analytes:
 
 
 def agreement_table(first: DataFrame, second: DataFrame, q: str = "q", alpha: float = 0.05) -> DataFrame:
-    """Both routes' adjusted p-values and signs for every key they share, and whether they agree at ``alpha``."""
+    """Both routes' adjusted p-values and signs for every key they share, and whether they agree at ``alpha``.
+
+    Zero, and what is zero but for rounding errors, counts as positive.
+    """
     keys = ["stratum", "analyte", "feature"]
     side = lambda df, s: df.select(
-        *keys, F.col(q).alias(f"q_{s}"), F.when(F.col("estimate") < 0, 0).otherwise(1).alias(f"sign_{s}")
+        *keys, F.col(q).alias(f"q_{s}"), F.when(F.round("estimate", 9) < 0, 0).otherwise(1).alias(f"sign_{s}")
     )
     both = side(first, "bc").join(side(second, "ra"), keys)
     agree = (F.col("q_bc") <= alpha) & (F.col("q_ra") <= alpha) & (F.col("sign_bc") == F.col("sign_ra"))

@@ -437,9 +437,9 @@ def _with_q(sp: str, name: str) -> str:
              .replace('JOIN xs x', 'JOIN xs2 x')},
          {_with_q('sp', 'qa')}, {_with_q('sp2', 'qb')}
          SELECT qa.stratum, qa.analyte, qa.feature, round(qa.q, 4) AS q_bc, round(qb.q, 4) AS q_ra,
-           CAST(CASE WHEN qa.rho < 0 THEN 0 ELSE 1 END AS INT) AS sign_bc,
-           CAST(CASE WHEN qb.rho < 0 THEN 0 ELSE 1 END AS INT) AS sign_ra,
-           coalesce(qa.q <= 0.25 AND qb.q <= 0.25 AND (qa.rho < 0) = (qb.rho < 0), false) AS agrees
+           CAST(CASE WHEN round(qa.rho, 9) < 0 THEN 0 ELSE 1 END AS INT) AS sign_bc,
+           CAST(CASE WHEN round(qb.rho, 9) < 0 THEN 0 ELSE 1 END AS INT) AS sign_ra,
+           coalesce(qa.q <= 0.25 AND qb.q <= 0.25 AND (round(qa.rho, 9) < 0) = (round(qb.rho, 9) < 0), false) AS agrees
          FROM qa JOIN qb ON qa.stratum = qb.stratum AND qa.analyte = qb.analyte AND qa.feature = qb.feature""",
 )
 def correlation_agreement(spark: SparkSession, d: str) -> DataFrame:
