@@ -492,16 +492,19 @@ def _contrast_rows() -> str:
          {inverse('iv', 'xx', [0, 1, 2, 3, 4, 5])}, {inverse('gm', 'iv', [1, 2, 3])},
          xy AS MATERIALIZED (SELECT feature, i, sum(x * y) AS v FROM clr JOIN dl USING (sample) GROUP BY 1, 2),
          be AS MATERIALIZED (SELECT feature, iv.i, sum(iv.v * xy.v) AS b FROM xy JOIN iv ON iv.j = xy.i GROUP BY 1, 2),
-         yy AS (SELECT feature, sum(y * y) AS v, count(*) - 6 AS dof FROM clr GROUP BY 1),
+         np AS (SELECT count(*) AS p, count(*) FILTER (i BETWEEN 1 AND 3) AS g FROM xx WHERE i = j AND v > 0),
+         yy AS (SELECT feature, sum(y * y) AS v, count(*) - (SELECT p FROM np) AS dof FROM clr GROUP BY 1),
          s2 AS MATERIALIZED (SELECT be.feature, (any_value(yy.v) - sum(b * xy.v)) / any_value(dof) AS s2, any_value(dof) AS dof
                 FROM be JOIN xy ON xy.feature = be.feature AND xy.i = be.i JOIN yy ON yy.feature = be.feature GROUP BY 1),
-         gf AS (SELECT a.feature, sum(a.b * gm.v * c.b) / 3 / any_value(s2) AS f, any_value(dof) AS dof
+         gf AS (SELECT a.feature, sum(a.b * gm.v * c.b) / (SELECT g FROM np) / any_value(s2) AS f, any_value(dof) AS dof, (SELECT g FROM np) AS d1
                 FROM be a JOIN gm ON gm.i = a.i JOIN be c ON c.feature = a.feature AND c.i = gm.j JOIN s2 ON s2.feature = a.feature GROUP BY 1),
-         gp AS (SELECT feature, {f_sf('f', '3', 'dof')} AS p FROM gf),
+         gp AS (SELECT feature, {f_sf('f', 'd1', 'dof')} AS p FROM gf),
          gr AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS rn, count(*) OVER () AS m FROM gp),
          gq AS MATERIALIZED (SELECT feature, p, m, least(1.0, min(p * m / rn) OVER (ORDER BY p DESC, feature DESC
                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM gr),
-         cw(contrast, i, w) AS (VALUES {_contrast_rows()}),
+         cw AS (SELECT contrast, i, w FROM (VALUES {_contrast_rows()}) t(contrast, i, w)
+                WHERE CAST(split_part(contrast, ' - ', 1) AS INT) IN (SELECT age FROM samples)
+                  AND CAST(split_part(contrast, ' - ', 2) AS INT) IN (SELECT age FROM samples)),
          cv AS (SELECT a.contrast, sum(a.w * b.w * iv.v) AS v FROM cw a JOIN cw b USING (contrast) JOIN iv ON iv.i = a.i AND iv.j = b.i GROUP BY 1),
          ce AS (SELECT feature, contrast, sum(w * b) AS d FROM be JOIN cw USING (i) GROUP BY 1, 2),
          ct AS (SELECT feature, contrast, d, sqrt(s2 * cv.v) AS se, dof FROM ce JOIN cv USING (contrast) JOIN s2 USING (feature)),

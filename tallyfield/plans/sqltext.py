@@ -36,7 +36,7 @@ def f_sf(x: str, d1: str, d2: str) -> str:
 def inverse(name: str, source: str, rows: list[int], key: str = "") -> str:
     """CTEs up to ``name(i, j, v)``: the inverse of the given rows and columns of ``source(i, j, v)`` by elimination.
 
-    With ``key`` a matrix per value of that column.
+    With ``key`` a matrix per value of that column. A row of zeros, as of a level that is not there, stays one.
     """
     k, steps = len(rows), []
     number = " ".join(f"WHEN {r} THEN {n}" for n, r in enumerate(rows))
@@ -51,7 +51,8 @@ def inverse(name: str, source: str, rows: list[int], key: str = "") -> str:
         last = f"{name}_{s}"
         steps.append(
             f"{name}_{s + 1} AS MATERIALIZED (SELECT {f'x.{key}, ' if key else ''}x.i, x.j, "
-            f"CASE WHEN x.i = {s} THEN x.v / p.v ELSE x.v - f.v * r.v / p.v END AS v "
+            f"CASE WHEN p.v = 0 THEN CASE WHEN x.i = {s} THEN 0.0 ELSE x.v END "
+            f"WHEN x.i = {s} THEN x.v / p.v ELSE x.v - f.v * r.v / p.v END AS v "
             f"FROM {last} x JOIN {last} r ON r.i = {s} AND r.j = x.j{same('r')} JOIN {last} f ON f.i = x.i AND f.j = {s}{same('f')} "
             f"JOIN {last} p ON p.i = {s} AND p.j = {s}{same('p')})"
         )
