@@ -130,7 +130,7 @@ def candidates(base: DataFrame) -> DataFrame:
     kind = base.schema["seq_id"].dataType
     schema = T.StructType([T.StructField("seq_id", kind), T.StructField("key", T.LongType())])
     laid = base.join(small, "len").select("seq_id", "seq", "len", "m", "r", "order").sortWithinPartitions("len")
-    keyed = checkpointed(laid.mapInArrow(_key_rows, schema).distinct())
+    keyed = laid.mapInArrow(_key_rows, schema)  # made twice, as it is cheaper to make than to store
     shared = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     left = keyed.join(F.broadcast(shared) if 32 * shared.count() <= BROADCAST_BYTES else shared, "key")
     blocks = F.when(F.col("n") > HOT, F.ceil(2 * F.col("n") / HOT)).otherwise(1).cast("int")
@@ -162,13 +162,18 @@ def near_pairs(seqs: DataFrame, allowed: Callable[[Column], Column]) -> DataFram
     shared = checkpointed(base.groupBy("len").agg(F.count("*").alias("_k")).where("_k > 1").select("len"))
     width = max(1, int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     small = F.broadcast(shared) if 32 * shared.count() <= BROADCAST_BYTES else shared
-    base = checkpointed(
-        base.join(small, "len", "left_semi").withColumn("d", allowed(F.col("len")).cast("int")).repartition(width, "seq_id")
-    )
-    found = candidates(base)
-    sa = base.select(F.col("seq_id").alias("a"), F.col("seq").alias("sa"), "len", "d")
-    sb = base.select(F.col("seq_id").alias("b"), F.col("seq").alias("sb"), F.col("len").alias("lb"))
-    pairs = found.join(sa, "a").join(sb, "b").where(F.col("len") == F.col("lb")).select("a", "b", "sa", "sb", "len", "d")
+    base = base.join(small, "len", "left_semi").withColumn("d", allowed(F.col("len")).cast("int")).repartition(width, "seq_id")
+    base = checkpointed(base.withColumn("row", F.monotonically_increasing_id()))  # a short name, written with the row
+    found = checkpointed(candidates(base.select(F.col("row").alias("seq_id"), "seq", "len", "d")))
+    ends = checkpointed(found.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+    # other texts are not moved
+    some = base.join(F.broadcast(ends) if 16 * ends.count() <= BROADCAST_BYTES else ends, "row", "left_semi")
+    side = lambda x: some.select(F.col("row").alias(x), F.struct("seq_id", "seq").alias(f"s{x}"), F.col("len").alias(f"l{x}"), "d")
+    pairs = found.join(side("a"), "a").join(side("b").drop("d"), "b").where("la = lb")
+    first = F.col("sa.seq_id") < F.col("sb.seq_id")
+    low, high = F.when(first, F.col("sa")).otherwise(F.col("sb")), F.when(first, F.col("sb")).otherwise(F.col("sa"))
+    pairs = pairs.select(low.alias("x"), high.alias("y"), F.col("la").alias("len"), "d")
+    pairs = pairs.select(F.col("x.seq_id").alias("a"), F.col("y.seq_id").alias("b"), F.col("x.seq").alias("sa"), F.col("y.seq").alias("sb"), "len", "d")
     kind = base.schema["seq_id"].dataType
     schema = T.StructType([
         T.StructField("a", kind), T.StructField("b", kind), T.StructField("diffs", T.IntegerType()), T.StructField("len", T.IntegerType())

@@ -2,12 +2,13 @@
 
 Among strings in lexicographic order the one that shares the longest start with a given string is next to it, so of the
 parents that are abundant enough only the two nearest on each side can be the best or the second best. Starts are looked up in
-the order of the strings, ends in the order of the reversed ones. The order is cut into ranges of equal size, whatever
-the samples; what a range needs of the others are the strings at its borders that no two nearer ones outdo in count.
+the order of the strings, ends in the order of the reversed ones. Where the abundant strings are few, all tasks have them in
+order. Where they are many, the order of all strings is cut into ranges of equal size, whatever the samples; what a range needs of the others are the strings at its borders that no two nearer ones outdo in count.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import BROADCAST_BYTES, checkpointed
-from .ranks import join_null_safe
+from .ranks import attach, join_null_safe
 
 
 def common_start(a: str, b: str) -> int:
@@ -236,10 +237,96 @@ def _wanted(meta: list) -> list[tuple[int, bool, int, int, int]]:
     return out
 
 
+def _among(fold: float, shared):
+    """Best two parents of every child, looked up in the sorted parents of its sample, which all tasks have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[tuple, tuple] = {}
+
+        def table(sample, side: int) -> tuple:
+            if (sample, side) not in tables:
+                keys, ids, n = shared.value[sample, side]
+                n = np.array(n, np.int64)
+                tables[sample, side] = keys, ids, _tables(n, np.maximum), _tables(n[::-1].copy(), np.maximum)
+            return tables[sample, side]
+
+        for whole in batches:
+            for b in (whole.slice(at, 5000) for at in range(0, whole.num_rows, 5000)):
+                samples, texts = b.column(0).to_pylist(), b.column(3).to_pylist()
+                rows: dict[object, list[int]] = {}
+                for i, s in enumerate(samples):
+                    if (s, 0) in shared.value:
+                        rows.setdefault(s, []).append(i)
+                for s, own in rows.items():
+                    least = np.ceil(fold * b.column(2).to_numpy()[own] - 1e-9)
+                    for side in (0, 1):
+                        keys, ids, maxima, back = table(s, side)
+                        mine = [texts[i][::-1] if side else texts[i] for i in own]
+                        at = np.array([bisect_left(keys, k) for k in mine], np.int64)
+                        found = []
+                        left = at
+                        for _ in range(2):
+                            left = nearest_before(maxima, np.maximum(left, 0), least)
+                            found.append(left)
+                        right = len(keys) - at
+                        for _ in range(2):
+                            right = nearest_before(back, np.maximum(right, 0), least)
+                            found.append(np.where(right < 0, -1, len(keys) - 1 - right))
+                        places = np.stack(found)
+                        starts = np.array([[common_start(k, keys[p]) if p >= 0 else -1 for k, p in zip(mine, row)] for row in places.tolist()])
+                        order = np.argsort(-starts, axis=0, kind="stable")[:2]
+                        places, starts = np.take_along_axis(places, order, 0), np.take_along_axis(starts, order, 0)
+                        some = np.flatnonzero(starts[0] > 0)
+                        if not len(some):
+                            continue
+                        at = pa.array(np.array(own)[some])
+                        parents = pa.array(ids, b.column(1).type)
+                        pick = lambda x: parents.take(pa.array(np.maximum(x, 0), mask=x < 0))
+                        places, starts = places[:, some], np.maximum(starts[:, some], 0).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column(0).take(at), b.column(1).take(at), pa.array(np.full(len(some), side, np.int32)), pick(places[0]),
+                             pa.array(starts[0]), pick(places[1]), pa.array(starts[1])],
+                            names=["sample", "seq_id", "side", "p1", "k1", "p2", "k2"],
+                        )
+
+    return run
+
+
 def best_parents(rows: DataFrame, fold: float) -> DataFrame:
     """``(sample, seq_id, side, p1, k1, p2, k2)`` of ``rows(sample, seq_id, n, seq)``: the two parents of the same sample, at least
     ``fold`` times as abundant, with the longest common start (``side`` 0) and end (1); ``p2`` is null if there is one only.
+
+    Strings that are abundant enough for the rarest one of their sample are broadcast if their counted size allows it, so that
+    no text is moved; else all strings are sorted. ``rows`` is a written table.
     """
+    least = rows.groupBy("sample").agg(F.min("n").alias("low"))
+    parents = attach(rows.select("sample", "seq_id", F.col("n").cast("long").alias("n"), "seq"), least, ["sample"]).where(
+        F.col("n") >= fold * F.col("low")
+    ).drop("low")
+    size = parents.agg(F.sum(2 * F.octet_length("seq") + 256)).first()[0] or 0
+    if size > BROADCAST_BYTES:
+        return _sorted_parents(rows, fold)
+    found: dict[tuple, list] = {}
+    for r in parents.collect():  # bounded by the line above
+        for side, key in enumerate((r["seq"], r["seq"][::-1])):
+            found.setdefault((r["sample"], side), []).append((key, r["seq_id"], r["n"]))
+    lists = {k: tuple(map(list, zip(*sorted(v, key=lambda x: x[0])))) for k, v in found.items()}
+    shared = rows.sparkSession.sparkContext.broadcast(lists)
+    plain = rows.select("sample", "seq_id", F.col("n").cast("long").alias("n"), "seq")
+    return plain.mapInArrow(_among(fold, shared), _best_schema(rows))
+
+
+def _best_schema(rows: DataFrame) -> T.StructType:
+    kinds = {c: rows.schema[c].dataType for c in ("sample", "seq_id")}
+    return T.StructType(
+        [T.StructField("sample", kinds["sample"]), T.StructField("seq_id", kinds["seq_id"]), T.StructField("side", T.IntegerType())]
+        + [T.StructField(c, t) for j in (1, 2) for c, t in ((f"p{j}", kinds["seq_id"]), (f"k{j}", T.IntegerType()))]
+    )
+
+
+def _sorted_parents(rows: DataFrame, fold: float) -> DataFrame:
+    """``best_parents`` over the sorted order of all strings."""
+    out = _best_schema(rows)
     spark = rows.sparkSession
     width = max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     both = rows.select("sample", "seq_id", F.col("n").cast("long").alias("n"), F.posexplode(F.array("seq", F.reverse("seq"))).alias("side", "key"))
@@ -261,10 +348,6 @@ def best_parents(rows: DataFrame, fold: float) -> DataFrame:
     )
     guests = checkpointed(guests)
     size = guests.agg(F.sum(F.octet_length("key") + 64)).first()[0] or 0
-    out = T.StructType(
-        [T.StructField("sample", kinds["sample"]), T.StructField("seq_id", kinds["seq_id"]), T.StructField("side", T.IntegerType())]
-        + [T.StructField(c, t) for j in (1, 2) for c, t in ((f"p{j}", kinds["seq_id"]), (f"k{j}", T.IntegerType()))]
-    )
     if size <= BROADCAST_BYTES:
         found: dict[tuple, pa.RecordBatch] = {}
         table = guests.orderBy("part", "after", "side", "sample", "ord").toArrow()
@@ -290,6 +373,11 @@ def bimera_flag(counts: DataFrame, seqs: DataFrame, fold: float = 2.0, dereplica
     the second best of either side decides. With ``dereplicate`` a flag holds only in its own sample.
     """
     rows = checkpointed(counts.join(seqs.select("seq_id", "seq"), "seq_id").select("sample", "seq_id", "n", "seq"))
+    return flag_chimeras(rows, fold, dereplicate)
+
+
+def flag_chimeras(rows: DataFrame, fold: float = 2.0, dereplicate: bool = True) -> DataFrame:
+    """``bimera_flag`` of a written table ``rows(sample, seq_id, n, seq)``."""
     best = best_parents(rows, fold)
     side = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c)))
     wide = best.groupBy("sample", "seq_id").agg(*[side(c, s).alias(f"{c}_{s}") for c in ("p1", "k1", "p2", "k2") for s in (0, 1)])

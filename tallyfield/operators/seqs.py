@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..session import BROADCAST_BYTES, broadcast_if_small, checkpointed
 from .blocking import near_pairs
-from .chimera import bimera_flag
+from .chimera import bimera_flag, flag_chimeras
 from .ranks import quantiles
 
 # ---------------------------------------------------------------- measures and screening

@@ -319,7 +319,7 @@ def bimera_flag(spark: SparkSession, d: str) -> DataFrame:
     per = checkpointed(
         lines(spark, d).groupBy("sample", "seq").agg(F.count("*").alias("n")).withColumn("seq_id", F.md5("seq"))
     )
-    return seqs.bimera_flag(per.select("seq_id", "sample", "n"), per.select("seq_id", "seq").distinct())
+    return seqs.flag_chimeras(per)
 
 
 @query(

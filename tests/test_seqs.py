@@ -180,9 +180,12 @@ def test_best_two_parents(monkeypatch):
             assert all(n[p] >= 2 * n[i] and len(os.path.commonprefix([t, texts[p]])) == k for p, k in got)
 
 
-@pytest.mark.parametrize("bound", [64 << 20, 0])
-def test_bimera_over_many_ranges(spark, monkeypatch, bound):
-    monkeypatch.setattr(C, "BROADCAST_BYTES", bound)
+@pytest.mark.parametrize("way", ["few parents", "sorted", "sorted, many guests"])
+def test_bimera_over_many_ranges(spark, monkeypatch, way):
+    if way != "few parents":
+        monkeypatch.setattr(C, "best_parents", C._sorted_parents)
+    if way == "sorted, many guests":
+        monkeypatch.setattr(C, "BROADCAST_BYTES", 0)
     rng = random.Random(14)
     rows = []
     for sample, size in (("big", 400), ("b", 30), ("c", 1), (None, 40)):
