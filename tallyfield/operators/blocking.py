@@ -119,7 +119,9 @@ def candidates(base: DataFrame) -> DataFrame:
     lens = checkpointed(base.groupBy("len").agg(F.count("*").alias("rows")))
     count, chars = _count(lens, F.col("len").cast("long"))
     hint = F.broadcast if 64 * count <= BROADCAST_BYTES else (lambda x: x)
-    want = F.greatest(F.lit(2), F.least(F.lit(SAMPLE), F.floor(F.lit(SAMPLE_CHARS) / F.greatest(F.col("len"), F.lit(1)))))
+    # the more strings of a length there are, the rarer the chance agreements that still matter
+    enough = F.least(F.lit(SAMPLE), F.ceil(4 * F.sqrt("rows")))
+    want = F.greatest(F.lit(2), F.least(enough, F.floor(F.lit(SAMPLE_CHARS) / F.greatest(F.col("len"), F.lit(1)))))
     some = F.pmod(F.xxhash64("seq_id"), F.greatest(F.floor(F.col("rows") / want), F.lit(1))) == 0
     # a sample of which at least one row is there for every length
     first = base.groupBy("len").agg(F.min_by(F.struct("seq", "d"), "seq_id").alias("x")).select("len", "x.*")
