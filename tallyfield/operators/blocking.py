@@ -63,10 +63,8 @@ def choose(chars: np.ndarray, d: int, rows: int) -> tuple[int, int, np.ndarray]:
     n, length = chars.shape
     if length <= d:  # all match
         return 0, 1, np.arange(length)
-    alike = np.zeros(length)
-    for p in range(length):
-        _, c = np.unique(chars[:, p], return_counts=True)
-        alike[p] = (c * (c - 1.0)).sum()
+    ordered = np.sort(chars, axis=0)
+    alike = (ordered[1:] == ordered[:-1]).sum(axis=0)  # the fewer characters a column has, the more
     order = np.argsort(alike, kind="stable")
     best = None
     for r in range(1, min(8, length - d) + 1):
@@ -126,7 +124,8 @@ def candidates(base: DataFrame) -> DataFrame:
     # a sample of which at least one row is there for every length
     first = base.groupBy("len").agg(F.min_by(F.struct("seq", "d"), "seq_id").alias("x")).select("len", "x.*")
     sample = base.join(hint(lens), "len").where(some).select("len", "seq", "d").unionByName(first)
-    sized = sample.join(hint(lens), "len").select("len", "seq", "d", "rows")
+    width = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))  # small rows, but much work on them
+    sized = sample.join(hint(lens), "len").select("len", "seq", "d", "rows").repartition(width, "len")
     plan = checkpointed(sized.groupBy("len").applyInPandas(_plan, "len int, m int, r int, order array<int>"))
     small = F.broadcast(plan) if 64 * count + 8 * chars <= BROADCAST_BYTES else plan
     kind = base.schema["seq_id"].dataType
