@@ -1,8 +1,9 @@
 """Equal-depth draws without replacement, and their exact expectations.
 
-No read is listed. The depth of a sample is divided over its leaves (cells dealt by a hash, a bounded number each), and
-inside a leaf over halves of halves of its cells, down to single ones, each time by a hypergeometric draw of how many
-fall into the left half. Branches that get nothing end, so the work follows cells and hits, not reads. Draws are seeded by
+The depth of a sample is divided over its leaves (cells dealt by a hash, a bounded number each). In a leaf of bounded reads
+each draw picks distinct ones by rejection, many draws at a time. In a leaf of more reads, or where many are drawn of few
+cells, no read is listed: the number is divided over halves of halves of its cells, down to single ones, each time by a
+hypergeometric draw of how many fall into the left half, and branches that get nothing end. Draws are seeded by
 (seed, sample, leaf), and a leaf's cells are sorted, so a task that runs again draws the same.
 
 Averages over all draws need none: counts of a cell are hypergeometric, and richness, coverage, Shannon entropy and
@@ -26,6 +27,8 @@ from .diversity import block_products
 LEAF_CELLS = 4096  # cells of a leaf aimed at; a sample of more is divided over several leaves
 BLOCK_ITERS = 128  # iterations that a task holds at a time
 _LIMIT = 10**9  # the library's hypergeometric draws take populations below this
+_PICK_READS = 1 << 21  # reads of a leaf up to which single ones are picked
+_MARKS = 1 << 18  # units of all draws that are marked at a time
 
 
 # ---------------------------------------------------------------- one split
@@ -76,6 +79,52 @@ def split(sizes: np.ndarray, takes: np.ndarray, rng: np.random.Generator) -> tup
     return found[0], found[1], found[2]
 
 
+def pick(sizes: np.ndarray, takes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Units that draw ``i`` has of every cell, draws x cells, if it takes ``takes[i]`` of cells of these sizes.
+
+    Units are picked one by one; one that its draw has already is picked again, so every set of units is as likely.
+    Where a draw takes over half of all, those it leaves are picked.
+    """
+    total, cells = int(sizes.sum()), len(sizes)
+    few = np.minimum(takes, total - takes)
+    out = np.empty((len(takes), cells), np.int64)
+    step = max(1, min(len(takes), _MARKS // max(total, 1)))
+    of = np.repeat(np.arange(cells, dtype=np.int32), sizes)
+    mark = np.full(step * total, -1, np.int32)  # the last pick of every unit of a draw; those of earlier steps do not count
+    used = 0
+    for at in range(0, len(takes), step):
+        want = few[at : at + step]
+        draw = np.repeat(np.arange(len(want)), want)
+        unit = rng.integers(0, max(total, 1), len(draw), np.int32)
+        place = draw * total + unit
+        own = np.arange(used, used + len(draw), dtype=np.int32)
+        mark[place] = own
+        again = np.flatnonzero(mark.take(place) != own)
+        while len(again):
+            unit[again] = rng.integers(0, total, len(again), np.int32)
+            place = draw[again] * total + unit[again]
+            free = mark[place] < used
+            mark[place[free]] = own[again[free]]
+            again = again[~free | (mark[place] != own[again])]
+        used += len(draw)
+        hit = draw * cells + of.take(unit)
+        out[at : at + step] = np.bincount(hit, minlength=len(want) * cells).reshape(len(want), cells)
+    turn = takes > few
+    out[turn] = sizes - out[turn]
+    return out
+
+
+def numbers(sizes: np.ndarray, takes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Units that each draw has of every cell, draws x cells, by ``pick`` or ``split``, whichever is less work."""
+    total = int(sizes.sum())
+    if total <= _PICK_READS and np.minimum(takes, total - takes).sum() <= 16 * len(sizes) * len(takes):
+        return pick(sizes, takes, rng)
+    draw, cell, k = split(sizes, takes, rng)
+    out = np.zeros((len(takes), len(sizes)), np.int64)
+    out[draw, cell] = k
+    return out
+
+
 # ---------------------------------------------------------------- the tree over a table
 
 
@@ -121,9 +170,9 @@ def _shares(leaves: DataFrame, depth: int, iters: int, seed: int) -> DataFrame:
     return leaves.join(many.mapInArrow(run, schema), ["sample", "leaf"], "left")
 
 
-def _per_leaf(counts: DataFrame, depth: int, iters: int, seed: int, emit, schema: T.StructType) -> DataFrame:
-    """What ``emit(sample, features, reads, first, draws, draw, cell, number)`` yields for every leaf and block of draws."""
-    shared = _shares(_leaves(counts, depth), depth, iters, seed).select("sample", "cells", "takes", "key")
+def _per_leaf(leaves: DataFrame, depth: int, iters: int, seed: int, emit, schema: T.StructType) -> DataFrame:
+    """What ``emit(sample, features, reads, blocks)`` yields for every leaf; a block has its first draw and its numbers."""
+    shared = _shares(leaves, depth, iters, seed).select("sample", "cells", "takes", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,10 +193,9 @@ def _width(df: DataFrame) -> int:
 
 
 def _blocks(reads: np.ndarray, takes: np.ndarray, rng: np.random.Generator):
-    """``(first draw, draws, draw, cell, number)`` of each block of draws."""
+    """``(first draw, numbers)`` of each block of draws, the numbers as draws x cells."""
     for first in range(0, len(takes), BLOCK_ITERS):
-        own = takes[first : first + BLOCK_ITERS]
-        yield first, len(own), *split(reads, own, rng)
+        yield first, numbers(reads, takes[first : first + BLOCK_ITERS], rng)
 
 
 def _again(sample: pa.Array, n: int) -> pa.Array:
@@ -163,13 +211,15 @@ def rarefy(counts: DataFrame, depth: int, iters: int = 1, seed: int = 1) -> Data
     ])
 
     def emit(sample, features, reads, blocks):
-        for first, _, draw, cell, k in blocks:
+        for first, k in blocks:
+            draw, cell = np.nonzero(k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((first + draw).astype(np.int32)), _again(sample, len(draw)), features.take(pa.array(cell)), pa.array(k)],
+                [pa.array((first + draw).astype(np.int32)), _again(sample, len(draw)), features.take(pa.array(cell)),
+                 pa.array(k[draw, cell])],
                 names=schema.names,
             )
 
-    return _per_leaf(counts, depth, iters, seed, emit, schema)
+    return _per_leaf(_leaves(counts, depth), depth, iters, seed, emit, schema)
 
 
 def drawn_moments(counts: DataFrame, depth: int, iters: int, seed: int = 1) -> DataFrame:
@@ -182,16 +232,16 @@ def drawn_moments(counts: DataFrame, depth: int, iters: int, seed: int = 1) -> D
 
     def emit(sample, features, reads, blocks):
         one, two = np.zeros(len(reads)), np.zeros(len(reads))
-        for _, _, _, cell, k in blocks:
-            one += np.bincount(cell, k, len(reads))
-            two += np.bincount(cell, k * k, len(reads))
+        for _, k in blocks:
+            one += k.sum(axis=0)
+            two += np.einsum("dc,dc->c", k, k)
         mean = one / iters
         var = (two - iters * mean * mean) / max(iters - 1, 1)
         yield pa.RecordBatch.from_arrays(
             [_again(sample, len(reads)), features, pa.array(reads), pa.array(mean), pa.array(var)], names=schema.names
         )
 
-    return _per_leaf(counts, depth, iters, seed, emit, schema)
+    return _per_leaf(_leaves(counts, depth), depth, iters, seed, emit, schema)
 
 
 MEASURES = ("coverage", "invsimpson", "shannon", "sobs")
@@ -200,7 +250,8 @@ MEASURES = ("coverage", "invsimpson", "shannon", "sobs")
 def drawn_alpha(counts: DataFrame, depth: int, iters: int, seed: int = 1) -> DataFrame:
     """``(sample, iter, coverage, invsimpson, shannon, sobs)`` of every draw.
 
-    A leaf gives four sums a draw, which add up over the leaves of a sample; drawn cells are not listed.
+    A leaf gives four sums a draw, which add up over the leaves of a sample; drawn cells are not listed. Sums of a
+    sample of one leaf are not moved.
     """
     sums = ("sobs", "single", "pairs", "nlogn")
     schema = T.StructType(
@@ -208,17 +259,22 @@ def drawn_alpha(counts: DataFrame, depth: int, iters: int, seed: int = 1) -> Dat
         + [T.StructField(c, T.DoubleType()) for c in sums]
     )
 
-    def emit(sample, features, reads, blocks):
-        for first, n, draw, _, k in blocks:
-            k = k.astype(float)
-            parts = (None, (k == 1).astype(float), k * (k - 1), k * np.log(k))
-            yield pa.RecordBatch.from_arrays(
-                [_again(sample, n), pa.array(np.arange(first, first + n, dtype=np.int32))]
-                + [pa.array(np.bincount(draw, w, n).astype(float)) for w in parts],
-                names=schema.names,
-            )
+    logs = np.arange(min(depth, 1 << 16) + 1, dtype=float)
+    logs[1:] *= np.log(logs[1:])
 
-    total = _per_leaf(counts, depth, iters, seed, emit, schema).groupBy("sample", "iter").agg(*[F.sum(c).alias(c) for c in sums])
+    def emit(sample, features, reads, blocks):
+        found = []
+        for _, k in blocks:
+            nlogn = logs[k] if k.max(initial=0) < len(logs) else k * np.log(np.maximum(k, 1))
+            found.append([(k > 0).sum(axis=1), (k == 1).sum(axis=1), (k.astype(float) * (k - 1)).sum(axis=1), nlogn.sum(axis=1)])
+        columns = [pa.array(np.concatenate(p).astype(float)) for p in zip(*found)]
+        yield pa.RecordBatch.from_arrays([_again(sample, iters), pa.array(np.arange(iters, dtype=np.int32)), *columns], names=schema.names)
+
+    leaves = _leaves(counts, depth)
+    part = lambda which: _per_leaf(leaves.where(which), depth, iters, seed, emit, schema)
+    total = part("leaves = 1").unionByName(
+        part("leaves > 1").groupBy("sample", "iter").agg(*[F.sum(c).alias(c) for c in sums])
+    )
     m = float(depth)
     return total.select(
         "sample", "iter", (1 - F.col("single") / m).alias("coverage"),

@@ -58,6 +58,29 @@ def test_split_edges():
     assert abs(share - 3 / 8) < 5 * math.sqrt(3 / 8 * 5 / 8 / 200_000)
 
 
+@pytest.mark.parametrize("m,marks", [(50, 1 << 20), (50, 1), (290, 1000), (0, 1000), (308, 1000)])
+def test_picked_units_have_the_exact_moments(monkeypatch, m, marks):
+    monkeypatch.setattr(D, "_MARKS", marks)
+    sizes = np.array([1, 5, 0, 30, 200, 7, 1, 64])
+    n, draws = int(sizes.sum()), 3000
+    table = D.pick(sizes, np.full(draws, m), np.random.default_rng(3))
+    assert (table.sum(1) == m).all() and (table <= sizes).all() and (table >= 0).all()
+    p = sizes / n
+    cov = m * (n - m) / (n - 1) * (np.diag(p) - np.outer(p, p))
+    assert np.abs(table.mean(0) - m * p).max() <= 5 * np.sqrt(cov.max() / draws) + 1e-9
+    np.testing.assert_allclose(np.cov(table.T), cov, atol=0.1 * cov.max() + 1e-9)
+
+
+def test_units_are_picked_where_that_is_less_work(monkeypatch):
+    monkeypatch.setattr(D, "split", None)  # a leaf of few reads for its cells needs no tree
+    sizes = np.arange(1, 51)
+    takes = np.array([100, 0, 1275, 1200, 1])
+    assert D.numbers(sizes, takes, np.random.default_rng(1)).sum(1).tolist() == takes.tolist()
+    monkeypatch.undo()
+    monkeypatch.setattr(D, "pick", None)  # of few cells with many reads none is listed
+    assert D.numbers(np.array([10**6, 2 * 10**6]), np.array([900_000, 5]), np.random.default_rng(1)).sum(1).tolist() == [900_000, 5]
+
+
 @pytest.mark.parametrize("leaf", [4096, 7])
 def test_draws_of_a_table(spark, monkeypatch, leaf):
     monkeypatch.setattr(D, "LEAF_CELLS", leaf)
