@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .common import global_rank
 
 BITS = 6
@@ -45,31 +46,42 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-#: Rows that the cut points of strings are taken from, chosen by a hash of the id; these points only balance the cells.
-CUT_ROWS = 20_000
+def string_quantiles(df: DataFrame, column: str, at: list[float]) -> list[str]:
+    """The distinct values at these shares of all rows in order, nulls aside.
+
+    Equal values are one row with their count; ranges of values get the counts of earlier ranges, one number each.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    placed = checkpointed(values.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()))
+    firsts, total = [], 0
+    for row in sorted(placed.groupBy("part").agg(F.sum("n").alias("n")).collect()):  # one row per partition
+        firsts.append((row["part"], total))
+        total += row["n"]
+    if not total:
+        return []
+    first = spark.createDataFrame(firsts, "part int, first long")
+    upto = F.col("first") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    ranked = placed.join(F.broadcast(first), "part").withColumn("upto", upto)
+    places = F.array(*[F.lit(min(total - 1, int(q * total))) for q in at])
+    found = ranked.where(F.exists(places, lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("n"))))
+    return sorted(r["v"] for r in found.select("v").collect())  # at most one row per share
 
 
 def cut_points(df: DataFrame, dims: list[str], id_col: str, bits: int) -> list[np.ndarray]:
     """Up to ``2**bits - 1`` ascending values of each dimension: quantiles of numbers, and of whole strings.
 
-    A fixed number of values comes to the driver: numbers by a sketch over all rows, strings from ``CUT_ROWS`` of them.
+    A fixed number of values comes to the driver, numbers by a sketch, strings by their counts, both over all rows.
     """
     at = [i / (1 << bits) for i in range(1, 1 << bits)]
     kinds = dict(df.dtypes)
     numbers = [d for d in dims if kinds[d] != "string"]
-    words = [d for d in dims if kinds[d] == "string"]
-    found = df.agg(
-        F.count("*").alias("n"),
-        *[F.percentile_approx(F.col(d).cast("double"), at, 10_000).alias(f"d{dims.index(d)}") for d in numbers],
-    ).first()
-    edges = {d: np.array(found[f"d{dims.index(d)}"] or [], float) for d in numbers}
-    if words:
-        share = max(1, found["n"] // CUT_ROWS)
-        some = df.where(F.pmod(F.xxhash64(id_col, *words), F.lit(share)) == 0).select(words).limit(4 * CUT_ROWS).collect()
-        for d in words:
-            values = sorted(r[d] for r in some if r[d] is not None)
-            places = sorted({values[min(len(values) - 1, int(q * len(values)))] for q in at}) if values else []
-            edges[d] = np.array(places, object)
+    edges = {}
+    if numbers:
+        found = df.agg(*[F.percentile_approx(F.col(d).cast("double"), at, 10_000).alias(f"d{dims.index(d)}") for d in numbers]).first()
+        edges = {d: np.array(found[f"d{dims.index(d)}"] or [], float) for d in numbers}
+    edges |= {d: np.array(string_quantiles(df, d, at), object) for d in dims if d not in edges}
     return [edges[d] for d in dims]
 
 

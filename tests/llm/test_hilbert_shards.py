@@ -57,6 +57,14 @@ def test_strings_with_a_common_start_and_clashing_names(spark):
     assert max(found) < 6
 
 
+def test_cut_points_come_from_all_rows(spark):
+    # 60,000 rows: what a part of them shows, all rows need not
+    df = spark.range(60_000).selectExpr("id AS doc_id", "IF(id % 7 = 0, null, format_string('%05d', id * 7919 % 60000)) AS source")
+    values = sorted(f"{i * 7919 % 60000:05d}" for i in range(60_000) if i % 7)
+    (edges,) = H.cut_points(df, ["source"], "doc_id", H.BITS)
+    assert edges.tolist() == [values[int(q / 64 * len(values))] for q in range(1, 64)]
+
+
 def test_query(spark, data):
     rows = queries.op3_hilbert_shards(spark, data).collect()
     docs = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
