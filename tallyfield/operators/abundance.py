@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import tails
-from ..session import broadcast_if_small, checkpointed
+from ..session import BROADCAST_BYTES, broadcast_if_small, checkpointed
 from .adjust import adjust_bh, adjust_holm
 from .ranks import join_null_safe, quantiles, window_ranks
 from .stats import usable
@@ -581,16 +581,31 @@ def feature_analyte_correlation(cells: DataFrame, samples: DataFrame, analytes:
     dims = vals.groupBy("stratum", "analyte").agg(
         F.count("*").alias("n"), F.sum(F.col("ry") * F.col("ry")).alias("yy"), F.sum("ry").alias("y_all")
     )
-    seen = usable(cells, "x").where("x <> 0").join(vals.select("sample", "stratum", "analyte", "ry"), "sample")
-    up, _ = window_ranks(["stratum", "analyte", "feature"], "x")
+    dims = checkpointed(dims)
+    names = sorted(r[0] for r in dims.select("analyte").distinct().collect() if r[0] is not None)  # one row per analyte
+    code = (F.array_position(F.array(*map(F.lit, names)), F.col("analyte")) - 1).cast("int") if names else F.lit(None).cast("int")
+    # a sample's values are one row: cells are moved once, not once per analyte
+    of = vals.withColumn("code", code).where("code IS NOT NULL").groupBy("sample", "stratum").agg(F.collect_list(F.struct("code", "ry")).alias("of"))
+    of = checkpointed(of.select("sample", "stratum", F.col("of.code").alias("codes"), F.col("of.ry").alias("rys")))
+    size = of.agg(F.count("*"), F.sum(F.size("codes"))).first()
+    seen = usable(cells, "x").where("x <> 0").select("sample", "feature", "x")
+    width = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    if 64 * size[0] + 12 * (size[1] or 0) <= BROADCAST_BYTES:
+        # a sample without a stratum or value counts for none
+        seen = seen.join(F.broadcast(of.select("sample", "stratum")), "sample").repartition(width, "feature", "stratum")
+        seen = seen.join(F.broadcast(of.withColumnRenamed("stratum", "_s")), "sample").where(F.col("_s") == F.col("stratum"))
+    else:
+        seen = seen.join(of, "sample").repartition(width, "feature", "stratum")
+    seen = seen.select("feature", "stratum", "x", F.inline(F.arrays_zip("codes", "rys")).alias("code", "ry"))
+    up, _ = window_ranks(["feature", "stratum", "code"], "x")
     ranked = seen.withColumn("up", up)
-    sums = ranked.groupBy("stratum", "analyte", "feature").agg(
+    sums = ranked.groupBy("feature", "stratum", "code").agg(
         F.count("*").alias("k"), F.sum(F.col("up") * F.col("up")).alias("uu"),
         F.sum(F.col("up") * F.col("ry")).alias("uy"), F.sum("ry").alias("y"),
         F.count_if(F.col("x") > 0).alias("kp"), F.sum(F.when(F.col("x") > 0, F.col("up")).otherwise(0.0)).alias("up_pos"),
         F.sum(F.when(F.col("x") > 0, F.col("ry")).otherwise(0.0)).alias("y_pos"),
     )
-    j = sums.join(F.broadcast(dims), ["stratum", "analyte"])  # one row per design stratum and analyte
+    j = sums.join(F.broadcast(dims.withColumn("code", code)), ["stratum", "code"])  # one row per design stratum and analyte
     n, k, kp = (F.col(c).cast("double") for c in ("n", "k", "kp"))
     z = n - k  # zero cells: after the negative ones, before the positive ones, which they shift by z
     zr = k - kp + (z + 1) / 2

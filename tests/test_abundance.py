@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyfield.operators import abundance as A
 
@@ -194,3 +195,32 @@ def test_directional_contrasts_of_a_full_model(spark):
             sure = q[j] <= 0.05 and min(1, run) <= 0.05 * (q <= 0.05).sum() / 12
             assert r["direction"] == (np.sign(est) if sure else 0)
     assert {r["feature"] for r in got.values() if r["direction"] == 1} >= {0, 1, 2}
+
+
+def test_association_moves_a_cell_once(spark, monkeypatch):
+    # 40 analytes: what is shuffled does not grow with them; a null stratum, analyte or sample counts for none
+    rng = random.Random(2)
+    s = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)] + [(40, None), (None, "a")], "sample long, diet string")
+    x = spark.createDataFrame([(i, f, float(rng.randrange(4))) for i in range(41) for f in range(30)] + [(None, 1, 2.0)],
+                              "sample long, feature long, x double")
+    an = [(i, f"n{k}", float(rng.randrange(30))) for i in range(41) for k in range(40)]
+    an = spark.createDataFrame([*an, *[(i, None, 1.0) for i in range(41)], (None, "n1", 3.0)], "sample long, analyte string, value double")
+    seen, adjust = [], A.adjust_bh
+    monkeypatch.setattr(A, "adjust_bh", lambda df, *a: seen.append(df) or adjust(df, *a))
+    res = A.feature_analyte_correlation(x, s, an, "diet")
+    rows = {(r["stratum"], r["analyte"], r["feature"]): r["n"] for r in res.collect()}
+    assert set(rows) == {(g, f"n{k}", f) for g in "ab" for k in range(40) for f in range(30)} and set(rows.values()) == {20}
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    generate = next(i for i, line in enumerate(plan) if "Generate" in line)
+    assert any("RepartitionByExpression" in line for line in plan[generate:])  # dealt out before the analytes are
+
+
+def test_tails_end_with_their_slowest_row(monkeypatch):
+    from tallyfield.functions import tails
+
+    steps, away = [], tails._away
+    monkeypatch.setattr(tails, "_away", lambda v: steps.append(1) or away(v))
+    t = np.append(np.linspace(-5, 5, 1000), np.nan)
+    p = tails.t_two_sided(t, np.full(1001, 1500.0))
+    assert len(steps) < 4 * 100 and np.isnan(p[-1]) and np.isfinite(p[:-1]).all()
+    assert p[0] == pytest.approx(6.43e-7, rel=1e-2)
