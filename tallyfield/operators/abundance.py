@@ -377,6 +377,12 @@ def _solve(p: int):
     return run
 
 
+def _by_feature(cells: DataFrame, features: int) -> DataFrame:
+    """Deal the cells by feature, if there are enough features that tasks get alike shares."""
+    width = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return cells.repartition(width, "feature") if features >= 8 * width else cells
+
+
 def _alternate(counts: DataFrame, design: DataFrame, tol: float, max_iter: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Log cells with their design, coefficients per feature (with ``n``, ``inv`` and ``b0..``) and ``(sample, theta)``.
 
@@ -396,7 +402,8 @@ def _alternate(counts: DataFrame, design: DataFrame, tol: float, max_iter: int)
         _solve(p), f"feature {ft}, n long, inv array<double>, rank long"
     )
     solved = checkpointed(solved.where((F.col("rank") == p) & (F.col("n") > p)).select("feature", "n", "inv"))
-    cells = cells.join(solved.select("feature"), "feature", "left_semi")
+    # the cells of a feature lie together, so that its sums leave a task as one row in every step
+    cells = checkpointed(_by_feature(cells.join(solved.select("feature"), "feature", "left_semi"), solved.count()))
     theta = checkpointed(design.select("sample", F.lit(0.0).alias("theta")))
     # SQL text: the loop below would otherwise build hundreds of Column objects per step
     coef = [" + ".join(f"inv[{j * p + k}] * xy{k}" for k in range(p)) + f" AS b{j}" for j in range(p)]

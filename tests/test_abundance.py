@@ -215,6 +215,21 @@ def test_association_moves_a_cell_once(spark, monkeypatch):
     assert any("RepartitionByExpression" in line for line in plan[generate:])  # dealt out before the analytes are
 
 
+def test_log_model_keeps_cells_with_their_feature(spark):
+    s = spark.range(40).selectExpr("id AS sample", "CAST(id % 2 AS DOUBLE) AS g")
+    rng = random.Random(4)
+    c = spark.createDataFrame([(i, f, 2 + rng.randrange(50)) for i in range(40) for f in range(200)], "sample long, feature long, reads long")
+    design = s.selectExpr("sample", "1D AS intercept", "g")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        cells = A._alternate(c, design, 1e-2, 20)[0]
+        places = cells.select("feature", F.spark_partition_id().alias("at")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert places == 200
+
+
 def test_tails_end_with_their_slowest_row(monkeypatch):
     from tallyfield.functions import tails
 
