@@ -228,6 +228,7 @@ def test_log_model_keeps_cells_with_their_feature(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert places == 200
+    assert "Join" not in cells._jdf.queryExecution().optimizedPlan().toString()  # kept ones are written, not found anew in every step
 
 
 def test_tails_end_with_their_slowest_row(monkeypatch):
