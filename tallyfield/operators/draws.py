@@ -12,11 +12,12 @@ Bray-Curtis similarity at equal depth are sums over cells, or over pairs of cell
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -222,6 +223,42 @@ def rarefy(counts: DataFrame, depth: int, iters: int = 1, seed: int = 1) -> Data
     return _per_leaf(_leaves(counts, depth), depth, iters, seed, emit, schema)
 
 
+#: Standard deviations by which the reads kept for a keyed draw exceed its depth.
+_MARGIN = 12
+
+
+def keyed_draws(counts: DataFrame, depth: int, iters: int, seed: int) -> DataFrame:
+    """``(iter, sample, feature, reads)`` of draws that any engine can repeat; shallower samples drop.
+
+    A draw has the ``depth`` reads of a sample with the smallest md5 of ``seed-iter-sample-feature-number``. Reads beyond a
+    key that enough are sure to lie below are not moved; a draw that still has too few is made from all of its reads.
+    """
+    cells = counts.where("reads > 0")
+    deep = checkpointed(cells.groupBy("sample").agg(F.sum("reads").alias("total")).where((F.col("total") >= depth) & F.col("sample").isNotNull()))
+    share = (depth + _MARGIN * math.sqrt(depth)) / F.col("total")
+    # the first digits of a key that are looked at; as text, g comes after all digits
+    bound = F.when(share >= 1, "g").otherwise(F.lower(F.lpad(F.hex((share * 2**32).cast("long")), 8, "0")))
+
+    def keyed(sides: DataFrame) -> DataFrame:
+        # a cell is a small row, but its reads are much work
+        spread = cells.join(sides, "sample").repartition(_width(counts), "sample", "feature", "iter")
+        name = F.concat_ws("-", F.lit(seed), "iter", "sample", F.coalesce(F.col("feature").cast("string"), F.lit("")), F.lit(""))
+        reads = spread.select("iter", "sample", "feature", "bound", name.alias("name"), F.explode(F.sequence(F.lit(1).cast("long"), "reads")).alias("i"))
+        key = F.md5(F.concat("name", F.col("i").cast("string")))
+        return reads.select("iter", "sample", "feature", "i", "bound", key.alias("key")).where("key < bound").drop("bound")
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("iter")
+    found = checkpointed(keyed(deep.select("sample", every, bound.alias("bound"))))
+    had = found.groupBy("iter", "sample").agg(F.count("*").alias("n")).where(F.col("n") >= depth)
+    short = checkpointed(deep.select("sample", every).join(had, ["iter", "sample"], "left_anti"))
+    if short.take(1):
+        again = keyed(short.withColumn("bound", F.lit("g")))
+        found = found.join(short, ["iter", "sample"], "left_anti").unionByName(again)
+    order = Window.partitionBy("iter", "sample").orderBy("key", "feature", "i")
+    first = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
+    return first.groupBy("iter", "sample", "feature").agg(F.count("*").alias("reads"))
+
+
 def drawn_moments(counts: DataFrame, depth: int, iters: int, seed: int = 1) -> DataFrame:
     """``(sample, feature, reads, mean, variance)``: of the drawn number over all draws, for every cell of a deep sample."""
     kinds = {c: counts.schema[c].dataType for c in ("sample", "feature")}

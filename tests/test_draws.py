@@ -1,5 +1,6 @@
 """Draws of equal depth against exact moments, closed forms against enumeration of all draws."""
 
+import hashlib
 import math
 import random
 from itertools import combinations
@@ -169,3 +170,30 @@ def test_log_factorials(spark):
         assert r["f"] == pytest.approx(math.lgamma(r["a"] + 1), rel=1e-13, abs=1e-13)
         want = math.fsum(math.log(r["a"] - i) for i in range(r["n"]))
         assert r["d"] == pytest.approx(want, rel=1e-13, abs=1e-12)
+
+
+@pytest.mark.parametrize("margin", [12, -3])
+def test_keyed_draws_list_the_reads_of_the_smallest_keys(spark, monkeypatch, margin):
+    monkeypatch.setattr(D, "_MARGIN", margin)  # below zero all draws are made from all reads
+    rows = [*table(7), (0, None, 12), (None, 3, 90)]
+    want = {}
+    for s, total in totals(rows).items():
+        for i in range(3 if s is not None and total >= 30 else 0):
+            reads = [(f, n) for t, f, k in rows if t == s for n in range(1, k + 1)]
+            keyed = sorted((hashlib.md5(f"9-{i}-{s}-{'' if f is None else f}-{n}".encode()).hexdigest(), f) for f, n in reads)
+            for _, f in keyed[:30]:
+                want[i, s, f] = want.get((i, s, f), 0) + 1
+    got = D.keyed_draws(frame(spark, rows), 30, 3, 9).collect()
+    assert {(r["iter"], r["sample"], r["feature"]): r["reads"] for r in got} == want and len(got) == len(want)
+
+
+def test_rarefied_numbers_are_part_of_the_result(spark, data):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["rarefy_depth"](spark, data).collect()
+    totals = {}
+    for r in rows:
+        for i in range(2):
+            assert r[f"drawn_{i}"] <= r["reads"]
+            totals[r["sample"], i] = totals.get((r["sample"], i), 0) + r[f"drawn_{i}"]
+    assert totals and set(totals.values()) == {1000}
