@@ -5,6 +5,9 @@ them whatever the dealing, so they share one of the keys made of ``r`` segments
 columns: positions are ordered by how much they vary in a sample and dealt in turn, so variable columns are in all
 segments, and a family that varies in one region has no segment of conserved positions alone. ``r`` is the number
 with the least work in the sample. Sample, order and ``r`` only balance the work; any give the same pairs.
+
+A length whose texts fit a task is done there: its texts are moved once, keys and candidates stay in the task. Only the keys
+of longer lists, and of those with very many candidates, are moved as rows.
 """
 
 from __future__ import annotations
@@ -25,6 +28,11 @@ from ..session import BROADCAST_BYTES, checkpointed
 SAMPLE = 512  # strings of a length that its columns are judged by, and their characters at most
 SAMPLE_CHARS = 1 << 22
 MOST_KEYS = 64  # keys of a string, where more than one segment a key is chosen
+GROUP_CHARS = 1 << 24  # characters of a length, and its texts, up to which one task has them all
+GROUP_ROWS = 200_000
+GROUP_PAIRS = 1 << 26  # candidates of a length beyond which its keys are dealt to tasks
+DIRECT = 256  # texts of a length up to which all are compared
+CELLS = 1 << 22  # characters or keys of pairs that are compared at a time
 HOT = 2_000  # members of a key that one task pairs; more are dealt to blocks, and every pair of blocks is a key
 
 
@@ -156,15 +164,139 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out.filter(keep)
 
 
+def _compared(chars: np.ndarray, d: int, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    step = max(1, CELLS // max(1, chars.shape[1]))
+    for at in range(0, len(x), step):
+        i, j = x[at : at + step], y[at : at + step]
+        diffs = (chars[i] != chars[j]).sum(axis=1)
+        near = diffs <= d
+        yield i[near], j[near], diffs[near]
+
+
+def _together(ordered: np.ndarray) -> np.ndarray:
+    """For each place of a sorted array the end of its run of equal values."""
+    ends = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, len(ordered))
+    return np.repeat(ends, np.diff(ends, prepend=0))
+
+
+def pairs_of_length(chars: np.ndarray, d: int, direct: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]] | None:
+    """``(x, y, diffs)`` of the rows of ``chars`` within ``d`` mismatches, each pair once; None if it has too many candidates."""
+    n, length = chars.shape
+    if n <= direct:
+        i, j = np.triu_indices(n, 1)
+        return _compared(chars, d, i, j)
+    want = max(2, min(SAMPLE, 4 * int(n**0.5) + 1, SAMPLE_CHARS // max(1, length)))
+    m, r, order = choose(chars[:: max(1, n // want)][:want], d, n)
+    step = max(1, CELLS // max(1, length))
+    keys = np.concatenate([_keys(_segments(chars[at : at + step], order, m), r) for at in range(0, n, step)])
+    places = np.arange(n)
+    if sum(int((_together(np.sort(keys[:, k])) - places - 1).sum()) for k in range(keys.shape[1])) > most:
+        return None
+
+    def run() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for k in range(keys.shape[1]):
+            row = np.argsort(keys[:, k], kind="stable")
+            ends, at, far = _together(keys[row, k]), places, 0
+            while True:
+                far += 1
+                at = at[at + far < ends[at]]
+                if not len(at):
+                    break
+                x, y = row[at], row[at + far]
+                for s in range(0, k, 16):  # a pair that shares an earlier key has been compared
+                    new = (keys[x, s : min(k, s + 16)] != keys[y, s : min(k, s + 16)]).all(axis=1)
+                    x, y = x[new], y[new]
+                    if not len(x):
+                        break
+                yield from _compared(chars, d, x, y)
+
+    return run()
+
+
+def _near_rows(held: list[pa.RecordBatch], limits: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """The near pairs of the texts of one length, or a row of -1 mismatches if its keys are to be dealt."""
+    whole = pa.Table.from_batches(held).combine_chunks()
+    ids, length, d = whole.column(0).combine_chunks(), whole.column(2)[0].as_py(), whole.column(3)[0].as_py()
+    chars = code_points(whole.column(1).to_pylist()).reshape(len(ids), length)
+    top = int(chars.max(initial=0))
+    chars = chars.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+
+    def rows(x: np.ndarray, y: np.ndarray, diffs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(diffs.astype(np.int32)), pa.array(np.full(len(x), length, np.int32))],
+            names=["a", "b", "diffs", "len"],
+        )
+
+    found = pairs_of_length(chars, d, *limits)
+    if found is None:
+        yield rows(np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, -1))
+        return
+    some, count = [], 0
+    for part in found:
+        some.append(part)
+        count += len(part[0])
+        if count >= 20_000 or len(some) >= 1_000:
+            yield rows(*(np.concatenate(c) for c in zip(*some)))
+            some, count = [], 0
+    if count:
+        yield rows(*(np.concatenate(c) for c in zip(*some)))
+
+
+def _near_of_lengths(*limits: int):
+    """Pairs of the texts of each length; the rows come sorted by length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for b in batches:
+            length = b.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(length)) + 1).tolist(), len(length)]
+            for s, e in zip(cuts, cuts[1:]):
+                if s < e and length[s] != now:
+                    if held:
+                        yield from _near_rows(held, limits)
+                    held, now = [], length[s]
+                if s < e:
+                    held.append(b.slice(s, e - s))
+        if held:
+            yield from _near_rows(held, limits)
+
+    return run
+
+
 def near_pairs(seqs: DataFrame, allowed: Callable[[Column], Column]) -> DataFrame:
-    """``(a, b, diffs, len)`` of equal-length distinct sequences differing in at most ``allowed(length)`` positions."""
+    """``(a, b, diffs, len)`` of equal-length distinct sequences differing in at most ``allowed(length)`` positions; written."""
     base = seqs.select("seq_id", "seq", F.length("seq").alias("len"))
     # a length that occurs once has no partner
-    shared = checkpointed(base.groupBy("len").agg(F.count("*").alias("_k")).where("_k > 1").select("len"))
+    fits = (F.col("rows") * F.col("len") <= GROUP_CHARS) & (F.col("rows") <= GROUP_ROWS)
+    lens = checkpointed(base.groupBy("len").agg(F.count("*").alias("rows")).where("rows > 1").select("len", "rows", fits.alias("fits")))
+    count, chars = _count(lens, F.when(F.col("fits"), F.col("rows") * F.col("len")))
+    hint = F.broadcast if 32 * count <= BROADCAST_BYTES else (lambda x: x)
     width = max(1, int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    small = F.broadcast(shared) if 32 * shared.count() <= BROADCAST_BYTES else shared
-    base = base.join(small, "len", "left_semi").withColumn("d", allowed(F.col("len")).cast("int")).repartition(width, "seq_id")
-    base = checkpointed(base.withColumn("row", F.monotonically_increasing_id()))  # a short name, written with the row
+    parts = max(width, -(-chars // GROUP_CHARS))
+
+    def of(some: DataFrame) -> DataFrame:
+        return base.join(hint(some.select("len")), "len", "left_semi").select(
+            "seq_id", "seq", "len", allowed(F.col("len")).cast("int").alias("d")
+        )
+
+    kind = seqs.schema["seq_id"].dataType
+    schema = T.StructType([
+        T.StructField("a", kind), T.StructField("b", kind), T.StructField("diffs", T.IntegerType()), T.StructField("len", T.IntegerType())
+    ])
+    laid = of(lens.where("fits")).repartition(parts, "len").sortWithinPartitions("len")
+    first = F.col("a") < F.col("b")
+    low, high = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+    found = checkpointed(laid.mapInArrow(_near_of_lengths(DIRECT, GROUP_PAIRS), schema).select(low.alias("a"), high.alias("b"), "diffs", "len"))
+    rest = checkpointed(lens.where("NOT fits").select("len").unionByName(found.where("diffs < 0").select("len")))
+    if not rest.take(1):
+        return found
+    return found.where("diffs >= 0").unionByName(checkpointed(_near_by_keys(of(rest), width, schema)))
+
+
+def _near_by_keys(base: DataFrame, width: int, schema: T.StructType) -> DataFrame:
+    """Near pairs of lengths whose texts are spread over tasks; ``base(seq_id, seq, len, d)``."""
+    base = checkpointed(base.repartition(width, "seq_id").withColumn("row", F.monotonically_increasing_id()))  # a short name, written with the row
     found = checkpointed(candidates(base.select(F.col("row").alias("seq_id"), "seq", "len", "d")))
     ends = checkpointed(found.select(F.explode(F.array("a", "b")).alias("row")).distinct())
     # other texts are not moved
@@ -175,8 +307,4 @@ def near_pairs(seqs: DataFrame, allowed: Callable[[Column], Column]) -> DataFram
     low, high = F.when(first, F.col("sa")).otherwise(F.col("sb")), F.when(first, F.col("sb")).otherwise(F.col("sa"))
     pairs = pairs.select(low.alias("x"), high.alias("y"), F.col("la").alias("len"), "d")
     pairs = pairs.select(F.col("x.seq_id").alias("a"), F.col("y.seq_id").alias("b"), F.col("x.seq").alias("sa"), F.col("y.seq").alias("sb"), "len", "d")
-    kind = base.schema["seq_id"].dataType
-    schema = T.StructType([
-        T.StructField("a", kind), T.StructField("b", kind), T.StructField("diffs", T.IntegerType()), T.StructField("len", T.IntegerType())
-    ])
     return pairs.mapInArrow(_verify, schema)

@@ -567,9 +567,9 @@ def nb_bootstrap(
 
 
 def threshold_pairs(seqs: DataFrame, cutoff: float = 0.03) -> DataFrame:
-    """Distance list below the cutoff: mismatches over length. Written once, as its users read it often."""
+    """Distance list below the cutoff: mismatches over length. ``near_pairs`` has written it, as its users read it often."""
     pairs = near_pairs(seqs, lambda n: F.floor(n * F.lit(cutoff) + 1e-9))
-    return checkpointed(pairs.select("a", "b", (F.col("diffs") / F.col("len")).alias("dist")))
+    return pairs.select("a", "b", (F.col("diffs") / F.col("len")).alias("dist"))
 
 
 def precluster(unique: DataFrame, diffs: int = 2) -> DataFrame:

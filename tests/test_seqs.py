@@ -65,6 +65,27 @@ def test_near_pairs_of_other_texts(spark, monkeypatch, hot):
         assert got == {k: (v, len(texts[k[0]])) for k, v in near(texts, plain).items()}
 
 
+@pytest.mark.parametrize("limits", [{}, {"DIRECT": 1}, {"DIRECT": 1, "GROUP_PAIRS": 20}, {"GROUP_CHARS": 150}, {"GROUP_ROWS": 1, "HOT": 5}])
+def test_every_way_gives_the_near_pairs(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(B, name, value)
+    rng = random.Random(8)
+    texts = {"".join(rng.choice("ab😀") for _ in range(rng.randrange(1, 6))) for _ in range(150)}
+    texts |= {"".join(rng.choice("xyé") for _ in range(9)) + "z" * 20 for _ in range(100)}
+    texts = sorted({*texts, *family()})
+    for allowed, plain in ((lambda n: F.lit(2), lambda n: 2), (lambda n: F.floor(n / 5), lambda n: n // 5)):
+        out = Q.near_pairs(frame(spark, texts), allowed).collect()
+        got = {tuple(sorted((r["a"], r["b"]))): (r["diffs"], r["len"]) for r in out}
+        assert len(got) == len(out) and all(r["a"] < r["b"] for r in out)
+        assert got == {k: (v, len(texts[k[0]])) for k, v in near(texts, plain).items()}
+
+
+def test_keys_of_a_length_that_fits_a_task_are_not_moved(spark, monkeypatch):
+    monkeypatch.setattr(B, "candidates", None)
+    texts = family()
+    assert len(Q.near_pairs(frame(spark, texts), lambda n: F.lit(2)).collect()) == len(near(texts, lambda n: 2))
+
+
 def test_a_variable_region_does_not_make_every_pair_a_candidate(spark):
     rng = random.Random(12)
     body = "".join(rng.choice("ACGT") for _ in range(220))
