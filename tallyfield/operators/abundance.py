@@ -12,8 +12,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..functions import tails
@@ -311,39 +313,176 @@ def glm_over_instances(instances: DataFrame, design: DataFrame) -> DataFrame:
     )
 
 
+#: Picks of a term that a task holds at a time.
+_PICKS = 1 << 18
+
+
+class _Group:
+    """The instances of some samples of a feature, one after the other, where they lie."""
+
+    def __init__(self, values: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        self.values, self.starts = values, starts
+        self.before = np.concatenate([[0], np.cumsum(sizes)])
+        self.size, self.width = int(self.before[-1]), int(sizes[0]) if len(sizes) and (sizes == sizes[0]).all() else 0
+
+    def take(self, i: np.ndarray) -> np.ndarray:
+        if not self.size:
+            return np.full(len(i), np.nan)
+        row = i // self.width if self.width else np.searchsorted(self.before, i, side="right") - 1
+        return self.values[self.starts[row] + (i - self.before[row])]
+
+
+def _ranked(v: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the numbers ``v``."""
+    bits = (v + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
+
+
+class _Median:
+    """The exact median of numbers that come twice in blocks: counted by their first bits, then kept where it lies."""
+
+    def __init__(self):
+        self.counts, self.none = np.zeros(1 << 16, np.int64), 0
+
+    def count(self, v: np.ndarray) -> None:
+        known = v[~np.isnan(v)]
+        self.none += len(v) - len(known)
+        self.counts += np.bincount((_ranked(known) >> 48) + (1 << 15), minlength=1 << 16)
+
+    def seek(self) -> None:
+        n = int(self.counts.sum())
+        self.ends = np.cumsum(self.counts)
+        self.places = [(n - 1) // 2, n // 2] if n else []
+        self.bins = np.unique(np.searchsorted(self.ends, self.places, side="right"))
+        self.kept: list[np.ndarray] = []
+
+    def keep(self, v: np.ndarray) -> None:
+        if len(self.bins):
+            known = v[~np.isnan(v)]
+            self.kept.append(known[np.isin((_ranked(known) >> 48) + (1 << 15), self.bins)])
+
+    def value(self, skip_none: bool) -> float:
+        if not self.places or (self.none and not skip_none):
+            return float("nan")
+        some = np.concatenate(self.kept)
+        # the kept lie in one part of the order, or in two with nothing between
+        first = int(self.ends[self.bins[0]] - self.counts[self.bins[0]])
+        at = [p - first for p in self.places]
+        some.partition(at)
+        with np.errstate(all="ignore"):
+            return float(np.mean(some[at]))
+
+
+def effect_sizes(va: _Group, vb: _Group, seed: int) -> tuple[float, float, float, float]:
+    """``(diff_btw, diff_win, effect, overlap)`` of as many picks as the larger group has instances.
+
+    The six streams of picks follow each other in one generator: its state at the start of each is found first, then all
+    are made side by side, block by block, twice.
+    """
+    rng = np.random.default_rng(seed)
+    a, b = max(1, va.size), max(1, vb.size)
+    size = max(a, b)
+    states = []
+    for n in (b, a, a, a, b, b):
+        states.append(rng.bit_generator.state)
+        for at in range(0, size, _PICKS):
+            rng.integers(0, n, min(_PICKS, size - at))
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        streams = []
+        for state, group, n in zip(states, (vb, va, va, va, vb, vb), (b, a, a, a, b, b)):
+            own = np.random.default_rng(seed)
+            own.bit_generator.state = state
+            streams.append((own, group, n))
+        for at in range(0, size, _PICKS):
+            x = [group.take(own.integers(0, n, min(_PICKS, size - at))) for own, group, n in streams]
+            between = x[0] - x[1]
+            within = np.maximum(np.abs(x[2] - x[3]), np.abs(x[4] - x[5]))
+            with np.errstate(all="ignore"):
+                yield between, within, between / within
+
+    medians, low, high = [_Median() for _ in range(3)], 0, 0
+    for block in blocks():
+        low, high = low + int((block[0] < 0).sum()), high + int((block[0] > 0).sum())
+        for m, v in zip(medians, block):
+            m.count(v)
+    for m in medians:
+        m.seek()
+    for block in blocks():
+        for m, v in zip(medians, block):
+            m.keep(v)
+    found = [m.value(i == 2) for i, m in enumerate(medians)]
+    return found[0], found[1], found[2], min(low, high) / size
+
+
+def _effects(terms: Sequence[str], seed: int):
+    """A row per feature and term; the rows come sorted by feature and sample."""
+
+    def rows(feature: pa.Scalar, values: np.ndarray, sizes: list[np.ndarray], groups: list[np.ndarray]) -> pa.RecordBatch:
+        size, level = np.concatenate(sizes), np.concatenate(groups)
+        start = np.cumsum(size) - size
+        out = []
+        for i in range(len(terms)):
+            va, vb = (_Group(values, start[own], size[own]) for own in (level[:, i] == 0, level[:, i] == 1))
+            out.append(effect_sizes(va, vb, seed))
+        columns = [pa.array([feature.as_py()] * len(terms), feature.type), pa.array(terms, pa.string())]
+        return pa.RecordBatch.from_arrays(
+            [*columns, *(pa.array(c, pa.float64()) for c in zip(*out))],
+            names=["feature", "term", "diff_btw", "diff_win", "effect", "overlap"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, values, used = None, np.empty(0), 0
+        sizes: list[np.ndarray] = []
+        groups: list[np.ndarray] = []
+        for b in batches:
+            coded = b.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            coded = np.nan_to_num(coded.astype(float), nan=-1)
+            cuts = [0, *(np.flatnonzero(np.diff(coded)) + 1).tolist(), b.num_rows]
+            for s, e in zip(cuts, cuts[1:]):
+                if s == e:
+                    continue
+                part = b.slice(s, e - s)
+                feature = part.column(0)[0]
+                if now is None or feature.as_py() != now.as_py():
+                    if now is not None:
+                        yield rows(now, values, sizes, groups)
+                    now, used, sizes, groups = feature, 0, [], []
+                lists = part.column(1)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                if used + len(flat) > len(values):
+                    values.resize(max(used + len(flat), len(values) * 5 // 4), refcheck=False)  # grown in place
+                values[used : used + len(flat)] = flat
+                used += len(flat)
+                sizes.append(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+                groups.append(np.stack([part.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(terms))], axis=1))
+        if now is not None:
+            yield rows(now, values, sizes, groups)
+
+    return run
+
+
 def feature_effect_size(instances: DataFrame, design: DataFrame, seed: int = 1) -> DataFrame:
     """Between and within group differences, effect and overlap per feature and 0/1 term of the design.
 
     The groups of a term are the samples coded 1 and 0, so a difference has the sign of the model's estimate.
-    A feature's group holds one row per sample, which bounds what a task receives.
+    A task holds the instances of one feature at a time, 8 bytes each, and no array of its picks: these are made again
+    for a second pass, which finds the medians.
     """
     terms = [c for c in design.columns if c != "sample"]
     coded = design.agg(*[(F.min(F.col(f"`{t}`").isin(0, 1)) & (F.min(f"`{t}`") < F.max(f"`{t}`"))).alias(t) for t in terms]).first()
     terms = [t for t in terms if coded[t]]
-    rows = instances.join(design.select("sample", *[F.col(f"`{t}`").cast("int").alias(f"g{i}") for i, t in enumerate(terms)]), "sample")
-    ft = instances.schema["feature"].dataType.simpleString()
-
-    def effect(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample")
-        out = []
-        for i, term in enumerate(terms):
-            rng = np.random.default_rng(seed)
-            va, vb = (np.concatenate(pdf.loc[pdf[f"g{i}"] == lv, "clr"].to_list() or [np.array([np.nan])]) for lv in (0, 1))
-            size = max(len(va), len(vb))
-            pick = lambda v: rng.choice(v, size)  # noqa: B023, E731
-            between = pick(vb) - pick(va)
-            within = np.maximum(np.abs(pick(va) - pick(va)), np.abs(pick(vb) - pick(vb)))
-            with np.errstate(all="ignore"):
-                ratio = between / within
-            out.append((
-                pdf["feature"].iloc[0], term, np.median(between), np.median(within), np.nanmedian(ratio),
-                min((between < 0).mean(), (between > 0).mean()),
-            ))
-        return pd.DataFrame(out, columns=["feature", "term", "diff_btw", "diff_win", "effect", "overlap"])
-
-    return rows.groupBy("feature").applyInPandas(
-        effect, f"feature {ft}, term string, diff_btw double, diff_win double, effect double, overlap double"
-    )
+    ft = instances.schema["feature"].dataType
+    schema = T.StructType([T.StructField("feature", ft), T.StructField("term", T.StringType())] + [
+        T.StructField(c, T.DoubleType()) for c in ("diff_btw", "diff_win", "effect", "overlap")
+    ])
+    if not terms:
+        return instances.sparkSession.createDataFrame([], schema)
+    groups = [F.col(f"`{t}`").cast("int").alias(f"g{i}") for i, t in enumerate(terms)]
+    rows = instances.join(design.select("sample", *groups), "sample")
+    laid = rows.repartition("feature").sortWithinPartitions("feature", "sample")
+    wide = laid.select("feature", "clr", *[f"g{i}" for i in range(len(terms))])
+    return wide.mapInArrow(_effects(terms, seed), schema)
 
 
 # ---------------------------------------------------------------- bias-corrected model

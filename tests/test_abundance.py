@@ -1,6 +1,7 @@
 """Differential abundance against dense linear algebra on small fixtures."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -87,6 +88,54 @@ def test_effect_size_finds_a_shift(spark, trial):
     assert all(0 <= r["overlap"] <= 0.5 for r in rows.values())
 
 
+def _effects_at_once(va, vb, seed):
+    rng = np.random.default_rng(seed)
+    size = max(len(va), len(vb))
+    pick = lambda v: rng.choice(v, size)
+    between = pick(vb) - pick(va)
+    within = np.maximum(np.abs(pick(va) - pick(va)), np.abs(pick(vb) - pick(vb)))
+    with np.errstate(all="ignore"):
+        ratio = between / within
+    return np.median(between), np.median(within), np.nanmedian(ratio), min((between < 0).mean(), (between > 0).mean())
+
+
+@pytest.mark.parametrize("shape", [(40, 40, 16), (7, 3, 5), (1, 2, 1), (3, 0, 4), (5, 6, None)])
+def test_effects_in_blocks_are_those_at_once(monkeypatch, shape):
+    monkeypatch.setattr(A, "_PICKS", 13)
+    rng = np.random.default_rng(2)
+    sizes = [np.full(n, shape[2]) if shape[2] else rng.integers(0, 9, n) for n in shape[:2]]
+    parts = [rng.normal(i, 1, int(k.sum())).round(1) for i, k in enumerate(sizes)]
+    values = np.concatenate(parts)
+    groups = [A._Group(values, np.cumsum(k) - k + at, k) for k, at in zip(sizes, (0, len(parts[0])))]
+    want = _effects_at_once(*(p if len(p) else np.array([np.nan]) for p in parts), 5)
+    np.testing.assert_array_equal(A.effect_sizes(*groups, 5), want)
+
+
+def test_effects_hold_no_array_of_their_picks(monkeypatch):
+    monkeypatch.setattr(A, "_PICKS", 1 << 14)
+    values, k = np.random.default_rng(1).normal(0, 1, 1_000_000), np.full(500, 1000)
+    groups = [A._Group(values, np.cumsum(k) - k + at, k) for at in (0, 500_000)]
+    tracemalloc.start()
+    got = A.effect_sizes(*groups, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    np.testing.assert_array_equal(got, _effects_at_once(values[:500_000], values[500_000:], 5))
+    assert peak < values.nbytes  # of six streams of half a million, and the arrays made of them
+
+
+def test_effect_sizes_of_features_are_those_at_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, f, rng.normal(0, 1, 6).tolist()) for s in range(9) for f in ("a", "b", None) if rng.random() < 0.9]
+    design = spark.createDataFrame([(s, 1.0, float(s % 2), s / 3) for s in range(9)], "sample long, intercept double, odd double, age double")
+    inst = spark.createDataFrame(rows, "sample long, feature string, clr array<double>").repartition(5)
+    got = {r["feature"]: tuple(r)[1:] for r in A.feature_effect_size(inst, design, 3).collect()}
+    assert set(got) == {"a", "b", None}
+    for f, (term, *found) in got.items():
+        va, vb = (np.concatenate([c for s, g, c in rows if g == f and s % 2 == lv]) for lv in (0, 1))
+        assert term == "odd"
+        np.testing.assert_array_equal(found, _effects_at_once(va, vb, 3))
+
+
 def test_bias_corrected_model_recovers_a_known_effect(spark):
     rng = np.random.default_rng(3)
     samples = [(i, ["ctl", "gos"][i % 2], ["unc", "sal"][(i // 2) % 2], [22, 24, 28, 35][(i // 4) % 4]) for i in range(32)]
