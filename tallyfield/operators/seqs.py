@@ -11,12 +11,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..session import BROADCAST_BYTES, broadcast_if_small, checkpointed
 from .blocking import near_pairs
 from .chimera import bimera_flag, flag_chimeras
 from .ranks import quantiles
+from .words import class_sums
 
 # ---------------------------------------------------------------- measures and screening
 
@@ -317,60 +319,46 @@ def reference_error_histogram(queries: DataFrame, refs: DataFrame) -> DataFrame:
     return fewest_mismatches(queries, refs).groupBy("errors").agg(F.sum("n").alias("sequences"))
 
 
-def train_kmer_classes(train: DataFrame, k: int = 8) -> tuple[DataFrame, DataFrame, float]:
-    """Word model from ``(seq_id, taxon, seq)``.
+def nb_classify(queries: DataFrame, train: DataFrame, k: int = 8, all_queries: bool = False) -> DataFrame:
+    """Naive-Bayes class of each query and its log score, sum(log((n_wk + prior_w) / (N_k + 1))) over its distinct words.
+
+    A query without a word has no row; with ``all_queries`` it has one without ``taxon``, its score the empty sum, 0.
+    Texts that are queries and training texts at once (``queries`` is ``train``) are read and moved once.
 
-    Returns ``model(w, taxon, gain, lp, lead)``, one row per (word, class that has seen it) with the word's
-    log prior and a flag on one of its rows, the class sizes, and the log prior of an unseen word.
-    The window per word holds at most one row per class.
+    The sum splits into a class-free part, a part for the words a class has seen, and the class size, so only seen
+    (word, class) pairs are summed (``words.class_sums``). A class sharing no word can win only if it is the smallest
+    one, hence that extra candidate.
     """
-    words = train.select("taxon", F.explode(kmers(F.col("seq"), k)).alias("w"))
     sizes = train.groupBy("taxon").agg(F.count("*").alias("nk"))
-    total = train.count()
-    seen = words.groupBy("w", "taxon").agg(F.count("*").alias("nwk"))
-    of_word = Window.partitionBy("w")
-    priors = seen.withColumns(
-        {
-            "pw": (F.sum("nwk").over(of_word) + 0.5) / (total + 1),
-            "lead": F.col("taxon") == F.min("taxon").over(of_word),
-        }
+    numbered = sizes.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(
+        T.StructType([*sizes.schema.fields, T.StructField("class", T.IntegerType())])
     )
-    model = priors.selectExpr("w", "taxon", "ln((nwk + pw) / pw) AS gain", "ln(pw) AS lp", "lead")
-    return model, sizes, math.log(0.5 / (total + 1))
-
-
-def _score(words: DataFrame, keys: list[str], model: tuple[DataFrame, DataFrame, float]) -> DataFrame:
-    """Best class of each key by sum(log((n_wk + prior_w) / (N_k + 1))).
-
-    The sum splits into a class-free part (taken from a word's flagged row), a part for the words a
-    class has seen, and the class size, so only seen (word, class) pairs are summed. A class sharing
-    no word can win only if it is the smallest one, hence that extra candidate.
-    """
-    table, sizes, unseen = model
-    per = words.join(table, "w", "left").groupBy(*keys, "taxon").agg(
-        F.expr("sum(gain) AS g"),
-        F.expr(f"sum(CASE WHEN taxon IS NULL THEN {unseen!r}D WHEN lead THEN lp ELSE 0D END) AS flat"),
-        F.expr("count_if(taxon IS NULL OR lead) AS nq"),
+    sizes = checkpointed(numbered)
+    seen = sizes.agg(
+        F.count("*").alias("classes"), F.sum("nk").alias("total"), F.max(F.expr("IF(taxon IS NULL, class, -1)")).alias("none"),
+        F.min_by(F.struct("taxon", "nk"), F.struct("nk", "taxon")).alias("low"),
+    ).first()
+    classes = broadcast_if_small(sizes.select(F.col("taxon").alias("_t"), "class"), seen["classes"], 64)
+    known = train.join(classes, F.col("taxon").eqNullSafe(F.col("_t")))
+    if queries is train:
+        texts = known.select("seq_id", F.lit(True).alias("asked"), "class", "seq")
+    else:
+        kind = queries.schema["seq_id"].dataType
+        texts = queries.select("seq_id", F.lit(True).alias("asked"), F.lit(None).cast("int").alias("class"), "seq").unionByName(
+            known.select(F.lit(None).cast(kind).alias("seq_id"), F.lit(False).alias("asked"), "class", "seq"))
+    per = class_sums(texts, k, seen["classes"], seen["none"], seen["total"]).groupBy("seq_id", "class").agg(
+        F.sum("g").alias("g"), F.sum("flat").alias("flat"), F.sum("nq").alias("nq")
     )
-    low = sizes.agg(F.min_by(F.struct("taxon", "nk"), F.struct("nk", "taxon")).alias("b")).first()["b"]
+    low = seen["low"]
     # one entry per class of the key
-    joined = per.join(sizes, "taxon", "left").groupBy(*keys).agg(
+    joined = per.join(broadcast_if_small(sizes, seen["classes"], 64), "class", "left").groupBy("seq_id").agg(
         F.expr("sum(flat) AS flat"), F.expr("sum(nq) AS nq"),
-        F.expr("collect_list(CASE WHEN taxon IS NOT NULL THEN struct(taxon, g, nk) END) AS c"),
+        F.expr("collect_list(CASE WHEN class IS NOT NULL THEN struct(taxon, g, nk) END) AS c"),
     )
     extra = F.struct(F.lit(low["taxon"]).alias("taxon"), F.lit(0.0).alias("g"), F.lit(low["nk"]).alias("nk"))
     loss = "transform(c, x -> struct(-(flat + x.g - nq * ln(x.nk + 1)) AS loss, x.taxon AS taxon))"
-    best = joined.withColumn("c", F.concat("c", F.array(extra))).selectExpr(*keys, f"array_min({loss}) AS b")
-    return best.select(*keys, "b.taxon", (-F.col("b.loss")).alias("score"))
-
-
-def nb_classify(queries: DataFrame, train: DataFrame, k: int = 8, all_queries: bool = False) -> DataFrame:
-    """Naive-Bayes class of each query and its log score.
-
-    A query without a word has no row; with ``all_queries`` it has one without ``taxon``, its score the empty sum, 0.
-    """
-    words = queries.select("seq_id", F.explode(kmers(F.col("seq"), k)).alias("w"))
-    scored = _score(words, ["seq_id"], train_kmer_classes(train, k))
+    best = joined.withColumn("c", F.concat("c", F.array(extra))).selectExpr("seq_id", f"array_min({loss}) AS b")
+    scored = best.select("seq_id", "b.taxon", (-F.col("b.loss")).alias("score"))
     if not all_queries:
         return scored
     every = queries.select("seq_id").distinct().join(scored, "seq_id", "left")

@@ -161,7 +161,7 @@ def nb_classify(spark: SparkSession, d: str) -> DataFrame:
     docs = texts(spark, d).select(
         F.col("doc_id").alias("seq_id"), F.col("lang").alias("taxon"), F.col("text").alias("seq")
     )
-    found = seqs.nb_classify(docs.select("seq_id", "seq"), docs, k=8, all_queries=True)
+    found = seqs.nb_classify(docs, docs, k=8, all_queries=True)
     return found.withColumn("score", F.round("score", 3))
 
 

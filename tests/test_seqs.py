@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyfield.operators import blocking as B
 from tallyfield.operators import chimera as C
 from tallyfield.operators import seqs as Q
+from tallyfield.operators import words as W
 from tallyfield.sources import tables as T
 
 
@@ -479,3 +480,69 @@ def test_bootstrap_votes_against_plain_scores(spark):
         for key, (taxon, name, conf) in want.items():
             assert got[key][:2] == (taxon, name) and got[key][2] == pytest.approx(conf)
     assert {r["taxon"] for r in Q.nb_bootstrap(q, t.limit(0), lineages, k=k, iters=5).collect()} == {None}
+
+
+@pytest.mark.parametrize("letters", ["ACGé", "".join(map(chr, range(0x4E00, 0x4E00 + 300))), "A"])
+def test_classifier_against_plain_scores(spark, monkeypatch, letters):
+    import math
+
+    rng, k = random.Random(8), 8 if len(letters) > 9 else 3
+    pieces = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for _ in range(12)]
+    make = lambda own: "".join(rng.choice(own) for _ in range(rng.randrange(0, 9)))
+    train = [(i % 55, ("a", "b", "c", None)[min(i % 4, rng.randrange(9))], make(pieces[i % 4 :])) for i in range(60)]
+    train += [(100, "d", None), (101, "a", ""), (102, "b", "A\n"), (103, None, None)]
+    queries = [(i % 28, make(pieces) + rng.choice(["", "漢", "😀" * 9])) for i in range(30)] + [(98, "A"), (99, None)]
+    words = lambda t: {t[i : i + k] for i in range(len(t or "") - k + 1)}
+    seen, size = {}, {}
+    for _, x, t in train:
+        size[x] = size.get(x, 0) + 1
+        for w in words(t):
+            seen.setdefault(w, {}).setdefault(x, 0)
+            seen[w][x] += 1
+    low = min(size, key=lambda x: (size[x], x is not None, x))
+
+    def scores(texts):
+        own = [(w, seen.get(w, {})) for t in texts for w in words(t)]
+        free, n, gain = [], 0, {}
+        for _, c in own:
+            pw = (sum(c.values()) + 0.5) / (len(train) + 1)
+            named = {x: v for x, v in c.items() if x is not None}
+            # a word without a class, also one of a text without a class, counts as not seen
+            parts = [math.log(pw)] * bool(named) + [math.log(0.5 / (len(train) + 1))] * (None in c or not c)
+            free, n = free + parts, n + len(parts)
+            for x, v in named.items():
+                gain.setdefault(x, []).append(math.log((v + pw) / pw))
+        gain.setdefault(low, [])
+        return {x: math.fsum([*free, *g]) - n * math.log(size[x] + 1) for x, g in gain.items()} if own else {None: 0.0}
+
+    monkeypatch.setattr(W, "_BATCH_WORDS", 40)
+    monkeypatch.setattr(W, "_BATCH_CELLS", 20)
+    monkeypatch.setattr(W, "_BUCKET_WORDS", 50)
+    t = spark.createDataFrame(train, "seq_id long, taxon string, seq string")
+    q = spark.createDataFrame(queries, "seq_id long, seq string")
+    for a, b, rows in ((q, t, queries), (t, t, [(i, x) for i, _, x in train])):
+        got = Q.nb_classify(a, b, k=k, all_queries=True).collect()
+        assert sorted(r["seq_id"] for r in got) == sorted({i for i, _ in rows})
+        for r in got:
+            want = scores([x for i, x in rows if i == r["seq_id"]])
+            assert r["score"] == pytest.approx(max(want.values())) and want[r["taxon"]] == pytest.approx(r["score"])
+    some = {i for i, x in queries if words(x)}
+    assert {r["seq_id"] for r in Q.nb_classify(q, t, k=k).collect()} == some
+
+
+def test_classifier_has_no_row_per_word(spark):
+    rng = random.Random(9)
+    t = spark.createDataFrame([(i, "ab"[i % 2], "".join(rng.choices("ACGT", k=3000))) for i in range(40)], "seq_id long, taxon string, seq string")
+    plan = Q.nb_classify(t, t, k=8, all_queries=True)._jdf.queryExecution().toString()
+    assert "Generate" not in plan
+    texts = t.selectExpr("seq_id", "true AS asked", "CASE taxon WHEN 'a' THEN 0 ELSE 1 END AS class", "seq")
+    assert W.class_sums(texts, 8, 2, -1, 40).count() == 3 * 40
+
+
+def test_words_are_told_apart_where_high_bits_agree():
+    import numpy as np
+
+    lanes = [np.array([5, 7, 5, 6, 7, 5], np.uint64)]
+    assert W._order(lanes).tolist() == [0, 2, 5, 3, 1, 4]
+    table = [np.array([1, 1, 2], np.uint64), np.array([3, 4, 0], np.uint64)]
+    assert W._find(table, [np.array([1, 2, 1, 2], np.uint64), np.array([4, 1, 3, 0], np.uint64)]).tolist() == [1, -1, 0, 2]
