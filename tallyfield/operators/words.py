@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 
 #: Words (one per position) that are inverted at a time.
-_BATCH_WORDS = 2 * 1024 * 1024
+_BATCH_WORDS = 4 * 1024 * 1024
 #: Distinct words a bucket is sized for; also the cells (word, class) that a task merges at a time.
 _BUCKET_WORDS = 4 * 1024 * 1024
 #: Cells (text, class) of a batch, and its texts, whose numbers go as two bytes.
