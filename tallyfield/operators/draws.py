@@ -12,6 +12,7 @@ Bray-Curtis similarity at equal depth are sums over cells, or over pairs of cell
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import log_factorial, log_falling
-from ..session import broadcast_if_small, checkpointed
+from ..session import broadcast_if_small, checkpointed, written
 from .diversity import block_products
 
 LEAF_CELLS = 4096  # cells of a leaf aimed at; a sample of more is divided over several leaves
@@ -131,12 +132,12 @@ def numbers(sizes: np.ndarray, takes: np.ndarray, rng: np.random.Generator) -> n
 
 def _leaves(counts: DataFrame, depth: int) -> DataFrame:
     """``(sample, leaf, leaves, key, total, cells)`` of the samples with ``depth`` reads; a leaf's cells are one row."""
-    cells = checkpointed(counts.where("reads > 0").select("sample", "feature", F.col("reads").cast("long").alias("reads")))
+    cells = written(counts.where("reads > 0").select("sample", "feature", F.col("reads").cast("long").alias("reads")))
     deep = cells.groupBy("sample").agg(F.sum("reads").alias("_reads"), F.count("*").alias("_cells")).where(F.col("_reads") >= depth)
     deep = checkpointed(deep.select("sample", F.ceil(F.col("_cells") / LEAF_CELLS).cast("int").alias("leaves")))
     leaf = F.pmod(F.xxhash64("feature"), F.col("leaves")).cast("int")
     dealt = cells.join(broadcast_if_small(deep, deep.count(), 64), "sample").withColumn("leaf", leaf)
-    return checkpointed(
+    return written(
         dealt.groupBy("sample", "leaf", "leaves")
         .agg(F.sum("reads").alias("total"), F.array_sort(F.collect_list(F.struct("feature", "reads"))).alias("cells"))
         .withColumn("key", F.xxhash64("sample", "leaf"))
@@ -223,40 +224,168 @@ def rarefy(counts: DataFrame, depth: int, iters: int = 1, seed: int = 1) -> Data
     return _per_leaf(_leaves(counts, depth), depth, iters, seed, emit, schema)
 
 
-#: Standard deviations by which the reads kept for a keyed draw exceed its depth.
+_HASHED = 1 << 13  # reads whose keys are made at a time
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_TURNS = [[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]]
+
+
+def _md5(words: np.ndarray) -> list[np.ndarray]:
+    """The four integers of the md5 of messages of one block each; ``words`` has a row for each of the block's 16 words."""
+    some = words.any(axis=1)
+    first = [np.full(words.shape[1], x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (x.copy() for x in first)
+    f, g = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        kind = i // 16
+        if kind == 0:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif kind == 1:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif kind == 2:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        at = (i, 5 * i + 1, 3 * i + 5, 7 * i)[kind] % 16
+        a += f
+        a += np.uint32(_SINES[i])
+        if some[at]:
+            a += words[at]
+        turn = _TURNS[kind][i % 4]
+        np.left_shift(a, np.uint32(turn), out=f)
+        np.right_shift(a, np.uint32(32 - turn), out=g)
+        f |= g
+        f += b
+        a[:] = f  # the oldest of the four is replaced
+        a, b, c, d = d, a, b, c
+    return [x + y for x, y in zip(first, (a, b, c, d))]
+
+
+def _read_keys(names: list[bytes], reads: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(cell, high, low)`` of the reads of cells, some at a time: the halves of the md5 of ``name`` and the read's number."""
+    before = np.concatenate([[0], np.cumsum(reads)])
+    lengths = np.array([len(n) for n in names], np.int64)
+    width = max(64, int(lengths.max(initial=0)))
+    table = np.zeros((len(names), width), np.uint8)
+    for row, n in zip(table, names):
+        row[: len(n)] = np.frombuffer(n, np.uint8)
+    for at in range(0, int(before[-1]), _HASHED):
+        read = np.arange(at, min(at + _HASHED, int(before[-1])))
+        cell = np.searchsorted(before, read, side="right") - 1
+        number, size = read - before[cell] + 1, lengths[cell]
+        digits = len(str(int(number.max())))
+        if size.max() + digits > 55:  # over one block
+            whole = [hashlib.md5(names[c] + str(n).encode()).digest() for c, n in zip(cell.tolist(), number.tolist())]
+            both = np.frombuffer(b"".join(whole), ">u8").reshape(-1, 2).astype(np.uint64)
+            yield cell, both[:, 0], both[:, 1]
+            continue
+        text = table[cell, :64]
+        many, place = np.ones(len(read), np.int64), np.arange(len(read)) * 64 + size
+        for d in range(1, digits):
+            many += number >= 10**d
+        flat = text.reshape(-1)
+        for d in range(digits):
+            own = np.flatnonzero(many > d) if d else slice(None)
+            flat[place[own] + many[own] - 1 - d] = 48 + number[own] // 10**d % 10
+        flat[place + many] = 0x80
+        words = np.ascontiguousarray(text.view("<u4").T)
+        words[14] = (size + many) * 8
+        a, b, c, d = (x.byteswap().astype(np.uint64) for x in _md5(words))
+        yield cell, (a << np.uint64(32)) | b, (c << np.uint64(32)) | d
+
+
+#: Standard deviations by which the reads looked at for a keyed draw exceed its depth.
 _MARGIN = 12
 
 
+def _smallest(names: list[bytes], reads: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(cell, high, low)`` of the ``depth`` reads with the smallest keys, or of all.
+
+    Keys above one that enough are sure to lie below are not kept; if too few do, all reads are taken again.
+    """
+    total = int(reads.sum())
+    share = (depth + _MARGIN * math.sqrt(depth)) / total
+    for bound in ([share] if 0 < share < 1 else []) + [1]:
+        kept, held = [], 0
+        for cell, high, low in _read_keys(names, reads):
+            if bound < 1:
+                own = high < np.uint64(int(bound * 2**64))
+                cell, high, low = cell[own], high[own], low[own]
+            kept.append((cell, high, low))
+            held += len(cell)
+            if held > max(8 * depth, 1 << 18):
+                kept = [_first(kept, depth)]
+                held = len(kept[0][0])
+        found = _first(kept, depth)
+        if len(found[0]) == min(depth, total):
+            break
+    return found
+
+
+def _first(parts: list[tuple], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cell, high, low = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((low, high))[:depth]  # stable, so equal keys are in the order of cells
+    return cell[order], high[order], low[order]
+
+
+def _named(cells: Column) -> Column:
+    return F.transform(cells, lambda c: F.coalesce(c["feature"].cast("string"), F.lit("")))
+
+
+def _names(seed: int, i: int, sample: str, features: list[str]) -> list[bytes]:
+    return [f"{seed}-{i}-{sample}-{f}-".encode() for f in features]
+
+
 def keyed_draws(counts: DataFrame, depth: int, iters: int, seed: int) -> DataFrame:
     """``(iter, sample, feature, reads)`` of draws that any engine can repeat; shallower samples drop.
 
-    A draw has the ``depth`` reads of a sample with the smallest md5 of ``seed-iter-sample-feature-number``. Reads beyond a
-    key that enough are sure to lie below are not moved; a draw that still has too few is made from all of its reads.
+    A draw has the ``depth`` reads of a sample with the smallest md5 of ``seed-iter-sample-feature-number``. Keys are made and
+    compared where the cells are; only a sample of several leaves has the smallest ones of each moved.
     """
-    cells = counts.where("reads > 0")
-    deep = checkpointed(cells.groupBy("sample").agg(F.sum("reads").alias("total")).where((F.col("total") >= depth) & F.col("sample").isNotNull()))
-    share = (depth + _MARGIN * math.sqrt(depth)) / F.col("total")
-    # the first digits of a key that are looked at; as text, g comes after all digits
-    bound = F.when(share >= 1, "g").otherwise(F.lower(F.lpad(F.hex((share * 2**32).cast("long")), 8, "0")))
-
-    def keyed(sides: DataFrame) -> DataFrame:
-        # a cell is a small row, but its reads are much work
-        spread = cells.join(sides, "sample").repartition(_width(counts), "sample", "feature", "iter")
-        name = F.concat_ws("-", F.lit(seed), "iter", "sample", F.coalesce(F.col("feature").cast("string"), F.lit("")), F.lit(""))
-        reads = spread.select("iter", "sample", "feature", "bound", name.alias("name"), F.explode(F.sequence(F.lit(1).cast("long"), "reads")).alias("i"))
-        key = F.md5(F.concat("name", F.col("i").cast("string")))
-        return reads.select("iter", "sample", "feature", "i", "bound", key.alias("key")).where("key < bound").drop("bound")
-
-    every = F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("iter")
-    found = checkpointed(keyed(deep.select("sample", every, bound.alias("bound"))))
-    had = found.groupBy("iter", "sample").agg(F.count("*").alias("n")).where(F.col("n") >= depth)
-    short = checkpointed(deep.select("sample", every).join(had, ["iter", "sample"], "left_anti"))
-    if short.take(1):
-        again = keyed(short.withColumn("bound", F.lit("g")))
-        found = found.join(short, ["iter", "sample"], "left_anti").unionByName(again)
-    order = Window.partitionBy("iter", "sample").orderBy("key", "feature", "i")
-    first = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
-    return first.groupBy("iter", "sample", "feature").agg(F.count("*").alias("reads"))
+    kinds = {c: counts.schema[c].dataType for c in ("sample", "feature")}
+    schema = T.StructType([
+        T.StructField("iter", T.IntegerType()), T.StructField("sample", kinds["sample"]),
+        T.StructField("feature", kinds["feature"]), T.StructField("key", T.BinaryType()), T.StructField("reads", T.LongType()),
+    ])
+
+    def drawn(listed: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in range(b.num_rows):
+                    cells, name = b.column("cells")[r].values, b.column("name")[r].as_py()
+                    features, texts = cells.field("feature"), b.column("texts")[r].as_py()
+                    reads = cells.field("reads").to_numpy()
+                    for i in range(iters):
+                        cell, high, low = _smallest(_names(seed, i, name, texts), reads, depth)
+                        if listed:
+                            keys = np.stack([high, low], axis=1).astype(">u8").view("V16").ravel()
+                            key, n = pa.array([k.tobytes() for k in keys], pa.binary()), np.ones(len(cell), np.int64)
+                        else:
+                            n = np.bincount(cell, minlength=len(reads))
+                            cell = np.flatnonzero(n)
+                            key, n = pa.nulls(len(cell), pa.binary()), n[cell]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(cell), i, np.int32)), _again(b.column("sample").slice(r, 1), len(cell)),
+                             features.take(pa.array(cell)), key, pa.array(n)], names=schema.names,
+                        )
+
+        return run
+
+    leaves = _leaves(counts, depth).withColumn("texts", _named(F.col("cells"))).withColumn("name", F.col("sample").cast("string"))
+    part = lambda which, listed: (
+        leaves.where(which).select("sample", "name", "cells", "texts", "key").repartition(_width(counts), "key").mapInArrow(drawn(listed), schema)
+    )
+    order = Window.partitionBy("iter", "sample").orderBy("key", "feature")
+    several = part("leaves > 1", True).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
+    return part("leaves = 1", False).drop("key").unionByName(
+        several.groupBy("iter", "sample", "feature").agg(F.sum("reads").alias("reads"))
+    )
 
 
 def drawn_moments(counts: DataFrame, depth: int, iters: int, seed: int = 1) -> DataFrame:
@@ -354,6 +483,12 @@ def _sizes(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sizes, checkpointed(sizes.groupBy("sample").agg(F.sum(F.col("n") * F.col("cells")).alias("total")))
 
 
+def _grid(step: int) -> Column:
+    """Every ``step`` reads up to ``total``, and ``total``."""
+    by_step = F.sequence(F.lit(step).cast("long"), "total", F.lit(step).cast("long"))
+    return F.array_union(F.when(F.col("total") >= step, by_step).otherwise(F.array().cast("array<bigint>")), F.array("total"))
+
+
 def expected_curve(counts: DataFrame, step: int = 100) -> DataFrame:
     """``(sample, depth, features)``: the expected number of features at every ``step`` reads and at all of them.
 
@@ -361,10 +496,8 @@ def expected_curve(counts: DataFrame, step: int = 100) -> DataFrame:
     sizes x depths, whatever the number of features.
     """
     sizes, totals = _sizes(counts)
-    by_step = F.sequence(F.lit(step).cast("long"), "total", F.lit(step).cast("long"))
-    grid = F.array_union(F.when(F.col("total") >= step, by_step).otherwise(F.array().cast("array<bigint>")), F.array("total"))
     small = broadcast_if_small(totals, totals.count(), 64)
-    rows = sizes.join(small, "sample").withColumn("depth", F.explode(grid))
+    rows = sizes.join(small, "sample").withColumn("depth", F.explode(_grid(step)))
     seen = F.col("cells") * (1 - _missed(F.col("total"), F.col("n"), F.col("depth")))
     return rows.groupBy("sample", "depth").agg(F.sum(seen).alias("features"))
 

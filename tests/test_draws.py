@@ -197,3 +197,28 @@ def test_rarefied_numbers_are_part_of_the_result(spark, data):
             assert r[f"drawn_{i}"] <= r["reads"]
             totals[r["sample"], i] = totals.get((r["sample"], i), 0) + r[f"drawn_{i}"]
     assert totals and set(totals.values()) == {1000}
+
+
+def test_keys_of_reads_are_their_md5():
+    names = [b"9-0-1-2-", b"9-0-1-", b"x" * 60 + b"-", b"9-1-123456789-987654321-"]
+    reads = np.array([1200, 3, 12, 11])
+    got = [(int(c), int(h) << 64 | int(x)) for cell, high, low in D._read_keys(names, reads) for c, h, x in zip(cell, high, low)]
+    want = [(c, int(hashlib.md5(n + str(i).encode()).hexdigest(), 16)) for c, n in enumerate(names) for i in range(1, reads[c] + 1)]
+    assert got == want
+
+
+@pytest.mark.parametrize("leaf", [4096, 7])
+def test_keys_of_draws_are_not_stored(spark, monkeypatch, leaf):
+    monkeypatch.setattr(D, "LEAF_CELLS", leaf)
+    stored = []
+    monkeypatch.setattr(D, "checkpointed", lambda df: stored.append(df.columns) or df)
+    rows = table(7)
+    got = D.keyed_draws(frame(spark, rows), 30, 2, 9).collect()
+    assert not any("key" in c for c in stored)
+    per = {}
+    for r in got:
+        per[r["iter"], r["sample"]] = per.get((r["iter"], r["sample"]), 0) + r["reads"]
+    assert set(per.values()) == {30}
+    one = {(r["iter"], r["sample"], r["feature"]): r["reads"] for r in got}
+    monkeypatch.setattr(D, "LEAF_CELLS", 4096)
+    assert one == {(r["iter"], r["sample"], r["feature"]): r["reads"] for r in D.keyed_draws(frame(spark, rows), 30, 2, 9).collect()}
