@@ -388,6 +388,77 @@ def keyed_draws(counts: DataFrame, depth: int, iters: int, seed: int) -> DataFra
     )
 
 
+#: Reads of a sample up to which its whole order is made in one task.
+_ORDERED = 1 << 21
+
+
+def keyed_curve(counts: DataFrame, step: int, iters: int, seed: int) -> DataFrame:
+    """``(sample, depth, features)``: features among the first ``depth`` reads, the mean over ``iters`` orders any engine can repeat.
+
+    Reads are ordered by the md5 of ``seed-iter-sample-feature-number``; depths are every ``step`` reads and all of them. All
+    reads are ordered, a sample in its task, from its cells. Those of a sample of over ``_ORDERED`` reads are rows, dealt by ranges of keys.
+    """
+    cells = written(counts.where("reads > 0").select("sample", "feature", F.col("reads").cast("long").alias("reads")))
+    totals = checkpointed(cells.where("sample IS NOT NULL").groupBy("sample").agg(F.sum("reads").alias("total")))
+    schema = T.StructType([
+        T.StructField("sample", counts.schema["sample"].dataType), T.StructField("depth", T.LongType()), T.StructField("features", T.DoubleType())
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                reads, texts = b.column("cells")[r].values.field("reads").to_numpy(), b.column("texts")[r].as_py()
+                total = int(reads.sum())
+                depths = np.unique(np.append(np.arange(step, total + 1, step), total))
+                found = np.zeros(len(depths))
+                of = np.repeat(np.arange(len(reads)), reads)
+                for i in range(iters):
+                    parts = [x[1:] for x in _read_keys(_names(seed, i, b.column("name")[r].as_py(), texts), reads)]
+                    high, low = (np.concatenate(x) for x in zip(*parts))
+                    order = np.argsort(high, kind="stable")
+                    if (np.diff(high[order]) == 0).any():
+                        order = np.lexsort((low, high))
+                    first = np.empty(len(reads), np.int64)
+                    first[of[order][::-1]] = np.arange(total, 0, -1)  # the earliest is written last
+                    found += np.searchsorted(np.sort(first), depths, side="right")
+                yield pa.RecordBatch.from_arrays(
+                    [_again(b.column("sample").slice(r, 1), len(depths)), pa.array(depths), pa.array(found / iters)], names=schema.names
+                )
+
+    side = lambda which: broadcast_if_small(totals.where(which), totals.count(), 64)
+    whole = (
+        cells.join(side(F.col("total") <= _ORDERED), "sample").repartition(_width(counts), "sample")
+        .groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("feature", "reads"))).alias("cells"))
+        .select("sample", F.col("sample").cast("string").alias("name"), "cells", _named(F.col("cells")).alias("texts"))
+        .mapInArrow(run, schema)
+    )
+    if not totals.where(F.col("total") > _ORDERED).take(1):
+        return whole
+    # a range of keys has some _ORDERED reads
+    ranges = F.floor(F.col("total") / _ORDERED) + 1
+    name = F.concat_ws("-", F.lit(seed), "iter", "sample", F.coalesce(F.col("feature").cast("string"), F.lit("")), "i")
+    rows = (
+        cells.join(side(F.col("total") > _ORDERED), "sample")
+        .withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1)))).repartition(_width(counts), "sample", "feature", "iter")
+        .withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "reads"))).withColumn("key", F.md5(name))
+        .withColumn("part", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / 2**32))
+        .withColumn("rank", F.row_number().over(Window.partitionBy("iter", "sample", "part").orderBy("key", "feature", "i")))
+    )
+    ranked = checkpointed(rows.groupBy("iter", "sample", "part", "feature").agg(F.min("rank").alias("rank")))
+    sizes = rows.groupBy("iter", "sample", "part").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("iter", "sample").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("iter", "sample", "part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    firsts = ranked.join(before, ["iter", "sample", "part"]).groupBy("iter", "sample", "feature").agg(F.min(F.col("rank") + F.col("before")).alias("first"))
+    new = (
+        firsts.join(totals, "sample").withColumn("depth", F.least(F.ceil(F.col("first") / step) * step, F.col("total")))
+        .groupBy("sample", "depth").agg(F.count("*").alias("new"))
+    )
+    grid = totals.where(F.col("total") > _ORDERED).select("sample", F.explode(_grid(step)).alias("depth"))
+    seen = grid.join(new, ["sample", "depth"], "left")
+    many = F.sum(F.coalesce("new", F.lit(0))).over(Window.partitionBy("sample").orderBy("depth"))
+    return whole.unionByName(seen.select("sample", "depth", (many / iters).alias("features")))
+
+
 def drawn_moments(counts: DataFrame, depth: int, iters: int, seed: int = 1) -> DataFrame:
     """``(sample, feature, reads, mean, variance)``: of the drawn number over all draws, for every cell of a deep sample."""
     kinds = {c: counts.schema[c].dataType for c in ("sample", "feature")}

@@ -207,6 +207,32 @@ def test_keys_of_reads_are_their_md5():
     assert got == want
 
 
+@pytest.mark.parametrize("ordered", [1 << 21, 100])
+def test_curve_is_that_of_all_reads_in_order(spark, monkeypatch, ordered):
+    monkeypatch.setattr(D, "_ORDERED", ordered)  # samples of over 100 reads go by rows
+    rows = [*table(7), (0, None, 12), (None, 3, 90)]
+    want = {}
+    for s, total in totals(rows).items():
+        for i in range(2 if s is not None else 0):
+            reads = [(f, n) for t, f, k in rows if t == s for n in range(1, k + 1)]
+            keyed = sorted((hashlib.md5(f"9-{i}-{s}-{'' if f is None else f}-{n}".encode()).hexdigest(), f) for f, n in reads)
+            for depth in {*range(40, total + 1, 40), *([total] if total else [])}:
+                want[s, depth] = want.get((s, depth), 0) + len({f for _, f in keyed[:depth]}) / 2
+    got = D.keyed_curve(frame(spark, rows), 40, 2, 9).collect()
+    assert {(r["sample"], r["depth"]): r["features"] for r in got} == want and len(got) == len(want)
+
+
+def test_drawn_curve_is_part_of_the_result(spark, data):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["rarefaction_curve"](spark, data).collect()
+    deepest = {}
+    for r in rows:
+        assert abs(r["features"] - r["expected"]) < 40
+        deepest[r["sample"]] = max(deepest.get(r["sample"], (0,)), (r["depth"], r["features"], r["expected"]))
+    assert deepest and all(f == pytest.approx(e) for _, f, e in deepest.values())
+
+
 @pytest.mark.parametrize("leaf", [4096, 7])
 def test_keys_of_draws_are_not_stored(spark, monkeypatch, leaf):
     monkeypatch.setattr(D, "LEAF_CELLS", leaf)
