@@ -602,15 +602,16 @@ def expected_moments(counts: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def expected_beta(counts: DataFrame, depth: int, block_size: int = 1024) -> DataFrame:
+def expected_beta(counts: DataFrame, depth: int, block_size: int = 2048) -> DataFrame:
     """``(a, b, dist)``: the mean Bray-Curtis distance of two samples over all draws of ``depth`` reads each.
 
     With equal depths the distance is one less the shared reads over the depth. The draws of two samples are
     independent, so the expected minimum of two counts is the sum over ``t`` of the products of their chances to reach
     ``t``: one matrix product over (feature, t), done in blocks of samples.
     """
-    sizes, totals = _sizes(counts)
-    deep = totals.where(F.col("total") >= depth)
+    cells = written(counts.where("reads > 0").select("sample", "feature", F.col("reads").cast("long").alias("reads")))
+    sizes, totals = _sizes(cells)
+    deep = checkpointed(totals.where(F.col("total") >= depth))
     total, n, m = F.col("total"), F.col("n"), F.lit(depth).cast("long")
     last = F.least(n, m)
     exactly = F.transform(F.sequence(F.lit(1).cast("long"), last), lambda k: _hits(total, n, m, k))
@@ -620,9 +621,8 @@ def expected_beta(counts: DataFrame, depth: int, block_size: int = 1024) -> Data
     # cells of equal size in a sample have the same chances
     width = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))  # small rows, but much work on them
     rows = sizes.join(broadcast_if_small(deep, totals.count(), 64), "sample").repartition(width, "sample", "n")
-    reach = rows.withColumn("exactly", exactly).select("sample", "n", tail.alias("values"))
+    reach = rows.withColumn("exactly", exactly).select("sample", F.col("n").alias("x"), "cells", tail.alias("values"))
     # chances too small to count in a double end the list
-    reach = checkpointed(reach.withColumn("values", F.filter("values", lambda p: p > 1e-18)))
-    cells = counts.where("reads > 0").select("sample", "feature", F.col("reads").cast("long").alias("n"))
-    reach = cells.join(reach, ["sample", "n"]).select("sample", "feature", "values")
-    return block_products(reach, block_size).select("a", "b", (1 - F.col("shared") / depth).alias("dist"))
+    reach = written(reach.withColumn("values", F.filter("values", lambda p: p > 1e-18)))
+    cells = cells.join(broadcast_if_small(deep.select("sample"), totals.count(), 48), "sample")
+    return block_products(cells.select("sample", "feature", F.col("reads").alias("x")), reach, block_size).select("a", "b", (1 - F.col("shared") / depth).alias("dist"))
