@@ -1,7 +1,7 @@
 """Naive-Bayes sums of texts over their words, without a row per word.
 
 Texts are inverted a batch at a time: a batch becomes a row per bucket of words with the words, packed into integers,
-and the texts of the batch that hold them. A bucket's rows meet in one task, which counts its words by class, turns
+and the texts of the batch that hold them; words go in the order of their letters, as differences, and compressed. A bucket's rows meet in one task, which counts its words by class, turns
 the counts into gains and sums these for the texts of each row.
 """
 
@@ -24,6 +24,8 @@ _BUCKET_WORDS = 4 * 1024 * 1024
 #: Cells (text, class) of a batch, and its texts, whose numbers go as two bytes.
 _BATCH_CELLS = 8 * 1024 * 1024
 _BATCH_TEXTS = (1 << 16) - 1
+#: Bytes of its rows that a task holds in memory; more are in a temporary file.
+_KEPT_BYTES = 1 << 26
 #: One of so many word hashes is kept to size the buckets, which balances the work and changes no result.
 _SIZING = 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -122,6 +124,51 @@ def _find(table: list[np.ndarray], lanes: list[np.ndarray]) -> np.ndarray:
     return out[n:]
 
 
+def _unmixed(lanes: list[np.ndarray]) -> np.ndarray:
+    """The first integer of ``_lanes`` as it was before it was mixed with the others."""
+    x = lanes[0] ^ (lanes[0] >> np.uint64(32))
+    x *= np.uint64(pow(int(_MIX), -1, 1 << 64))
+    return x ^ _mixed(lanes[1:]) if len(lanes) > 1 else x
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers as their count and their bytes, those of one rank after those of another, compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _unsqueezed(buffer: pa.Buffer, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(buffer[:8].to_pybytes(), "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(buffer[8:], n * size, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+def _moved(held: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Places of the texts of words when the words are put into an order."""
+    held = held.astype(np.int64)
+    now = held[order]
+    return np.arange(int(now.sum())) + np.repeat((np.cumsum(held) - held)[order] - (np.cumsum(now) - now), now)
+
+
+def _written_small(lanes: list[np.ndarray], held: np.ndarray, texts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Words, by how many texts each is held, and by which ones, in the order of letters, in which neighbours are alike."""
+    plain = [_unmixed(lanes), *lanes[1:]]
+    order = np.lexsort(plain[::-1]) if len(plain) > 1 else np.argsort(plain[0])
+    first, *others = (x[order] for x in plain)
+    words = np.concatenate([np.diff(first, prepend=np.uint64(0)), *others])
+    return _squeezed(words), _squeezed(held[order]), _squeezed(texts[_moved(held, order)])
+
+
+def _read_small(words: pa.Buffer, held: pa.Buffer, texts: pa.Buffer, lanes: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """What ``_written_small`` was given."""
+    first, *others = _unsqueezed(words, np.uint64).reshape(lanes, -1)
+    first = np.cumsum(first, dtype=np.uint64)
+    held, texts = _unsqueezed(held, np.uint16), _unsqueezed(texts, np.uint16)
+    own = [_mixed([*others, first]), *others]
+    order = np.lexsort(own[::-1]) if lanes > 1 else np.argsort(own[0])
+    return [x[order] for x in own], held[order], texts[_moved(held, order)]
+
+
 def _packed(parts: list[np.ndarray]) -> pa.Array:
     return pa.array([p.tobytes() for p in parts], pa.binary())
 
@@ -156,15 +203,14 @@ def _invert(shared, k: int, buckets: int, texts: int):
         pairs = [slice(*x) for x in zip(last - np.add.reduceat(held, at), last)]
         held = held.astype(np.uint16)
         ids = b.column(0)
+        small = [_written_small([lane[w] for lane in lanes], held[w], text[p]) for w, p in zip(words, pairs)]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(some, pa.int32()),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * len(ids), pa.int32()), pa.concat_arrays([ids] * len(some))),
                 _packed([b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)] * len(some)),
                 _packed([b.column(2).fill_null(-1).to_numpy().astype(np.int32)] * len(some)),
-                _packed([np.stack([lane[w] for lane in lanes]) for w in words]),
-                _packed([held[w] for w in words]),
-                _packed([text[p] for p in pairs]),
+                *(pa.array(part, pa.binary()) for part in zip(*small)),
             ],
             names=["bucket", "ids", "asked", "classes", "words", "held", "texts"],
         )
@@ -189,10 +235,8 @@ def _rows(b: pa.RecordBatch, lanes: int):
     """The rows of a batch made by ``_invert``, unpacked; ``texts`` holds those of one word after the other."""
     one = lambda c, i, kind: np.frombuffer(b.column(c)[i].as_buffer(), kind)
     for i in range(b.num_rows):
-        yield (
-            b.column("ids")[i].values, one("asked", i, np.uint8).astype(bool), one("classes", i, np.int32),
-            list(one("words", i, np.uint64).reshape(lanes, -1)), one("held", i, np.uint16), one("texts", i, np.uint16),
-        )
+        small = (b.column(c)[i].as_buffer() for c in ("words", "held", "texts"))
+        yield b.column("ids")[i].values, one("asked", i, np.uint8).astype(bool), one("classes", i, np.int32), *_read_small(*small, lanes)
 
 
 class _Counts:
@@ -231,7 +275,7 @@ def _score(k: int, letters: int, classes: int, none: int, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts(lanes, classes)
         # the rows are read twice: for the counts, and for the sums
-        with tempfile.TemporaryFile() as f:
+        with tempfile.SpooledTemporaryFile(_KEPT_BYTES) as f:
             kept = None
             for b in batches:
                 kept = kept or pa.ipc.new_stream(f, b.schema, options=pa.ipc.IpcWriteOptions(compression="lz4"))

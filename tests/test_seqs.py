@@ -3,6 +3,8 @@
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -546,3 +548,23 @@ def test_words_are_told_apart_where_high_bits_agree():
     assert W._order(lanes).tolist() == [0, 2, 5, 3, 1, 4]
     table = [np.array([1, 1, 2], np.uint64), np.array([3, 4, 0], np.uint64)]
     assert W._find(table, [np.array([1, 2, 1, 2], np.uint64), np.array([4, 1, 3, 0], np.uint64)]).tolist() == [1, -1, 0, 2]
+
+
+@pytest.mark.parametrize("k,letters", [(3, 5), (8, 105), (12, 300)])
+def test_moved_words_come_back_and_are_small(k, letters):
+    rng = np.random.default_rng(3)
+    x = (rng.integers(0, 6, 30_000) ** 2 % letters).astype(np.uint64)
+    lanes = W._lanes(x, k, letters)
+    assert (W._unmixed(lanes) == W._unmixed([lane[::-1] for lane in lanes])[::-1]).all()
+    order = np.lexsort(lanes[::-1])
+    lanes = [lane[order] for lane in lanes]
+    lanes = [lane[W._starts(lanes)] for lane in lanes]
+    held = rng.integers(1, 4, len(lanes[0])).astype(np.uint16)
+    texts = rng.integers(0, 900, int(held.sum())).astype(np.uint16)
+    small = W._written_small(lanes, held, texts)
+    back = W._read_small(*map(pa.py_buffer, small), len(lanes))
+    assert all((a == b).all() for a, b in zip(back[0], lanes)) and (back[1] == held).all() and (back[2] == texts).all()
+    whole = sum(len(a) * a.itemsize for a in (*lanes, held, texts))
+    assert sum(map(len, small)) < 0.75 * whole or len(held) < 1000
+    none = W._written_small([lane[:0] for lane in lanes], held[:0], texts[:0])
+    assert len(W._read_small(*map(pa.py_buffer, none), len(lanes))[1]) == 0
